@@ -40,7 +40,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
                 more = min(filled, size - filled)
                 p[filled : filled + more] = p[:more] * step
                 filled += more
-                step = step * step
+                with np.errstate(over="ignore"):
+                    step = step * step
             _powers[k] = p
     return _powers[0][:n], _powers[1][:n]
 
