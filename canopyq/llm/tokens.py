@@ -120,7 +120,7 @@ class WordTable:
     worker's memory is bounded whatever the vocabulary of the corpus.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 300_000) -> None:
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 400_000) -> None:
         self.encode, self.limit = encode, limit
         self.clear()
 
@@ -169,6 +169,11 @@ class WordTable:
         self.begin[n : n + len(ids)] = self.used + np.cumsum(lens) - lens
         self.used += total
 
+    def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of ids of each span of ``data``."""
+        rows = self.look_up(data, starts, ends)
+        return self.length[rows]
+
     def ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words in ``rows`` one after another, and where each word's begin."""
         return K.gather_ragged(self.flat, self.begin, self.length, rows)
