@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from canopyq.llm.bpe import bpe_round_trip
+from canopyq.llm.hamming import sign_codes, top_k
 from canopyq.llm.jaccard import jaccard_join
 from canopyq.llm.licenses import scan_licences
 from canopyq.llm.packing import pack_documents
@@ -48,6 +49,11 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = sign_codes(table(spark, sf_dir, "embeddings"), "embedding", 64)
+    return top_k(codes, codes.where("vec_id % 50 = 0"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_token_counts(table(spark, sf_dir, "documents"))
 
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op9_exact_top_k": op9_exact_top_k,
     "op10_token_counts": op10_token_counts,
 }
 
