@@ -13,6 +13,7 @@ from canopyq.llm.licenses import scan_licences
 from canopyq.llm.packing import pack_documents
 from canopyq.llm.quality import quality
 from canopyq.llm.repetition import repetition_rules
+from canopyq.llm.secrets import labelled_findings, secret_findings, train_forest
 from canopyq.llm.token_counts import edited_token_counts
 from canopyq.llm.toxicity import toxicity
 
@@ -49,6 +50,10 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_findings(table(spark, sf_dir, "documents"), train_forest(labelled_findings(spark)))
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = sign_codes(table(spark, sf_dir, "embeddings"), "embedding", 64)
     return top_k(codes, codes.where("vec_id % 50 = 0"))
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_secret_scans": op8_secret_scans,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_token_counts": op10_token_counts,
 }
