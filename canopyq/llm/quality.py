@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 
 from canopyq.llm import kernels as K
 from canopyq.llm.labelled import SAMPLE_DOCUMENTS, held_out, labelled_sample
+from canopyq.llm.rows import annotated
 
 BITS = 16
 FACTORS = 6
@@ -162,20 +163,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     return fit(rows, stats, np.array([r[0] for r in found], float))
 
 
-def score(docs: DataFrame, model: FactorMachine, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """Scores every whole text; null and empty texts have their statistics alone. Columns not in ``keep`` are dropped, repeated rows scored each by itself."""
-    fields = docs.select(*keep).schema.simpleString()[7:-1].replace(":", " ")
+def score(docs: DataFrame, model: FactorMachine, keep: tuple[str, ...] = ("doc_id",), text: str = "text", where: str | None = None) -> DataFrame:
+    """Scores every whole text; ``where``, a condition on the score, keeps the rows that meet it, without the score.
+
+    Null and empty texts have their statistics alone. Repeated rows are scored each by itself; other columns are never read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = K.string_parts(batch.column(len(keep)))
-            recorded = _recorded(batch.column(len(keep) + 1))
-            for a, b, part, at in K.chunks(data, offsets):
-                p = shared.value.score(*features(part, at, recorded[a:b]))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keep))), pa.array(p)], [*keep, "score"])
+    def kernel(data: np.ndarray, offsets: np.ndarray, recorded: pa.Array) -> list[pa.Array]:
+        return [pa.array(shared.value.score(*features(data, offsets, _recorded(recorded))))]
 
-    return docs.select(*keep, *_inputs(docs, text)).mapInArrow(run, f"{fields}, score double")
+    content, recorded = _inputs(docs, text)
+    return annotated(docs, keep, content, [recorded], lambda: kernel, {"score": "double"}, where)
 
 
 def quality(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCUMENTS, threshold: float = 0.3) -> DataFrame:

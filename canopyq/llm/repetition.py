@@ -7,7 +7,6 @@ longer lengths look at those places alone. Nothing is shuffled; a document is ju
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from canopyq.llm import kernels as K
+from canopyq.llm.rows import annotated, lists
 
 
 @dataclass(frozen=True)
@@ -33,10 +33,10 @@ class RepetitionRules:
 
 _SYMBOLS = K.byte_class(*b"#*$%&|<>")
 
-SCHEMA = (
-    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
-    "dup_line_char_share double, dup_ngram_char_share array<double>"
-)
+RESULTS = {
+    "n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "kept": "boolean", "dup_line_char_share": "double",
+    "dup_ngram_char_share": "array<double>",
+}
 
 
 def _repeated(key: np.ndarray) -> np.ndarray:
@@ -115,17 +115,9 @@ def repetition_rules(docs: DataFrame, rules: RepetitionRules = RepetitionRules()
     A null or empty text has no words: all counts are 0, it fails the length rule and is not kept. Repeated rows are judged
     each by itself; other columns are never read, whatever their names. An empty table gives an empty result.
     """
-    fields = docs.select(*keep).schema.simpleString()[7:-1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = K.string_parts(batch.column(len(keep)))
-            for a, b, part, at in K.chunks(data, offsets):
-                m = measure(part, at, rules)
-                shares = m.pop("dup_ngram_char_share")
-                width = shares.shape[1]
-                lists = pa.ListArray.from_arrays(np.arange(0, width * (b - a) + 1, max(width, 1), dtype=np.int32)[: b - a + 1] if width else np.zeros(b - a + 1, np.int32), pa.array(shares.ravel()))
-                columns = [batch.column(i).slice(a, b - a) for i in range(len(keep))] + [pa.array(v) for v in m.values()] + [lists]
-                yield pa.RecordBatch.from_arrays(columns, [*keep, *m, "dup_ngram_char_share"])
-
-    return docs.select(*keep, docs[text].cast("string")).mapInArrow(run, f"{fields.replace(':', ' ')}, {SCHEMA}")
+
+    def kernel(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+        found = measure(data, offsets, rules)
+        return [lists(found[name]) if kind.startswith("array") else pa.array(found[name]) for name, kind in RESULTS.items()]
+
+    return annotated(docs, keep, docs[text], [], lambda: kernel, RESULTS)

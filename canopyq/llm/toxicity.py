@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 
 from canopyq.llm import kernels as K
 from canopyq.llm.labelled import SAMPLE_DOCUMENTS, held_out, labelled_sample
+from canopyq.llm.rows import annotated
 
 BITS = 18
 #: Bytes of the word beginnings that are features beside whole words: inflected forms share them.
@@ -103,36 +104,33 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     return fit(bags, np.array([k[1] for k in order], np.int64))
 
 
-def score(docs: DataFrame, model: NoisyOrModel, keep: tuple[str, ...] = ("doc_id",), text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """Scores every whole text and locates its offending sentences.
+RESULTS = {"score": "double", "n_sentences": "long", "spans": "array<struct<start: long, end: long, score: double>>"}
+
+
+def score(docs: DataFrame, model: NoisyOrModel, keep: tuple[str, ...] = ("doc_id",), text: str = "text", threshold: float = 0.5, where: str | None = None) -> DataFrame:
+    """Scores every whole text and locates its offending sentences; ``where``, a condition on the results, keeps the rows that meet it, without the results.
 
     ``spans`` holds the sentences whose own probability reaches ``threshold``: start and end in characters, and the probability.
     Null and empty texts have no sentence and score 0. Repeated rows are scored each by itself; other columns are never read.
     """
-    fields = docs.select(*keep).schema.simpleString()[7:-1].replace(":", " ")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = shared.value.weights, shared.value.bias
-        for batch in batches:
-            data, offsets = K.string_parts(batch.column(len(keep)))
-            for a, b, part, at in K.chunks(data, offsets):
-                buckets, place, begin, stop, row = sentences(part, at)
-                z = np.clip(bias + np.bincount(place, weights[buckets], minlength=len(row)), -30, 30)
-                log_clear = -np.bincount(row, np.logaddexp(0, z), minlength=b - a)
-                p = 1 / (1 + np.exp(-z))
-                bad = np.flatnonzero(p >= threshold)
-                chars = K.code_points(part)
-                base = chars[at[:-1]][row[bad]]
-                spans = pa.ListArray.from_arrays(
-                    pa.array(np.searchsorted(row[bad], np.arange(b - a + 1)), pa.int32()),
-                    pa.StructArray.from_arrays([pa.array(chars[begin[bad]] - base), pa.array(chars[stop[bad]] - base), pa.array(p[bad])], ["start", "end", "score"]),
-                )
-                columns = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
-                n = np.bincount(row, minlength=b - a)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(-np.expm1(log_clear)), pa.array(n), spans], [*keep, "score", "n_sentences", "spans"])
-
-    return docs.select(*keep, docs[text].cast("string")).mapInArrow(run, f"{fields}, score double, n_sentences long, spans array<struct<start: long, end: long, score: double>>")
+    def kernel(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+        weights, bias, n = shared.value.weights, shared.value.bias, len(offsets) - 1
+        buckets, place, begin, stop, row = sentences(data, offsets)
+        z = np.clip(bias + np.bincount(place, weights[buckets], minlength=len(row)), -30, 30)
+        log_clear = -np.bincount(row, np.logaddexp(0, z), minlength=n)
+        p = 1 / (1 + np.exp(-z))
+        bad = np.flatnonzero(p >= threshold)
+        chars = K.code_points(data)
+        base = chars[offsets[:-1]][row[bad]]
+        spans = pa.ListArray.from_arrays(
+            pa.array(np.searchsorted(row[bad], np.arange(n + 1)), pa.int32()),
+            pa.StructArray.from_arrays([pa.array(chars[begin[bad]] - base), pa.array(chars[stop[bad]] - base), pa.array(p[bad])], ["start", "end", "score"]),
+        )
+        return [pa.array(-np.expm1(log_clear)), pa.array(np.bincount(row, minlength=n)), spans]
+
+    return annotated(docs, keep, docs[text], [], lambda: kernel, RESULTS, where)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCUMENTS) -> DataFrame:
