@@ -5,10 +5,479 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from canopyq.functions import scalar as S
+from canopyq.operators import feed, grid, harvest, spatial, stats, stems, tariff
+from canopyq.plans.recipes import oracle_edges, oracle_recipe, polygons, recipe
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def registered(oracle: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name; ``{name}`` in the SQL stands for a projection."""
+
+    def add(query: Query) -> Query:
+        QUERIES[query.__name__] = query
+        if oracle is not None:
+            text = oracle.replace("{edges}", oracle_edges())
+            for name in ("points", "spots", "ground", "trees", "slices", "files", "stems"):
+                text = text.replace(f"{{{name}}}", oracle_recipe(name))
+            ORACLES[query.__name__] = text
+        return query
+
+    return add
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    """Doubles whose last bits depend on the order of summing, rounded for comparison."""
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return tariff_compartment(spark, sf_dir)
+
+
+# --- gridding
+
+
+@registered("SELECT CAST(floor(y / 5e0) AS INT) AS row, CAST(floor(x / 5e0) AS INT) AS col, max(CAST(z AS FLOAT)) AS value FROM {points} GROUP BY 1, 2 HAVING max(CAST(z AS FLOAT)) > 0")
+def chm_cell_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.canopy_height(recipe(spark, sf_dir, "points"), 5.0)
+
+
+@registered("SELECT CAST(floor(y / 1e1) AS INT) AS row, CAST(floor(x / 1e1) AS INT) AS col, median(x) AS x, median(y) AS y, median(z) AS ground_z FROM {points} GROUP BY 1, 2")
+def ground_cell_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.ground_median(recipe(spark, sf_dir, "points"), 10.0)
+
+
+@registered("SELECT CAST(floor(y / 2e0) AS INT) AS row, CAST(floor(x / 2e0) AS INT) AS col, min(z) AS z_min, max(z) AS z_max, count(*) AS n, min(CASE WHEN classification = 2 THEN z END) AS ground_min FROM {points} GROUP BY 1, 2")
+def cell_minmaxcount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.cell_profile(recipe(spark, sf_dir, "points"), 2.0, F.col("classification") == 2)
+
+
+_HEX = """
+WITH c AS (SELECT (x * (sqrt(3e0) / 3e0) - y / 3e0) / {R} AS q, (y * (2e0 / 3e0)) / {R} AS r FROM {points}),
+k AS (SELECT q, r, -q - r AS s, round_even(q, 0) AS rq, round_even(r, 0) AS rr, round_even(-q - r, 0) AS rs FROM c),
+d AS (SELECT *, abs(rq - q) AS dq, abs(rr - r) AS dr, abs(rs - s) AS ds FROM k),
+h AS (SELECT CAST(CASE WHEN dq > dr AND dq > ds THEN -rr - rs ELSE rq END AS BIGINT) AS hex_q, CAST(CASE WHEN NOT (dq > dr AND dq > ds) AND dr > ds THEN -rq - rs ELSE rr END AS BIGINT) AS hex_r FROM d),
+n AS (SELECT hex_q, hex_r, count(*) AS n FROM h GROUP BY 1, 2)
+SELECT hex_q, hex_r, n, n / (4e2 / 1e4) AS per_ha, n / CAST(max(n) OVER () AS DOUBLE) AS share FROM n
+""".replace("{R}", repr(S.hex_radius(400.0)))
+
+
+@registered(_HEX)
+def hex_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.hex_density(recipe(spark, sf_dir, "points"), 400.0)
+
+
+@registered("""
+WITH RECURSIVE c AS (SELECT CAST(floor(y / 25e0) AS INT) AS r, CAST(floor(x / 25e0) AS INT) AS c, count(*) AS n FROM {points} WHERE z > 14 GROUP BY 1, 2 HAVING count(*) >= 2),
+w(r, c, root) AS (SELECT r, c, r * 100000 + c FROM c UNION SELECT b.r, b.c, w.root FROM w JOIN c b ON abs(b.r - w.r) <= 1 AND abs(b.c - w.c) <= 1),
+m AS (SELECT r, c, min(root) AS root FROM w GROUP BY 1, 2)
+SELECT CAST(sum(c.n) AS BIGINT) AS n_points, count(*) AS n_cells, min(c.c) * 25e0 AS x_min, min(c.r) * 25e0 AS y_min, (max(c.c) + 1) * 25e0 AS x_max, (max(c.r) + 1) * 25e0 AS y_max
+FROM m JOIN c USING (r, c) GROUP BY root""")
+def crop_dominant_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.clusters(recipe(spark, sf_dir, "points").where("z > 14"), 25.0, 0.0033)
+
+
+@registered("""
+WITH c AS (SELECT CAST(floor(y / 2e2) AS INT) AS r, CAST(floor(x / 2e2) AS INT) AS c, count(*) AS n FROM {points} GROUP BY 1, 2)
+SELECT CAST(row_number() OVER (ORDER BY n DESC, r, c) AS INT) AS rank, r AS row, c AS col, n, coalesce(n > 0.25e0 * lag(n) OVER (ORDER BY n DESC, r, c), false) AS near_before FROM c ORDER BY n DESC, r, c LIMIT 6""")
+def topk_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = grid.celled(recipe(spark, sf_dir, "points"), 200.0).groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"))
+    top = cells.orderBy(F.desc("n"), "row", "col").limit(6)
+    order = Window.orderBy(F.desc("n"), "row", "col")  # six rows
+    return top.select(F.row_number().over(order).alias("rank"), "row", "col", "n", F.coalesce(F.col("n") > F.lag("n").over(order) * 0.25, F.lit(False)).alias("near_before"))
+
+
+_CELLS = "WITH g AS (SELECT CAST(floor(y / 2e1) AS INT) AS row, CAST(floor(x / 2e1) AS INT) AS col, max(z) AS value FROM {points} GROUP BY 1, 2)"
+_NEAR = _CELLS + ", n AS (SELECT g.row, g.col, g.value, h.value AS near, h.row - g.row AS a, h.col - g.col AS b FROM g JOIN g h ON abs(h.row - g.row) <= 1 AND abs(h.col - g.col) <= 1)"
+
+
+def _surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.celled(recipe(spark, sf_dir, "points"), 20.0).groupBy("row", "col").agg(F.max("z").alias("value"))
+
+
+@registered(_NEAR + " SELECT row, col, any_value(value) AS value FROM n GROUP BY 1, 2 HAVING any_value(value) = max(near)")
+def local_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.local_maxima(_surface(spark, sf_dir), 1)
+
+
+@registered(_NEAR + " SELECT row, col, any_value(value) AS value, median(near) AS focal FROM n GROUP BY 1, 2")
+def focal_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.focal(_surface(spark, sf_dir), 1, focal=F.median("near"))
+
+
+@registered(_NEAR + " SELECT row, col, round(any_value(value) - avg(near), 6) AS tpi, round(stddev_pop(near), 6) AS roughness FROM n GROUP BY 1, 2")
+def focal_std(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = grid.focal(_surface(spark, sf_dir), 1, roughness=F.stddev_pop("near"), mean=F.avg("near"))
+    return rounded(found.select("row", "col", (F.col("value") - F.col("mean")).alias("tpi"), "roughness"), "tpi", "roughness")
+
+
+_HORN = _NEAR + """, s AS (SELECT row, col, sum(b * (2 - abs(a)) * CASE WHEN b <> 0 THEN near ELSE 0e0 END) / 160e0 AS gx, sum(a * (2 - abs(b)) * CASE WHEN a <> 0 THEN near ELSE 0e0 END) / 160e0 AS gy FROM n GROUP BY 1, 2 HAVING count(*) = 9)"""
+
+
+@registered(_HORN + " SELECT row, col, round(degrees(atan(sqrt(gx * gx + gy * gy))), 5) AS slope, round(gx, 6) AS gx, round(gy, 6) AS gy FROM s")
+def terrain_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rounded(grid.slope_aspect(_surface(spark, sf_dir), 20.0).select("row", "col", "slope", "gx", "gy"), "slope", digits=5), "gx", "gy")
+
+
+@registered(_HORN + ", t AS (SELECT degrees(atan(sqrt(gx * gx + gy * gy))) AS v FROM s) SELECT count(v) AS n_cells, round(min(v), 5) AS v_min, round(max(v), 5) AS v_max, round(avg(v), 5) AS v_mean, round(avg(CASE WHEN v > 30 THEN 100e0 ELSE 0e0 END), 5) AS percent_above FROM t")
+def slope_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(grid.raster_summary(grid.slope_aspect(_surface(spark, sf_dir), 20.0), "slope"), "v_min", "v_max", "v_mean", "percent_above", digits=5)
+
+
+@registered(_HORN + ", l AS (SELECT row, col, atan(sqrt(gx * gx + gy * gy)) AS sl, atan2(-gx, -gy) AS az FROM s) SELECT row, col, round(255e0 * greatest(0e0, least(1e0, cos(radians(45e0)) * cos(sl) + sin(radians(45e0)) * sin(sl) * cos(radians(315e0) - az))), 4) AS shade FROM l")
+def hillshade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(grid.hillshade(grid.slope_aspect(_surface(spark, sf_dir), 20.0)), "shade", digits=4)
+
+
+@registered(_NEAR + """, p AS (SELECT *, CASE WHEN a = -1 THEN b + 1 WHEN a = 0 THEN CASE WHEN b = -1 THEN 3 ELSE 4 END ELSE b + 6 END AS k, (value - near) / CASE WHEN abs(a) + abs(b) = 2 THEN 20e0 * pow(2e0, 0.5e0) ELSE 20e0 END AS d FROM n WHERE abs(a) + abs(b) > 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY d DESC, k) AS o FROM p WHERE d > 0)
+SELECT g.row, g.col, CAST(t.k AS INT) AS direction, CAST(t.row + t.a AS INT) AS to_row, CAST(t.col + t.b AS INT) AS to_col FROM g LEFT JOIN t ON t.row = g.row AND t.col = g.col AND t.o = 1""")
+def d8_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.d8(_surface(spark, sf_dir), 20.0)
+
+
+@registered(_CELLS + """, p AS (SELECT point_id, x, y, CAST(floor(x / 20e0 - 0.5e0) AS INT) AS c, CAST(floor(y / 20e0 - 0.5e0) AS INT) AS r FROM {spots}),
+q AS (SELECT p.*, x / 20e0 - 0.5e0 - c AS u, y / 20e0 - 0.5e0 - r AS v FROM p),
+f AS (SELECT point_id, g.value, g.row, g.col, CASE WHEN g.col = q.c THEN 1 - u ELSE u END AS wu, CASE WHEN g.row = q.r THEN 1 - v ELSE v END AS wv FROM q JOIN g ON g.row BETWEEN q.r AND q.r + 1 AND g.col BETWEEN q.c AND q.c + 1),
+s AS (SELECT point_id, count(*) AS n, sum(value * wu * wv) AS b FROM f GROUP BY 1),
+t AS (SELECT point_id, value, row_number() OVER (PARTITION BY point_id ORDER BY pow(1 - wu, 2) + pow(1 - wv, 2), row, col) AS o FROM f)
+SELECT p.point_id, round(CASE WHEN s.n = 4 THEN s.b ELSE t.value END, 9) AS sample FROM p LEFT JOIN s USING (point_id) LEFT JOIN t ON t.point_id = p.point_id AND t.o = 1""")
+def bilinear_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(grid.bilinear(recipe(spark, sf_dir, "spots"), _surface(spark, sf_dir), 20.0).select("point_id", "sample"), "sample", digits=9)
+
+
+@registered("""
+WITH p AS (SELECT * FROM {spots}), i AS (SELECT p.*, unnest(generate_series(CAST(floor((x - 1e1) / 1e2) AS BIGINT), CAST(floor((x + 1e1) / 1e2) AS BIGINT))) AS tile_i FROM p),
+j AS (SELECT i.*, unnest(generate_series(CAST(floor((y - 1e1) / 1e2) AS BIGINT), CAST(floor((y + 1e1) / 1e2) AS BIGINT))) AS tile_j FROM i)
+SELECT tile_i, tile_j, count(*) AS n_points, count(*) FILTER (WHERE tile_i = floor(x / 1e2) AND tile_j = floor(y / 1e2)) AS n_core FROM j GROUP BY 1, 2""")
+def tiles_with_halo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.tile_rows(recipe(spark, sf_dir, "spots"), 100.0, 10.0).groupBy("tile_i", "tile_j").agg(F.count(F.lit(1)).alias("n_points"), F.count_if("is_core").alias("n_core"))
+
+
+# --- spatial joins
+
+
+@registered("""
+SELECT point_id, ground_id, distance FROM (SELECT p.point_id, g.ground_id, sqrt((p.x - g.x) * (p.x - g.x) + (p.y - g.y) * (p.y - g.y)) AS distance,
+row_number() OVER (PARTITION BY p.point_id ORDER BY (p.x - g.x) * (p.x - g.x) + (p.y - g.y) * (p.y - g.y), g.ground_id) AS k FROM {spots} p CROSS JOIN {ground} g) WHERE k = 1""")
+def nearest_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.nearest(recipe(spark, sf_dir, "spots"), recipe(spark, sf_dir, "ground"), 40.0)
+
+
+@registered("""
+SELECT a.point_id, count(b.point_id) AS n_near FROM {spots} a LEFT JOIN {spots} b ON a.point_id <> b.point_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 225e0 GROUP BY 1""")
+def radius_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.radius_count(recipe(spark, sf_dir, "spots").select("point_id", "x", "y"), 15.0).select("point_id", "n_near")
+
+
+@registered("SELECT g.ground_id, coalesce(max(p.z), -1e0) AS top_z FROM {ground} g LEFT JOIN {points} p ON (g.x - p.x) * (g.x - p.x) + (g.y - p.y) * (g.y - p.y) <= 16e0 GROUP BY 1")
+def radius_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds = recipe(spark, sf_dir, "ground").withColumn("own", F.lit(-1.0))
+    return spatial.radius_max(seeds, recipe(spark, sf_dir, "points").select("x", "y", "z"), 4.0, "ground_id", "own").select("ground_id", "top_z")
+
+
+_PIP = """
+WITH p AS (SELECT * FROM {spots}), e AS {edges},
+h AS (SELECT p.point_id, e.poly_id, e.ordinal FROM p JOIN e ON (e.y1 > p.y) <> (e.y2 > p.y) AND p.x < (e.x2 - e.x1) * (p.y - e.y1) / (e.y2 - e.y1) + e.x1 GROUP BY ALL HAVING count(*) % 2 = 1)
+"""
+
+
+@registered(_PIP + "SELECT p.point_id, min_by(h.poly_id, h.ordinal) AS poly_id FROM p LEFT JOIN h USING (point_id) GROUP BY 1")
+def pip_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.first_polygon(recipe(spark, sf_dir, "spots").select("point_id", "x", "y"), spatial.ring_edges(polygons(spark)), 50.0).select("point_id", "poly_id")
+
+
+@registered(_PIP + """, t AS (SELECT grp, count(*) AS n_located FROM p GROUP BY 1), c AS (SELECT grp, poly_id, ordinal, count(*) AS k, row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, ordinal) AS o FROM h JOIN p USING (point_id) GROUP BY 1, 2, 3)
+SELECT t.grp, n_located, coalesce(c.k, 0) AS n_hits, CASE WHEN n_located >= 3 AND c.k >= greatest(3, n_located * 0.3e0) THEN poly_id END AS poly_id FROM t LEFT JOIN c ON c.grp = t.grp AND c.o = 1""")
+def site_majority_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.majority_polygon(recipe(spark, sf_dir, "spots"), spatial.ring_edges(polygons(spark)), 50.0, "grp", share=0.3)
+
+
+@registered("""
+WITH o AS (SELECT c_custkey AS object_id, CASE WHEN c_custkey % 3 = 0 THEN 'Block ' || n_name || ' 0' || (c_custkey % 9) WHEN c_custkey % 3 = 1 THEN ' ' || lower(n_name) || '! ' ELSE c_name END AS name FROM customer JOIN nation ON n_nationkey = c_nationkey),
+k AS (SELECT *, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS k FROM o), s AS (SELECT n_nationkey AS site_id, trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')) AS n FROM nation),
+e AS (SELECT object_id, min(site_id) AS site_id FROM k JOIN s ON k.k = s.n GROUP BY 1), c AS (SELECT object_id, min(site_id) AS site_id FROM k JOIN s ON length(s.n) >= 5 AND contains(k.k, s.n) GROUP BY 1)
+SELECT o.object_id, coalesce(e.site_id, c.site_id) AS site_id, CASE WHEN e.site_id IS NOT NULL THEN 'name' WHEN c.site_id IS NOT NULL THEN 'contains' ELSE 'none' END AS matched_by FROM o LEFT JOIN e USING (object_id) LEFT JOIN c USING (object_id)""")
+def name_cascade_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    named = spark.read.parquet(f"{sf_dir}/customer.parquet").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    form = F.expr("CASE WHEN c_custkey % 3 = 0 THEN concat('Block ', n_name, ' 0', c_custkey % 9) WHEN c_custkey % 3 = 1 THEN concat(' ', lower(n_name), '! ') ELSE c_name END")
+    sites = nation.select(F.col("n_nationkey").alias("site_id"), F.col("n_nationkey").alias("ordinal"), F.col("n_name").alias("name"), F.lit("").alias("code"))
+    return spatial.name_cascade(named.select(F.col("c_custkey").alias("object_id"), form.alias("name")), sites, S.match_key).select("object_id", "site_id", "matched_by")
+
+
+# --- stems
+
+
+@registered("SELECT tree_id, count(*) AS n_slices, max(CASE WHEN z_mid <= 1.3e0 AND 1.3e0 - z_mid <= 0.35e0 THEN z_mid END) AS z_lo, min(CASE WHEN z_mid >= 1.3e0 AND z_mid - 1.3e0 <= 0.35e0 THEN z_mid END) AS z_hi, min(abs(z_mid - 1.3e0)) AS gap FROM {slices} GROUP BY 1")
+def asof_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stems.bracket(recipe(spark, sf_dir, "slices"), ["tree_id"], F.lit(1.3)).select("tree_id", "n_slices", "z_lo", "z_hi", "gap")
+
+
+@registered("SELECT tree_id, round(coalesce(avg(CASE WHEN abs(z_mid - 1.3e0) <= 0.4e0 THEN coverage_deg END), avg(coverage_deg)), 6) AS coverage_near, round(coalesce(avg(CASE WHEN abs(z_mid - 1.3e0) <= 0.4e0 THEN residual_m END), avg(residual_m)), 6) AS residual_near FROM {slices} GROUP BY 1")
+def window_conf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stems.near_support(recipe(spark, sf_dir, "slices"), ["tree_id"], F.lit(1.3), coverage_near="coverage_deg", residual_near="residual_m"), "coverage_near", "residual_near")
+
+
+@registered("""
+WITH p AS (SELECT tree_id, z_mid AS z, radius_m AS r FROM {slices}), f AS (SELECT tree_id, min_by(r, (z, r)) AS r0, min(z) AS z0 FROM p GROUP BY 1 HAVING count(*) >= 2),
+a AS (SELECT p.* FROM p SEMI JOIN f USING (tree_id) UNION ALL SELECT tree_id, 0e0, r0 * (1.12e0 / 2e0 + 0.5e0) FROM f WHERE z0 > 0.3e0),
+n AS (SELECT *, lead(z) OVER w AS z1, lead(r) OVER w AS r1 FROM a WINDOW w AS (PARTITION BY tree_id ORDER BY z, r)), x AS (SELECT *, CASE WHEN r1 <= 0.035e0 AND r >= 0.035e0 AND r <> r1 THEN 1 ELSE 0 END AS x FROM n WHERE z1 IS NOT NULL),
+s AS (SELECT *, coalesce(sum(x) OVER (PARTITION BY tree_id ORDER BY z, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stop FROM x)
+SELECT tree_id, round(sum((pi() * r * r + pi() * CASE WHEN x = 1 THEN 0.035e0 ELSE r1 END * CASE WHEN x = 1 THEN 0.035e0 ELSE r1 END) / 2e0 * ((z1 - z) * CASE WHEN x = 1 THEN (r - 0.035e0) / (r - r1) ELSE 1e0 END)), 6) AS volume_m3, count(*) AS n_sections FROM s WHERE stop = 0 GROUP BY 1""")
+def smalian_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stems.smalian(recipe(spark, sf_dir, "slices"), ["tree_id"], "z_mid"), "volume_m3")
+
+
+@registered("""
+WITH s AS (SELECT CAST(l_suppkey AS BIGINT) AS tree_id, floor(l_quantity / 10e0) AS s, count(*) AS n, avg(l_discount) AS x, avg(l_tax) AS y FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 5),
+d AS (SELECT *, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS d FROM s WINDOW w AS (PARTITION BY tree_id ORDER BY s))
+SELECT tree_id, count(*) AS n_slices, round(avg(d), 6) AS drift_mean, round(max(d), 6) AS drift_max FROM d GROUP BY 1""")
+def centroid_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("tree_id"), F.col("l_quantity").alias("z"), F.col("l_discount").alias("x"), F.col("l_tax").alias("y"))
+    return rounded(stems.centroid_drift(points, ["tree_id"], 10.0), "drift_mean", "drift_max")
+
+
+_SCORED = """
+WITH a AS (SELECT *, greatest(0e0, least(1e0, (coverage_deg - 40e0) / 140e0)) * 0.50e0 + greatest(0e0, least(1e0, (residual_m - 0.070e0) / (0.010e0 - 0.070e0))) * 0.35e0 + greatest(0e0, least(1e0, (radius_m - 0.25e0) / (0.03e0 - 0.25e0))) * 0.15e0 AS s,
+interior_ratio > 0.30e0 OR radius_m >= 0.25e0 AS bad FROM {slices}),
+b AS (SELECT *, CASE WHEN bad THEN 0e0 ELSE s END AS slice_score, CASE WHEN bad THEN 'weak' WHEN s >= 0.65e0 AND n_points >= 8 THEN 'ring_good' WHEN s >= 0.25e0 AND n_points >= 6 THEN 'arc_usable' ELSE 'weak' END AS slice_class FROM a)
+"""
+
+
+@registered(_SCORED + "SELECT slice_class, count(*) AS n, round(avg(slice_score), 6) AS score_mean, count(DISTINCT tree_id) AS n_trees FROM b GROUP BY 1")
+def slice_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = stems.slice_score(recipe(spark, sf_dir, "slices"))
+    return rounded(scored.groupBy("slice_class").agg(F.count(F.lit(1)).alias("n"), F.avg("slice_score").alias("score_mean"), F.count_distinct("tree_id").alias("n_trees")), "score_mean")
+
+
+_WEIGHTED = _SCORED + """, m AS (SELECT *, median(radius_m) OVER w AS mr, min(z_mid) OVER w AS z0, max(z_mid) OVER w AS z1 FROM b WHERE slice_class <> 'weak' WINDOW w AS (PARTITION BY tree_id)),
+c AS (SELECT *, CASE WHEN slice_class = 'ring_good' THEN 8e0 ELSE 0.2e0 END * greatest(0.25e0, least(1e0, coverage_deg / 180e0)) * greatest(0.25e0, 1e0 - least(residual_m / 0.08e0, 1e0)) * greatest(0.1e0, least(1e0, slice_score)) AS base, CASE WHEN z1 > z0 THEN (z_mid - z0) / (z1 - z0) ELSE 0e0 END AS zr FROM m),
+v AS (SELECT *, base * greatest(0.5e0, least(2.5e0, pow(mr / radius_m, 1.5e0))) * greatest(0.7e0, least(1.6e0, 1.6e0 - zr * 0.9e0)) AS wr, base * greatest(0.9e0, least(1.25e0, 1.25e0 - zr * 0.35e0)) AS wc FROM c)
+"""
+_FITTED = _WEIGHTED + """, t AS (SELECT tree_id, count(*) AS n_slices_model, sum(wr * wr) AS sw, sum(wr * wr * z_mid) AS sx, sum(wr * wr * radius_m) AS sy, sum(wr * wr * z_mid * z_mid) AS sxx, sum(wr * wr * z_mid * radius_m) AS sxy, sum(wr * z_mid) / sum(wr) AS zm, sum(wr * radius_m) / sum(wr) AS rm,
+min(z_mid) AS z_min_model, max(z_mid) AS z_max_model, pow(sum(wr), 2e0) / sum(wr * wr) AS eff_dof FROM v GROUP BY 1 HAVING count(*) >= 3),
+f AS (SELECT *, greatest(-0.010e0, least(0.010e0, (sw * sxy - sx * sy) / (sw * sxx - sx * sx))) * 0.70e0 AS r_coef_1 FROM t WHERE z_max_model - z_min_model > 1e-2)
+"""
+
+
+def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stems.slice_weights(stems.slice_score(recipe(spark, sf_dir, "slices")).where("slice_class <> 'weak'"), ["tree_id"])
+
+
+def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stems.taper_models(_accepted(spark, sf_dir), ["tree_id"]).where("z_max_model - z_min_model > 1e-2")
+
+
+@registered(_FITTED + "SELECT tree_id, n_slices_model, round(r_coef_1, 6) AS r_coef_1, round(rm - r_coef_1 * zm, 6) AS r_coef_0, z_min_model, z_max_model, round(eff_dof, 5) AS eff_dof FROM f")
+def taper_weighted_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rounded(_models(spark, sf_dir), "r_coef_1", "r_coef_0").select("tree_id", "n_slices_model", "r_coef_1", "r_coef_0", "z_min_model", "z_max_model", "eff_dof")
+    return rounded(out, "eff_dof", digits=5)
+
+
+@registered(_FITTED + """, h AS (SELECT DISTINCT CASE WHEN i = 23 THEN 1.3e0 ELSE round(0.5e0 + i * 0.2e0, 2) END AS z_m FROM range(24) r(i)),
+q AS (SELECT f.tree_id, h.z_m, f.rm - f.r_coef_1 * f.zm AS r0, f.r_coef_1 AS r1 FROM f CROSS JOIN h),
+j AS (SELECT q.tree_id, q.z_m, r0, r1, min(abs(v.z_mid - q.z_m)) AS g, min(CASE WHEN v.z_mid <= q.z_m THEN abs(v.z_mid - q.z_m) END) AS lo, min(CASE WHEN v.z_mid >= q.z_m THEN abs(v.z_mid - q.z_m) END) AS hi FROM q LEFT JOIN v USING (tree_id) GROUP BY ALL)
+SELECT tree_id, z_m, round(greatest(r0 + r1 * z_m, 0.035e0) * 200e0, 5) AS diameter_cm, CASE WHEN g <= 0.12e0 THEN 'direct' WHEN lo <= 0.35e0 AND hi <= 0.35e0 THEN 'interpolated' ELSE 'model_only' END AS diameter_source FROM j""")
+def profile_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stems.profile(_models(spark, sf_dir), _accepted(spark, sf_dir), ["tree_id"])
+    return rounded(found.select("tree_id", "z_m", "diameter_cm", "diameter_source"), "diameter_cm", digits=5)
+
+
+@registered("""
+WITH l AS (SELECT o_custkey AS tree_id, o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderkey % 400 AS BIGINT) END AS s, CAST(o_orderkey % 97 + 1 AS BIGINT) AS n FROM orders),
+r AS (SELECT *, count(s) OVER (PARTITION BY tree_id ORDER BY k) AS run FROM l)
+SELECT tree_id, k, coalesce(first_value(s) OVER w, 0) + CAST(coalesce(sum(n) OVER (PARTITION BY tree_id, run ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_at,
+coalesce(first_value(s) OVER w, 0) + CAST(coalesce(sum(n) OVER (PARTITION BY tree_id, run ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) + n AS end_at FROM r WINDOW w AS (PARTITION BY tree_id, run ORDER BY k)""")
+def log_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_custkey AS tree_id", "o_orderkey AS k", "CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 400 END AS s", "o_orderkey % 97 + 1 AS n")
+    return stems.log_positions(logs, ["tree_id"], "k", "s", "n").select("tree_id", "k", "start_at", "end_at")
+
+
+# --- statistics and tariff
+
+
+@registered("""
+WITH f AS (SELECT p_size AS grp, avg(p_retailprice) AS m, stddev_pop(p_retailprice) AS s, count(*) AS n FROM part GROUP BY 1)
+SELECT p_size AS p_size, count(*) AS n, round(coalesce(avg(CASE WHEN n < 4 OR abs(p_retailprice - m) <= s * 1.5e0 THEN p_retailprice END), avg(p_retailprice)), 6) AS robust_mean, count(*) FILTER (WHERE NOT (n < 4 OR abs(p_retailprice - m) <= s * 1.5e0)) AS n_dropped FROM part JOIN f ON f.grp = p_size GROUP BY 1""")
+def robust_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.robust_mean(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_size", "p_retailprice"), "p_retailprice", ["p_size"], 1.5), "robust_mean")
+
+
+@registered("""
+WITH t AS (SELECT * FROM {trees} WHERE dbh_cm IS NOT NULL AND height_m IS NOT NULL)
+SELECT compartment, round(regr_slope(dbh_cm, height_m), 6) AS slope, round(regr_intercept(dbh_cm, height_m), 5) AS intercept, round(regr_r2(dbh_cm, height_m), 6) AS r2, CAST(regr_count(dbh_cm, height_m) AS BIGINT) AS n FROM t GROUP BY 1""")
+def dbh_height_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recipe(spark, sf_dir, "trees").groupBy("compartment").agg(*stats.line_fit("dbh_cm", "height_m"))
+    return rounded(rounded(found, "slope", "r2"), "intercept", digits=5)
+
+
+@registered("SELECT dbh_status, count(dbh_cm) AS n, min(dbh_cm) AS v_min, max(dbh_cm) AS v_max, round(avg(dbh_cm), 6) AS v_mean, round(stddev_pop(dbh_cm), 6) AS v_std, round(quantile_cont(dbh_cm, 0.25), 6) AS v_p25, round(median(dbh_cm), 6) AS v_median, round(quantile_cont(dbh_cm, 0.75), 6) AS v_p75 FROM {trees} GROUP BY 1")
+def stand_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.summary(recipe(spark, sf_dir, "trees"), "dbh_cm", ["dbh_status"]), "v_mean", "v_std", "v_p25", "v_median", "v_p75")
+
+
+_TARIFF = """
+WITH t AS (SELECT *, dbh_cm * dbh_cm * pi() / 40000e0 AS ba, height_m * 100e0 / dbh_cm AS sl, coalesce(dbh_cm > 0, false) AS me FROM {trees}),
+s0 AS (SELECT *, ba * height_m * 0.42e0 AS v, ba - 0.118288e0 AS g FROM t WHERE me AND dbh_status <> 'dbh_unsupported' AND dbh_confidence >= 0.40e0 AND coalesce(sl, 1e9) >= 60e0),
+s AS (SELECT *, CASE WHEN abs(g * 0.315049301e0 + 0.0360541e0) >= 1e-12 THEN (v + g * (0.315049301e0 * 0.138763302e0)) / (g * 0.315049301e0 + 0.0360541e0) END AS tn, height_m * 1.771173e0 + 8.292030e0 - dbh_cm * 0.416509e0 AS th FROM s0),
+k AS (SELECT *, CASE WHEN th > 0 THEN th END AS h FROM s WHERE tn > 0),
+r1 AS (SELECT avg(tn) AS m, stddev_pop(tn) AS d, count(tn) AS n, avg(h) AS mh, stddev_pop(h) AS dh, count(h) AS nh FROM k),
+st AS (SELECT avg(CASE WHEN n < 4 OR abs(tn - m) <= d * 2.5e0 THEN tn END) AS stand, avg(CASE WHEN nh < 4 OR abs(h - mh) <= dh * 2.5e0 THEN h END) AS stand_h FROM k, r1),
+r2 AS (SELECT compartment, avg(tn) AS m, stddev_pop(tn) AS d, count(tn) AS n FROM k WHERE compartment IS NOT NULL GROUP BY 1),
+ow AS (SELECT compartment, avg(CASE WHEN abs(tn - m) <= d * 2.5e0 THEN tn END) AS own FROM k JOIN r2 USING (compartment) WHERE r2.n >= 4 GROUP BY 1),
+ft AS (SELECT regr_slope(dbh_cm, height_m) AS a, regr_intercept(dbh_cm, height_m) AS b FROM t WHERE me AND height_m IS NOT NULL), mn AS (SELECT avg(dbh_cm) AS mean FROM t WHERE me),
+q AS (SELECT t.*, own, stand, stand_h, mean, CASE WHEN a * height_m + b > 0 THEN a * height_m + b ELSE mean END AS fh, CASE WHEN me AND height_m IS NOT NULL AND sl < 60e0 THEN 'hd_model' WHEN me AND dbh_status = 'dbh_unsupported' THEN 'circle_fit_weak' WHEN me THEN 'circle_fit_filtered' WHEN height_m IS NOT NULL THEN 'hd_model' ELSE 'stand_mean' END AS tier FROM t CROSS JOIN st CROSS JOIN ft CROSS JOIN mn LEFT JOIN ow USING (compartment)),
+u AS (SELECT *, CASE WHEN tier = 'hd_model' THEN fh WHEN tier = 'stand_mean' THEN mean ELSE dbh_cm END AS d1, coalesce(own, stand) AS tariff FROM q),
+w AS (SELECT *, d1 * d1 * pi() / 40000e0 AS b1 FROM u),
+vol AS (SELECT *, CASE WHEN d1 > 0 AND d1 < 7 THEN 0e0 ELSE greatest(0e0, tariff * 0.0360541e0 - (tariff - 0.138763302e0) * 0.315049301e0 * 0.118288e0 + (tariff - 0.138763302e0) * 0.315049301e0 * b1) END AS vm,
+CASE WHEN d1 > 0 AND d1 < 7 THEN 0e0 ELSE greatest(0e0, stand_h * 0.0360541e0 - (stand_h - 0.138763302e0) * 0.315049301e0 * 0.118288e0 + (stand_h - 0.138763302e0) * 0.315049301e0 * b1) END AS vh FROM w)
+"""
+
+
+@registered(_TARIFF + "SELECT tree_id, tier, round(tariff, 5) AS tariff, round(d1, 5) AS dbh_cm, round(vm, 5) AS volume_m3, round(vh, 5) AS volume_height_m3 FROM vol")
+def tariff_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tariff.tree_tariffs(recipe(spark, sf_dir, "trees"), None)
+    return rounded(found.select("tree_id", "tier", "tariff", "dbh_cm", "volume_m3", "volume_height_m3"), "tariff", "dbh_cm", "volume_m3", "volume_height_m3", digits=5)
+
+
+@registered(_TARIFF + """SELECT count(*) AS n_trees, round(sum(vm), 3) AS volume_m3, round(sum(vh), 3) AS volume_height_m3, round(sum(CASE WHEN tier = 'circle_fit_filtered' THEN vm ELSE 0e0 END), 3) AS volume_primary_m3, round(sum(CASE WHEN tier <> 'circle_fit_filtered' THEN vm ELSE 0e0 END), 3) AS volume_augmented_m3,
+count(*) FILTER (WHERE tier = 'circle_fit_filtered') AS n_samples, round(avg(dbh_cm), 5) AS dbh_mean, count(*) FILTER (WHERE tier = 'hd_model') AS n_hd_model, count(*) FILTER (WHERE tier = 'circle_fit_weak') AS n_weak, count(*) FILTER (WHERE tier = 'stand_mean') AS n_stand_mean,
+CASE WHEN count(*) FILTER (WHERE tier = 'circle_fit_filtered') >= 13 THEN 'high' WHEN count(*) FILTER (WHERE tier = 'circle_fit_filtered') >= 4 THEN 'medium' ELSE 'low' END AS confidence FROM vol""")
+def tariff_stand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tariff.stand_rollup(tariff.tree_tariffs(recipe(spark, sf_dir, "trees"), None))
+    return rounded(rounded(found, "volume_m3", "volume_height_m3", "volume_primary_m3", "volume_augmented_m3", digits=3), "dbh_mean", digits=5)
+
+
+@registered(_TARIFF + """, c AS (SELECT * FROM (VALUES (0, 10e0), (1, 20e0), (2, 30e0), (3, 40e0), (9, 50e0)) c(compartment, area)), g AS (SELECT compartment, count(*) AS n, sum(vm) AS v, sum(vh) AS h, avg(dbh_cm) AS dm, avg(height_m) AS hm, sum(CASE WHEN tier LIKE 'circle%' THEN vm ELSE 0e0 END) AS vc, count(*) FILTER (WHERE tier = 'circle_fit_filtered') AS ns, bool_or(own IS NOT NULL) AS o FROM vol WHERE compartment IS NOT NULL GROUP BY 1)
+SELECT CAST(c.compartment AS BIGINT) AS compartment, coalesce(n, 0) AS n_trees, round(coalesce(v, 0e0), 3) AS volume_m3, round(coalesce(h, 0e0), 3) AS volume_height_m3, round(dm, 5) AS dbh_mean, round(hm, 5) AS height_mean, round(coalesce(vc, 0e0), 3) AS volume_measured_m3, round(v / area, 4) AS volume_per_ha, CASE WHEN NOT coalesce(o, false) THEN 'inherited' WHEN ns >= 13 THEN 'high' ELSE 'medium' END AS confidence FROM c LEFT JOIN g USING (compartment)""")
+def tariff_compartment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = spark.createDataFrame([(0, 10.0), (1, 20.0), (2, 30.0), (3, 40.0), (9, 50.0)], "compartment long, area_hectares double")
+    found = tariff.compartment_rollup(tariff.tree_tariffs(recipe(spark, sf_dir, "trees"), None), parts)
+    return rounded(rounded(rounded(found, "volume_m3", "volume_height_m3", "volume_measured_m3", digits=3), "dbh_mean", "height_mean", digits=5), "volume_per_ha", digits=4)
+
+
+# --- harvest
+
+
+@registered("""
+WITH b AS (SELECT object_id, count(*) AS n, quantile_cont(lon * 111320e0 * cos(radians(lat)), 0.99) - quantile_cont(lon * 111320e0 * cos(radians(lat)), 0.01) AS w, quantile_cont(lat * 111320e0, 0.99) - quantile_cont(lat * 111320e0, 0.01) AS h, median(dbh_cm) AS d, median(stem_volume_m3) AS v FROM {stems} GROUP BY 1)
+SELECT object_id, n AS n_stems, round(w * h / 1e4, 3) AS area_ha, round(n / greatest(w * h / 1e4, 0.01e0), 5) AS stems_per_ha, d AS dbh_median, round(v, 6) AS volume_median FROM b""")
+def coupe_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = harvest.coupe_context(recipe(spark, sf_dir, "stems"))
+    return rounded(rounded(rounded(found, "area_ha", digits=3), "stems_per_ha", digits=5), "volume_median")
+
+
+@registered("WITH b AS (SELECT floor(dbh_cm / 2e0) * 2e0 AS dbh_bin, quantile_cont(canopy_m, 0.9) AS e FROM {stems} GROUP BY 1) SELECT stem_key, b.dbh_bin, round(e, 6) AS envelope_m, round(greatest(e - canopy_m, 0e0), 6) AS deficit_m FROM {stems} s JOIN b ON b.dbh_bin = floor(s.dbh_cm / 2e0) * 2e0")
+def canopy_deficit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(harvest.canopy_deficit(recipe(spark, sf_dir, "stems")).select("stem_key", "dbh_bin", "envelope_m", "deficit_m"), "envelope_m", "deficit_m")
+
+
+_QUOTE = """
+WITH l AS (SELECT regr_slope(log_cycle, ln(stem_volume_m3)) AS a, regr_intercept(log_cycle, ln(stem_volume_m3)) AS b FROM {stems} WHERE stem_volume_m3 > 0),
+c AS (SELECT s.*, exp(log_cycle * 0.7e0 + (a * ln(greatest(stem_volume_m3, 1e-3)) + b) * (1 - 0.7e0)) AS cy FROM {stems} s CROSS JOIN l),
+q AS (SELECT object_id, count(*) AS n_stems, sum(stem_volume_m3) AS v, sum(cy) / 3600e0 AS ch, median(dbh_cm) AS d FROM c GROUP BY 1),
+z AS (SELECT *, ch / 0.70e0 + v / 16.5e0 AS mh, v * (1.02e0 + 0.90e0) AS fl, d < 16 AS wb FROM q), y AS (SELECT *, mh * 150e0 + fl * 1.30e0 AS cost, CASE WHEN wb THEN 0.30e0 ELSE 0.18e0 END AS band FROM z)
+"""
+
+
+def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harvest.coupe_quotes(harvest.blended_cycles(recipe(spark, sf_dir, "stems")))
+
+
+@registered(_QUOTE + "SELECT object_id, n_stems, round(v, 3) AS volume_m3, round(ch, 4) AS cut_h, round(v / ch, 4) AS m3_per_pmh, round(mh, 3) AS machine_h, round(fl, 3) AS fuel_l, wb AS windblow, band, round(cost, 2) AS cost, round(cost * (1 - band), 2) AS cost_low, round(cost * (1 + band), 2) AS cost_high FROM y")
+def quote_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _quotes(spark, sf_dir).drop("dbh_median")
+    return rounded(rounded(rounded(found, "volume_m3", "machine_h", "fuel_l", digits=3), "cut_h", "m3_per_pmh", digits=4), "cost", "cost_low", "cost_high", digits=2)
+
+
+@registered(_QUOTE + "SELECT count(*) AS n_coupes, CAST(sum(n_stems) AS BIGINT) AS n_stems, round(sum(v), 2) AS volume_m3, round(sum(mh), 2) AS machine_h, round(sum(fl), 2) AS fuel_l, round(sum(cost), 1) AS cost, CASE WHEN bool_or(wb) THEN 0.30e0 ELSE 0.18e0 END AS band FROM y")
+def quote_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rounded(harvest.quote_total(_quotes(spark, sf_dir)), "volume_m3", "machine_h", "fuel_l", digits=2), "cost", digits=1)
+
+
+# --- feed
+
+
+@registered("SELECT f.file_name, f.object_id FROM {files} f ANTI JOIN (SELECT file_name FROM {files} WHERE volume_cm3 % 3 = 0) l ON l.file_name = f.file_name")
+def ledger_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = recipe(spark, sf_dir, "files")
+    return feed.fresh_files(files, files.where("volume_cm3 % 3 = 0")).select("file_name", "object_id")
+
+
+@registered("SELECT object_id, count(*) AS n_files, CAST(sum(volume_cm3) AS BIGINT) AS volume, min(file_time) AS first_at, max(file_time) AS last_at, array_to_string(list_sort(list(DISTINCT machine)), ',') AS machines FROM {files} GROUP BY 1")
+def feed_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = feed.rollup(recipe(spark, sf_dir, "files"), ["object_id"], "file_time", "volume_cm3", "machine")
+    return found.withColumn("machines", F.array_join("machines", ","))
+
+
+@registered("SELECT object_id, count(*) AS n_files, CAST(sum(volume_cm3) AS BIGINT) AS volume, array_to_string(list_sort(list(DISTINCT machine)), ',') AS machines FROM {files} GROUP BY 1")
+def feed_rollup_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = recipe(spark, sf_dir, "files")
+    parts = [feed.rollup(files.where(f"volume_cm3 % 2 {op} 0"), ["object_id"], "file_time", "volume_cm3", "machine") for op in ("=", "<>")]
+    return feed.merged_rollup(*parts, ["object_id"]).select("object_id", "n_files", "volume", F.array_join("machines", ",").alias("machines"))
+
+
+@registered("SELECT object_id, file_name, file_time, volume_cm3 FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY file_time DESC, file_name DESC) AS k FROM {files}) WHERE k = 1")
+def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.latest(recipe(spark, sf_dir, "files"), ["object_id"], [F.col("file_time"), F.col("file_name")]).select("object_id", "file_name", "file_time", "volume_cm3")
+
+
+@registered("SELECT object_id, machine, total FROM (SELECT object_id, machine, CAST(sum(volume_cm3) AS BIGINT) AS total, row_number() OVER (PARTITION BY object_id ORDER BY sum(volume_cm3) DESC, machine) AS k FROM {files} GROUP BY 1, 2) WHERE k = 1")
+def primary_assortment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.argmax_share(recipe(spark, sf_dir, "files"), ["object_id"], "machine", "volume_cm3")
+
+
+@registered("""
+WITH r AS (SELECT * FROM (VALUES ('block 1', 'linked', 7), ('block 2', 'ignored', NULL), ('block 3', 'linked', NULL)) r(object_key, status, site)), o AS (SELECT object_id, CASE WHEN object_id % 5 = 0 THEN 'Other' ELSE 'Block--' || (object_id % 5) END AS name FROM (SELECT DISTINCT object_id FROM {files}))
+SELECT object_id, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS object_key, CASE WHEN status = 'ignored' THEN 'ignored' WHEN status = 'linked' AND site IS NOT NULL THEN 'linked' ELSE 'pending' END AS route, CASE WHEN status = 'linked' THEN site END AS site_id FROM o LEFT JOIN r ON r.object_key = trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'))""")
+def feed_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame([("block 1", "linked", 7), ("block 2", "ignored", None), ("block 3", "linked", None)], "object_key string, status string, site_id int")
+    objects = recipe(spark, sf_dir, "files").select("object_id").distinct().withColumn("object_name", F.expr("CASE WHEN object_id % 5 = 0 THEN 'Other' ELSE concat('Block--', object_id % 5) END"))
+    return feed.routed(objects, rules).select("object_id", "object_key", "route", "site_id")
+
+
+@registered("""
+WITH o AS (SELECT o_custkey % 300 AS site_id, o_orderkey AS operation_id, o_orderstatus = 'O' AND o_orderkey % 7 = 0 AS b FROM orders WHERE o_orderkey % 11 = 0)
+SELECT site_id, CASE WHEN count(*) FILTER (WHERE b) = 1 THEN max(CASE WHEN b THEN operation_id END) WHEN count(*) = 1 THEN max(operation_id) END AS operation_id FROM o GROUP BY 1""")
+def operation_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 11 = 0").selectExpr("o_custkey % 300 AS site_id", "o_orderkey AS operation_id", "CASE WHEN o_orderstatus = 'O' AND o_orderkey % 7 = 0 THEN 'in_progress' ELSE 'planned' END AS status")
+    return feed.operation_link(made)
+
+
+@registered("""
+SELECT a AS present_in, b AS missing_in, n FROM (SELECT 'orders' AS a, 'lines' AS b, (SELECT count(*) FROM (SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem)) AS n UNION ALL SELECT 'lines', 'orders', (SELECT count(*) FROM (SELECT l_orderkey FROM lineitem EXCEPT SELECT o_orderkey FROM orders)))""")
+def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = {"orders": spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k")), "lines": spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("k"))}
+    return stats.set_differences(sets, "k")
+
+
+# --- scalar functions
+
+
+@registered("SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS key, regexp_replace(p_brand || ' (' || p_type || ')', '[^a-zA-Z0-9_.-]+', '_', 'g') AS file FROM part")
+def key_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select("p_partkey", S.match_key(F.col("p_name")).alias("key"), S.safe_file_name(F.concat("p_brand", F.lit(" ("), "p_type", F.lit(")"))).alias("file"))
+
+
+@registered("""
+WITH n AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'odd name.HPR' ELSE user_id || '_' || strftime(ts, '%Y%m%d_%H%M%S') || '.hpr' END AS name FROM events)
+SELECT event_id, nullif(regexp_extract(name, '^(\\d+)_(\\d{8})_(\\d{6})\\.(\\w+)$', 1), '') AS machine, try_strptime(nullif(regexp_extract(name, '^(\\d+)_(\\d{8})_(\\d{6})\\.(\\w+)$', 2) || regexp_extract(name, '^(\\d+)_(\\d{8})_(\\d{6})\\.(\\w+)$', 3), ''), '%Y%m%d%H%M%S') AS file_time, lower(regexp_extract(name, '\\.([A-Za-z0-9]+)$', 1)) AS file_type FROM n""")
+def filename_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr("CASE WHEN event_id % 4 = 0 THEN 'odd name.HPR' ELSE concat(user_id, '_', date_format(ts, 'yyyyMMdd_HHmmss'), '.hpr') END").alias("name"))
+    parts = S.feed_file_parts(F.col("name"))
+    return named.select("event_id", *(c.alias(n) for n, c in parts.items())).withColumn("file_time", F.col("file_time").cast("timestamp_ntz"))
+
+
+@registered("SELECT c_custkey, floor(c_acctbal / 1e1 + 0.5e0) * 1e0 AS half_up, round_even(c_acctbal / 1e1, 0) AS half_even, CAST(floor(c_acctbal / 1e2) AS INT) AS cell, greatest(0e0, least(1e0, c_acctbal / 5e3)) AS score FROM customer")
+def rounding_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("c_acctbal")
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", S.round_half_up(v / 10.0).alias("half_up"), S.round_half_even(v / 10.0).alias("half_even"), S.cell_of(v, 100.0).alias("cell"), S.clamp(v / 5000.0, 0.0, 1.0).alias("score"))
