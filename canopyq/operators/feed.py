@@ -42,7 +42,8 @@ def _preferred(volumes: Column, order: tuple[str, ...] = ("m3sub", "m3sob", "m3
 
 def parsed_files(files: DataFrame, content: str = "content") -> DataFrame:
     """Adds ``machine`` to files of (file_name, content): the nested record, null where the XML is malformed."""
-    return files.withColumn("machine", F.from_xml(without_namespaces(F.col(content).cast("string")), HARVESTER_SCHEMA, {"rowTag": "Machine", "mode": "PERMISSIVE"}))
+    body = F.nullif(F.regexp_extract(without_namespaces(F.col(content).cast("string")), r"(?s)<Machine[\s>].*</Machine>", 0), F.lit(""))
+    return files.withColumn("machine", F.from_xml(body, HARVESTER_SCHEMA, {"rowTag": "Machine", "mode": "PERMISSIVE"}))
 
 
 def harvested_stems(files: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from canopyq.functions import scalar as S
-from canopyq.operators import feed, grid, harvest, spatial, stats, stems, tariff
-from canopyq.plans.recipes import oracle_edges, oracle_recipe, polygons, recipe
+from canopyq.operators import circles, feed, grid, harvest, segments, spatial, stats, stems, tariff, terrain
+from canopyq.plans.recipes import RECIPES, oracle_edges, oracle_recipe, polygons, recipe
+from canopyq.streaming import feed_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -481,3 +482,99 @@ def filename_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rounding_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("c_acctbal")
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", S.round_half_up(v / 10.0).alias("half_up"), S.round_half_even(v / 10.0).alias("half_even"), S.cell_of(v, 100.0).alias("cell"), S.clamp(v / 5000.0, 0.0, 1.0).alias("score"))
+
+
+# --- algorithms, streams and files
+
+
+@registered()
+def nms_treetops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tops = recipe(spark, sf_dir, "spots").select(F.col("point_id").alias("tree_id"), "x", "y", F.col("z").alias("height_m"))
+    return segments.suppressed(tops, 30.0)
+
+
+@registered()
+def watershed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    surface = _surface(spark, sf_dir)
+    seeds = grid.local_maxima(surface, 2).select("row", "col", F.xxhash64("row", "col").alias("label"))
+    return segments.watershed(surface, seeds, tile=20, halo=8)
+
+
+@registered()
+def gaussian_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(segments.smoothed(_surface(spark, sf_dir)), "value")
+
+
+@registered()
+def priority_flood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terrain.priority_flood(_surface(spark, sf_dir).withColumn("site", F.lit(1)), "site")
+
+
+@registered()
+def flow_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flooded = terrain.priority_flood(_surface(spark, sf_dir).withColumn("site", F.lit(1)), "site").drop("site")
+    return terrain.flow_accumulation(flooded, 20.0)
+
+
+@registered()
+def drainage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terrain.drainage_summary(flow_accumulation(spark, sf_dir), 20.0)
+
+
+@registered()
+def circle_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    angle = F.radians(F.col("l_partkey") % 360)
+    radius = F.lit(0.12) + F.col("l_discount") / 50.0
+    ring = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_suppkey") % 50).alias("tree_id"), F.col("l_linenumber").alias("slice"), (F.cos(angle) * radius).alias("x"), (F.sin(angle) * radius).alias("y"))
+    return rounded(circles.slice_fits(ring, ["tree_id", "slice"]), "cx", "cy", "radius_m", "residual_m")
+
+
+@registered()
+def linearity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = recipe(spark, sf_dir, "spots").select(F.col("grp").alias("tree_id"), "point_id", "x", "y", "z")
+    return rounded(segments.linearity(points, "tree_id"), "linearity")
+
+
+@registered()
+def segment_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(segments.principal_axes(recipe(spark, sf_dir, "spots").select(F.col("grp").alias("tree_id"), "x", "y", "z"), "tree_id"), "linearity", "verticality")
+
+
+@registered()
+def convex_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feed.convex_hulls(recipe(spark, sf_dir, "spots").select("grp", "x", "y"), "grp").select("grp", F.posexplode("hull").alias("place", "p")).select("grp", "place", "p.x", "p.y")
+
+
+@registered()
+def ground_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terrain.ground_points(recipe(spark, sf_dir, "points"), 20.0, slope=0.05, first=2.0).groupBy("is_ground").agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("z_min"), F.max("z").alias("z_max"))
+
+
+@registered()
+def dtm_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    surface = _surface(spark, sf_dir).where("(row * 7 + col * 3) % 5 <> 0")
+    return rounded(terrain.filled_surface(surface), "value")
+
+
+@registered("SELECT object_id, count(*) AS n_files, CAST(sum(volume_cm3) AS BIGINT) AS volume, array_to_string(list_sort(list(DISTINCT machine)), ',') AS machines FROM {files} GROUP BY 1")
+def feed_stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, select = RECIPES["files"]
+    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    files = events.selectExpr(*(part.strip() for part in select.split(", ")))
+    return feed_stream.rolled_up_stream(files, ["object_id"]).select("object_id", "n_files", "volume", F.array_join("machines", ",").alias("machines"))
+
+
+@registered("SELECT file_name, object_id, volume_cm3 + CASE WHEN volume_cm3 % 2 = 0 AND object_id % 3 = 0 THEN 1 ELSE 0 END AS volume_cm3 FROM {files}")
+def replace_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = recipe(spark, sf_dir, "files").select("file_name", "object_id", "volume_cm3")
+    new = files.where("object_id % 3 = 0").withColumn("volume_cm3", F.col("volume_cm3") + F.when(F.col("volume_cm3") % 2 == 0, 1).otherwise(0))
+    return feed.replaced(files, new, ["file_name"])
+
+
+@registered("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS kind, coalesce(CASE WHEN c_custkey % 2 = 0 THEN 'own' END, c_name) AS model FROM customer")
+def fill_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    current = customer.where("c_custkey % 5 <> 0").selectExpr("c_custkey", "CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE ' ' END AS kind", "CASE WHEN c_custkey % 2 = 0 THEN 'own' END AS model")
+    found = customer.selectExpr("c_custkey", "CASE WHEN c_custkey % 5 = 0 AND c_custkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS kind", "CASE WHEN c_custkey % 5 = 0 AND c_custkey % 2 = 0 THEN 'own' ELSE c_name END AS model")
+    return feed.filled_blanks(current, found, "c_custkey")
