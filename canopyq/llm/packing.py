@@ -1,6 +1,6 @@
 """Best-fit packing of token sequences with a bounded number of open bins.
 
-Pieces arrive in document order. A fixed number of bins is open at once, in a bitset keyed by free space: the
+Pieces arrive in document order, in windows of a fixed number of pieces that are placed from the longest down. A fixed number of bins is open at once, in a bitset keyed by free space: the
 lowest set bit at or above a piece's length is the tightest bin that takes it. When a new bin would exceed the bound, the
 fullest one closes. Each task packs its own split, so nothing is shuffled, memory is fixed, and a lost task is recomputed with the same result.
 """
@@ -63,10 +63,11 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, length, capacity)] if length else []
 
 
+NAMES = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 1024, open_bins: int = 512, end_id: int = 2, text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 1024, open_bins: int = 1024, window: int = 2048, end_id: int = 2, text: str = "text") -> DataFrame:
     """Packs all documents into sequences of at most ``capacity`` tokens; one row for each piece.
 
     A null or empty text is its end token alone, so every row of the input is packed, repeated rows too. Extra columns are never read.
@@ -77,23 +78,31 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, bins = ByteLevelEncoder(path), OpenBins(capacity, open_bins)
         base = TaskContext.get().partitionId() << 33
+        waiting: list[tuple[int | None, int, int, int, int]] = []
+
+        def placed() -> pa.RecordBatch:
+            waiting.sort(key=lambda p: -p[3])
+            places = [bins.place(p[3]) for p in waiting]
+            ids, *rest = zip(*waiting, strict=True)
+            columns = [*rest, [base + number for number, _ in places], [offset for _, offset in places]]
+            kinds = [pa.int32(), *[pa.int64()] * 5]
+            batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, columns, kinds)], NAMES)
+            waiting.clear()
+            return batch
+
         for batch in batches:
             data, offsets = K.string_parts(batch.column(1))
-            keys = batch.column(0)
             for a, b, part, at in K.chunks(data, offsets):
                 flat, bounds = encoder.encode(part, at)
                 flat = np.insert(flat, bounds[1:], end_id).astype("<u4", copy=False)
                 bounds = bounds + np.arange(len(bounds))
-                made: list[tuple[int, ...]] = []
-                for i in range(b - a):
+                for i, key in enumerate(batch.column(0).slice(a, b - a).to_pylist()):
                     begin = int(bounds[i])
                     for k, (start, length) in enumerate(cut(int(bounds[i + 1]) - begin, capacity)):
-                        number, offset = bins.place(length)
-                        made.append((i, k, start, length, zlib.crc32(flat[begin + start : begin + start + length]), base + number, offset))
-                cols = np.array(made, np.int64).reshape(-1, 7).T
-                yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(cols[0] + a)), pa.array(cols[1].astype(np.int32)), *(pa.array(c) for c in cols[2:])],
-                    ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
-                )
+                        waiting.append((key, k, start, length, zlib.crc32(flat[begin + start : begin + start + length])))
+                if len(waiting) >= window:
+                    yield placed()
+        if waiting:
+            yield placed()
 
     return docs.select(docs["doc_id"].cast("long"), docs[text].cast("string")).mapInArrow(run, SCHEMA)
