@@ -49,39 +49,46 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return buckets[order], place[order], begin[used], stop[used], row[used]
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 250, rate: float = 0.15, l1: float = 1e-4, least: int = 4) -> NoisyOrModel:
-    """Fits by proximal Adam on the noisy-or likelihood. A bag is its words' buckets and each word's sentence.
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 250, rate: float = 0.15, l1: float = 1e-4, least: int = 4, part: int = 250) -> NoisyOrModel:
+    """Fits by proximal Adam on the noisy-or likelihood. A bag is its features' buckets, sentence after sentence, and the number of each sentence.
 
-    Buckets in fewer than ``least`` bags keep weight 0. With no bag, or one label alone, the model says 0 or that label's share.
+    Buckets in fewer than ``least`` bags keep weight 0. With no bag, or one label alone, the model says 0 or 1. Gradients are summed over ``part`` bags at a time, so memory
+    beyond the bags themselves is small.
     """
     weights = np.zeros(1 << BITS, np.float32)
     if not len(bags) or labels.min() == labels.max():
-        return NoisyOrModel(weights, -12.0 if not len(bags) or labels.max() == 0 else 0.0)
-    spread = np.bincount(np.concatenate([np.unique(b) for b, _ in bags]), minlength=1 << BITS)
+        return NoisyOrModel(weights, -12.0 if not len(bags) or labels.max() == 0 else 12.0)
+    spread = np.zeros(1 << BITS, np.int32)
+    for buckets, _ in bags:
+        spread[np.unique(buckets)] += 1
     chosen = np.flatnonzero(spread >= least)
-    index = np.full(1 << BITS, -1)
-    index[chosen] = np.arange(len(chosen))
-    counts = np.array([int(s[-1]) + 1 if len(s) else 0 for _, s in bags])
-    first = np.cumsum(counts) - counts
-    word = index[np.concatenate([b for b, _ in bags])]
-    place = np.concatenate([s + f for (_, s), f in zip(bags, first, strict=True)])
-    place, word = place[word >= 0], word[word >= 0]
-    bag = np.repeat(np.arange(len(bags)), counts)
-    w, bias, n = np.zeros(len(chosen) + 1), -4.0, int(counts.sum())
-    m, v = np.zeros_like(w), np.zeros_like(w)
+    index = np.full(1 << BITS, -1, np.int32)
+    index[chosen] = np.arange(len(chosen), dtype=np.int32)
+    parts = []
+    for begin in range(0, len(bags), part):
+        some = bags[begin : begin + part]
+        sizes = np.concatenate([c for _, c in some])
+        word = index[np.concatenate([b for b, _ in some])]
+        place = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        parts.append((word[word >= 0], place[word >= 0], np.repeat(np.arange(len(some)), [len(c) for _, c in some]), labels[begin : begin + part]))
+    w, bias = np.zeros(len(chosen)), -4.0
+    m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for step in range(1, rounds + 1):
-        z = np.clip(bias + np.bincount(place, w[word], minlength=n), -30, 30)
-        blame = 1 / (1 + np.exp(-z))
-        clear = np.exp(-np.bincount(bag, np.logaddexp(0, z), minlength=len(bags)))  # probability that no sentence is toxic
-        pull = np.where(labels == 1, -clear / np.maximum(1 - clear, 1e-9), 1.0)[bag] * blame / len(bags)
-        g = np.append(np.bincount(word, pull[place], minlength=len(chosen)), pull.sum())
+        g = np.zeros_like(m)
+        for word, place, bag, label in parts:
+            z = np.clip(bias + np.bincount(place, w[word], minlength=len(bag)), -30, 30)
+            blame = 1 / (1 + np.exp(-z))
+            clear = np.exp(-np.bincount(bag, np.logaddexp(0, z), minlength=len(label)))  # probability that no sentence is toxic
+            pull = np.where(label == 1, -clear / np.maximum(1 - clear, 1e-9), 1.0)[bag] * blame / len(bags)
+            g[:-1] += np.bincount(word, pull[place], minlength=len(chosen))
+            g[-1] += pull.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        size = np.sqrt(v / (1 - 0.99**step))
+        move = rate * (m / (1 - 0.9**step)) / (size + 1e-8)
         bias -= move[-1]
-        scale = rate * l1 / (np.sqrt(v[:-1] / (1 - 0.99**step)) + 1e-6)
-        w[:-1] -= move[:-1]
-        w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - scale, 0)
-    weights[chosen] = w[:-1]
+        w -= move[:-1]
+        w = np.sign(w) * np.maximum(np.abs(w) - rate * l1 / (size[:-1] + 1e-6), 0)
+    weights[chosen] = w
     return NoisyOrModel(weights, float(bias))
 
 
@@ -93,15 +100,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
             data, offsets = K.string_parts(batch.column(0))
             for a, b, part, at in K.chunks(data, offsets):
                 buckets, place, _, _, row = sentences(part, at)
-                cuts = np.searchsorted(row[place], np.arange(b - a + 1))
-                bags = [(buckets[x:y].astype(np.int32), (place[x:y] - (place[x] if y > x else 0)).astype(np.int32)) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array([w.tobytes() for w, _ in bags]), pa.array([s.tobytes() for _, s in bags])], ["label", "words", "places"])
+                sizes = np.bincount(place, minlength=len(row)).astype(np.int32)
+                words, counts = np.searchsorted(row[place], np.arange(b - a + 1)), np.searchsorted(row, np.arange(b - a + 1))
+                cut = lambda x, at: pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), cut(buckets.astype(np.int32), words), cut(sizes, counts)], ["label", "words", "sizes"])
 
     sample = labelled_sample(docs.select("doc_id", docs[text].cast("string").alias("text")), labels, label, limit).select("text", "label")
-    found = {(r["words"], r["label"]): r for r in sample.mapInArrow(run, "label int, words binary, places binary").collect()}
-    order = sorted(found)
-    bags = [(np.frombuffer(found[k]["words"], np.int32), np.frombuffer(found[k]["places"], np.int32)) for k in order]
-    return fit(bags, np.array([k[1] for k in order], np.int64))
+    found = sorted({(r["words"], r["label"], r["sizes"]) for r in sample.mapInArrow(run, "label int, words binary, sizes binary").collect()})
+    bags = [(np.frombuffer(words, np.int32), np.frombuffer(sizes, np.int32)) for words, _, sizes in found]
+    return fit(bags, np.array([k for _, k, _ in found], np.int64))
 
 
 RESULTS = {"score": "double", "n_sentences": "long", "spans": "array<struct<start: long, end: long, score: double>>"}
