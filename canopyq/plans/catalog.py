@@ -76,13 +76,13 @@ def hex_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("""
-WITH RECURSIVE c AS (SELECT CAST(floor(y / 25e0) AS INT) AS r, CAST(floor(x / 25e0) AS INT) AS c, count(*) AS n FROM {points} WHERE z > 14 GROUP BY 1, 2 HAVING count(*) >= 2),
+WITH RECURSIVE c AS (SELECT CAST(floor(y / 1e1) AS INT) AS r, CAST(floor(x / 1e1) AS INT) AS c, count(*) AS n FROM {points} WHERE z > 15 GROUP BY 1, 2 HAVING count(*) >= 2),
 w(r, c, root) AS (SELECT r, c, r * 100000 + c FROM c UNION SELECT b.r, b.c, w.root FROM w JOIN c b ON abs(b.r - w.r) <= 1 AND abs(b.c - w.c) <= 1),
 m AS (SELECT r, c, min(root) AS root FROM w GROUP BY 1, 2)
-SELECT CAST(sum(c.n) AS BIGINT) AS n_points, count(*) AS n_cells, min(c.c) * 25e0 AS x_min, min(c.r) * 25e0 AS y_min, (max(c.c) + 1) * 25e0 AS x_max, (max(c.r) + 1) * 25e0 AS y_max
+SELECT CAST(sum(c.n) AS BIGINT) AS n_points, count(*) AS n_cells, min(c.c) * 1e1 AS x_min, min(c.r) * 1e1 AS y_min, (max(c.c) + 1) * 1e1 AS x_max, (max(c.r) + 1) * 1e1 AS y_max
 FROM m JOIN c USING (r, c) GROUP BY root""")
 def crop_dominant_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.clusters(recipe(spark, sf_dir, "points").where("z > 14"), 25.0, 0.0033)
+    return grid.clusters(recipe(spark, sf_dir, "points").where("z > 15"), 10.0, 0.02)
 
 
 @registered("""
@@ -578,3 +578,109 @@ def fill_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
     current = customer.where("c_custkey % 5 <> 0").selectExpr("c_custkey", "CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE ' ' END AS kind", "CASE WHEN c_custkey % 2 = 0 THEN 'own' END AS model")
     found = customer.selectExpr("c_custkey", "CASE WHEN c_custkey % 5 = 0 AND c_custkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS kind", "CASE WHEN c_custkey % 5 = 0 AND c_custkey % 2 = 0 THEN 'own' ELSE c_name END AS model")
     return feed.filled_blanks(current, found, "c_custkey")
+
+
+# --- further stem, feed and scalar operators
+
+
+@registered(_FITTED + """, br AS (SELECT tree_id, count(*) AS n, max(CASE WHEN z_mid <= 1.3e0 AND 1.3e0 - z_mid <= 0.25e0 THEN (z_mid, radius_m) END) AS lo, min(CASE WHEN z_mid >= 1.3e0 AND z_mid - 1.3e0 <= 0.25e0 THEN (z_mid, radius_m) END) AS hi, min((abs(z_mid - 1.3e0), z_mid, radius_m)) AS near FROM v GROUP BY 1),
+ci AS (SELECT tree_id, n, CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN CASE WHEN hi[1] > lo[1] THEN lo[2] + (hi[2] - lo[2]) * (1.3e0 - lo[1]) / (hi[1] - lo[1]) ELSE lo[2] END END AS i, near[1] AS g, near[3] AS vn FROM br),
+de AS (SELECT ci.*, greatest(f.z_min_model - 1.3e0, 1.3e0 - f.z_max_model, 0e0) AS mg, greatest(rm - r_coef_1 * zm + r_coef_1 * 1.3e0, 0e0) AS m FROM ci LEFT JOIN f USING (tree_id))
+SELECT tree_id, n AS n_slices, round(200e0 * CASE WHEN i IS NOT NULL THEN i WHEN g <= 0.25e0 THEN vn WHEN mg <= 1.5e0 THEN m END, 5) AS dbh_cm, CASE WHEN i IS NOT NULL THEN 'interpolated' WHEN g <= 0.25e0 THEN 'nearest' WHEN mg <= 1.5e0 THEN 'model_taper' ELSE 'none' END AS dbh_source,
+CASE WHEN i IS NOT NULL THEN 0e0 WHEN g <= 0.25e0 THEN round(g, 6) WHEN mg <= 1.5e0 THEN round(mg, 6) END AS dbh_gap_m FROM de""")
+def dbh_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stems.breast_diameter(_accepted(spark, sf_dir), _models(spark, sf_dir), ["tree_id"])
+    return rounded(rounded(found, "dbh_cm", digits=5), "dbh_gap_m")
+
+
+@registered(_SCORED + """, t AS (SELECT tree_id, count(*) AS n_slices, avg(coverage_deg) AS cm, avg(residual_m) AS rm, stddev_pop(radius_m) * 100e0 AS sd, count(*) FILTER (WHERE slice_class = 'ring_good') AS ng, count(*) FILTER (WHERE slice_class = 'arc_usable') AS na,
+coalesce(avg(CASE WHEN abs(z_mid - 1.3e0) <= 0.4e0 THEN coverage_deg END), avg(coverage_deg)) AS cn, max(radius_m) * 200e0 AS d FROM b GROUP BY 1)
+SELECT tree_id, round(greatest(0e0, least(1e0, cm / 180e0)) * greatest(0e0, 1e0 - least(rm / 0.08e0, 1e0)) * greatest(0e0, 1e0 - least(sd / 1e1, 1e0)) * CASE WHEN ng = 0 THEN 1e0 - least(0.5e0 / 1.5e0, 1e0) * 0.40e0 ELSE 1e0 END * greatest(0.5e0, least(cn / 180e0, 1e0)), 5) AS dbh_confidence,
+CASE WHEN n_slices < 3 THEN 'insufficient_slices' WHEN ng >= 3 THEN 'good' WHEN ng >= 1 THEN 'limited_support' WHEN na >= 3 THEN 'partial_arc' ELSE 'no_consensus' END AS status FROM t""")
+def dbh_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = stems.slice_score(recipe(spark, sf_dir, "slices"))
+    kinds = F.col("slice_class")
+    per_tree = scored.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n_slices"), F.avg("coverage_deg").alias("coverage_mean"), F.avg("residual_m").alias("residual_mean"), (F.stddev_pop("radius_m") * 100.0).alias("radius_sd_cm"), F.count_if(kinds == "ring_good").alias("n_ring_good"), F.count_if(kinds == "arc_usable").alias("n_arc_usable"), (F.max("radius_m") * 200.0).alias("dbh_cm"))
+    near = stems.near_support(scored, ["tree_id"], F.lit(1.3), coverage_near="coverage_deg")
+    all_ = per_tree.join(near, "tree_id").withColumns({"dbh_source": F.when(F.col("n_ring_good") == 0, "model_taper").otherwise("interpolated"), "dbh_gap_m": F.lit(0.5)})
+    return rounded(stems.dbh_status(stems.dbh_confidence(all_)).select("tree_id", "dbh_confidence", "status"), "dbh_confidence", digits=5)
+
+
+@registered("SELECT grp, count(DISTINCT floor(CASE WHEN degrees(atan2(y - 500e0, x - 500e0)) < 0 THEN degrees(atan2(y - 500e0, x - 500e0)) + 360e0 ELSE degrees(atan2(y - 500e0, x - 500e0)) END / 1e1)) * 1e1 AS coverage_deg, count(*) AS n_points FROM {spots} GROUP BY 1")
+def angular_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = recipe(spark, sf_dir, "spots").withColumns({"cx": F.lit(500.0), "cy": F.lit(500.0)})
+    return stems.angular_coverage(points, ["grp"], "cx", "cy")
+
+
+@registered("""
+WITH p AS (SELECT point_id, grp AS tree_id, x, y FROM {spots}), n AS (SELECT *, (x - 500e0) * (x - 500e0) + (y - 500e0) * (y - 500e0) <= 62500e0 AS near FROM p), c AS (SELECT tree_id, count(*) FILTER (WHERE near) AS k, count(*) AS n FROM n GROUP BY 1)
+SELECT point_id, near OR k < 10 AS kept, CASE WHEN k < 10 THEN 1e0 ELSE k / CAST(n AS DOUBLE) END AS retention FROM n JOIN c USING (tree_id)""")
+def radial_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = recipe(spark, sf_dir, "spots").select("point_id", F.col("grp").alias("tree_id"), "x", "y")
+    centres = points.select("tree_id").distinct().withColumns({"x": F.lit(500.0), "y": F.lit(500.0)})
+    return segments.radial_filter(points, centres, radius=250.0).select("point_id", "kept", "retention")
+
+
+@registered("SELECT p.point_id, CASE WHEN count(*) OVER (PARTITION BY grp) < 60 THEN 0 ELSE grp END AS grp FROM {spots} p")
+def small_groups_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.dense_enough(recipe(spark, sf_dir, "spots").select("point_id", "grp"), "grp", 60)
+
+
+@registered("""
+SELECT point_id, CAST(k AS INT) AS rank, d AS distance FROM (SELECT a.point_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, row_number() OVER (PARTITION BY a.point_id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS k FROM {spots} a JOIN {spots} b ON a.grp = b.grp AND a.point_id <> b.point_id) WHERE k <= 5""")
+def nearest_in_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = recipe(spark, sf_dir, "spots").select("grp", "point_id", "x", "y")
+    found = spatial.nearest_in_group(points, ["grp"], "point_id", ["x", "y"], 5)
+    return found.select("point_id", F.posexplode("distances").alias("at", "distance")).select("point_id", (F.col("at") + 1).alias("rank"), "distance")
+
+
+@registered("""
+WITH s AS (SELECT object_id, stem_key, stem_volume_m3 - 1e0 AS v, CASE WHEN stem_key % 4 = 0 THEN 0e0 ELSE dbh_cm END AS d FROM {stems}), m AS (SELECT object_id, avg(CASE WHEN d > 0 THEN d END) AS mean FROM s WHERE v > 0 GROUP BY 1)
+SELECT stem_key, round(coalesce(CASE WHEN d > 0 THEN d END, mean), 6) AS dbh_cm FROM s JOIN m USING (object_id) WHERE v > 0""")
+def imputed_diameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = recipe(spark, sf_dir, "stems").select("object_id", "stem_key", (F.col("stem_volume_m3") - 1.0).alias("stem_volume_m3"), F.when(F.col("stem_key") % 4 == 0, 0.0).otherwise(F.col("dbh_cm")).alias("dbh_cm"))
+    return rounded(harvest.with_volume(raw).select("stem_key", "dbh_cm"), "dbh_cm")
+
+
+@registered("""
+WITH s AS (SELECT object_id, stem_key FROM {stems}), t AS (SELECT o_custkey % 25 AS object_id, o_orderkey AS stem_key, max_by(o_totalprice, o_totalprice) AS elev FROM orders WHERE o_orderkey % 3 > 0 GROUP BY 1, 2)
+SELECT stem_key, elev AS elev_m FROM s LEFT JOIN t USING (object_id, stem_key)""")
+def terrain_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terrain_rows = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 3 > 0").selectExpr("o_custkey % 25 AS object_id", "o_orderkey AS stem_key", "o_totalprice AS elev_m", "o_totalprice AS at")
+    merged, _ = harvest.merge_terrain(recipe(spark, sf_dir, "stems").select("object_id", "stem_key"), terrain_rows, "at")
+    return merged.select("stem_key", "elev_m")
+
+
+@registered("""
+SELECT event_id, CASE WHEN event_type NOT IN ('view', 'click') AND ts < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 5 MINUTE THEN 'failed' ELSE event_type END AS status FROM events""")
+def orphan_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("updated_at"), F.col("event_type").alias("name"))
+    coded = jobs.withColumn("status", F.when(F.col("name").isin("view", "click"), "ready").otherwise("queued"))
+    swept = feed.orphans_failed(coded, F.lit("2024-01-15 00:00:00").cast("timestamp"))
+    return swept.select("event_id", F.when(F.col("status") == "failed", "failed").otherwise(F.col("name")).alias("status"))
+
+
+@registered("SELECT DISTINCT user_id AS machine_id, date_trunc('minute', ts) AS recorded_at FROM events WHERE user_id % 4 <> 0")
+def positions_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("machine_id"), F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("recorded_at"))
+    return feed.ignored_conflicts(seen.where("machine_id % 4 = 0"), seen, ["machine_id", "recorded_at"]).select("machine_id", "recorded_at")
+
+
+@registered("""
+SELECT p_partkey, trim(regexp_replace(trim(' "' || p_name || '" '), '^[''"]|[''"]$', '', 'g')) AS name, CASE WHEN contains(lower(p_type), 'steel') THEN 'spruce' ELSE lower(trim(p_type)) END AS species,
+CASE WHEN p_partkey % 4 = 0 THEN 'harvester' WHEN p_partkey % 4 = 1 THEN 'forwarder' WHEN p_partkey % 4 = 2 THEN 'skidder' ELSE 'other' END AS kind, coalesce(nullif(trim(CASE WHEN p_partkey % 2 = 0 THEN '  ' ELSE p_brand END), ''), p_type) AS filled, substr(p_name, 1, 5) AS short,
+CASE WHEN p_partkey % 3 = 0 THEN p_size * 5e-1 END AS number FROM part""")
+def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    kind = F.element_at(F.array(F.lit("Big Harvester X"), F.lit("forwarder 2"), F.lit("SKIDDER"), F.lit("truck")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    raw = F.element_at(F.array((F.col("p_size") * 0.5).cast("string"), F.lit("n/a?"), F.lit(" NaN ")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    spruce = F.when(F.lower("p_type").contains("steel"), F.lit("Sitka Spruce")).otherwise(F.col("p_type"))
+    return part.select("p_partkey", S.unquote(F.concat(F.lit(' "'), "p_name", F.lit('" '))).alias("name"), S.folded_species(spruce).alias("species"), S.machine_kind(kind).alias("kind"), S.first_filled(F.when(F.col("p_partkey") % 2 == 0, "  ").otherwise(F.col("p_brand")), F.col("p_type")).alias("filled"), S.truncated(F.col("p_name"), 5).alias("short"), S.number_or_null(raw).alias("number"))
+
+
+@registered("""
+WITH c AS (SELECT c_custkey, (c_custkey * 7919) % 900000 - 50000 AS e, (c_custkey * 104729) % 1500000 - 50000 AS n FROM customer), i AS (SELECT *, CAST(floor(e / 1e5) AS INT) AS ei, CAST(floor(n / 1e5) AS INT) AS ni FROM c)
+SELECT c_custkey, CASE WHEN e >= 0 AND e < 700000 AND n >= 0 AND n < 1300000 THEN substr('ABCDEFGHJKLMNOPQRSTUVWXYZ', (19 - ni) - (19 - ni) % 5 + (ei + 10) // 5 + 1, 1) || substr('ABCDEFGHJKLMNOPQRSTUVWXYZ', (19 - ni) * 5 % 25 + ei % 5 + 1, 1) || CAST(e % 100000 // 10000 AS STRING) || CAST(n % 100000 // 10000 AS STRING) END AS tile_ref FROM i""")
+def grid_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey", "(c_custkey * 7919) % 900000 - 50000 AS e", "(c_custkey * 104729) % 1500000 - 50000 AS n")
+    return c.select("c_custkey", S.grid_reference(F.col("e"), F.col("n")).alias("tile_ref"))
