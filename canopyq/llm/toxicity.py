@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame
 
 from canopyq.llm import kernels as K
 from canopyq.llm.labelled import SAMPLE_DOCUMENTS, held_out, labelled_sample
-from canopyq.llm.rows import annotated
+from canopyq.llm.rows import Kernel, annotated
 
-BITS = 18
+BITS = 22
 #: Bytes of the word beginnings that are features beside whole words: inflected forms share them.
 STEMS = (5, 6, 7, 8, 10)
 _BREAKS = K.byte_class(*b".!?\n")
@@ -25,11 +25,18 @@ _BREAKS = K.byte_class(*b".!?\n")
 
 @dataclass(frozen=True)
 class NoisyOrModel:
-    """Weights by hash bucket, and the bias of a sentence."""
+    """Buckets that have a weight, their weights, and the bias of a sentence."""
 
-    weights: np.ndarray
+    buckets: np.ndarray
+    values: np.ndarray
     bias: float
 
+    def table(self) -> np.ndarray:
+        """Weights of all buckets."""
+        weights = np.zeros(1 << BITS, np.float32)
+        weights[self.buckets] = self.values
+        return weights
+
 
 def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Feature buckets, each feature's sentence in order, and the start, end and row of each sentence that has a word."""
@@ -49,15 +56,15 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return buckets[order], place[order], begin[used], stop[used], row[used]
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 250, rate: float = 0.15, l1: float = 1e-4, least: int = 4, part: int = 250) -> NoisyOrModel:
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 250, rate: float = 0.15, l1: float = 1e-4, least: int = 4, part: int = 250, drop: float = 0.5, last: int = 25, seed: int = 3) -> NoisyOrModel:
     """Fits by proximal Adam on the noisy-or likelihood. A bag is its features' buckets, sentence after sentence, and the number of each sentence.
 
     Buckets in fewer than ``least`` bags keep weight 0. With no bag, or one label alone, the model says 0 or 1. Gradients are summed over ``part`` bags at a time, so memory
-    beyond the bags themselves is small.
+    beyond the bags themselves is small. In all but the ``last`` rounds a random half of the features is left out, so that each word of blame learns its own weight, not
+    only the most frequent of those that occur together; the last rounds settle the level.
     """
-    weights = np.zeros(1 << BITS, np.float32)
     if not len(bags) or labels.min() == labels.max():
-        return NoisyOrModel(weights, -12.0 if not len(bags) or labels.max() == 0 else 12.0)
+        return NoisyOrModel(np.zeros(0, np.int64), np.zeros(0, np.float32), -12.0 if not len(bags) or labels.max() == 0 else 12.0)
     spread = np.zeros(1 << BITS, np.int32)
     for buckets, _ in bags:
         spread[np.unique(buckets)] += 1
@@ -71,25 +78,27 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: i
         word = index[np.concatenate([b for b, _ in some])]
         place = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         parts.append((word[word >= 0], place[word >= 0], np.repeat(np.arange(len(some)), [len(c) for _, c in some]), labels[begin : begin + part]))
+    random = np.random.default_rng(seed)
     w, bias = np.zeros(len(chosen)), -4.0
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for step in range(1, rounds + 1):
-        g = np.zeros_like(m)
+        g, used = np.zeros_like(m), random.random(len(chosen)) >= (drop if step <= rounds - last else 0.0)
+        seen = w * used
         for word, place, bag, label in parts:
-            z = np.clip(bias + np.bincount(place, w[word], minlength=len(bag)), -30, 30)
+            z = np.clip(bias + np.bincount(place, seen[word], minlength=len(bag)), -30, 30)
             blame = 1 / (1 + np.exp(-z))
             clear = np.exp(-np.bincount(bag, np.logaddexp(0, z), minlength=len(label)))  # probability that no sentence is toxic
             pull = np.where(label == 1, -clear / np.maximum(1 - clear, 1e-9), 1.0)[bag] * blame / len(bags)
             g[:-1] += np.bincount(word, pull[place], minlength=len(chosen))
             g[-1] += pull.sum()
+        g[:-1] *= used
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         size = np.sqrt(v / (1 - 0.99**step))
         move = rate * (m / (1 - 0.9**step)) / (size + 1e-8)
         bias -= move[-1]
         w -= move[:-1]
         w = np.sign(w) * np.maximum(np.abs(w) - rate * l1 / (size[:-1] + 1e-6), 0)
-    weights[chosen] = w
-    return NoisyOrModel(weights, float(bias))
+    return NoisyOrModel(chosen[w != 0], w[w != 0].astype(np.float32), float(bias))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", limit: int = SAMPLE_DOCUMENTS) -> NoisyOrModel:
@@ -120,10 +129,13 @@ def score(docs: DataFrame, model: NoisyOrModel, keep: tuple[str, ...] = ("doc_id
     ``spans`` holds the sentences whose own probability reaches ``threshold``: start and end in characters, and the probability.
     Null and empty texts have no sentence and score 0. Repeated rows are scored each by itself; other columns are never read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def kernel(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-        weights, bias, n = shared.value.weights, shared.value.bias, len(offsets) - 1
+    def make() -> Kernel:
+        weights = model.table()
+        return lambda data, offsets: measured(data, offsets, weights)
+
+    def measured(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> list[pa.Array]:
+        bias, n = model.bias, len(offsets) - 1
         buckets, place, begin, stop, row = sentences(data, offsets)
         z = np.clip(bias + np.bincount(place, weights[buckets], minlength=len(row)), -30, 30)
         log_clear = -np.bincount(row, np.logaddexp(0, z), minlength=n)
@@ -137,7 +149,7 @@ def score(docs: DataFrame, model: NoisyOrModel, keep: tuple[str, ...] = ("doc_id
         )
         return [pa.array(-np.expm1(log_clear)), pa.array(np.bincount(row, minlength=n)), spans]
 
-    return annotated(docs, keep, docs[text], [], lambda: kernel, RESULTS, where)
+    return annotated(docs, keep, docs[text], [], make, RESULTS, where)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCUMENTS) -> DataFrame:
