@@ -56,7 +56,7 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return buckets[order], place[order], begin[used], stop[used], row[used]
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 250, rate: float = 0.15, l1: float = 1e-4, least: int = 4, part: int = 250, drop: float = 0.5, last: int = 25, seed: int = 3) -> NoisyOrModel:
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 250, rate: float = 0.15, l1: float = 1e-4, least: int = 4, part: int = 250, drop: float = 0.5, last: int = 80, seed: int = 3) -> NoisyOrModel:
     """Fits by proximal Adam on the noisy-or likelihood. A bag is its features' buckets, sentence after sentence, and the number of each sentence.
 
     Buckets in fewer than ``least`` bags keep weight 0. With no bag, or one label alone, the model says 0 or 1. Gradients are summed over ``part`` bags at a time, so memory
