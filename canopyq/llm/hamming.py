@@ -132,7 +132,7 @@ def top_k(codes: DataFrame, queries: DataFrame, rules: SearchRules = SearchRules
                     found["distance"].append(int(distance))
         return pa.table(found, schema=pa.schema([("code", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("distance", pa.int32())]))
 
-    tasks = shards * blocks  # little data but much work in each: a fixed count keeps them apart
+    tasks = 4 * shards * blocks  # little data but much work in each: a fixed count, with room for equal hashes, keeps them apart
     dealt_index, dealt_query = (d.repartition(tasks, "shard", "block") for d in (dealt_index, dealt_query))
     hits = dealt_index.groupBy("shard", "block").cogroup(dealt_query.groupBy("shard", "block")).applyInArrow(run, "code array<long>, ids array<long>, distance int")
     each = hits.select("code", "distance", F.explode("ids").alias("neighbour_id"))
