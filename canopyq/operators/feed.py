@@ -173,7 +173,8 @@ def convex_hulls(points: DataFrame, by: str, salt: int = 64) -> DataFrame:
 def pushed_out(hull: Column, metres: float = 25.0) -> Column:
     """Hull corners moved away from their mean by a distance."""
     n = F.size(hull).cast("double")
-    cx, cy = (F.aggregate(hull, F.lit(0.0), lambda a, p, c=c: a + p[c]) / n for c in ("x", "y"))
+    mean = lambda c: F.aggregate(hull, F.lit(0.0), lambda a, p: a + p[c]) / n
+    cx, cy = mean("x"), mean("y")
     far = lambda p: F.sqrt((p["x"] - cx) * (p["x"] - cx) + (p["y"] - cy) * (p["y"] - cy))
     move = lambda p, c, m: p[c] + F.coalesce(F.try_divide((p[c] - m) * metres, far(p)), F.lit(0.0))
     return F.transform(hull, lambda p: F.struct(move(p, "x", cx).alias("x"), move(p, "y", cy).alias("y")))
