@@ -94,6 +94,14 @@ def test_coverage_of_ngrams(words, n):
     assert abs(m["dup_ngram_char_share"][0, 0] - len(inside) / max(1, len(words))) < 1e-12
 
 
+def test_coverage_limits_reject_beyond_the_base_rule():
+    fresh = lambda n, k: " ".join(f"w{k}x{i}" for i in range(n))
+    passage, line = fresh(20, 1), "said twice"
+    texts = [f"{fresh(40, 0)} {passage} {fresh(20, 2)} {passage}", f"{fresh(100, 3)}\n{line}\n{line}", fresh(60, 4)]
+    m = R.measure(*K.string_parts(pa.array(texts)), R.RepetitionRules())
+    assert m["base_failed"].tolist() == [False, False, False] and m["kept"].tolist() == [False, True, True]
+
+
 def check_packing(rows, texts, library):
     by_doc, by_sequence = {}, {}
     for r in rows:
