@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import heapq
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopyq.operators.spatial import within
@@ -55,46 +56,89 @@ def smoothed(grid: DataFrame, sigma: float = 1.0, truncate: float = 4.0) -> Data
     return one(one(grid.select("row", "col", "value"), "row", "_r0", "_r1"), "col", "_c0", "_c1")
 
 
-def watershed_kernel(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, seeds: dict[tuple[int, int], int]) -> np.ndarray:
-    """Labels of cells flooded from seeds in descending value over 8 neighbours; 0 where no seed reaches. Ties flood in order of arrival."""
+def _flooded(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, seeds: dict[tuple[int, int], int], edge: np.ndarray) -> np.ndarray:
+    """Place of the seed, in order of label, that floods each cell: -1 where none does, -2 where a flood from beyond a cell of ``edge`` may come first.
+
+    Edge cells flood from the start and win ties, so no flood from beyond can be earlier; order depends on a cell's own value, steps and place, never on the
+    window. What a seed still reaches first is therefore the same in any wider window.
+    """
     place = {(r, c): i for i, (r, c) in enumerate(zip(rows.tolist(), cols.tolist(), strict=True))}
-    label = np.zeros(len(rows), np.int64)
-    heap: list[tuple[float, int, int]] = []
-    for (r, c), name in sorted(seeds.items(), key=lambda s: s[1]):
-        if (r, c) in place:
-            label[place[r, c]] = name
-            heapq.heappush(heap, (-values[place[r, c]], len(heap), place[r, c]))
-    count = len(heap)
+    owner = np.full(len(rows), -1, np.int64)
+    heap: list[tuple[float, int, int, int, int]] = []
+
+    def reach(i: int, name: int, steps: int) -> None:
+        owner[i] = name
+        heapq.heappush(heap, (-values[i], -1 if name == -2 else steps, int(rows[i]), int(cols[i]), i))
+
+    for k, (cell, _) in enumerate(sorted(seeds.items(), key=lambda s: s[1])):
+        if cell in place:
+            reach(place[cell], k, 0)
+    for i in np.flatnonzero(edge & (owner == -1)).tolist():
+        reach(i, -2, 0)
     while heap:
-        _, _, i = heapq.heappop(heap)
+        _, steps, r, c, i = heapq.heappop(heap)
         for a in (-1, 0, 1):
             for b in (-1, 0, 1):
-                j = place.get((int(rows[i]) + a, int(cols[i]) + b))
-                if j is not None and not label[j]:
-                    label[j] = label[i]
-                    count += 1
-                    heapq.heappush(heap, (-values[j], count, j))
-    return label
+                j = place.get((r + a, c + b))
+                if j is not None and owner[j] == -1:
+                    reach(j, owner[i], steps + 1)
+    return owner
 
 
-def watershed(grid: DataFrame, seeds: DataFrame, tile: int = 400, halo: int = 40, least: float = 0.0) -> DataFrame:
-    """Seeded watershed of cells with value at least ``least``: (row, col, label), flooded per tile with a halo wider than a crown.
-
-    Each cell's label comes from the tile that owns it; a task holds one buffered tile, whatever the raster's extent.
-    """
-    spans = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile)))
-    dealt = lambda df: df.withColumn("ti", spans("row")).withColumn("tj", spans("col"))
-    cells = dealt(grid.where(F.col("value") >= least).select("row", "col", F.col("value").cast("double").alias("value")))
-    starts = dealt(seeds.select("row", "col", F.col("label").cast("long").alias("label")))
+def watershed_kernel(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, seeds: dict[tuple[int, int], int]) -> np.ndarray:
+    """Labels of cells flooded from seeds in descending value over 8 neighbours; 0 where no seed reaches. Ties flood by steps from the seed, then by place."""
+    names = np.array([*sorted(seeds.values()), 0], np.int64)
+    return names[_flooded(rows, cols, values, seeds, np.zeros(len(rows), bool))]
 
-    starts = starts.toDF(*starts.columns)  # columns of its own, also when seeds come from the same grid
 
-    def flood(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = watershed_kernel(left["row"].to_numpy(), left["col"].to_numpy(), left["value"].to_numpy(), {(r, c): n for r, c, n in zip(right["row"], right["col"], right["label"], strict=True)})
-        own = (left["row"] // tile == key[0]) & (left["col"] // tile == key[1]) & (found > 0)
-        return pd.DataFrame({"row": left["row"][own], "col": left["col"][own], "label": found[own]})
+def watershed(grid: DataFrame, seeds: DataFrame, tile: int = 400, halo: int = 40, least: float = 0.0) -> DataFrame:
+    """Seeded watershed of cells with value at least ``least``: (row, col, label), flooded per tile with a halo; any label counts, negative ones too.
 
-    return cells.groupBy("ti", "tj").cogroup(starts.groupBy("ti", "tj")).applyInPandas(flood, "row int, col int, label long")
+    Each cell's label comes from the tile that owns it. A tile that a flood from beyond its halo may reach is done again with twice the halo, until
+    all labels are those of the whole grid. A task holds one buffered tile; only a flood that crosses the whole raster widens it that far.
+    """
+    cells = stored(grid.where(F.col("value") >= least).select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("value").cast("double").alias("value")), "cells")
+    starts = stored(seeds.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("label").cast("long").alias("label")), "seeds")
+    ends = cells.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
+    if ends[0] is None or starts.isEmpty():
+        return starts.limit(0)
+
+    def flooded(halo: int, tiles: DataFrame | None) -> DataFrame:
+        def spans(c: str, low: int, high: int) -> Column:
+            first, last = F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile)
+            return F.sequence(F.greatest(first, F.lit(low // tile)), F.least(last, F.lit(high // tile)))
+
+        def dealt(df: DataFrame) -> DataFrame:
+            inside = df.where(F.col("row").between(ends[0], ends[1]) & F.col("col").between(ends[2], ends[3]))
+            out = inside.withColumn("ti", F.explode(spans("row", ends[0], ends[1]))).withColumn("tj", F.explode(spans("col", ends[2], ends[3])))
+            return out if tiles is None else out.join(tiles, ["ti", "tj"], "left_semi")
+
+        def flood(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            rows, cols = left["row"].to_numpy(), left["col"].to_numpy()
+            edge = np.zeros(len(left), bool)
+            for at, k, low, high in ((rows, key[0], ends[0], ends[1]), (cols, key[1], ends[2], ends[3])):
+                begin, end = k * tile - halo, (k + 1) * tile - 1 + halo
+                edge |= ((at == begin) & (begin > low)) | ((at == end) & (end < high))
+            given = {(r, c): n for r, c, n in zip(right["row"], right["col"], right["label"], strict=True)}
+            found = _flooded(rows, cols, left["value"].to_numpy(), given, edge)
+            own = (rows // tile == key[0]) & (cols // tile == key[1])
+            if (found[own] == -2).any():
+                return pd.DataFrame({"row": [None], "col": [None], "label": [None], "ti": [key[0]], "tj": [key[1]]})
+            own &= found >= 0
+            label = np.array([*sorted(given.values()), 0], np.int64)[found[own]]
+            return pd.DataFrame({"row": rows[own], "col": cols[own], "label": label, "ti": key[0], "tj": key[1]})
+
+        pairs = dealt(cells).groupBy("ti", "tj").cogroup(dealt(starts).groupBy("ti", "tj"))
+        return stored(pairs.applyInPandas(flood, "row int, col int, label long, ti long, tj long"), "flooded")
+
+    tiles, parts = None, []
+    while True:
+        out = flooded(halo, tiles)
+        parts.append(out.where("row is not null").select("row", "col", "label"))
+        tiles = out.where("row is null").select("ti", "tj")
+        if tiles.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        halo = max(1, halo * 2)
 
 
 def crown_summary(labels: DataFrame, size: float) -> DataFrame:

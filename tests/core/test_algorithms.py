@@ -83,6 +83,15 @@ def test_watershed_by_tiles_equals_whole(spark):
     assert (got.label.to_numpy() == want).all()
 
 
+@pytest.mark.parametrize("values", [np.random.default_rng(3).uniform(1, 9, (24, 24)), np.random.default_rng(3).integers(1, 4, (24, 24)).astype(float), np.add.outer(np.zeros(24), np.arange(24.0, 0, -1))])
+def test_watershed_keeps_negative_labels_and_long_floods(spark, values):
+    table = pd.DataFrame([(r, c, values[r, c]) for r in range(24) for c in range(24)], columns=["row", "col", "value"]).astype({"row": "int32", "col": "int32"})
+    seeds = {(3, 0): -5, (20, 1): 7, (12, 2): 0}
+    got = segments.watershed(spark.createDataFrame(table), spark.createDataFrame([(r, c, n) for (r, c), n in seeds.items()], "row int, col int, label long"), tile=6, halo=1).toPandas().sort_values(["row", "col"])
+    want = segments.watershed_kernel(table.row.to_numpy(), table.col.to_numpy(), table.value.to_numpy(), seeds)
+    assert len(got) == len(want) and (got.label.to_numpy() == want).all() and set(got.label) == {-5, 0, 7}
+
+
 def test_flood_drains_and_flow_counts_all(spark):
     a = np.random.default_rng(4).uniform(0, 5, (10, 10))
     table = pd.DataFrame([(1, r, c, a[r, c]) for r in range(10) for c in range(10)], columns=["site", "row", "col", "value"]).astype({"row": "int32", "col": "int32"})
