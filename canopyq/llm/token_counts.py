@@ -131,12 +131,12 @@ class EditedDocument:
 
 
 #: Personal data that the registered query's edits take out: addresses of mail, of machines, telephone and card numbers.
-_PERSONAL = re.compile(r"(?P<mail>[\w.]+@[\w.]+\w)|(?P<address>\b\d{1,3}(?:\.\d{1,3}){3}\b)|(?P<phone>\+\d+ \(\d+\) \d{3}-\d{4})|(?P<card>\b\d{16}\b)")
+_PERSONAL = re.compile(r"(?P<mail>[\w.]+@[\w.]+\w)|(?P<address>\b\d{1,3}(?:\.\d{1,3}){3}\b)|(?P<card>\b\d{16}\b|\b\d{4}(?:[ -]\d{4}){3}\b)|(?P<phone>\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,5}\b|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}\b|\b\d{3}[.-]\d{3}[.-]\d{4}\b)")
 
 
 def personal_data_edits(text: str) -> list[Edit]:
     """Edits that replace personal data by a placeholder of its kind."""
-    return [(m.start(), m.end(), f"<{m.lastgroup}>") for m in _PERSONAL.finditer(text)] if any(c.isdigit() for c in text) else []
+    return [(m.start(), m.end(), f"<{m.lastgroup}>") for m in _PERSONAL.finditer(text)]
 
 
 def edited_token_counts(docs: DataFrame, edits: str | Callable[[str], list[Edit]] = personal_data_edits, tokenizer_path: str | None = None, text: str = "text") -> DataFrame:

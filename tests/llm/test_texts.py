@@ -17,7 +17,7 @@ from canopyq.llm import repetition as R
 from canopyq.llm.bpe import WordEndCodec, bpe_round_trip
 from canopyq.llm.packing import OpenBins, cut, pack_documents
 from canopyq.llm.queries import QUERIES
-from canopyq.llm.token_counts import edited_token_counts
+from canopyq.llm.token_counts import edited_token_counts, personal_data_edits
 from canopyq.llm.tokens import ByteLevelEncoder, default_path, load_tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -195,6 +195,14 @@ def test_edited_counts(spark, byte_level):
         assert (got[i].n_tokens, got[i].n_tokens_edited, got[i].n_chars_edited) == (count(text), count(new), len(new))
 
 
+def test_edits_without_digits_and_other_phones():
+    kinds = lambda t: [to for _, _, to in personal_data_edits(t)]
+    assert kinds("write to john@example.com now") == ["<mail>"] and kinds("no data at all") == []
+    for phone in ("+1 (017) 555-7713", "+49 30 123456", "+442079460958", "(212) 555-0187", "212-555-0187"):
+        assert personal_data_edits(f"call {phone} now") == [(5, 5 + len(phone), "<phone>")]
+    assert kinds("card 9807915762804490 or 4111 1111 1111 1111 at 10.0.0.1") == ["<card>", "<card>", "<address>"]
+
+
 def test_counts_recode_little(spark):
     text = "word " * 5000 + "mail me.1@host.example.com now " + "word " * 5000
     (r,) = edited_token_counts(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
