@@ -1,15 +1,17 @@
 """Vectorised text kernels over Arrow string buffers.
 
 A chunk of documents is one ``uint8`` array with row offsets. Words and lines are
-found by byte classes, and hashed with a polynomial over a random byte table modulo
-2**64: prefix sums give the hash of any span in O(1), so whole chunks are tokenised
-and hashed without a Python loop over words. Temporary memory is a small multiple of
+found by byte classes, and hashed with a polynomial modulo the prime 2**61 - 1:
+prefix sums give the hash of any span in O(1), so whole chunks are tokenised and
+hashed without a Python loop over words. The prime matters: modulo a power of two, strings built
+like the Thue-Morse sequence collide whatever the base. Temporary memory is a small multiple of
 the chunk, never of the partition.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,31 +19,46 @@ import pyarrow as pa
 #: Bytes of text handled at once; a single longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INV_BASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_RANDOM = np.random.Generator(np.random.PCG64(20240917))
-#: One random odd 64-bit value for each byte.
-BYTE_VALUES = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Hashes are values of polynomials modulo this prime, 2**61 - 1.
+PRIME = (1 << 61) - 1
+_P = np.uint64(PRIME)
+_BASE = 0x1D8AF5C31A6E9B47 % PRIME
+_INVERSE = pow(_BASE, -1, PRIME)
+_LOW31, _LOW30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+#: One value for each byte, none of them 0, so that strings of different lengths are different polynomials.
+BYTE_VALUES = np.arange(1, 257, dtype=np.uint64)
 #: The same with A-Z folded onto a-z.
 FOLDED_VALUES = BYTE_VALUES.copy()
 FOLDED_VALUES[65:91] = BYTE_VALUES[97:123]
+#: Sums of byte terms are exact below this length; longer spans are hashed by themselves.
+_LONG = 1 << 24
+
+
+def times(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """a * b modulo the prime, from products of halves of 30 and 31 bits that don't overflow."""
+    ah, al, bh, bl = a >> np.uint64(31), a & _LOW31, b >> np.uint64(31), b & _LOW31
+    middle = ah * bl + al * bh
+    out = (ah * bh << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & _LOW30) << np.uint64(31)) + al * bl
+    return _reduced(out)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the base and of its inverse modulo 2**64."""
+    """The first ``n`` powers of the base and of its inverse modulo the prime."""
     if len(_powers[0]) < n:
         size = 1 << int(n - 1).bit_length()
-        for k, base in enumerate((_BASE, _INV_BASE)):
-            p = np.empty(size, np.uint64)
-            p[0], filled, step = 1, 1, base
+        for k, base in enumerate((_BASE, _INVERSE)):
+            p, filled = np.ones(size, np.uint64), 1
             while filled < size:
-                more = min(filled, size - filled)
-                p[filled : filled + more] = p[:more] * step
-                filled += more
-                with np.errstate(over="ignore"):
-                    step = step * step
+                p[filled : 2 * filled] = times(p[:filled], np.uint64(pow(base, filled, PRIME)))
+                filled *= 2
             _powers[k] = p
     return _powers[0][:n], _powers[1][:n]
 
@@ -72,16 +89,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Prefix:
-    """Prefix hashes of one chunk; ``span`` hashes any spans of it."""
+    """Prefix sums of one chunk's polynomial; ``span`` hashes any spans of it."""
 
     def __init__(self, data: np.ndarray, values: np.ndarray) -> None:
         p, self.inverse = powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(values[data] * p[:-1], out=self.sums[1:])
+        self.data, self.values = data, values
+        self.high, self.low = np.zeros(len(data) + 1, np.uint64), np.zeros(len(data) + 1, np.uint64)
+        terms = values[data]
+        np.cumsum(terms * (p[:-1] >> np.uint64(31)), out=self.high[1:])
+        np.cumsum(terms * (p[:-1] & _LOW31), out=self.low[1:])
 
     def span(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
-        return mix(h + (ends - starts).astype(np.uint64))
+        """Equal for equal spans wherever they stand; different spans agree by chance alone, once in 2**61 for each byte of the longer."""
+        high, low = _reduced(self.high[ends] - self.high[starts]), _reduced(self.low[ends] - self.low[starts])
+        out = mix(times(_reduced(times(high, np.uint64(1 << 31)) + low), self.inverse[starts]))
+        for i in np.flatnonzero(ends - starts >= _LONG).tolist():
+            digest = blake2b(self.values[self.data[starts[i] : ends[i]]].astype("<u2").tobytes(), digest_size=8).digest()
+            out[i] = int.from_bytes(digest, "little")
+        return out
 
 
 def window_hashes(values: np.ndarray, n: int) -> np.ndarray:
@@ -89,10 +114,35 @@ def window_hashes(values: np.ndarray, n: int) -> np.ndarray:
     m = len(values) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
+    p, _ = powers(n)
+    out = np.zeros(m, np.uint64)
+    if n <= 12:  # a few shifted products cost less than prefix sums
+        for k in range(n):
+            out = _reduced(out + times(_reduced(values[k : k + m]), p[k]))
+        return mix(out)
     p, inverse = powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * p[:-1], out=sums[1:])
-    return mix((sums[n:] - sums[:m]) * inverse[:m] + np.uint64(n))
+    terms = times(_reduced(values), p[:-1])
+    high, low = np.zeros(len(values) + 1, np.uint64), np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(terms >> np.uint64(31), out=high[1:])
+    np.cumsum(terms & _LOW31, out=low[1:])
+    sums = _reduced(times(_reduced(high[n:] - high[:m]), np.uint64(1 << 31)) + _reduced(low[n:] - low[:m]))
+    return mix(times(sums, inverse[:m]))
+
+
+def same_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """True where the spans of ``length`` bytes at ``a`` and at ``b`` hold the same bytes, compared eight bytes at a time."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(data) + 1,), (1,))
+    out, at, open_rows = np.ones(len(a), bool), 0, np.arange(len(a))
+    while len(open_rows):
+        rest = np.minimum(length[open_rows] - at, 8)
+        drop = ((8 - rest) * 8).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            gap = (eight[a[open_rows] + at] ^ eight[b[open_rows] + at]) << np.minimum(drop, np.uint64(63))
+        differ = (gap != 0) & (rest > 0)
+        out[open_rows[differ]] = False
+        open_rows, at = open_rows[~differ & (rest == 8)], at + 8
+    return out
 
 
 def string_parts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

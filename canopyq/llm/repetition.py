@@ -40,10 +40,10 @@ RESULTS = {
 }
 
 
-def _repeated(key: np.ndarray) -> np.ndarray:
-    """True where a value occurs at least twice."""
+def _repeated(key: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """True where a value occurs at least twice in a row."""
     order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
+    same = (key[order][1:] == key[order][:-1]) & (row[order][1:] == row[order][:-1])
     hit = np.zeros(len(key), bool)
     hit[order[1:][same]] = True
     hit[order[:-1][same]] = True
@@ -69,10 +69,10 @@ def measure(data: np.ndarray, offsets: np.ndarray, rules: RepetitionRules) -> di
     begin, stop, row = begin[filled], stop[filled], row[filled]
     line_key = prefix.span(begin, stop) ^ salt[row]
     order = np.argsort(line_key, kind="stable")
-    later = order[1:][line_key[order][1:] == line_key[order][:-1]]
+    later = order[1:][(line_key[order][1:] == line_key[order][:-1]) & (row[order][1:] == row[order][:-1])]
     n_dup_lines = np.bincount(row[later], minlength=n)
     line_size = chars[stop] - chars[begin]
-    dup_line = _repeated(line_key)
+    dup_line = _repeated(line_key, row)
     total = np.bincount(row, weights=line_size, minlength=n)
     dup_line_chars = np.bincount(row[dup_line], weights=line_size[dup_line], minlength=n) / np.maximum(total, 1)
     dup_line_share = n_dup_lines / np.maximum(np.bincount(row, minlength=n), 1)
@@ -91,7 +91,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, rules: RepetitionRules) -> di
         places = np.flatnonzero(ok) if among is None else among[(among < len(key))]
         if among is not None:
             places = places[ok[places]]
-        return places[_repeated(key[places] ^ salt[doc[places]])] if len(places) else places
+        return places[_repeated(key[places] ^ salt[doc[places]], doc[places])] if len(places) else places
 
     triples = windows(3, None)
     n_repeat = K.row_sums(covered(triples, 3).astype(np.int64), first)

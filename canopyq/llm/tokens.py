@@ -125,7 +125,7 @@ class WordTable:
         self.clear()
 
     def clear(self) -> None:
-        self.rows: dict[int, int] = {}
+        self.rows: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.begin, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.on_clear()
@@ -137,24 +137,27 @@ class WordTable:
         """For subclasses that keep more about each word."""
 
     def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The table row of each span of ``data``."""
+        """The table row of each span of ``data``. Words are told apart by their bytes; a hash only brings equal ones of a chunk together."""
         if not len(starts):
             return np.zeros(0, np.int64)
-        distinct, first, inverse = np.unique(K.Prefix(data, K.BYTE_VALUES).span(starts, ends), return_index=True, return_inverse=True)
-        keys = distinct.tolist()
+        _, first, inverse = np.unique(K.Prefix(data, K.BYTE_VALUES).span(starts, ends), return_index=True, return_inverse=True)
+        length, head = ends - starts, first[inverse]
+        odd = np.flatnonzero((length != length[head]) | ~K.same_spans(data, starts, starts[head], np.minimum(length, length[head])))
+        if len(odd):  # the hash took two words for one: these go by themselves
+            inverse[odd] = len(first) + np.arange(len(odd))
+            first = np.append(first, odd)
+        raw = data.tobytes()
+        keys = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         if len(self.rows) + len(keys) > self.limit:
             self.clear()
         found = list(map(self.rows.get, keys))
-        new = [i for i, x in enumerate(found) if x is None]
+        new = list(dict.fromkeys(k for k, x in zip(keys, found, strict=True) if x is None))
         if new:
-            raw = data.tobytes()
-            at = first[new]
-            ids = self.encode([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            ids = self.encode(new)
             self._append(ids)
-            at = len(self.rows)
-            for place, i in enumerate(new, at):
-                self.rows[keys[i]] = found[i] = place
+            self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
             self.on_new(ids)
+            found = [self.rows[k] if x is None else x for k, x in zip(keys, found, strict=True)]
         return np.array(found, np.int64)[inverse]
 
     def _append(self, ids: list[list[int]]) -> None:

@@ -220,3 +220,49 @@ def test_odd_input(spark, odd, byte_level):
     assert pieces.where("piece = 0").count() == n
     ids = {r.n_tokens for r in edited_token_counts(odd).where("doc_id = 8").collect()}
     assert ids == {len(byte_level.encode("x <|endoftext|> y <|startoftext|> 'll 's", add_special_tokens=False).ids)}
+
+
+def twins(n):
+    """Two different strings of ``n`` letters whose polynomial hashes modulo a power of two agree whatever the base (Thue-Morse words)."""
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return a, a.translate({97: 98, 98: 97})
+
+
+def test_words_that_fool_hashes_modulo_powers_of_two(byte_level, word_end):
+    a, b = twins(2048)
+    data, offsets = K.string_parts(pa.array([a, b, a]))
+    x, y, z = K.Prefix(data, K.BYTE_VALUES).span(offsets[:-1], offsets[1:])
+    assert x == z != y
+    pair = [np.array([1 + (c == "b") for c in t], np.uint64) for t in (a, b)]
+    assert K.window_hashes(pair[0], 2048) != K.window_hashes(pair[1], 2048)
+    lines = R.measure(*K.string_parts(pa.array([f"{a}\n{b}", f"{a}\n{b}\n{a}"])), R.RepetitionRules())
+    assert lines["n_dup_lines"].tolist() == [0, 1]
+    flat, at = ByteLevelEncoder(default_path("byte_bpe_50k.json")).encode(*K.string_parts(pa.array([f"{a} {b}", b])))
+    assert [flat[p:q].tolist() for p, q in zip(at[:-1], at[1:], strict=True)] == [e.ids for e in byte_level.encode_batch([f"{a} {b}", b])]
+    for (n, ids, _), t in zip(WordEndCodec(default_path("word_bpe_49k.json")).digest([a, b]), (a, b), strict=True):
+        want = word_end.encode(t, add_special_tokens=False).ids
+        assert (n, ids) == (len(want), sha256(" ".join(map(str, want)).encode()).hexdigest())
+
+
+def test_equal_hashes_of_different_words_are_told_apart(monkeypatch):
+    from canopyq.llm.tokens import WordTable
+
+    monkeypatch.setattr(K.Prefix, "span", lambda self, starts, ends: np.zeros(len(starts), np.uint64))
+    table = WordTable(lambda words: [[len(w), w[0]] for w in words])
+    data = np.frombuffer(b"ab cd ab xyz cd", np.uint8)
+    starts, ends, _ = K.runs(K.NONSPACE[data], np.array([0, len(data)]))
+    for _ in range(2):
+        flat, at = table.ids(table.look_up(data, starts, ends))
+        assert flat.reshape(-1, 2).tolist() == [[2, 97], [2, 99], [2, 97], [3, 120], [2, 99]]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from(["a", "ab", "abcdefgh", "abcdefgx", "abcdefghij", "abcdefghik", "é日本語", ""]), min_size=2, max_size=8))
+def test_same_spans(words):
+    raw = [w.encode() for w in words]
+    data, ends = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(w) for w in raw])
+    starts = ends - [len(w) for w in raw]
+    for i in range(len(raw)):
+        both = np.minimum(len(raw[i]), ends - starts)
+        got = K.same_spans(data, np.full(len(raw), starts[i]), starts, both)
+        assert got.tolist() == [raw[i][:n] == w[:n] for w, n in zip(raw, both.tolist(), strict=True)]
