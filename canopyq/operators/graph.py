@@ -2,31 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopyq.plans.storage import stored
+from canopyq.plans.storage import discard, stored
 
 
-def connected_components(edges: DataFrame, source: str = "src", target: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:
     """The component of each node that has an edge: (node, component), the component's smallest node.
 
-    Each round takes the smallest label among neighbours and then the label of that label, so long chains shrink by
-    doubling. Labels are written to the shared folder each round; only the number of changes reaches the driver. Any ordered node type does. Loops and repeated edges
-    are harmless, edges with a null end are left out.
+    Contraction: in each round every node joins the first of its neighbours and itself in an order by a hash that differs from round to round, edges are drawn between
+    what the ends joined, and repeated edges and loops go. The graph shrinks by a constant factor in expectation, so rounds are logarithmic in the longest
+    chain and all rounds together read a small multiple of the edges. Then names are handed down from the last round to the first. Rounds are written to the shared
+    folder while the call lasts; only whether edges remain reaches the driver. Any ordered node type does; repeated edges are harmless, edges with a null end are left out.
     """
     pairs = edges.select(F.col(source).alias("a"), F.col(target).alias("b")).where("a is not null and b is not null")
-    both = stored(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        closer = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        roots = labels.select(F.col("node").alias("root"), F.col("label").alias("jump"))
-        moved = closer.join(roots, closer["label"] == roots["root"], "left").select("node", F.least("label", F.coalesce("jump", "label")).alias("label"), "old")
-        moved = stored(moved.select("node", "label", (F.col("label") != F.col("old")).alias("changed")), "labels")
-        labels = moved.select("node", "label")
-        if moved.where("changed").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return labels.withColumnRenamed("label", "component")
+    now = stored(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    least: DataFrame | None = None
+    levels: list[tuple[DataFrame, DataFrame]] = []
+    while not now.isEmpty():
+        turn = len(levels)
+
+        def rank(node: Column) -> Column:
+            return F.struct(F.xxhash64(node, F.lit(turn)).alias("h"), node.alias("node"))  # noqa: B023
+
+        first = now.groupBy("a").agg(F.min(rank(F.col("b"))).alias("first"))
+        joins = first.select(F.col("a").alias("node"), F.least(F.col("first"), rank(F.col("a")))["node"].alias("parent"))
+        joins = stored(joins, "joins")
+        named = joins.withColumn("least", F.col("node")) if least is None else joins.join(least, "node")
+        met = stored(named.groupBy("parent").agg(F.min("least").alias("least")).withColumnRenamed("parent", "node"), "met")
+        one = now.join(joins.select(F.col("node").alias("a"), F.col("parent").alias("p")), "a").select("p", "b")
+        two = one.join(joins.select(F.col("node").alias("b"), F.col("parent").alias("q")), "b").where("p <> q")
+        after = stored(two.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct(), "edges")
+        discard(now)
+        now, least = after, met
+        levels.append((joins, met))
+    discard(now)
+    if not levels:
+        return pairs.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
+    names: DataFrame | None = None
+    for joins, met in reversed(levels):
+        known = met.withColumnRenamed("least", "component")
+        if names is not None:
+            known = met.join(names.withColumnRenamed("component", "deeper"), "node", "left").select("node", F.coalesce("deeper", "least").alias("component"))
+        below = joins.join(known.withColumnRenamed("node", "parent"), "parent").select("node", "component")
+        finished = stored(below, "components")
+        if names is not None:
+            discard(names)
+        names = finished
+    discard(*(t for level in levels for t in level))
+    return names

@@ -11,16 +11,31 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set, as in tests, a temporary one is made and set."""
+    """The cluster's shared folder. Where none is set, a local session, as in tests, gets a temporary one; on a cluster that is an error."""
     folder = spark.conf.get(_SETTING, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {_SETTING} to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='canopyq-')}"
         spark.conf.set(_SETTING, folder)
     return folder
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again: lineage ends here, and a lost executor costs nothing before it."""
+    """Writes ``df`` to the shared folder, which runs it now, and reads it again: lineage ends here, and a lost executor costs nothing before it."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing will read any more; tables that aren't stored stay as they are."""
+    for table in tables:
+        at = vars(table).get("_stored_at")
+        if at is None:
+            continue
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
