@@ -72,6 +72,46 @@ def test_join_with_large_groups(spark):
     assert got == {i: want[t] for i, t in rows}
 
 
+def test_edges_of_a_large_group_stay_few(spark, monkeypatch):
+    """A group of near copies and texts that share a passage with it, in buckets far beyond a block: edges grow with the group, not with its square."""
+    rng, base = np.random.default_rng(8), [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(900):
+        words = list(base)
+        words[int(rng.integers(120))] = f"x{i}"
+        texts.append(" ".join(words))
+    texts += [" ".join(base[:100]) + "".join(f" u{rng.integers(10**6)}" for _ in range(60)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    edges, components = [], J.connected_components
+
+    def counted(df):
+        edges.append(df.count())
+        return components(df)
+
+    monkeypatch.setattr(J, "connected_components", counted)
+    got = J.jaccard_join(docs, J.JoinRules(block=100, verify_block=100)).collect()
+    assert len(edges) == 4 and sum(edges) < 16 * len(texts) and edges[3] < len(texts)
+    sets = [grams(t) for t in texts]
+    links = [sum(len(a & b) >= 0.8 * len(a | b) - 1e-9 for b in sets) - 1 for a in sets[:20] + sets[900:920]]
+    by_id = {r.doc_id: r for r in got}
+    assert [by_id[i].n_links for i in [*range(20), *range(900, 920)]] == links
+    assert {by_id[i].class_id for i in range(900)} == {0}
+
+
+def test_join_keeps_texts_under_one_id_apart(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    near = a.replace("a29", "z")
+    rows = [(5, a), (5, b), (7, near), (None, a), (None, "alone without an id"), (None, "alone without an id")]
+    kept = J.one_of_each_class(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in kept) == sorted([(5, a), (5, b), (-1, "alone without an id")])
+
+
+def test_ngrams_that_fool_hashes_modulo_powers_of_two(spark):
+    word = lambda flip: "".join("ab"[(bin(i).count("1") + flip) & 1] for i in range(2048))
+    docs = spark.createDataFrame([(1, f"{word(0)} x y z u"), (2, f"{word(1)} x y z u"), (3, f"{word(0)} x y z u.")], "doc_id long, text string")
+    assert {r.doc_id: (r.class_id, r.n_links) for r in J.jaccard_join(docs).collect()} == {1: (1, 1), 2: (2, 0), 3: (1, 1)}
+
+
 def test_posterior_and_pruning():
     rules = J.JoinRules()
     assert J.posterior(96, 96, 0.8) > 0.999 and J.posterior(10, 96, 0.8) < 1e-9
