@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from canopyq.llm import kernels as K
 from canopyq.llm import licenses as L
@@ -17,7 +18,7 @@ from canopyq.llm import repetition as R
 from canopyq.llm.bpe import WordEndCodec, bpe_round_trip
 from canopyq.llm.packing import OpenBins, cut, pack_documents
 from canopyq.llm.queries import QUERIES
-from canopyq.llm.token_counts import edited_token_counts, personal_data_edits
+from canopyq.llm.token_counts import EditedDocument, LeafSplitter, edited_token_counts, ordered_edits, personal_data_edits, token_state
 from canopyq.llm.tokens import ByteLevelEncoder, default_path, load_tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -173,7 +174,61 @@ def test_round_trip_query(spark, texts, word_end):
         assert got[i].decoded_sha256 == sha256(word_end.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
-EDITS = st.lists(st.tuples(st.integers(0, 60), st.integers(0, 6), st.text(alphabet="ab 'sl\n日", max_size=5)), max_size=3)
+PARTS = st.lists(st.sampled_from(["a", "b1", " ", "  ", "\n", "'", "'ll", "s", "<|", "endoftext", "|>", "<|endoftext|>", "“quoted”", "’s", "日本", "é", "😀", "."]), max_size=14).map("".join)
+EDITS = st.lists(st.tuples(st.integers(0, 70), st.integers(0, 6), PARTS), max_size=5)
+
+
+@settings(max_examples=400, deadline=None)
+@given(PARTS, EDITS)
+def test_any_edits_count_as_the_library(byte_level, text, edits):
+    splitter = test_any_edits_count_as_the_library.__dict__.setdefault("splitter", LeafSplitter(default_path("byte_bpe_50k.json")))
+    document, new = EditedDocument(text, *splitter.count(text), splitter.count, splitter.reach), text
+    for start, size, to in edits:
+        document.apply(start, start + size, to)
+        start = min(start, len(new))
+        new = new[:start] + to + new[start + size :]
+        assert document.text == new and document.n_tokens == len(byte_level.encode(new, add_special_tokens=False).ids)
+        counts, lengths = document.state()
+        want = splitter.count(new)
+        assert counts.tolist() == want[0].tolist() and lengths.tolist() == want[1].tolist()
+
+
+def test_edits_that_complete_or_break_a_special_token(spark, byte_level):
+    rows = [(1, "a   <|endoftext|X> b", [(15, 16, "")]), (2, "a   <|endoftext|> b", [(10, 10, "X")]), (3, "x" * 300 + "<|endof", [(307, 307, "text|>" + " more" * 200)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, e array<struct<start:int,end:int,replacement:string>>")
+    for r in edited_token_counts(docs, "e", keep=True).collect():
+        assert r.n_tokens_edited == len(byte_level.encode(r.text, add_special_tokens=False).ids)
+
+
+def test_edit_column_with_nulls_and_overlaps(spark):
+    given = [None, {"start": None, "end": 3, "replacement": "x"}, {"start": 4, "end": 9, "replacement": None}, {"start": 1, "end": 6, "replacement": "u"}, {"start": -5, "end": 1, "replacement": "v"}, {"start": 90, "end": 99, "replacement": "w"}]
+    assert ordered_edits(given, 10) == [(0, 1, "v"), (1, 4, "u"), (4, 9, ""), (10, 10, "w")] and ordered_edits(None, 3) == []
+    rows = [(1, "0123456789", [None if e is None else tuple(e.values()) for e in given]), (2, None, [(0, 0, "new text")]), (3, "", None), (4, "same", [])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, e array<struct<start:int,end:int,replacement:string>>")
+    got = {r.doc_id: (r.text, r.n_edits) for r in edited_token_counts(docs, "e", keep=True).collect()}
+    assert got == {1: ("vu9w", 4), 2: ("new text", 1), 3: ("", 0), 4: ("same", 0)}
+
+
+def test_edits_start_from_a_stored_state(spark, byte_level):
+    texts = ["one two  three", "“quoted” ’s 日本 text", "", "a <|endoftext|> b"]
+    first = token_state(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    step = F.expr("array(named_struct('start', 1, 'end', 2, 'replacement', ' 日 ll'))")
+    for _ in range(2):
+        docs = first.select("doc_id", "text", "leaf_counts", "leaf_lengths", step.alias("e"))
+        first = edited_token_counts(docs, "e", state=("leaf_counts", "leaf_lengths"), keep=True)
+    texts = [t[:1] + " 日 ll" + t[2:] for t in texts]
+    texts = [t[:1] + " 日 ll" + t[2:] for t in texts]
+    assert {r.doc_id: (r.text, r.n_tokens_edited) for r in first.collect()} == {i: (t, len(byte_level.encode(t, add_special_tokens=False).ids)) for i, t in enumerate(texts)}
+
+
+def test_registered_counts(spark, texts, byte_level):
+    got = {r.doc_id: r for r in QUERIES["op10_token_counts"](spark, SF).collect()}
+    for i, text in texts:
+        new = text
+        for a, b, to in reversed(personal_data_edits(text)):
+            new = new[:a] + to + new[b:]
+        sizes = [len(e.ids) for e in byte_level.encode_batch([text, new], add_special_tokens=False)]
+        assert [got[i].n_tokens, got[i].n_tokens_edited, got[i].n_chars_edited] == [*sizes, len(new)]
 
 
 def test_edited_counts(spark, byte_level):
