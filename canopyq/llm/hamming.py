@@ -4,8 +4,9 @@ Codes are cut into segments, and a table for each segment maps its value to the
 finds all codes within m * (r + 1) - 1 bits of the query, by the pigeonhole principle; with j further segments searched at radius r + 1 the bound grows by j.
 Radii grow one segment at a time until the k-th verified distance is within the bound, so the answer is proved exact.
 
-Equal codes are one entry of the index. Codes are dealt into shards and queries into blocks; each task searches one block in one shard, and shard
-answers are merged by distance and id. A shard's tables are plain arrays sorted by segment value.
+Equal codes are one entry of the index. Codes are dealt into shards, as many as keep the cores busy, and each query goes to every shard; a task builds a shard's tables,
+plain arrays sorted by segment value, and sends k + 1 ids a query at most. Only queries beyond a block's rows make a further copy of the index, so blocks are
+few at any size: rows shuffled are shards x queries + blocks x codes.
 """
 
 from __future__ import annotations
@@ -25,28 +26,28 @@ from canopyq.plans.storage import stored
 
 @dataclass(frozen=True)
 class SearchRules:
-    """Neighbours wanted, segments of 16 bits, least and most codes of a shard, and queries of a block."""
+    """Neighbours wanted, bits of a segment (8 or 16), least and most codes of a shard, and queries of a block."""
 
     k: int = 10
     segment_bits: int = 16
-    least_shard: int = 20_000
+    least_shard: int = 2_000
     most_shard: int = 1_000_000
-    block_rows: int = 2_000
+    block_rows: int = 1_000_000
 
 
-def sign_codes(vectors: DataFrame, vector: str, bits: int) -> DataFrame:
-    """Binary codes of vectors: bit i of the code is set where component i is above 0, 64 bits to a long.
+def sign_codes(vectors: DataFrame, vector: str, bits: int, key: str = "vec_id") -> DataFrame:
+    """Binary codes of vectors, (key, code): bit i of the code is set where component i is above 0, 64 bits to a long.
 
-    Null vectors have no code and are left out; missing or null components count as not above 0.
+    Null vectors have no code and are left out; missing or null components count as not above 0. Other columns are not taken over.
     """
 
     def word(at: int):
-        parts = [F.when(F.get(vector, F.lit(i)) > 0, F.lit(1 << (i - at) if i - at < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(at, min(at + 64, bits))]
+        parts = [F.when(F.get(F.col(vector), F.lit(i)) > 0, F.lit(1 << (i - at) if i - at < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(at, min(at + 64, bits))]
         while len(parts) > 1:
             parts = [a.bitwiseOR(b) for a, b in zip(parts[::2], parts[1::2], strict=False)] + ([parts[-1]] if len(parts) % 2 else [])
         return parts[0]
 
-    return vectors.where(F.col(vector).isNotNull()).withColumn("code", F.array(*(word(at) for at in range(0, bits, 64))))
+    return vectors.where(F.col(vector).isNotNull()).select(key, F.array(*(word(at) for at in range(0, bits, 64))).alias("code"))
 
 
 class SegmentTables:
@@ -96,6 +97,15 @@ class SegmentTables:
         return places[kept], distances[kept]
 
 
+def nearest_ids(flat: np.ndarray, begin: np.ndarray, weight: np.ndarray, places: np.ndarray, distances: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``k`` ids of the codes at ``places``, by distance and then id, and their distances; code p has ``weight[p]`` ids of ``flat`` from ``begin[p]`` on."""
+    size = weight[places]
+    at = np.repeat(begin[places] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    ids, far = flat[at], np.repeat(distances, size)
+    order = np.lexsort((ids, far))[:k]
+    return ids[order], far[order]
+
+
 def _words(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks()
     return flat.flatten().to_numpy(zero_copy_only=False).astype("<i8").view("<u8").reshape(len(flat), -1)
@@ -120,22 +130,32 @@ def top_k(codes: DataFrame, queries: DataFrame, rules: SearchRules = SearchRules
     dealt_index = index.select(F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "code", "ids")
     dealt_query = wanted.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int").alias("block"), "code")
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: dict[str, list] = {"code": [], "ids": [], "distance": []}
-        if left.num_rows and right.num_rows:
-            tables, ids = SegmentTables(_words(left.column("code")), rules.segment_bits), left.column("ids").to_pylist()
-            weight = np.array([len(x) for x in ids])
-            for q, code in zip(_words(right.column("code")), right.column("code").to_pylist(), strict=True):
-                for place, distance in zip(*tables.search(q, rules.k + 1, weight), strict=True):
-                    found["code"].append(code)
-                    found["ids"].append(ids[place])
-                    found["distance"].append(int(distance))
-        return pa.table(found, schema=pa.schema([("code", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("distance", pa.int32())]))
+    def run(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not left.num_rows or not right.num_rows:
+            return
+        tables, lists = SegmentTables(_words(left.column("code")), rules.segment_bits), left.column("ids").combine_chunks()
+        weight, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+        begin = np.cumsum(weight) - weight
+        for at in range(0, right.num_rows, 1024):
+            part = right.slice(at, 1024)
+            ids, distances, sizes = [], [], []
+            for q in _words(part.column("code")):
+                places, distance = tables.search(q, rules.k + 1, weight)
+                near, far = nearest_ids(flat, begin, weight, places, distance, rules.k + 1)
+                ids.append(near)
+                distances.append(far)
+                sizes.append(len(near))
+            code = part.column("code").combine_chunks().take(pa.array(np.repeat(np.arange(part.num_rows), sizes)))
+            yield pa.RecordBatch.from_arrays([code, pa.array(np.concatenate(distances), pa.int32()), pa.array(np.concatenate(ids), pa.int64())], ["code", "distance", "neighbour_id"])
 
     tasks = 4 * shards * blocks  # little data but much work in each: a fixed count, with room for equal hashes, keeps them apart
     dealt_index, dealt_query = (d.repartition(tasks, "shard", "block") for d in (dealt_index, dealt_query))
-    hits = dealt_index.groupBy("shard", "block").cogroup(dealt_query.groupBy("shard", "block")).applyInArrow(run, "code array<long>, ids array<long>, distance int")
-    each = hits.select("code", "distance", F.explode("ids").alias("neighbour_id"))
+
+    def table(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("code", pa.list_(pa.int64())), ("distance", pa.int32()), ("neighbour_id", pa.int64())])
+        return pa.Table.from_batches([b.cast(schema) for b in run(left, right)], schema)
+
+    each = dealt_index.groupBy("shard", "block").cogroup(dealt_query.groupBy("shard", "block")).applyInArrow(table, "code array<long>, distance int, neighbour_id long")
     best = Window.partitionBy("code").orderBy("distance", "neighbour_id")
     answer = each.withColumn("at", F.row_number().over(best)).where(F.col("at") <= rules.k + 1).drop("at")
     paired = asked.withColumnRenamed("id", "query_id").join(answer, "code").where("query_id <> neighbour_id")

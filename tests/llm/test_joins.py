@@ -227,6 +227,23 @@ def test_top_k_ties_copies_and_nulls(spark, rules):
     assert H.top_k(codes.limit(0), codes).count() == 0 and H.top_k(codes, codes.limit(0)).count() == 0
 
 
+def test_ties_leave_a_shard_bounded():
+    rng = np.random.default_rng(9)
+    flat = np.sort(rng.permutation(1000)[:300])
+    weight = np.full(100, 3)
+    begin = np.cumsum(weight) - weight
+    ids, far = H.nearest_ids(flat, begin, weight, np.arange(100), np.array([1] * 2 + [4] * 98), 11)
+    assert ids.tolist() == sorted(flat[:6].tolist()) + sorted(flat[6:].tolist())[:5] and far.tolist() == [1] * 6 + [4] * 5
+
+
+def test_codes_leave_other_columns(spark):
+    vectors = spark.createDataFrame([(1, [1.0, -1.0], 9, 8), (2, None, 9, 8)], "vec_id long, embedding array<float>, code int, shard int")
+    codes = H.sign_codes(vectors, "embedding", 2)
+    assert codes.columns == ["vec_id", "code"] and [tuple(r) for r in codes.collect()] == [(1, [1])]
+    wide = vectors.withColumn("embedding", F.coalesce("embedding", F.array(F.lit(1.0), F.lit(1.0)).cast("array<float>")))
+    assert [tuple(r) for r in H.top_k(H.sign_codes(wide, "embedding", 2), codes).collect()] == [(1, 1, 2, 1)]
+
+
 def test_search_radius_is_proved():
     rng = np.random.default_rng(6)
     codes = rng.integers(0, 1 << 63, (300, 1), dtype=np.uint64)
