@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: Most labelled documents that a model is fitted on.
+#: Most labelled texts that a model is fitted on, and most bytes of text that they hold together.
 SAMPLE_DOCUMENTS = 5000
+SAMPLE_BYTES = 24 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -14,13 +16,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int = SAMPLE_DOCUMENTS) -> DataFrame:
-    """Documents outside the held-out fold with their ``label``, at most ``limit`` ids in order of a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int = SAMPLE_DOCUMENTS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """Texts of ``docs`` outside the held-out fold with their ``label``: at most ``limit`` that are found, in order of a hash of the text, and at most ``most_bytes`` of them.
 
-    Repeated labels of an id count once, as the largest; null labels and ids are left out. The ids are broadcast:
-    they are never more than ``limit``.
+    Repeated labels of an id count once, as the largest; null labels and ids are left out. Equal texts with one label count once. Texts are chosen by hash and size alone,
+    so only chosen ones move, and the broadcast ids are never more than ``limit``.
     """
-    ids = labels.select(labels["doc_id"].alias("doc_id"), labels[label].cast("int").alias("label")).where("doc_id is not null and label is not null")
+    ids = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("label")).where("doc_id is not null and label is not null")
     ids = ids.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.join(F.broadcast(ids), "doc_id")
+    content = F.coalesce(docs["text"], F.lit(""))
+    known = docs.withColumns({"doc_id": docs["doc_id"].cast("long"), "text_hash": F.md5(content.cast("binary"))})
+    found = known.select("doc_id", "text_hash", F.octet_length(content).cast("long").alias("bytes")).join(ids, "doc_id")
+    each = found.groupBy("text_hash", "label").agg(F.min("doc_id").alias("doc_id"), F.max("bytes").alias("bytes"))
+    chosen = each.orderBy("text_hash", "label").limit(limit)
+    running = Window.orderBy("text_hash", "label").rowsBetween(Window.unboundedPreceding, 0)  # over ``limit`` rows of hashes at most
+    chosen = chosen.withColumn("so_far", F.sum("bytes").over(running)).where(F.col("so_far") <= most_bytes).select("doc_id", "text_hash", "label")
+    return known.join(F.broadcast(chosen), ["doc_id", "text_hash"]).dropDuplicates(["text_hash", "label"])

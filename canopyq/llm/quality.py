@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from canopyq.llm import kernels as K
 from canopyq.llm.labelled import SAMPLE_DOCUMENTS, held_out, labelled_sample
@@ -183,4 +184,4 @@ def quality(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCUMENTS, t
     Without labels every score is 0.5. An empty table of documents gives an empty result.
     """
     scored = score(docs, train(docs, labels, limit=limit))
-    return scored.selectExpr("doc_id", "score", f"cast(score >= {threshold} as int) as predicted").withColumn("held_out", held_out(scored["doc_id"]))
+    return scored.select("doc_id", held_out(scored["doc_id"]).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from canopyq.llm import kernels as K
 from canopyq.llm.labelled import SAMPLE_DOCUMENTS, held_out, labelled_sample
@@ -158,4 +159,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCUMENTS)
     An empty table of labels gives a model that scores 0 everywhere; an empty table of documents an empty result.
     """
     scored = score(docs, train(docs, labels, limit=limit))
-    return scored.selectExpr("doc_id", "score", "cast(score >= 0.5 as int) as predicted", "n_sentences", "spans").withColumn("held_out", held_out(scored["doc_id"]))
+    return scored.select("doc_id", held_out(scored["doc_id"]).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "spans")

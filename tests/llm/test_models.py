@@ -27,6 +27,23 @@ def test_held_out(spark, name, label, least):
     assert (high[:, None] > low[None, :]).mean() + 0.5 * (high[:, None] == low[None, :]).mean() > least
 
 
+def test_sample_is_bounded_and_of_found_texts(spark):
+    from canopyq.llm.labelled import labelled_sample
+
+    rows = [(i, f"text {i % 40}") for i in range(100)] + [(3, "another text of 3"), (8, "x" * 5000), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    got = [(r.text, r.label) for r in labelled_sample(docs, marks, "toxic", limit=20, most_bytes=4000).collect()]
+    assert len(got) == len(set(got)) and 15 <= len(got) <= 20 and sum(len(t) for t, _ in got) <= 4000
+    everything = {(t, i % 2) for i, t in rows if i is not None and not held(i)}
+    assert {(r.text, r.label) for r in labelled_sample(docs, marks, "toxic").collect()} == everything
+
+
+def test_column_order(spark, odd, labels):
+    for made in (T.toxicity(odd, labels), Q.quality(odd, labels)):
+        assert made.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
+
+
 def test_blame_reaches_the_sentence(spark):
     rng = np.random.default_rng(0)
     words = [f"w{i}" for i in range(200)]
