@@ -13,7 +13,7 @@ from canopyq.llm.licenses import scan_licences
 from canopyq.llm.packing import pack_documents
 from canopyq.llm.quality import quality
 from canopyq.llm.repetition import repetition_rules
-from canopyq.llm.secrets import labelled_findings, secret_findings, train_forest
+from canopyq.llm.secrets import labelled_findings, learned_language, secret_findings, train_forest
 from canopyq.llm.token_counts import edited_token_counts
 from canopyq.llm.toxicity import toxicity
 
@@ -51,7 +51,8 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_findings(table(spark, sf_dir, "documents"), train_forest(labelled_findings(spark)))
+    docs, findings = table(spark, sf_dir, "documents"), labelled_findings(spark)
+    return secret_findings(docs, train_forest(findings, language=learned_language(docs, findings)))
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,6 +189,51 @@ def test_secrets_plan_is_native(spark, forest):
     assert not re.search("Python|Pandas|Arrow|Exchange", plan) and X.redacted(docs, forest).count() == 1
 
 
+def test_unseen_shapes(spark):
+    """Precision and recall on planted values whose shapes no labelled finding has, in texts whose words the dictionary has learned."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    findings = X.labelled_findings(spark)
+    trained = X.train_forest(findings, language=X.learned_language(docs, findings))
+    digest = lambda i, n=64: hashlib.sha256(str(i).encode()).hexdigest()[:n]
+    mixed = lambda i, n: re.sub("[^A-Za-z0-9]", "", __import__("base64").b64encode(hashlib.sha512(str(i).encode()).digest()).decode())[:n]
+    plant, alarm = [], []
+    for i in range(20):
+        plant += [f"slack xoxb-{10**11 + i}-{mixed(i, 24)} here", f"client_secret: {mixed(i, 43)}", f'"access_key" = "{mixed(i, 40)}"', f"API_KEY='{digest(i)}'", f"amqp://queue:{mixed(i, 12)}@mq.local/v"]
+        alarm += [f"etag {digest(i)} of the page", f"serial {10**17 + i * 7919} on the case", f"file lib/python/site-packages/module_{i}_reader.py here", f"see https://host.example/docs/section-{i}-overview-of-parts", f"password: reset-by-mail-{i}"]
+    texts = spark.createDataFrame(list(enumerate(plant + alarm)), "doc_id long, text string")
+    caught = {r.doc_id for r in X.secret_findings(texts, trained).where("is_secret").collect()}
+    hits = len([i for i in caught if i < len(plant)])
+    recall, precision = hits / len(plant), hits / max(1, len(caught))
+    print(f"unseen shapes: recall {recall:.2f}, precision {precision:.2f}", [(plant + alarm)[i] for i in sorted(caught ^ set(range(len(plant))))][:20])
+    assert recall >= 0.8 and precision >= 0.8
+
+
+def test_registered_secrets_are_where_they_say(spark):
+    tables = "/root/testdata/sf0.01"
+    held = {r.doc_id: r.text for r in spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text").collect()}
+    rows = QUERIES["op8_secret_scans"](spark, tables).collect()
+    for r in rows:
+        assert hashlib.sha256(held[r.doc_id][r.start : r.start + r.length].encode()).hexdigest() == r.secret_sha256
+    assigned = {(i, m.start(1)) for i, t in held.items() for m in re.finditer(r'token = "([0-9a-f]{40})"', t)}
+    assert assigned and assigned <= {(r.doc_id, r.start) for r in rows if r.is_secret}
+
+
+def test_many_candidates_in_one_text(spark, forest):
+    parts = [f"w{i} key {hashlib.md5(str(i).encode()).hexdigest()}é" for i in range(700)]
+    text = " ".join(parts)
+    rows = X.secret_findings(spark.createDataFrame([(1, text)], "doc_id long, text string"), forest).collect()
+    assert sorted(r.start for r in rows) == [m.start() for m in re.finditer(r"[0-9a-f]{32}", text)]
+
+
+def test_findings_of_one_label_or_none(spark):
+    findings = X.labelled_findings(spark, 60)
+    docs = spark.createDataFrame([(1, 'token = "1eb9c654e721b4f812088970e66a6345cee33dd6"')], "doc_id long, text string")
+    for some, want in ((findings.limit(0), False), (findings.where("label = 1"), True), (findings.where("label = 0"), False), (findings.withColumn("label", F.lit(None)), False)):
+        assert [r.is_secret for r in X.secret_findings(docs, X.train_forest(some)).collect()] == [want]
+    empty = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    assert X.learned_language(empty).words == X.PLAIN.words
+
+
 def test_secrets_odd_input(spark, odd, forest):
     assert X.secret_findings(odd, forest).count() == 0 and X.secret_findings(odd.limit(0), forest).count() == 0
     same = X.redacted(odd, forest)
