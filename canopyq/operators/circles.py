@@ -40,7 +40,7 @@ def _refined(x: np.ndarray, y: np.ndarray, start: tuple[float, float, float], st
 
 
 def robust_circle(x: np.ndarray, y: np.ndarray, rounds: int = 3, least: int = 6) -> tuple[float, float, float, float, int] | None:
-    """Centre, radius, mean absolute residual and inliers; points within 2.5 robust deviations are refitted until they stay the same.
+    """Centre, radius, mean absolute residual and inliers; points within 2.5 robust deviations, of the residuals' sizes from their median, are refitted until they stay the same.
 
     None with fewer than ``least`` inliers or a radius at its bounds.
     """
@@ -52,7 +52,7 @@ def robust_circle(x: np.ndarray, y: np.ndarray, rounds: int = 3, least: int = 6)
     for _ in range(rounds):
         fit = _refined(x[inside], y[inside], fit)
         error = np.abs(np.hypot(x - fit[0], y - fit[1]) - fit[2])
-        limit = min(max(1.4826 * float(np.median(error)) * 2.5, 0.010), 0.050)
+        limit = min(max(1.4826 * float(np.median(np.abs(error - np.median(error)))) * 2.5, 0.010), 0.050)
         now = error <= limit
         if now.sum() < least:
             return None

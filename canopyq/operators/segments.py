@@ -12,28 +12,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopyq.operators.spatial import within
-from canopyq.plans.storage import stored
+from canopyq.plans.storage import discard, stored
 
 
-def suppressed(tops: DataFrame, distance: float, key: str = "tree_id", height: str = "height_m", max_rounds: int = 200) -> DataFrame:
+def suppressed(tops: DataFrame, distance: float, key: str = "tree_id", height: str = "height_m") -> DataFrame:
     """Greedy non-maximum suppression: from the highest down, a top stays unless a kept one is nearer than ``distance``.
 
     Equal heights go by key, so the order is total and rounds give the greedy answer: a top is dropped once a better neighbour is kept, and kept once all better
-    neighbours are dropped. Conflicts come from a cell join; each round is written to the shared folder.
+    neighbours are dropped. Conflicts come from a cell join; each round is written to the shared folder. Rounds are at most the longest chain of tops that descends
+    in steps shorter than ``distance``.
     """
     right = tops.select(F.col(key).alias("_w"), F.col(height).alias("_h"), F.col("x").alias("rx"), F.col("y").alias("ry"))
     better = (F.col("_h") > F.col(height)) | ((F.col("_h") == F.col(height)) & (F.col("_w") < F.col(key)))
     conflicts = stored(within(tops.select(key, height, "x", "y"), right, distance).where((F.col("dist2") < distance * distance) & better).select(key, "_w"), "conflicts")
     state = stored(tops.select(key, F.lit(None).cast("boolean").alias("kept")), "state")
-    for _ in range(max_rounds):
+    while True:
         of = state.select(F.col(key).alias("_w"), F.col("kept").alias("_k"))
         seen = conflicts.join(of, "_w").groupBy(key).agg(F.coalesce(F.bool_or(F.coalesce("_k", F.lit(False))), F.lit(False)).alias("_any"), F.bool_or(F.col("_k").isNull()).alias("_open"))
         j = state.join(seen, key, "left")
         kept = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("_any"), False).when(F.coalesce("_open", F.lit(False)), F.lit(None).cast("boolean")).otherwise(True)
-        state = stored(j.select(key, kept.alias("kept")), "state")
+        before, state = state, stored(j.select(key, kept.alias("kept")), "state")
+        discard(before)
         if state.where("kept is null").isEmpty():
+            discard(conflicts)
             return tops.join(state.where("kept").select(key), key, "left_semi")
-    raise RuntimeError("suppression did not settle")
 
 
 def smoothed(grid: DataFrame, sigma: float = 1.0, truncate: float = 4.0) -> DataFrame:
@@ -172,8 +174,8 @@ def linearity_kernel(xyz: np.ndarray, k: int, block: int = 512) -> np.ndarray:
     for begin in range(0, n, block):
         part = xyz[begin : begin + block]
         d = ((part[:, None, :] - xyz[None, :, :]) ** 2).sum(2)
-        d[np.arange(len(part)), np.arange(begin, begin + len(part))] = -1
-        near = np.argpartition(d, k, axis=1)[:, : k + 1]
+        d[np.arange(len(part)), np.arange(begin, begin + len(part))] = np.inf
+        near = np.argpartition(d, k - 1, axis=1)[:, :k]
         group = xyz[near]
         group = group - group.mean(1, keepdims=True)
         values = np.linalg.eigvalsh(np.einsum("nki,nkj->nij", group, group) / k)
@@ -182,13 +184,14 @@ def linearity_kernel(xyz: np.ndarray, k: int, block: int = 512) -> np.ndarray:
 
 
 def linearity(points: DataFrame, by: str, key: str = "point_id", k: int = 20) -> DataFrame:
-    """Local linearity of each point within its tree; one task a tree, neighbours in blocks."""
+    """Local linearity of each point within its tree; one task a tree, neighbours in blocks. Points of no tree, with an id of 0 or less, score 0."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({by: pdf[by], key: pdf[key], "linearity": linearity_kernel(pdf[["x", "y", "z"]].to_numpy(float), k)})
 
     kinds = {c: points.schema[c].dataType.simpleString() for c in (by, key)}
-    return points.select(by, key, "x", "y", "z").groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {key} {kinds[key]}, linearity double")
+    found = points.where(F.col(by) > 0).select(by, key, "x", "y", "z").groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {key} {kinds[key]}, linearity double")
+    return found.unionByName(points.where(F.col(by) <= 0).select(by, key, F.lit(0.0).alias("linearity")))
 
 
 def principal_axes(points: DataFrame, by: str) -> DataFrame:

@@ -42,17 +42,17 @@ def radius_max(seeds: DataFrame, points: DataFrame, radius: float, key: str, fal
     return seeds.join(tops, key, "left").select(*seeds.columns, F.coalesce("_top", fallback).alias("top_z"))
 
 
-def nearest(left: DataFrame, right: DataFrame, radius: float, key: str = "point_id", right_key: str = "ground_id", max_rounds: int = 24) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, radius: float, key: str = "point_id", right_key: str = "ground_id") -> DataFrame:
     """The nearest right row (``right_key``, x, y) of each left row, ties to the smaller key: (key, right_key, distance).
 
     The search radius doubles for rows that found nothing, so each row is searched in cells about as wide as its own distance. Rounds are written to
-    the shared folder; an empty right side gives no row.
+    the shared folder, and are at most the logarithm of the largest distance over ``radius``. An empty right side gives no row; rows without coordinates have none either.
     """
-    target = right.select(F.col(right_key), F.col("x").alias("rx"), F.col("y").alias("ry"))
+    target = right.select(F.col(right_key), F.col("x").alias("rx"), F.col("y").alias("ry")).where("rx is not null and ry is not null and not isnan(rx) and not isnan(ry)")
     if target.isEmpty():
         return left.sparkSession.createDataFrame([], f"{key} long, {right_key} long, distance double")
-    open_rows, found = left.select(key, "x", "y"), None
-    for _ in range(max_rounds):
+    open_rows, found = left.where("x is not null and y is not null and not isnan(x) and not isnan(y)").select(key, "x", "y"), None
+    while True:
         best = within(open_rows, target, radius).groupBy(key).agg(F.min(F.struct("dist2", right_key)).alias("_b"))
         part = stored(best.select(key, F.col(f"_b.{right_key}").alias(right_key), F.sqrt("_b.dist2").alias("distance")), "nearest")
         found = part if found is None else found.unionByName(part)
@@ -60,7 +60,6 @@ def nearest(left: DataFrame, right: DataFrame, radius: float, key: str = "point_
         if open_rows.isEmpty():
             return found
         radius *= 2
-    raise ValueError("rows lie farther from any right row than the largest radius")
 
 
 def nearest_in_group(df: DataFrame, group: list[str], key: str, coordinates: list[str], k: int) -> DataFrame:
@@ -110,23 +109,27 @@ def majority_polygon(points: DataFrame, edges: DataFrame, strip: float, group: s
     return total.join(best, group, "left").select(group, "n_located", F.coalesce(F.col("b.n_hits"), F.lit(0)).cast("long").alias("n_hits"), F.when(ok, F.col("b.poly_id")).alias("poly_id"))
 
 
-def name_cascade(objects: DataFrame, sites: DataFrame, normal: Callable[[Column], Column], least: int = 5, most_sites: int = 100_000) -> DataFrame:
+def name_cascade(objects: DataFrame, sites: DataFrame, normal: Callable[[Column], Column], least: int = 5) -> DataFrame:
     """Site of each object by name: equality of keys with name or code, then the first site whose key of ``least`` letters is part of the object's.
 
-    Containment has no equi key. Sites are a dimension: up to ``most_sites`` their keys are broadcast. Beyond, candidates are found by
-    an equi join on the word at which a site's key begins, which containment at word starts implies.
+    A key that is part of another shares all its runs of ``least`` letters with it, so containment is an equi join on each site's rarest run, then a test; any number
+    of sites gives the same answer. Objects without a name, and sites without a key, match nothing.
     """
     o, s = objects.withColumn("_k", normal(F.col("name"))), sites.select("site_id", "ordinal", normal(F.col("name")).alias("_n"), normal(F.col("code")).alias("_c"))
     keys = s.select("site_id", "ordinal", F.explode(F.array("_n", "_c")).alias("_k")).where("_k <> ''").distinct()
     exact = o.where("_k <> ''").join(keys, "_k").groupBy("object_id").agg(F.min_by("site_id", "ordinal").alias("_exact"))
-    named = s.where(F.length("_n") >= least).select("site_id", "ordinal", "_n")
-    rest = o.where("_k <> ''").select("object_id", "_k")
-    if named.count() <= most_sites:
-        pairs = rest.join(F.broadcast(named), F.col("_k").contains(F.col("_n")))
-    else:
-        words = rest.withColumn("_w", F.explode(F.array_distinct(F.split("_k", " "))))
-        pairs = words.join(named.withColumn("_w", F.element_at(F.split("_n", " "), 1)), "_w").where(F.col("_k").contains(F.col("_n")))
-    part = pairs.groupBy("object_id").agg(F.min_by("site_id", "ordinal").alias("_part"))
+
+    def runs(key: str) -> Column:
+        return F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(key) - least + 1), lambda i: F.substr(F.col(key), i, F.lit(least))))).alias("_run")
+
+    named = s.where(F.length("_n") >= least).groupBy("_n").agg(F.min_by("site_id", "ordinal").alias("site_id"), F.min("ordinal").alias("ordinal"))
+    parts = named.select("_n", runs("_n"))
+    common = parts.groupBy("_run").agg(F.count(F.lit(1)).alias("_sites"))
+    rarest = parts.join(common, "_run").groupBy("_n").agg(F.min(F.struct("_sites", "_run"))["_run"].alias("_run"))
+    asked = o.where(F.length("_k") >= least).select("_k").distinct().select("_k", runs("_k"))
+    pairs = asked.join(named.join(rarest, "_n"), "_run").where(F.col("_k").contains(F.col("_n")))
+    first = pairs.groupBy("_k").agg(F.min_by("site_id", "ordinal").alias("_site"), F.min("ordinal").alias("_at"))
+    part = o.join(first, "_k").groupBy("object_id").agg(F.min_by("_site", "_at").alias("_part"))
     joined = objects.join(exact, "object_id", "left").join(part, "object_id", "left")
     how = F.when(F.col("_exact").isNotNull(), "name").when(F.col("_part").isNotNull(), "contains").otherwise("none")
     return joined.select(*objects.columns, F.coalesce("_exact", "_part").alias("site_id"), how.alias("matched_by"))

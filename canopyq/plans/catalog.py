@@ -446,10 +446,10 @@ def feed_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("""
-WITH o AS (SELECT o_custkey % 300 AS site_id, o_orderkey AS operation_id, o_orderstatus = 'O' AND o_orderkey % 7 = 0 AS b FROM orders WHERE o_orderkey % 11 = 0)
+WITH o AS (SELECT o_custkey * 8 + o_orderkey % 8 AS site_id, o_orderkey AS operation_id, o_orderstatus = 'O' AND o_orderkey % 7 = 0 AS b FROM orders)
 SELECT site_id, CASE WHEN count(*) FILTER (WHERE b) = 1 THEN max(CASE WHEN b THEN operation_id END) WHEN count(*) = 1 THEN max(operation_id) END AS operation_id FROM o GROUP BY 1""")
 def operation_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 11 = 0").selectExpr("o_custkey % 300 AS site_id", "o_orderkey AS operation_id", "CASE WHEN o_orderstatus = 'O' AND o_orderkey % 7 = 0 THEN 'in_progress' ELSE 'planned' END AS status")
+    made = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_custkey * 8 + o_orderkey % 8 AS site_id", "o_orderkey AS operation_id", "CASE WHEN o_orderstatus = 'O' AND o_orderkey % 7 = 0 THEN 'in_progress' ELSE 'planned' END AS status")
     return feed.operation_link(made)
 
 

@@ -1,4 +1,4 @@
-"""The machine-file feed as a stream: each file once, late ones within a watermark, rollups kept by epoch."""
+"""The machine-file feed as a stream: each file once, late ones too, rollups and a ledger kept by epoch."""
 
 from __future__ import annotations
 
@@ -8,12 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopyq.operators import feed
-from canopyq.plans.storage import shared_folder
-
-
-def deduplicated(files: DataFrame, time: str = "file_time", late: str = "1 hour", key: str = "file_name") -> DataFrame:
-    """Each file name once within the watermark; ``time`` is cast, since watermarks need a zoned timestamp."""
-    return files.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+from canopyq.plans.storage import discard, shared_folder, stored
 
 
 def session_activity(files: DataFrame, gap: str = "30 minutes", by: str = "machine", time: str = "file_time") -> DataFrame:
@@ -22,38 +17,54 @@ def session_activity(files: DataFrame, gap: str = "30 minutes", by: str = "machi
 
 
 class RollupSink:
-    """Keeps a rollup table up to date, one version an epoch.
+    """Keeps a rollup table and a ledger of file names up to date, one version of each an epoch, in a folder that outlives the driver.
 
-    An epoch's version is the last version merged with the epoch's files that the ledger doesn't have. A repeated epoch starts from
-    the version before it and writes the same content again, so restarts change nothing.
+    An epoch's version is the last one before it merged with the epoch's files that no earlier epoch's ledger has, so a file counts once however late it comes and however often. A
+    repeated epoch, or a restarted driver, starts from the version before it and writes the same content again.
     """
 
     def __init__(self, spark: SparkSession, by: list[str], folder: str | None = None) -> None:
         self.by = by
         self.folder = folder or f"{shared_folder(spark).rstrip('/')}/rollup-{uuid.uuid4().hex}"
-        self.last: dict[str, tuple[int, str] | None] = {"rollup": None, "before": None}
+
+    def _epochs(self, spark: SparkSession) -> list[int]:
+        """Epochs whose version is complete; the rollup is written after the ledger."""
+        context = spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/rollup")
+        system = path.getFileSystem(context._jsc.hadoopConfiguration())
+        names = [s.getPath() for s in system.listStatus(path)] if system.exists(path) else []
+        return sorted(int(n.getName()) for n in names if system.exists(context._jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS")))
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        if self.last["rollup"] and self.last["rollup"][0] == epoch:
-            self.last["rollup"] = self.last["before"]
-        change = feed.rollup(batch, self.by, "file_time", "volume_cm3", "machine")
-        if self.last["rollup"]:
-            change = feed.merged_rollup(spark.read.parquet(self.last["rollup"][1]), change, self.by)
-        path = f"{self.folder}/{epoch}"
-        change.write.mode("overwrite").parquet(path)
-        self.last["before"], self.last["rollup"] = self.last["rollup"], (epoch, path)
+        before = [e for e in self._epochs(spark) if e < epoch]
+        whole = F.struct(*batch.columns)
+        fresh = batch.groupBy("file_name").agg(F.min_by(whole, F.struct("file_time", *self.by)).alias("file")).select("file.*")
+        if before:
+            known = spark.read.parquet(*(f"{self.folder}/ledger/{e}" for e in before))
+            fresh = fresh.join(known, "file_name", "left_anti")
+        fresh = stored(fresh, "fresh")
+        fresh.select("file_name").write.mode("overwrite").parquet(f"{self.folder}/ledger/{epoch}")
+        change = feed.rollup(fresh, self.by, "file_time", "volume_cm3", "machine")
+        if before:
+            change = feed.merged_rollup(spark.read.parquet(f"{self.folder}/rollup/{before[-1]}"), change, self.by)
+        change.write.mode("overwrite").parquet(f"{self.folder}/rollup/{epoch}")
+        discard(fresh)
 
     def table(self, spark: SparkSession, schema: str) -> DataFrame:
         """The present rollup; empty before the first epoch."""
-        return spark.read.parquet(self.last["rollup"][1]) if self.last["rollup"] else spark.createDataFrame([], schema)
+        epochs = self._epochs(spark)
+        return spark.read.parquet(f"{self.folder}/rollup/{epochs[-1]}") if epochs else spark.createDataFrame([], schema)
 
 
-def rolled_up_stream(files: DataFrame, by: list[str]) -> DataFrame:
-    """Runs a stream of files to its present end and returns the rollup of all it held."""
+def rolled_up_stream(files: DataFrame, by: list[str], folder: str | None = None) -> DataFrame:
+    """Runs a stream of files to its present end and returns the rollup of all it held; with the same ``folder`` a later run goes on from there.
+
+    The ledger tells files apart, not a watermark: a late file counts whenever it arrives.
+    """
     spark = files.sparkSession
-    sink = RollupSink(spark, by)
-    query = deduplicated(files).writeStream.foreachBatch(sink).option("checkpointLocation", f"{sink.folder}/_checkpoint").trigger(availableNow=True).start()
+    sink = RollupSink(spark, by, folder)
+    query = files.withColumn("file_time", F.col("file_time").cast("timestamp")).writeStream.foreachBatch(sink).option("checkpointLocation", f"{sink.folder}/_checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     kinds = ", ".join(f"{c} {files.schema[c].dataType.simpleString()}" for c in by)
     return sink.table(spark, f"{kinds}, n_files long, volume long, first_at timestamp, last_at timestamp, machines array<string>")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from canopyq.functions import scalar as S
-from canopyq.operators import feed, grid, harvest, segments, stems
+from canopyq.operators import circles, feed, grid, harvest, segments, spatial, stems
 from canopyq.sources import files as sources
 from canopyq.streaming import feed_stream
 
@@ -107,3 +107,70 @@ def test_repeated_epoch_changes_nothing(spark):
         sink(files.withColumn("file_name", F.lit(f"f{epoch}")), epoch)
     (row,) = sink.table(spark, "").collect()
     assert (row.n_files, row.volume) == (2, 10)
+
+
+def test_a_file_counts_once_over_epochs_restarts_and_late(spark, tmp_path):
+    def batch(*names):
+        rows = [(n, 1, f"2024-01-0{1 + len(n) % 3} 10:00:00", 5, "m") for n in names]
+        return spark.createDataFrame(rows, "file_name string, object_id long, file_time string, volume_cm3 long, machine string").withColumn("file_time", F.col("file_time").cast("timestamp"))
+
+    folder = f"file://{tmp_path}/roll"
+    for epoch, names in enumerate((["aaa", "b", "b"], ["aaa", "cc"], ["d"], ["b"])):
+        feed_stream.RollupSink(spark, ["object_id"], folder)(batch(*names), epoch)  # a new sink, as after a restart
+    feed_stream.RollupSink(spark, ["object_id"], folder)(batch("b"), 3)
+    (row,) = feed_stream.RollupSink(spark, ["object_id"], folder).table(spark, "").collect()
+    assert (row.n_files, row.volume) == (4, 20)
+
+
+def test_stream_in_several_epochs_equals_the_batch(spark, tmp_path):
+    source, folder = tmp_path / "in", f"file://{tmp_path}/out"
+    schema = "file_name string, object_id long, file_time timestamp, volume_cm3 long, machine string"
+    for part, names in enumerate((["x1", "x2"], ["x2", "x3"], ["x1", "x4"])):
+        rows = spark.createDataFrame([(n, int(n[1]) % 2, n) for n in names], "file_name string, object_id long, machine string")
+        late = rows.withColumns({"file_time": F.lit(f"2024-01-{10 - part:02d} 00:00:00").cast("timestamp"), "volume_cm3": F.lit(2).cast("long")})
+        late.select("file_name", "object_id", "file_time", "volume_cm3", "machine").write.mode("append").parquet(str(source))
+        got = feed_stream.rolled_up_stream(spark.readStream.schema(schema).parquet(str(source)), ["object_id"], folder)
+    assert {(r.object_id, r.n_files, r.volume) for r in got.collect()} == {(0, 2, 4), (1, 2, 4)}
+
+
+def test_containment_is_the_same_for_any_number_of_sites(spark):
+    objects = spark.createDataFrame([(1, "Greatoakwood 7"), (2, "Oakwood"), (3, "the oakwo"), (4, None), (5, "Elm")], "object_id long, name string")
+    sites = [(1, 1, "Oakwood", "c1"), (2, 2, "Greatoak", "c2"), (3, 3, "Elm", None), (4, 4, None, "")] + [(i, i, f"Filler {i} oakw", None) for i in range(5, 300)]
+    got = spatial.name_cascade(objects, spark.createDataFrame(sites, "site_id long, ordinal long, name string, code string"), S.match_key)
+    assert {r.object_id: (r.site_id, r.matched_by) for r in got.collect()} == {1: (1, "contains"), 2: (1, "name"), 3: (None, "none"), 4: (None, "none"), 5: (3, "name")}
+
+
+def test_linearity_leaves_the_point_out(spark):
+    rng = np.random.default_rng(12)
+    xyz, k = rng.normal(0, 1, (60, 3)), 20
+    got = segments.linearity_kernel(xyz, k)
+    for i in range(60):
+        others = xyz[np.argsort(((xyz - xyz[i]) ** 2).sum(1))[1 : k + 1]]
+        values = np.linalg.eigvalsh(np.cov(others.T))
+        assert abs(got[i] - (values[2] - values[1]) / values[2]) < 1e-9
+    none = spark.createDataFrame([(0, i, float(i), 0.0, 0.0) for i in range(30)], "tree_id long, point_id long, x double, y double, z double")
+    assert {r.linearity for r in segments.linearity(none, "tree_id").collect()} == {0.0}
+
+
+def test_circle_tolerance_is_the_deviation_from_the_median():
+    rng = np.random.default_rng(2)
+    angle = rng.uniform(0, 2 * np.pi, 80)
+    ring = 0.1 + np.where(np.arange(80) % 2, 0.012, -0.012) + rng.normal(0, 0.004, 80)
+    x, y = ring * np.cos(angle), ring * np.sin(angle)
+    start = np.median(x), np.median(y), np.median(np.hypot(x - np.median(x), y - np.median(y)))
+    cx, cy, r = circles._refined(x, y, start)
+    error = np.abs(np.hypot(x - cx, y - cy) - r)
+    limit = np.clip(1.4826 * np.median(np.abs(error - np.median(error))) * 2.5, 0.010, 0.050)
+    want = int((error <= limit).sum())
+    assert 6 <= want < 80 and circles.robust_circle(x, y, rounds=1)[4] == want
+
+
+def test_suppression_of_a_long_chain(spark):
+    tops = spark.createDataFrame([(i, float(i), 0.0, 100.0 - i) for i in range(14)], "tree_id long, x double, y double, height_m double")
+    assert sorted(r.tree_id for r in segments.suppressed(tops, 1.5).collect()) == list(range(0, 14, 2))
+
+
+def test_nearest_of_a_far_row(spark):
+    left = spark.createDataFrame([(1, 0.0, 0.0), (2, 5e7, 0.0), (3, None, 1.0)], "point_id long, x double, y double")
+    right = spark.createDataFrame([(7, 1.0, 0.0)], "ground_id long, x double, y double")
+    assert {(r.point_id, r.ground_id) for r in spatial.nearest(left, right, 0.5).collect()} == {(1, 7), (2, 7)}
