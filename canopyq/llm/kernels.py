@@ -2,7 +2,7 @@
 
 A chunk of documents is one ``uint8`` array with row offsets. Words and lines are
 found by byte classes, and hashed with a polynomial modulo the prime 2**61 - 1:
-prefix sums give the hash of any span in O(1), so whole chunks are tokenised and
+sums over spans hash all words of a chunk at once, so whole chunks are tokenised and
 hashed without a Python loop over words. The prime matters: modulo a power of two, strings built
 like the Thue-Morse sequence collide whatever the base. Temporary memory is a small multiple of
 the chunk, never of the partition.
@@ -30,8 +30,8 @@ BYTE_VALUES = np.arange(1, 257, dtype=np.uint64)
 #: The same with A-Z folded onto a-z.
 FOLDED_VALUES = BYTE_VALUES.copy()
 FOLDED_VALUES[65:91] = BYTE_VALUES[97:123]
-#: Sums of byte terms are exact below this length; longer spans are hashed by themselves.
-_LONG = 1 << 24
+#: Longer spans are hashed by a digest, so tables of powers stay small.
+_LONG = 1 << 16
 
 
 def times(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -89,25 +89,54 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Prefix:
-    """Prefix sums of one chunk's polynomial; ``span`` hashes any spans of it."""
+    """Hashes of spans of one chunk: of its bytes' ``values`` as coefficients, the first byte's lowest."""
 
     def __init__(self, data: np.ndarray, values: np.ndarray) -> None:
-        p, self.inverse = powers(len(data) + 1)
         self.data, self.values = data, values
-        self.high, self.low = np.zeros(len(data) + 1, np.uint64), np.zeros(len(data) + 1, np.uint64)
-        terms = values[data]
-        np.cumsum(terms * (p[:-1] >> np.uint64(31)), out=self.high[1:])
-        np.cumsum(terms * (p[:-1] & _LOW31), out=self.low[1:])
 
     def span(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Equal for equal spans wherever they stand; different spans agree by chance alone, once in 2**61 for each byte of the longer."""
-        high, low = _reduced(self.high[ends] - self.high[starts]), _reduced(self.low[ends] - self.low[starts])
-        out = mix(times(_reduced(times(high, np.uint64(1 << 31)) + low), self.inverse[starts]))
-        for i in np.flatnonzero(ends - starts >= _LONG).tolist():
+        """Equal for equal spans wherever they stand; different spans agree by chance alone, once in 2**61 for each byte of the longer.
+
+        Spans are handled some at a time, so temporary memory is bounded for a text of any length.
+        """
+        length = ends - starts
+        out = np.zeros(len(starts), np.uint64)
+        long = length > _LONG
+        for i in np.flatnonzero(long).tolist():
             digest = blake2b(self.values[self.data[starts[i] : ends[i]]].astype("<u2").tobytes(), digest_size=8).digest()
             out[i] = int.from_bytes(digest, "little")
+        some = np.flatnonzero((length > 0) & ~long)
+        upto = np.cumsum(length[some])
+        at = 0
+        while at < len(some):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK_BYTES, "right")))
+            part = some[at:end]
+            out[part] = self._hash(starts[part], length[part])
+            at = end
+        out[length == 0] = mix(np.zeros(1, np.uint64))[0]
         return out
 
+    def _hash(self, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+        first = np.cumsum(length) - length
+        place = np.arange(int(length.sum()), dtype=np.int32)
+        terms = self.values[self.data[place + np.repeat(starts - first, length)]]
+        place -= np.repeat(first.astype(np.int32), length)
+        high, low = _halves(int(length.max()))
+        high = np.add.reduceat(terms * high[place], first)
+        terms *= low[place]
+        return mix(_reduced(times(_reduced(high), np.uint64(1 << 31)) + _reduced(np.add.reduceat(terms, first))))
+
+
+_tables = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
+
+
+def _halves(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """High and low parts of the first ``n`` powers at least."""
+    if len(_tables[0]) < n:
+        p, _ = powers(1 << int(n).bit_length())
+        _tables[:] = p >> np.uint64(31), p & _LOW31
+    return _tables[0], _tables[1]
+
 
 def window_hashes(values: np.ndarray, n: int) -> np.ndarray:
     """Rolling hashes of every window of ``n`` consecutive values."""
