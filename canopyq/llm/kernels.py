@@ -32,6 +32,8 @@ FOLDED_VALUES = BYTE_VALUES.copy()
 FOLDED_VALUES[65:91] = BYTE_VALUES[97:123]
 #: Longer spans are hashed by a digest, so tables of powers stay small.
 _LONG = 1 << 16
+#: Bytes of spans that are hashed at once.
+_SPAN_BYTES = 1 << 17
 
 
 def times(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -109,7 +111,7 @@ class Prefix:
         upto = np.cumsum(length[some])
         at = 0
         while at < len(some):
-            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK_BYTES, "right")))
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _SPAN_BYTES, "right")))
             part = some[at:end]
             out[part] = self._hash(starts[part], length[part])
             at = end
