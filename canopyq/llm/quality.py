@@ -174,8 +174,8 @@ def score(docs: DataFrame, model: FactorMachine, keep: tuple[str, ...] = ("doc_i
     def kernel(data: np.ndarray, offsets: np.ndarray, recorded: pa.Array) -> list[pa.Array]:
         return [pa.array(shared.value.score(*features(data, offsets, _recorded(recorded))))]
 
-    content, recorded = _inputs(docs, text)
-    return annotated(docs, keep, content, [recorded], lambda: kernel, {"score": "double"}, where)
+    _, recorded = _inputs(docs, text)
+    return annotated(docs, keep, text, [recorded], lambda: kernel, {"score": "double"}, where)
 
 
 def quality(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCUMENTS, threshold: float = 0.3) -> DataFrame:

@@ -121,4 +121,4 @@ def repetition_rules(docs: DataFrame, rules: RepetitionRules = RepetitionRules()
         found = measure(data, offsets, rules)
         return [lists(found[name]) if kind.startswith("array") else pa.array(found[name]) for name, kind in RESULTS.items()]
 
-    return annotated(docs, keep, docs[text], [], lambda: kernel, RESULTS)
+    return annotated(docs, keep, text, [], lambda: kernel, RESULTS)

@@ -15,27 +15,30 @@ from canopyq.llm import kernels as K
 Kernel = Callable[..., list[pa.Array]]
 
 
-def annotated(docs: DataFrame, keep: tuple[str, ...], text: Column, others: list[Column], make: Callable[[], Kernel], results: dict[str, str], where: str | None = None) -> DataFrame:
-    """The columns ``keep`` of each row and the results of a kernel on its text.
+def annotated(docs: DataFrame, keep: tuple[str, ...], text: str, others: list[Column], make: Callable[[], Kernel], results: dict[str, str], where: str | None = None) -> DataFrame:
+    """The columns ``keep`` of each row and the results of a kernel on its column ``text``.
 
     ``make`` runs once a task and returns the kernel. Inside, columns go by place, so names of the input never clash with
-    those of results; with ``where``, a condition on the results, rows are filtered by it and the results dropped.
+    those of results; with ``where``, a condition on the results, rows are filtered by it and the results dropped. A text that is kept is sent once.
     """
     types = [docs.schema[c].dataType.simpleString() for c in keep]
     schema = ", ".join([f"k{i} {t}" for i, t in enumerate(types)] + [f"{name} {t}" for name, t in results.items()])
     n, m = len(keep), len(others)
+    kept = next((i for i, c in enumerate(keep) if c == text and types[i] == "string"), None)
+    place, more_at = (n, n + 1) if kept is None else (kept, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make()
         for batch in batches:
-            data, offsets = K.string_parts(batch.column(n))
-            more = [batch.column(n + 1 + i) for i in range(m)]
+            data, offsets = K.string_parts(batch.column(place))
+            more = [batch.column(more_at + i) for i in range(m)]
             for a, b, part, at in K.chunks(data, offsets):
                 found = kernel(part, at, *(c.slice(a, b - a) for c in more))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(n)), *found], [*(f"k{i}" for i in range(n)), *results])
 
     quoted = [docs[f"`{c}`"] for c in keep]
-    inputs = [c.alias(f"k{i}") for i, c in enumerate(quoted)] + [text.cast("string").alias("t")] + [c.alias(f"o{i}") for i, c in enumerate(others)]
+    sent = [docs[f"`{text}`"].cast("string").alias("t")] if kept is None else []
+    inputs = [c.alias(f"k{i}") for i, c in enumerate(quoted)] + sent + [c.alias(f"o{i}") for i, c in enumerate(others)]
     out = docs.select(*inputs).mapInArrow(run, schema)
     named = [F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]
     return out.where(where).select(*named) if where else out.select(*named, *results)

@@ -150,7 +150,7 @@ def score(docs: DataFrame, model: NoisyOrModel, keep: tuple[str, ...] = ("doc_id
         )
         return [pa.array(-np.expm1(log_clear)), pa.array(np.bincount(row, minlength=n)), spans]
 
-    return annotated(docs, keep, docs[text], [], make, RESULTS, where)
+    return annotated(docs, keep, text, [], make, RESULTS, where)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCUMENTS) -> DataFrame:
