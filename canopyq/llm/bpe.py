@@ -182,7 +182,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str | None = None, text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = WordEndCodec(path)
-        for batch in batches:
+        for batch in K.lean(batches):
             _, offsets = K.string_parts(batch.column(1))
             for a, b, _, _ in K.chunks(np.zeros(int(offsets[-1]), np.uint8), offsets):
                 found = list(codec.digest([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]))

@@ -153,7 +153,7 @@ def _signed(docs: DataFrame, rules: JoinRules) -> DataFrame:
     """Key, signature and bucket keys of each row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.lean(batches):
             data, offsets = K.string_parts(batch.column(2))
             for a, b, part, at in K.chunks(data, offsets):
                 values, cuts = shingles(part, at, rules.width)
@@ -349,7 +349,7 @@ def _gram_sets(docs: DataFrame, width: int) -> DataFrame:
     """The n-gram set of each row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.lean(batches):
             data, offsets = K.string_parts(batch.column(1))
             for a, b, part, at in K.chunks(data, offsets):
                 values, cuts = shingles(part, at, width)

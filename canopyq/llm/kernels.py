@@ -176,6 +176,14 @@ def same_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarra
     return out
 
 
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, with the memory that Arrow's pool keeps of earlier ones given back between them: Python workers outlive tasks."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def string_parts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -253,7 +253,7 @@ def scan_licences(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = LicenceScanner(chosen, rules)
-        for batch in batches:
+        for batch in K.lean(batches):
             data, offsets = K.string_parts(batch.column(1))
             for a, b, part, at in K.chunks(data, offsets):
                 columns = zip(*scanner.scan(part, at), strict=True)

@@ -90,7 +90,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity:
             waiting.clear()
             return batch
 
-        for batch in batches:
+        for batch in K.lean(batches):
             data, offsets = K.string_parts(batch.column(1))
             for a, b, part, at in K.chunks(data, offsets):
                 flat, bounds = encoder.encode(part, at)

@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     """Fits on a bounded sample of labelled documents; equal texts count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.lean(batches):
             data, offsets = K.string_parts(batch.column(0))
             recorded = _recorded(batch.column(1))
             for a, b, part, at in K.chunks(data, offsets):

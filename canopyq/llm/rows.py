@@ -29,7 +29,7 @@ def annotated(docs: DataFrame, keep: tuple[str, ...], text: str, others: list[Co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make()
-        for batch in batches:
+        for batch in K.lean(batches):
             data, offsets = K.string_parts(batch.column(place))
             more = [batch.column(more_at + i) for i in range(m)]
             for a, b, part, at in K.chunks(data, offsets):

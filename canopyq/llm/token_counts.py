@@ -291,7 +291,7 @@ def edited_token_counts(
                 return None
             return np.array(counts, np.int64), np.array(lengths, np.int64)
 
-        for batch in batches:
+        for batch in K.lean(batches):
             data, offsets = K.string_parts(batch.column("t"))
             for a, b, part, at in K.chunks(data, offsets):
                 if not state:
