@@ -11,6 +11,19 @@ from pyspark.sql import functions as F
 TARIFF_E, TARIFF_K, TARIFF_C, TARIFF_D = 0.0360541, 0.315049301, 0.138763302, 0.118288
 HEIGHT_TARIFF = (8.292030, 1.771173, -0.416509)
 
+#: Form factor of each species code and the spellings that mean it, fixed values of the method.
+FORM_FACTORS = {"SS": 0.42, "NS": 0.42, "SP": 0.43, "DF": 0.44, "LP": 0.41, "EL": 0.40, "JL": 0.40, "HL": 0.40}
+SPELLINGS = {
+    "SS": ("ss", "sitka", "sitka spruce"),
+    "NS": ("ns", "norway", "norway spruce"),
+    "SP": ("sp", "scots", "scots pine", "scotspine"),
+    "DF": ("df", "douglas", "douglas fir"),
+    "LP": ("lp", "lodgepole", "lodgepole pine"),
+    "EL": ("el", "european larch"),
+    "JL": ("jl", "japanese larch", "larch"),
+    "HL": ("hl", "hybrid larch"),
+}
+
 # --- text and missing values
 
 
@@ -62,6 +75,56 @@ def folded_species(name: Column) -> Column:
     return F.when(low.contains("spruce") | low.isin("ss", "ns"), F.lit("spruce")).otherwise(low)
 
 
+def stripped(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _looked_up(key: Column, values: dict) -> Column:
+    """The value of a key in a small table of constants; null if it has none."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), key)
+
+
+def species_code(label: Column) -> Column:
+    """Code of a species by any of its spellings; null for other labels."""
+    return _looked_up(F.lower(stripped(label)), {name: code for code, names in SPELLINGS.items() for name in names})
+
+
+def form_factor(label: Column, default: float = 0.42) -> Column:
+    """Form factor of a species by its label; ``default`` for labels that are unknown or null."""
+    return F.coalesce(_looked_up(species_code(label), FORM_FACTORS), F.lit(default))
+
+
+def path_key(path: Column, host: str = "amazonaws.com/") -> Column:
+    """Key of a stored object from a bare key, a bucket path or a URL of ``host``; null if there is none."""
+    text = stripped(path)
+    bucket = F.when(F.locate("/", text, 6) > 0, F.substr(text, F.locate("/", text, 6) + 1))
+    hosted = F.when(F.instr(text, host) > 0, F.substr(text, F.instr(text, host) + len(host)))
+    return F.when(text.startswith("s3://"), bucket).otherwise(F.coalesce(hosted, F.nullif(F.ltrim(text, F.lit("/")), F.lit(""))))
+
+
+def last_line_json(text: Column, schema: str) -> Column:
+    """The last line of a log as a record; null if it is none."""
+    return F.from_json(F.element_at(F.split(stripped(text), "\n"), -1), schema)
+
+
+def appended(values: Column, value: Column) -> Column:
+    """A list with a value at its end unless the list has it or the value is null or empty; a null list counts as empty."""
+    known = F.coalesce(values, F.array().cast("array<string>"))
+    text = value.cast("string")
+    return F.when((F.coalesce(text, F.lit("")) == "") | F.array_contains(known, F.coalesce(text, F.lit(""))), known).otherwise(F.concat(known, F.array(text)))
+
+
+def addressed_to(addresses: Column, marker: str) -> Column:
+    """Whether any address begins with a marker; false without addresses."""
+    return F.coalesce(F.exists(addresses, lambda a: F.coalesce(a.startswith(marker), F.lit(False))), F.lit(False))
+
+
+def utc_hour(time: Column) -> Column:
+    """Hour of the day in UTC, whatever the session's time zone."""
+    return F.pmod(F.floor(F.unix_seconds(time) / 3600), F.lit(24)).cast("int")
+
+
 def machine_kind(text: Column) -> Column:
     low = F.lower(text)
     return F.when(low.rlike("harvest"), "harvester").when(low.rlike("forward"), "forwarder").when(low.rlike("skid"), "skidder").otherwise("other")
@@ -194,3 +257,34 @@ def hue_colour(hue: Column) -> Column:
     """Full-saturation colour of a hue from 0 to 1 as array<int> of red, green and blue up to 65535."""
     part = lambda centre: clamp(2.0 - F.abs(F.pmod(hue * 6.0 - centre + 3.0, F.lit(6.0)) - 3.0), 0.0, 1.0)
     return F.array(*((part(c) * 65535.0).cast("int") for c in (0.0, 2.0, 4.0)))
+
+
+def hsv_colour(hue: Column, saturation: Column, value: Column) -> Column:
+    """Colour of hue, saturation and value, each from 0 to 1, as array<int> up to 65535."""
+    full = lambda centre: clamp(2.0 - F.abs(F.pmod(hue * 6.0 - centre + 3.0, F.lit(6.0)) - 3.0), 0.0, 1.0)
+    return F.array(*((value * (1.0 - saturation + saturation * full(c)) * 65535.0).cast("int") for c in (0.0, 2.0, 4.0)))
+
+
+def golden_colour(number: Column) -> Column:
+    """Distinct colours for whole numbers: the hue moves on by the golden ratio."""
+    return hue_colour(F.pmod(number * 0.6180339887498949, F.lit(1.0)))
+
+
+def palette_colour(place: Column, size: Column) -> Column:
+    """Colour at a place, from 0, of a palette of evenly spaced hues; saturation alternates, every third is darker."""
+    return hsv_colour(place / F.greatest(size, F.lit(1)), F.when(place % 2 == 0, 0.9).otherwise(0.6), F.when(place % 3 != 0, 0.9).otherwise(0.7))
+
+
+def diagnostic_colour(crown: Column, dense: Column, final: Column) -> Column:
+    """Colour of a point by what became of it: green kept, grey too sparse, blue in no crown, red taken out later."""
+    colour = lambda *parts: F.array(*map(F.lit, parts))
+    return F.when(dense & (final > 0), colour(0, 65535, 0)).when(~dense, colour(32767, 32767, 32767)).when(crown == 0, colour(0, 0, 65535)).otherwise(colour(65535, 0, 0))
+
+
+def bounding_box(rings: Column) -> Column:
+    """Extent of a polygon's rings, array<array<array<double>>>, as a struct; null without a corner."""
+    corners = F.flatten(rings)
+    along = lambda i: F.transform(corners, lambda p: p[i])
+    x, y = along(0), along(1)
+    box = F.struct(F.array_min(x).alias("x_min"), F.array_min(y).alias("y_min"), F.array_max(x).alias("x_max"), F.array_max(y).alias("y_max"))
+    return F.when(F.size(corners) > 0, box)

@@ -5,11 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 LOW, HIGH = 0.035, 0.25
 
 
-def _refined(x: np.ndarray, y: np.ndarray, start: tuple[float, float, float], steps: int = 30) -> tuple[float, float, float]:
+def _refined(x: np.ndarray, y: np.ndarray, start: tuple[float, float, float], steps: int = 30, low: float = LOW, high: float = HIGH) -> tuple[float, float, float]:
     """Least squares of distance minus radius by damped Gauss-Newton with the radius kept in bounds."""
     p, damp = np.array(start, float), 1e-3
 
@@ -25,7 +26,7 @@ def _refined(x: np.ndarray, y: np.ndarray, start: tuple[float, float, float], st
             q = p - np.linalg.solve(a + damp * np.diag(np.diag(a) + 1e-12), g)
         except np.linalg.LinAlgError:
             break
-        q[2] = min(max(q[2], LOW), HIGH)
+        q[2] = min(max(q[2], low), high)
         s = residual(q)
         if s @ s < r @ r:
             small = np.abs(q - p).max() < 1e-9
@@ -91,3 +92,47 @@ def slice_fits(points: DataFrame, by: list[str], shrink: float = 1.0) -> DataFra
         return pd.DataFrame([[*key, *row]])
 
     return points.select(*by, "x", "y").groupBy(*by).applyInPandas(run, schema)
+
+
+#: Heights of the slices that seeds are fitted on, their step, least points of one, radii of a stem, and slices that a seed needs.
+SEED_FROM, SEED_TO, SEED_STEP, SEED_POINTS, SEED_RADII, SEED_SLICES = 0.5, 5.0, 0.2, 10, (0.035, 0.4), 3
+
+
+def seed_circle(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, float] | None:
+    """Centre, radius and cost, half the squared residuals, of a plain least-squares circle; None if its radius is no stem's."""
+    start = float(x.mean()), float(y.mean())
+    start = *start, max(float(np.median(np.hypot(x - start[0], y - start[1]))), 0.05)
+    cx, cy, r = _refined(x, y, start, steps=100, low=-np.inf, high=np.inf)
+    if not SEED_RADII[0] < abs(r) < SEED_RADII[1]:
+        return None
+    return cx, cy, abs(r), float(0.5 * ((np.hypot(x - cx, y - cy) - r) ** 2).sum())
+
+
+def seed_fits(points: DataFrame, by: str = "tree_id") -> DataFrame:
+    """Circles of the slices of each tree's lower stem, as (tree, slice, cx, cy, r, cost); slices with few points or no stem's radius have none.
+
+    Points of no tree, with an id of 0 or less, are left out. One group is one slice of one tree.
+    """
+    kind = points.schema[by].dataType.simpleString()
+    place = F.floor((F.col("z") - SEED_FROM) / SEED_STEP).cast("int")
+    slices = points.where(F.col(by) > 0).select(by, "x", "y", place.alias("slice")).where(F.col("slice").between(0, round((SEED_TO - SEED_FROM) / SEED_STEP + 0.5) - 1))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        found = seed_circle(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)) if len(pdf) >= SEED_POINTS else None
+        return pd.DataFrame([[*key, *found]] if found else [], columns=[by, "slice", "cx", "cy", "r", "cost"])
+
+    return slices.groupBy(by, "slice").applyInPandas(run, f"{by} {kind}, slice int, cx double, cy double, r double, cost double")
+
+
+def seeds(trees: DataFrame, fits: DataFrame, by: str = "tree_id", least: int = SEED_SLICES) -> DataFrame:
+    """The seed of each tree: medians of its slices' centres and radii and the mean cost, null below ``least`` slices; trees without a fit too.
+
+    ``trees`` has the tree and n_points.
+    """
+    known = lambda c: F.when(F.count(F.lit(1)) >= least, c)
+    middle = fits.groupBy(by).agg(
+        F.count(F.lit(1)).alias("_n"), *(known(F.median(c)).alias(f"seed_{n}") for c, n in (("cx", "cx"), ("cy", "cy"), ("r", "r_m"))), known(F.avg("cost")).alias("seed_mean_cost")
+    )
+    number = F.coalesce("_n", F.lit(0)).cast("long")
+    status = F.when(F.col("n_points") == 0, "empty_tree").when(number < least, "insufficient_seed_slices").otherwise("seed_ok")
+    return trees.select(by, "n_points").join(middle, by, "left").select(by, status.alias("seed_status"), "seed_cx", "seed_cy", "seed_r_m", number.alias("seed_n_slices"), "seed_mean_cost")

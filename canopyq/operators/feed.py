@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -178,3 +181,56 @@ def pushed_out(hull: Column, metres: float = 25.0) -> Column:
     far = lambda p: F.sqrt((p["x"] - cx) * (p["x"] - cx) + (p["y"] - cy) * (p["y"] - cy))
     move = lambda p, c, m: p[c] + F.coalesce(F.try_divide((p[c] - m) * metres, far(p)), F.lit(0.0))
     return F.transform(hull, lambda p: F.struct(move(p, "x", cx).alias("x"), move(p, "y", cy).alias("y")))
+
+
+def leaf_sites(sites: DataFrame) -> DataFrame:
+    """Sites that are neither deleted nor a grouping of other sites."""
+    return sites.where(F.col("deleted_at").isNull() & ~F.coalesce(F.col("kind").isin("portfolio", "estate"), F.lit(False)))
+
+
+def poll_window(last_good: Column, now: Column, overlap_minutes: int = 60, backfill_days: int = 14) -> Column:
+    """Window of a poll as a struct: from an overlap before the last good run, on the first run from some days back, until now."""
+    start = F.coalesce(last_good - F.make_interval(mins=F.lit(overlap_minutes)), now - F.make_interval(days=F.lit(backfill_days)))
+    return F.struct(start.alias("window_start"), now.alias("window_end"))
+
+
+def listed_by_type(listers: Mapping[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, dict[str, str]]:
+    """Union of what each type's lister gives, with its type, and the errors of those that fail: one type never sinks the others.
+
+    A lister should reach its source when called, as readers that resolve their paths do.
+    """
+    parts, errors = [], {}
+    for kind, lister in listers.items():
+        try:
+            parts.append(lister().withColumn("file_type", F.lit(kind)))
+        except Exception as error:  # a vendor's listing may fail in any way; the run reports it and goes on
+            errors[kind] = str(error)[:300]
+    return (reduce(DataFrame.unionByName, parts) if parts else None), errors
+
+
+def unassigned(files: DataFrame) -> DataFrame:
+    """Parsed harvester files without a site: the backlog to match again."""
+    return files.where((F.col("file_type") == "hpr") & (F.col("parse_status") == "parsed") & F.col("site_id").isNull())
+
+
+def rematched(files: DataFrame, found: DataFrame, operations: DataFrame) -> DataFrame:
+    """``files`` with the backlog's sites and operations filled from ``found`` (object_id, site_id, matched_by); others stay as they are.
+
+    ``files`` has object_id, file_type, parse_status, site_id, operation_id and matched_by.
+    """
+    link = found.where("site_id is not null").select("object_id", F.col("site_id").alias("_site"), F.col("matched_by").alias("_how"))
+    link = link.join(operation_link(operations).select(F.col("site_id").alias("_site"), F.col("operation_id").alias("_operation")), "_site", "left")
+    open_ = F.coalesce((F.col("file_type") == "hpr") & (F.col("parse_status") == "parsed"), F.lit(False)) & F.col("site_id").isNull() & F.col("_site").isNotNull()
+    new = {"site_id": "_site", "operation_id": "_operation", "matched_by": "_how"}
+    out = files.join(link, "object_id", "left")
+    return out.select(*(F.when(open_, F.col(new[c])).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in files.columns))
+
+
+def sizes_filled(jobs: DataFrame, listing: DataFrame, paths: list[str], key: str = "job_id") -> DataFrame:
+    """``jobs`` with null size_bytes filled by the sum over the objects that their paths name; null where none is listed.
+
+    ``listing`` has one row for each object: object_key and bytes.
+    """
+    open_ = jobs.where("size_bytes is null").select(key, F.explode(F.array(*(S.path_key(F.col(p)) for p in paths))).alias("object_key"))
+    found = open_.where("object_key <> ''").join(listing.select("object_key", "bytes"), "object_key").groupBy(key).agg(F.sum("bytes").alias("_found"))
+    return jobs.join(found, key, "left").withColumn("size_bytes", F.coalesce("size_bytes", "_found")).select(*jobs.columns)

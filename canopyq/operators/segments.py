@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -216,3 +217,40 @@ def segment_tiers(segments: DataFrame, most_failures: int = 3) -> DataFrame:
     out = segments.withColumn("fail_reasons", F.array_join(reasons, ";")).withColumn("failures", F.size(reasons))
     status = F.when((F.col("failures") >= most_failures) | (F.col("n_points") == 0), "rejected").otherwise("accepted")
     return out.withColumn("segment_status", status).withColumn("segment_qc_tier", F.when(status == "rejected", "reject").when(F.col("failures") == 0, "high").when(F.col("failures") == 1, "medium").otherwise("low"))
+
+
+@dataclass(frozen=True)
+class ScoreRules:
+    """Limits of a segment's score: points, linearity and verticality, slices, mean and largest drift in metres, failures that reject."""
+
+    points: int = 30
+    linearity: float = 0.45
+    verticality: float = 0.55
+    slices: int = 3
+    drift_mean: float = 0.25
+    drift_max: float = 0.50
+    failures: int = 3
+
+
+def segment_scores(segments: DataFrame, rules: ScoreRules = ScoreRules()) -> DataFrame:
+    """Failures, reasons, status and tier of candidate segments.
+
+    ``segments`` has n_points, linearity, verticality, n_slices, drift_mean and drift_max. Too few points or low linearity is a failure; verticality, slices and
+    drift only warn. A candidate is rejected at ``rules.failures`` failures, more than these two checks give by themselves: later steps drop it, not this one.
+    """
+    few = F.coalesce(F.col("n_points"), F.lit(0)) < rules.points
+    bent = ~few & (F.col("linearity") < rules.linearity)
+    leaning = ~few & (F.col("verticality") < rules.verticality)
+    short = F.coalesce(F.col("n_slices"), F.lit(0)) < rules.slices
+    drifting = ~short & (F.col("drift_mean") > rules.drift_mean) & (F.col("drift_max") > rules.drift_max)
+    marks = [
+        F.when(few, "too_few_points"), F.when(bent, F.format_string("linearity=%.2f", "linearity")), F.when(leaning, F.format_string("verticality_warn=%.2f", "verticality")),
+        F.when(short, "too_few_slices_warn"), F.when(drifting, F.format_string("drift_warn=%.2f", "drift_mean")),
+    ]
+    failures = F.coalesce(few, F.lit(False)).cast("int") + F.coalesce(bent, F.lit(False)).cast("int")
+    out = segments.withColumn("fail_reasons", F.array_join(F.array(*marks), ";")).withColumn("failures", failures)
+    rejected, warned = F.col("failures") >= rules.failures, F.col("failures") == 1
+    return out.withColumns({
+        "segment_status": F.when(rejected, "rejected_after_scoring").when(warned, "accepted_with_warning").otherwise("good_candidate"),
+        "segment_qc_tier": F.when(rejected, "failed").when(warned, "moderate").otherwise("good"),
+    })

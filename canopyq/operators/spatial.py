@@ -133,3 +133,29 @@ def name_cascade(objects: DataFrame, sites: DataFrame, normal: Callable[[Column]
     joined = objects.join(exact, "object_id", "left").join(part, "object_id", "left")
     how = F.when(F.col("_exact").isNotNull(), "name").when(F.col("_part").isNotNull(), "contains").otherwise("none")
     return joined.select(*objects.columns, F.coalesce("_exact", "_part").alias("site_id"), how.alias("matched_by"))
+
+
+def covering_tile(points: DataFrame, tiles: DataFrame, size: float, key: str = "point_id") -> DataFrame:
+    """The last tile, by ordinal, whose extent [x0, x1) x [y0, y1) holds each point; null if none.
+
+    Tiles and points meet on cells of ``size``, best about a tile's side: an equi join, whatever the tiles' extents.
+    """
+    cell = lambda c: F.floor(c / size).cast("long")
+    dealt = tiles.where("x0 < x1 and y0 < y1").withColumn("_i", F.explode(F.sequence(cell(F.col("x0")), cell(F.col("x1"))))).withColumn("_j", F.explode(F.sequence(cell(F.col("y0")), cell(F.col("y1")))))
+    asked = points.where("x is not null and y is not null").select(key, "x", "y", cell(F.col("x")).alias("_i"), cell(F.col("y")).alias("_j"))
+    hits = asked.join(dealt, ["_i", "_j"]).where("x >= x0 and x < x1 and y >= y0 and y < y1")
+    return points.join(hits.groupBy(key).agg(F.max_by("tile_id", "ordinal").alias("tile_id")), key, "left")
+
+
+def site_cascade(objects: DataFrame, sites: DataFrame, points: DataFrame, edges: DataFrame, strip: float, normal: Callable[[Column], Column], create: bool = False) -> DataFrame:
+    """Site of each object by its name, else by the polygon that holds most of its points, else, with ``create``, a new one by its name.
+
+    ``points`` has object_id, point_id, x and y; poly_id of ``edges`` is the site. New sites have negative ids, a hash of the name's key, so one name makes one site;
+    ``matched_by`` is name, contains, gps, created or none.
+    """
+    named = name_cascade(objects, sites, normal)
+    placed = majority_polygon(points, edges, strip, "object_id").select("object_id", F.col("poly_id").cast("long").alias("_gps"))
+    made = F.when(F.lit(create) & (F.coalesce(normal(F.col("name")), F.lit("")) != ""), -F.pmod(F.xxhash64(normal(F.col("name"))), F.lit(1 << 62)) - 1)
+    site = F.coalesce(F.col("site_id").cast("long"), F.col("_gps"), made)
+    how = F.when(F.col("matched_by") != "none", F.col("matched_by")).when(F.col("_gps").isNotNull(), "gps").when(made.isNotNull(), "created").otherwise("none")
+    return named.join(placed, "object_id", "left").select(*objects.columns, site.alias("site_id"), how.alias("matched_by"))

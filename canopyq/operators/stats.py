@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,3 +77,30 @@ def set_differences(sets: dict[str, DataFrame], key: str) -> DataFrame:
     counts = seen.agg(*(F.count_if(F.col(a) & ~F.col(b)).alias(f"{a}|{b}") for a in sets for b in sets if a != b))
     pairs = [f"{a}|{b}" for a in sets for b in sets if a != b]
     return counts.select(F.explode(F.array(*(F.struct(F.lit(p.split("|")[0]).alias("present_in"), F.lit(p.split("|")[1]).alias("missing_in"), F.col(f"`{p}`").cast("long").alias("n")) for p in pairs))).alias("r")).select("r.*")
+
+
+def numbered(df: DataFrame, block: list[str], order: list[str], name: str) -> DataFrame:
+    """Numbers rows 1 to n by block, then by order inside it.
+
+    Blocks are numbered by themselves and moved on by the rows of the blocks before: only one row for each block is summed in one task.
+    """
+    sizes = df.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*(F.col(b).alias(f"_b_{b}") for b in block), F.coalesce(before, F.lit(0)).alias("_before"))
+    same = reduce(lambda a, b: a & b, (F.col(b).eqNullSafe(F.col(f"_b_{b}")) for b in block))
+    place = F.row_number().over(Window.partitionBy(*block).orderBy(*order))
+    return df.join(starts, same).select(*df.columns, (place + F.col("_before")).cast("long").alias(name))
+
+
+def strided(df: DataFrame, most: int, block: list[str], order: list[str]) -> DataFrame:
+    """Every k-th row in order, from the first, with the least k that leaves at most ``most``: a sample spread evenly. Counts the rows when called."""
+    step = max(1, -(-df.count() // most))
+    return numbered(df, block, order, "_number").where((F.col("_number") - 1) % step == 0).drop("_number")
+
+
+def required(df: DataFrame, names: set[str]) -> DataFrame:
+    """``df`` itself; raises if a named column is missing."""
+    missing = sorted(names - set(df.columns))
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df

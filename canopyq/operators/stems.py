@@ -181,3 +181,10 @@ def log_positions(logs: DataFrame, by: list[str], order: str, start: str, length
     within = Window.partitionBy(*by, "_run").orderBy(order)
     begin = F.coalesce(F.first(start).over(within), F.lit(0)) + F.coalesce(F.sum(length).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return marked.withColumn("start_at", begin).withColumn("end_at", F.col("start_at") + F.col(length)).drop("_run")
+
+
+def profile_check(profile: DataFrame, results: DataFrame, height: float = 1.3) -> DataFrame:
+    """Trees whose profile has a diameter at breast height and whose results have one too, and how far the two are apart."""
+    at = profile.where(F.abs(F.col("z_m") - height) < 1e-4).select("tree_id", "diameter_cm")
+    both = at.join(results.where("dbh_cm is not null").select("tree_id", "dbh_cm"), "tree_id").where("diameter_cm is not null")
+    return both.withColumn("delta_cm", F.abs(F.col("diameter_cm") - F.col("dbh_cm")))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopyq.functions import scalar as S
+from canopyq.operators.spatial import first_polygon
 from canopyq.operators.stats import line_fit, robust_mean
 
 
@@ -27,14 +28,15 @@ def tree_tariffs(trees: DataFrame, profiles: DataFrame | None, rules: TariffRule
     """Volume of every tree: (tree_id, compartment, dbh_cm, height_m, tier, tariff, volume_m3, volume_height_m3).
 
     ``trees`` has tree_id, compartment (null outside all), height_m, dbh_cm, dbh_status and dbh_confidence, each may be null;
-    ``profiles`` has tree_id and volume_m3 of measured stems. The stand's figures are one-row aggregates joined back; nothing else shuffles but compartments.
+    ``profiles`` has tree_id and volume_m3 of measured stems. A column ``form`` of ``trees`` gives form factors by tree, those of ``rules`` fill its nulls. The stand's figures are one-row aggregates joined back; nothing else shuffles but compartments.
     """
     slender = F.try_divide(F.col("height_m") * 100.0, F.col("dbh_cm"))
     measured = F.col("dbh_cm") > 0
     base = trees.withColumns({"_ba": S.basal_area(F.col("dbh_cm")), "_slender": slender, "_measured": F.coalesce(measured, F.lit(False))})
     good = F.col("_measured") & (F.coalesce("dbh_status", F.lit("")) != "dbh_unsupported") & (F.coalesce("dbh_confidence", F.lit(1.0)) >= rules.least_confidence) & (F.coalesce("_slender", F.lit(1e9)) >= rules.slenderness)
     joined = base.join(profiles.select("tree_id", F.col("volume_m3").alias("_profile")), "tree_id", "left") if profiles is not None else base.withColumn("_profile", F.lit(None).cast("double"))
-    volume = F.when(F.col("_profile") > 0, F.col("_profile")).otherwise(S.form_volume(F.col("dbh_cm"), F.col("height_m"), F.lit(rules.form)))
+    form = F.coalesce(F.col("form"), F.lit(rules.form)) if "form" in trees.columns else F.lit(rules.form)
+    volume = F.when(F.col("_profile") > 0, F.col("_profile")).otherwise(S.form_volume(F.col("dbh_cm"), F.col("height_m"), form))
     sample = joined.where(good).withColumn("_t", S.tariff_number(volume, F.col("_ba"))).where("_t > 0 and not isnan(_t)")
     sample = sample.withColumn("_h", S.height_tariff(F.col("height_m"), F.col("dbh_cm"))).withColumn("_h", F.when(F.col("_h") > 0, F.col("_h")))
     stand = robust_mean(sample, "_t", [], rules.deviations).select(F.col("robust_mean").alias("_stand"))
@@ -62,6 +64,27 @@ def tree_tariffs(trees: DataFrame, profiles: DataFrame | None, rules: TariffRule
     )
 
 
+def population(tops: DataFrame, diameters: DataFrame) -> DataFrame:
+    """Every tree that is a tree top or has a diameter, once: the top's place and height, the other's height where the top has none, and diameters.
+
+    ``tops`` has tree_id, x, y and height_m; ``diameters`` tree_id, height_m, dbh_cm, dbh_status and dbh_confidence.
+    """
+    measured = diameters.select("tree_id", F.col("height_m").alias("_height"), "dbh_cm", "dbh_status", "dbh_confidence")
+    return tops.select("tree_id", "x", "y", "height_m").join(measured, "tree_id", "full_outer").select(
+        "tree_id", "x", "y", F.coalesce("height_m", "_height").alias("height_m"), "dbh_cm", "dbh_status", "dbh_confidence"
+    )
+
+
+def volumes_of_site(tops: DataFrame, diameters: DataFrame, profiles: DataFrame | None, edges: DataFrame, compartments: DataFrame, strip: float, rules: TariffRules = TariffRules()) -> DataFrame:
+    """Volumes from raw tables: all trees, the first compartment that holds each, its species' form factor, then the tariff.
+
+    ``edges`` are those of the compartments' polygons with poly_id the compartment; ``compartments`` has compartment and species. Trees without a place are in none.
+    """
+    placed = first_polygon(population(tops, diameters), edges, strip, "tree_id").withColumnRenamed("poly_id", "compartment")
+    forms = compartments.select("compartment", S.form_factor(F.col("species"), rules.form).alias("form"))
+    return tree_tariffs(placed.join(forms, "compartment", "left"), profiles, rules)
+
+
 def compartment_rollup(volumes: DataFrame, compartments: DataFrame) -> DataFrame:
     """Trees, volume, mean diameter and height, volume per hectare and confidence of each compartment; those without trees too."""
     sums = volumes.where("compartment is not null").groupBy("compartment").agg(

@@ -6,7 +6,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopyq.operators.grid import celled, d8, focal
@@ -98,3 +98,12 @@ def drainage_summary(flow: DataFrame, size: float, least_area: float = 750.0) ->
     area = F.col("cells") * (size * size)
     stream = F.count_if(area >= least_area)
     return flow.agg(stream.alias("stream_cells"), (stream * size).alias("stream_length_m"), (F.max(area) / 10000.0).alias("largest_ha"), F.max(F.log10(F.greatest(area, F.lit(1.0)))).alias("log_area_max"))
+
+
+def ground_check(points: DataFrame, ground: Column, height: str = "z", most_mean: float = 0.1, most_spread: float = 0.5) -> DataFrame:
+    """One row on the heights of ground points, which should be near 0: mean, deviation and range, the range of all points, and warnings."""
+    g = F.when(ground, F.col(height))
+    out = points.agg(
+        F.count(g).alias("n_ground"), F.avg(g).alias("ground_mean"), F.stddev_pop(g).alias("ground_std"), F.min(g).alias("ground_min"), F.max(g).alias("ground_max"), F.min(height).alias("z_min"), F.max(height).alias("z_max")
+    )
+    return out.withColumns({"mean_is_off": F.coalesce(F.abs("ground_mean") > most_mean, F.lit(False)), "spread_is_wide": F.coalesce(F.col("ground_std") > most_spread, F.lit(False))})

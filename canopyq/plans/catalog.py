@@ -684,3 +684,148 @@ SELECT c_custkey, CASE WHEN e >= 0 AND e < 700000 AND n >= 0 AND n < 1300000 THE
 def grid_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey", "(c_custkey * 7919) % 900000 - 50000 AS e", "(c_custkey * 104729) % 1500000 - 50000 AS n")
     return c.select("c_custkey", S.grid_reference(F.col("e"), F.col("n")).alias("tile_ref"))
+
+
+# --- labels, populations, checks and the feed's tables
+
+
+_LABELS = "element_at(array('SS', ' Sitka Spruce ', 'scotspine', 'DOUGLAS', 'Larch', 'hybrid larch', 'oak', '', 'lp'), CAST(p_partkey % 9 + 1 AS INT))"
+
+
+@registered("""
+WITH t AS (SELECT *, CASE p_partkey % 9 WHEN 0 THEN 'SS' WHEN 1 THEN 'SS' WHEN 2 THEN 'SP' WHEN 3 THEN 'DF' WHEN 4 THEN 'JL' WHEN 5 THEN 'HL' WHEN 8 THEN 'LP' END AS species FROM part),
+f AS (SELECT *, CASE species WHEN 'SS' THEN 0.42e0 WHEN 'SP' THEN 0.43e0 WHEN 'DF' THEN 0.44e0 WHEN 'JL' THEN 0.4e0 WHEN 'HL' THEN 0.4e0 WHEN 'LP' THEN 0.41e0 ELSE 0.42e0 END AS form FROM t)
+SELECT p_partkey, species, form, round(pi() * (p_size / 2e2) * (p_size / 2e2) * 2e1 * form, 8) AS volume_m3 FROM f""")
+def species_form_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("label", F.expr(_LABELS))
+    form = S.form_factor(F.col("label"))
+    return rounded(part.select("p_partkey", S.species_code(F.col("label")).alias("species"), form.alias("form"), S.form_volume(F.col("p_size").cast("double"), F.lit(20.0), form).alias("volume_m3")), "volume_m3", digits=8)
+
+
+@registered("""
+WITH t AS (SELECT tree_id, tree_id * 2e0 AS x, tree_id * 3e0 AS y, height_m FROM {trees}), d AS (SELECT tree_id + 50 AS tree_id, height_m, dbh_cm, dbh_status, dbh_confidence FROM {trees})
+SELECT tree_id, x, y, coalesce(t.height_m, d.height_m) AS height_m, dbh_cm, dbh_status, dbh_confidence FROM t FULL JOIN d USING (tree_id)""")
+def tree_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = recipe(spark, sf_dir, "trees")
+    tops = trees.selectExpr("tree_id", "tree_id * 2e0 AS x", "tree_id * 3e0 AS y", "height_m")
+    return tariff.population(tops, trees.withColumn("tree_id", F.col("tree_id") + 50))
+
+
+@registered("""
+WITH f AS (SELECT tree_id, count(*) AS n, median(cx) AS cx, median(cy) AS cy, median(radius_m) AS r, avg(residual_m) AS cost FROM {slices} WHERE n_points >= 4 GROUP BY 1),
+t AS (SELECT tree_id, CASE WHEN tree_id % 10 = 0 THEN 0 ELSE count(*) END AS n_points FROM {slices} GROUP BY 1)
+SELECT tree_id, CASE WHEN n_points = 0 THEN 'empty_tree' WHEN coalesce(n, 0) < 3 THEN 'insufficient_seed_slices' ELSE 'seed_ok' END AS seed_status, CASE WHEN n >= 3 THEN cx END AS seed_cx, CASE WHEN n >= 3 THEN cy END AS seed_cy,
+CASE WHEN n >= 3 THEN r END AS seed_r_m, coalesce(n, 0) AS seed_n_slices, CASE WHEN n >= 3 THEN round(cost, 6) END AS seed_mean_cost FROM t LEFT JOIN f USING (tree_id)""")
+def seed_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slices = recipe(spark, sf_dir, "slices")
+    trees = slices.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n_points")).withColumn("n_points", F.when(F.col("tree_id") % 10 == 0, 0).otherwise(F.col("n_points")))
+    fits = slices.where("n_points >= 4").select("tree_id", "cx", "cy", F.col("radius_m").alias("r"), F.col("residual_m").alias("cost"))
+    return rounded(circles.seeds(trees, fits), "seed_mean_cost")
+
+
+@registered("""
+WITH s AS (SELECT tree_id, count(*) AS n_slices, avg(cx) AS linearity, avg(cy) * 10 AS verticality, max(n_points) * 5 AS n_points, avg(cx) * 6 AS drift_mean, max(cx) * 8 AS drift_max FROM {slices} GROUP BY 1),
+r AS (SELECT tree_id, n_points, n_slices, round(linearity * 10, 2) AS linearity, round(verticality, 2) AS verticality, round(drift_mean, 2) AS drift_mean, drift_max FROM s),
+c AS (SELECT *, n_points < 30 AS few, n_points >= 30 AND linearity < 0.45e0 AS bent, n_points >= 30 AND verticality < 0.55e0 AS lean, n_slices < 3 AS short, n_slices >= 3 AND drift_mean > 0.25e0 AND drift_max > 0.5e0 AS drift FROM r)
+SELECT tree_id, CAST(few AS INT) + CAST(bent AS INT) AS failures, concat_ws(';', CASE WHEN few THEN 'too_few_points' END, CASE WHEN bent THEN printf('linearity=%.2f', linearity) END, CASE WHEN lean THEN printf('verticality_warn=%.2f', verticality) END,
+CASE WHEN short THEN 'too_few_slices_warn' END, CASE WHEN drift THEN printf('drift_warn=%.2f', drift_mean) END) AS fail_reasons,
+CASE WHEN few OR bent THEN 'accepted_with_warning' ELSE 'good_candidate' END AS segment_status, CASE WHEN few OR bent THEN 'moderate' ELSE 'good' END AS segment_qc_tier FROM c""")
+def segment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = recipe(spark, sf_dir, "slices").groupBy("tree_id").agg(
+        F.count(F.lit(1)).alias("n_slices"), F.round(F.avg("cx") * 10, 2).alias("linearity"), F.round(F.avg("cy") * 10, 2).alias("verticality"), (F.max("n_points") * 5).alias("n_points"),
+        F.round(F.avg("cx") * 6, 2).alias("drift_mean"), (F.max("cx") * 8).alias("drift_max"),
+    )
+    return segments.segment_scores(each).select("tree_id", "failures", "fail_reasons", "segment_status", "segment_qc_tier")
+
+
+@registered("""
+WITH g AS (SELECT z - 5 AS z, classification = 2 AS ground FROM {points}), s AS (SELECT count(*) FILTER (ground) AS n_ground, avg(z) FILTER (ground) AS m, stddev_pop(z) FILTER (ground) AS d, min(z) FILTER (ground) AS ground_min, max(z) FILTER (ground) AS ground_max, min(z) AS z_min, max(z) AS z_max FROM g)
+SELECT n_ground, round(m, 6) AS ground_mean, round(d, 6) AS ground_std, ground_min, ground_max, z_min, z_max, abs(m) > 1e-1 AS mean_is_off, d > 5e-1 AS spread_is_wide FROM s""")
+def ground_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = recipe(spark, sf_dir, "points").withColumn("z", F.col("z") - 5)
+    return rounded(terrain.ground_check(points, F.col("classification") == 2), "ground_mean", "ground_std")
+
+
+@registered("""
+SELECT s.tree_id, s.radius_m * 200 AS diameter_cm, o.o_totalprice / 1e4 AS dbh_cm, round(abs(s.radius_m * 200 - o.o_totalprice / 1e4), 6) AS delta_cm
+FROM (SELECT l_orderkey AS tree_id, l_linenumber * 0.65e0 AS z_m, 2e-2 + l_extendedprice / 1e6 AS radius_m FROM lineitem) s JOIN orders o ON s.tree_id = o.o_orderkey WHERE abs(z_m - 1.3e0) < 1e-4""")
+def profile_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profile = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey AS tree_id", "l_linenumber * 0.65D AS z_m", "(2e-2 + l_extendedprice / 1e6) * 200 AS diameter_cm")
+    results = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS tree_id", "o_totalprice / 1e4 AS dbh_cm")
+    return rounded(stems.profile_check(profile, results), "delta_cm")
+
+
+_TILES = "n_nationkey AS tile_id, n_nationkey AS ordinal, (n_nationkey % 5) * 2e2 AS x0, (n_nationkey % 7) * 15e1 AS y0, (n_nationkey % 5) * 2e2 + 25e1 AS x1, (n_nationkey % 7) * 15e1 + 2e2 AS y1"
+
+
+@registered(f"SELECT point_id, max(tile_id) AS tile_id FROM {{spots}} LEFT JOIN (SELECT {_TILES} FROM nation) t ON x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY 1")
+def covering_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tiles = spark.sql(f"SELECT {_TILES} FROM {{t}}", t=spark.read.parquet(f"{sf_dir}/nation.parquet"))
+    return spatial.covering_tile(recipe(spark, sf_dir, "spots"), tiles, 200.0).select("point_id", "tile_id")
+
+
+@registered("SELECT point_id, row_number() OVER (ORDER BY floor(y / 1e2), floor(x / 1e2), floor(y), floor(x), point_id) AS tree_id FROM {spots}")
+def numbered_in_scan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spots = recipe(spark, sf_dir, "spots").selectExpr("point_id", "floor(y / 100) AS tj", "floor(x / 100) AS ti", "floor(y) AS row", "floor(x) AS col")
+    return stats.numbered(spots, ["tj", "ti"], ["row", "col", "point_id"], "tree_id").select("point_id", "tree_id")
+
+
+@registered("""
+WITH n AS (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS i, (count(*) OVER () + 999) // 1000 AS step FROM lineitem)
+SELECT l_orderkey, l_linenumber FROM n WHERE i % step = 0""")
+def stride_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.floor(F.col("l_orderkey") / 1000).alias("block"))
+    return stats.strided(lines, 1000, ["block"], ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber")
+
+
+@registered("""
+SELECT user_id, CASE WHEN user_id % 3 = 0 THEN TIMESTAMP '2024-06-01 00:00:00' - INTERVAL 14 DAY ELSE max(ts) - INTERVAL 60 MINUTE END AS window_start, TIMESTAMP '2024-06-01 00:00:00' AS window_end FROM events GROUP BY 1""")
+def poll_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.max(F.col("ts").cast("timestamp_ntz")).alias("last_at"))
+    last = F.when(F.col("user_id") % 3 != 0, F.col("last_at"))
+    return runs.select("user_id", feed.poll_window(last, F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")).alias("w")).select("user_id", "w.*")
+
+
+@registered("SELECT s_suppkey AS site_id FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 4 NOT IN (1, 2)")
+def leaf_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("s_suppkey") % 4 == 1, "portfolio").when(F.col("s_suppkey") % 4 == 2, "estate").when(F.col("s_suppkey") % 4 == 3, "forest")
+    sites = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("site_id"), kind.alias("kind"), F.when(F.col("s_suppkey") % 5 == 0, "2024-01-01").alias("deleted_at"))
+    return feed.leaf_sites(sites).select("site_id")
+
+
+@registered("""
+SELECT c_custkey AS job_id, CASE WHEN c_custkey % 3 = 0 THEN 1 WHEN a.n IS NULL AND b.n IS NULL THEN NULL ELSE coalesce(a.n, 0) + coalesce(b.n, 0) END AS size_bytes
+FROM customer c LEFT JOIN (SELECT c_custkey + 5 AS k, c_nationkey * 10 AS n FROM customer) a ON a.k = c.c_custkey LEFT JOIN (SELECT c_custkey + 5 AS k, c_nationkey * 10 AS n FROM customer) b ON b.k = c.c_custkey * 2""")
+def sizes_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    one = F.element_at(F.array(F.concat(F.lit("s3://store/raw/"), F.col("c_custkey")), F.concat(F.lit("/raw/"), F.col("c_custkey"))), (F.col("c_custkey") % 2 + 1).cast("int"))
+    two = F.concat(F.lit("https://store.s3.amazonaws.com/raw/"), F.col("c_custkey") * 2)
+    jobs = customer.select(F.col("c_custkey").alias("job_id"), F.when(F.col("c_custkey") % 3 == 0, F.lit(1)).cast("long").alias("size_bytes"), one.alias("raw_path"), two.alias("copc_path"))
+    listing = customer.select(F.concat(F.lit("raw/"), F.col("c_custkey") + 5).alias("object_key"), (F.col("c_nationkey") * 10).cast("long").alias("bytes"))
+    return feed.sizes_filled(jobs, listing, ["raw_path", "copc_path"]).select("job_id", "size_bytes")
+
+
+@registered("""
+WITH d AS (SELECT *, CASE WHEN point_id % 5 <> 0 AND point_id % 2 = 1 THEN 'green' WHEN point_id % 5 = 0 THEN 'grey' WHEN point_id % 3 = 0 THEN 'blue' ELSE 'red' END AS what FROM {spots})
+SELECT point_id, CASE what WHEN 'grey' THEN 32767 WHEN 'red' THEN 65535 ELSE 0 END AS red, CASE what WHEN 'grey' THEN 32767 WHEN 'green' THEN 65535 ELSE 0 END AS green, CASE what WHEN 'grey' THEN 32767 WHEN 'blue' THEN 65535 ELSE 0 END AS blue FROM d""")
+def diagnostic_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spots = recipe(spark, sf_dir, "spots")
+    colour = S.diagnostic_colour(F.col("point_id") % 3, F.col("point_id") % 5 != 0, F.col("point_id") % 2)
+    return spots.select("point_id", colour.alias("c")).select("point_id", *(F.col("c")[i].alias(n) for i, n in enumerate(("red", "green", "blue"))))
+
+
+@registered("""
+SELECT n_nationkey, epoch_us(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(n_nationkey * 97)) // 3600000000 % 24 AS hour, CASE n_nationkey % 3 WHEN 0 THEN ['a', 'b', 'c'] ELSE ['a', 'b'] END AS machines, n_nationkey % 4 = 1 AS ours,
+CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey END AS kept, n_nationkey * 1e0 AS x_min, n_nationkey + 1e0 AS y_min, n_nationkey + 2e0 AS x_max, n_nationkey + 3e0 AS y_max FROM nation""")
+def record_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    time = F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01 00:00:00+00:00").cast("timestamp")) + n * 97 * 60)
+    machine = F.element_at(F.array(F.lit("c"), F.lit("a"), F.lit("")), (n % 3 + 1).cast("int"))
+    address = F.element_at(F.array(F.lit("x@y"), F.lit("feed+7@y"), F.lit("feed+77@y"), F.lit(None).cast("string")), (n % 4 + 1).cast("int"))
+    log = F.concat(F.lit("noise\n"), F.when(n % 2 == 0, F.format_string('{"kept": %d}', n.cast("long"))).otherwise("no record"), F.lit("\n"))
+    d = n.cast("double")
+    box = S.bounding_box(F.array(F.array(F.array(d, d + 3), F.array(d + 2, d + 1)), F.array(F.array(d + 1, d + 2))))
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(
+        n, S.utc_hour(time).cast("long").alias("hour"), S.appended(F.array(F.lit("a"), F.lit("b")), machine).alias("machines"), S.addressed_to(F.array(F.lit("z@y"), address), "feed+7@").alias("ours"),
+        S.last_line_json(log, "kept long")["kept"].alias("kept"), box.alias("box"),
+    ).select("n_nationkey", "hour", "machines", "ours", "kept", "box.*")

@@ -6,10 +6,10 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopyq.operators import grid, segments, stems, tariff, terrain
+from canopyq.operators import circles, grid, segments, stats, stems, tariff, terrain
 from canopyq.plans.storage import stored
 
 Tables = dict[str, DataFrame]
@@ -40,7 +40,8 @@ def _dtm(t: Tables, p: Mapping[str, Any]) -> Tables:
 def _treetops(t: Tables, p: Mapping[str, Any]) -> Tables:
     peaks = grid.local_maxima(t["chm"], p["half"], p["least"])
     tops = peaks.select(F.xxhash64("row", "col").alias("tree_id"), "row", "col", ((F.col("col") + 0.5) * p["size"]).alias("x"), ((F.col("row") + 0.5) * p["size"]).alias("y"), F.col("value").cast("double").alias("height_m"))
-    return {"treetops": segments.suppressed(tops, p["apart"])}
+    left = segments.suppressed(tops, p["apart"]).drop("tree_id").withColumn("_block", F.floor(F.col("row") / 1024))
+    return {"treetops": stats.numbered(left, ["_block"], ["row", "col"], "tree_id").drop("_block")}
 
 
 def _segmentation(t: Tables, p: Mapping[str, Any]) -> Tables:
@@ -48,6 +49,28 @@ def _segmentation(t: Tables, p: Mapping[str, Any]) -> Tables:
     return {"crowns": crowns, "crown_summary": segments.crown_summary(crowns, p["size"])}
 
 
+def _segments(t: Tables, p: Mapping[str, Any]) -> Tables:
+    """Points by crown, sparse crowns cleared, scored; what is far from a good seed's axis goes. The summary has every crown's tree."""
+    key = "tree_id"
+    cells = t["crowns"].select("row", "col", F.col("label").alias(key))
+    points = grid.celled(t["heights"].select("x", "y", "z"), p["size"]).join(cells, ["row", "col"], "left").select("x", "y", "z", F.coalesce(key, F.lit(0)).alias(key))
+    dense = segments.dense_enough(points, key, p["least_points"]).where(F.col(key) > 0)
+    axes = segments.principal_axes(dense, key).withColumnRenamed("n", "n_points")
+    scores = segments.segment_scores(axes.join(stems.centroid_drift(dense, [key]), key, "left"))
+    seeds = circles.seeds(axes, circles.seed_fits(dense))
+    accepted = dense.join(scores.where("segment_status <> 'rejected_after_scoring'").select(key), key)
+    centres = seeds.where("seed_status = 'seed_ok'").select(key, F.col("seed_cx").alias("x"), F.col("seed_cy").alias("y"))
+    kept = segments.radial_filter(accepted, centres, key, p["radius"]).where("kept").drop("kept", "retention")
+    raw, final = points.groupBy(key).agg(F.count(F.lit(1)).alias("n_raw")), kept.groupBy(key).agg(F.count(F.lit(1)).alias("n_final"))
+    crowns = t["crown_summary"].withColumnRenamed("label", key)
+    summary = t["treetops"].join(crowns, key, "left").join(raw, key, "left").join(scores, key, "left").join(seeds, key, "left").join(final, key, "left")
+    return {"segment_points": kept, "segment_summary": summary.fillna(0, ["n_raw", "n_points", "n_final"])}
+
+
+def _site_volumes(t: Tables, p: Mapping[str, Any]) -> Tables:
+    return {"volumes": tariff.volumes_of_site(t["treetops"], t["dbh"], t.get("profile_volumes"), t["compartment_edges"], t["compartments"], p["strip"])}
+
+
 STAGES: dict[str, Stage] = {
     s.name: s
     for s in (
@@ -59,8 +82,10 @@ STAGES: dict[str, Stage] = {
         Stage("treetops", ("chm",), _treetops, {"size": 0.5, "half": 1, "least": 2.0, "apart": 1.0}),
         Stage("density", ("treetops",), lambda t, p: {"density": grid.hex_density(t["treetops"], p["area"])}, {"area": 25.0}),
         Stage("segmentation", ("chm", "treetops"), _segmentation, {"size": 0.5, "least": 2.0}),
+        Stage("segments", ("normalise", "treetops", "segmentation"), _segments, {"size": 0.5, "least_points": 20, "radius": 0.9}),
         Stage("stem_profile", (), lambda t, p: {"profile": stems.profile(t["models"], t["slices"], ["tree_id"])}, {}),
         Stage("dbh", (), lambda t, p: {"dbh": stems.breast_diameter(t["slices"], t["models"], ["tree_id"])}, {}),
+        Stage("site_volumes", ("treetops",), _site_volumes, {"strip": 50.0}),
         Stage("tariff", (), lambda t, p: {"volumes": tariff.tree_tariffs(t["trees"], t.get("profile_volumes"))}, {}),
     )
 }
@@ -91,11 +116,21 @@ def resolved(names: list[str], stages: Mapping[str, Stage] = STAGES) -> list[str
     return order
 
 
+def overrides(spark: SparkSession, stage: Stage) -> dict[str, Any]:
+    """A stage's parameters that the session sets, as ``canopyq.<stage>.<parameter>``, in the type of their defaults."""
+    found = {k: spark.conf.get(f"canopyq.{stage.name}.{k}", None) for k in stage.parameters}
+    return {k: type(stage.parameters[k])(v) for k, v in found.items() if v is not None}
+
+
 def run(names: list[str], inputs: Tables, parameters: Mapping[str, Mapping[str, Any]] | None = None, keep: bool = True) -> Tables:
-    """Runs stages over input tables and returns all tables made; with ``keep`` each is stored, since several stages read it."""
+    """Runs stages over input tables and returns all tables made; with ``keep`` each is stored, since several stages read it.
+
+    Parameters given here win over the session's, and those over the defaults.
+    """
+    spark = next(iter(inputs.values())).sparkSession
     tables = dict(inputs)
     for name in resolved(names):
         stage = STAGES[name]
-        made = stage.make(tables, {**stage.parameters, **(parameters or {}).get(name, {})})
+        made = stage.make(tables, {**stage.parameters, **overrides(spark, stage), **(parameters or {}).get(name, {})})
         tables |= {k: stored(v, k) if keep else v for k, v in made.items()}
     return tables
