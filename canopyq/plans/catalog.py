@@ -724,7 +724,7 @@ def seed_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("""
-WITH s AS (SELECT tree_id, count(*) AS n_slices, avg(cx) AS linearity, avg(cy) * 10 AS verticality, max(n_points) * 5 AS n_points, avg(cx) * 6 AS drift_mean, max(cx) * 8 AS drift_max FROM {slices} GROUP BY 1),
+WITH s AS (SELECT tree_id, count(*) AS n_slices, max(cx) AS linearity, max(cy) * 10 AS verticality, max(n_points) * 5 AS n_points, min(cx) * 6 AS drift_mean, max(cx) * 8 AS drift_max FROM {slices} GROUP BY 1),
 r AS (SELECT tree_id, n_points, n_slices, round(linearity * 10, 2) AS linearity, round(verticality, 2) AS verticality, round(drift_mean, 2) AS drift_mean, drift_max FROM s),
 c AS (SELECT *, n_points < 30 AS few, n_points >= 30 AND linearity < 0.45e0 AS bent, n_points >= 30 AND verticality < 0.55e0 AS lean, n_slices < 3 AS short, n_slices >= 3 AND drift_mean > 0.25e0 AND drift_max > 0.5e0 AS drift FROM r)
 SELECT tree_id, CAST(few AS INT) + CAST(bent AS INT) AS failures, concat_ws(';', CASE WHEN few THEN 'too_few_points' END, CASE WHEN bent THEN printf('linearity=%.2f', linearity) END, CASE WHEN lean THEN printf('verticality_warn=%.2f', verticality) END,
@@ -732,8 +732,8 @@ CASE WHEN short THEN 'too_few_slices_warn' END, CASE WHEN drift THEN printf('dri
 CASE WHEN few OR bent THEN 'accepted_with_warning' ELSE 'good_candidate' END AS segment_status, CASE WHEN few OR bent THEN 'moderate' ELSE 'good' END AS segment_qc_tier FROM c""")
 def segment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = recipe(spark, sf_dir, "slices").groupBy("tree_id").agg(
-        F.count(F.lit(1)).alias("n_slices"), F.round(F.avg("cx") * 10, 2).alias("linearity"), F.round(F.avg("cy") * 10, 2).alias("verticality"), (F.max("n_points") * 5).alias("n_points"),
-        F.round(F.avg("cx") * 6, 2).alias("drift_mean"), (F.max("cx") * 8).alias("drift_max"),
+        F.count(F.lit(1)).alias("n_slices"), F.round(F.max("cx") * 10, 2).alias("linearity"), F.round(F.max("cy") * 10, 2).alias("verticality"), (F.max("n_points") * 5).alias("n_points"),
+        F.round(F.min("cx") * 6, 2).alias("drift_mean"), (F.max("cx") * 8).alias("drift_max"),
     )
     return segments.segment_scores(each).select("tree_id", "failures", "fail_reasons", "segment_status", "segment_qc_tier")
 
