@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from canopyq.llm import fill_in_middle, merkle, oracles, substrings
 from canopyq.llm.bpe import bpe_round_trip
 from canopyq.llm.hamming import sign_codes, top_k
 from canopyq.llm.jaccard import jaccard_join
@@ -64,6 +66,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and rearranged; digests of its output and of the text rebuilt from it."""
+    return fill_in_middle.digests(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words removed that 13-word windows of earlier documents cover."""
+    return substrings.digests(substrings.without_repeats(table(spark, sf_dir, "documents")))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof, and the root of its version, in which some leaves are tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(docs["doc_id"].cast("string").cast("binary")) % 7 == 0
+    return merkle.digests(merkle.manifest(docs, changes={"n_chars": F.when(tampered, docs["n_chars"] + 1).otherwise(docs["n_chars"])}))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_classifier": op2_quality_classifier,
@@ -75,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scans": op8_secret_scans,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_token_counts": op10_token_counts,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_fill_in_middle": oracles.FILL_IN_MIDDLE, "op12_substring_dedup": oracles.SUBSTRING_DEDUP, "op13_merkle_manifest": oracles.MERKLE_MANIFEST}
