@@ -3,82 +3,15 @@
 from __future__ import annotations
 
 import io
-import struct
 import zipfile
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopyq.functions import scalar as S
-
-# Fixed values of the public LAS format: offsets in the header, and record layouts of the formats that are read.
-_POINT_FIELDS = {0: 20, 1: 28, 2: 26, 3: 34}
-
-
-def las_header(data: bytes) -> dict:
-    """Count, record layout, scale, offset and bounds of a LAS 1.0-1.3 header; raises on anything else."""
-    if data[:4] != b"LASF":
-        raise ValueError("not a LAS file")
-    start, = struct.unpack_from("<I", data, 96)
-    kind, length, count = struct.unpack_from("<BHI", data, 104)
-    if kind & 0x80:
-        raise ValueError("compressed points aren't supported")
-    if kind not in _POINT_FIELDS:
-        raise ValueError(f"point format {kind} isn't supported")
-    scale, offset = struct.unpack_from("<3d", data, 131), struct.unpack_from("<3d", data, 155)
-    x1, x0, y1, y0, z1, z0 = struct.unpack_from("<6d", data, 179)
-    return {"start": start, "kind": kind, "length": length, "count": count, "scale": scale, "offset": offset, "mins": (x0, y0, z0), "maxs": (x1, y1, z1)}
-
-
-def las_points(data: bytes, begin: int, end: int, header: dict) -> pa.RecordBatch:
-    """Points ``begin`` to ``end`` of a LAS file."""
-    layout = np.dtype({"names": ["xyz", "intensity", "class"], "formats": ["<3i4", "<u2", "u1"], "offsets": [0, 12, 15], "itemsize": header["length"]})
-    part = np.frombuffer(data, layout, end - begin, header["start"] + begin * header["length"])
-    xyz = part["xyz"] * np.array(header["scale"]) + np.array(header["offset"])
-    arrays = [pa.array(np.arange(begin, end, dtype=np.int64)), *(pa.array(np.ascontiguousarray(xyz[:, i])) for i in range(3)), pa.array(part["intensity"].astype(np.int32)), pa.array((part["class"] & 31).astype(np.int32))]
-    return pa.RecordBatch.from_arrays(arrays, ["point_id", "x", "y", "z", "intensity", "classification"])
-
-
-def read_las(spark: SparkSession, path: str, chunk: int = 500_000) -> DataFrame:
-    """Points of LAS files under a path: (file, point_id, x, y, z, intensity, classification).
-
-    A file is one task and is decoded in chunks; truncation against the header's count raises. Convert large files to Parquet by tile once.
-    """
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = data.as_py()
-                header = las_header(raw)
-                if len(raw) < header["start"] + header["count"] * header["length"]:
-                    raise ValueError(f"{name} is shorter than its header says")
-                for begin in range(0, header["count"], chunk):
-                    part = las_points(raw, begin, min(begin + chunk, header["count"]), header)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * part.num_rows), *part.columns], ["file", *part.schema.names])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.las").load(path).select("path", "content")
-    return files.mapInArrow(decode, "file string, point_id long, x double, y double, z double, intensity int, classification int")
-
-
-def las_bytes(x: np.ndarray, y: np.ndarray, z: np.ndarray, classification: np.ndarray, scale: float = 0.001) -> bytes:
-    """A LAS 1.2 file of format 0 points."""
-    xyz = np.stack([x, y, z], 1)
-    low, high = (xyz.min(0), xyz.max(0)) if len(x) else (np.zeros(3), np.zeros(3))
-    origin = np.floor(low)
-    head = bytearray(227)
-    head[:4] = b"LASF"
-    struct.pack_into("<BB", head, 24, 1, 2)
-    struct.pack_into("<HII", head, 94, 227, 227, 0)
-    struct.pack_into("<BHI", head, 104, 0, 20, len(x))
-    struct.pack_into("<3d3d", head, 131, *([scale] * 3), *origin)
-    struct.pack_into("<6d", head, 179, high[0], low[0], high[1], low[1], high[2], low[2])
-    body = np.zeros(len(x), np.dtype({"names": ["xyz", "class"], "formats": ["<3i4", "u1"], "offsets": [0, 15], "itemsize": 20}))
-    body["xyz"], body["class"] = np.rint((xyz - origin) / scale), classification
-    return bytes(head) + body.tobytes()
-
+from canopyq.sources.las import las_bytes, las_headers, read_las, write_las  # noqa: F401
 
 def is_octree_file(files: DataFrame) -> DataFrame:
     """Adds ``is_copc`` to (path, content): by name, or by magic bytes and marker near the start of the file."""
