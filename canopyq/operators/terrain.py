@@ -1,15 +1,13 @@
-"""Ground filtering, surface filling, depression filling and flow accumulation on sparse grids."""
+"""Ground filtering and surface filling on sparse grids, and summaries of drainage."""
 
 from __future__ import annotations
 
-import heapq
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopyq.operators.grid import celled, d8, focal
+from canopyq.operators.flood import priority_flood  # noqa: F401
+from canopyq.operators.flow import flow_accumulation  # noqa: F401
+from canopyq.operators.grid import celled, focal
 from canopyq.operators.spatial import nearest
 from canopyq.plans.storage import stored
 
@@ -48,52 +46,6 @@ def filled_surface(grid: DataFrame, half: int = 3, power: float = 2.0) -> DataFr
     return grid.select("row", "col", "value").withColumn("filled", F.lit(False)).unionByName(holes)
 
 
-def flood_kernel(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, step: float = 1e-3) -> np.ndarray:
-    """Priority flood: every cell is raised until it drains to the rim over cells that rise by at least ``step``."""
-    place = {(r, c): i for i, (r, c) in enumerate(zip(rows.tolist(), cols.tolist(), strict=True))}
-    out, done = values.astype(float).copy(), np.zeros(len(values), bool)
-    around = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
-    heap = [(out[i], i) for (r, c), i in place.items() if any((r + a, c + b) not in place for a, b in around)]
-    done[[i for _, i in heap]] = True
-    heapq.heapify(heap)
-    while heap:
-        z, i = heapq.heappop(heap)
-        for a, b in around:
-            j = place.get((int(rows[i]) + a, int(cols[i]) + b))
-            if j is not None and not done[j]:
-                done[j] = True
-                out[j] = max(out[j], z + step)
-                heapq.heappush(heap, (out[j], j))
-    return out
-
-
-def priority_flood(grid: DataFrame, by: str, step: float = 1e-3) -> DataFrame:
-    """Depression-free surface of each site's raster; one task a site, since a spill path may cross all of it."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(value=flood_kernel(pdf["row"].to_numpy(), pdf["col"].to_numpy(), pdf["value"].to_numpy(), step))
-
-    kind = grid.schema[by].dataType.simpleString()
-    return grid.select(by, "row", "col", F.col("value").cast("double").alias("value")).groupBy(by).applyInPandas(run, f"{by} {kind}, row int, col int, value double")
-
-
-def flow_accumulation(grid: DataFrame, size: float = 1.0, max_rounds: int = 40) -> DataFrame:
-    """Cells that drain through each cell, itself included, along steepest descent: (row, col, cells).
-
-    Jumps double each round: a cell sends its sum to where its pointer leads, and pointers skip ahead; rounds are logarithmic in the longest path.
-    """
-    at = lambda r, c: F.struct(F.col(r).alias("row"), F.col(c).alias("col"))
-    state = stored(d8(grid, size).select(at("row", "col").alias("cell"), F.when(F.col("to_row").isNotNull(), at("to_row", "to_col")).alias("jump"), F.lit(1).cast("long").alias("cells")), "flow")
-    for _ in range(max_rounds):
-        if state.where("jump is not null").isEmpty():
-            return state.select("cell.row", "cell.col", "cells")
-        gain = state.where("jump is not null").groupBy(F.col("jump").alias("cell")).agg(F.sum("cells").alias("_g"))
-        ahead = state.select(F.col("cell").alias("jump"), F.col("jump").alias("_j"))
-        moved = state.join(gain, "cell", "left").join(ahead, "jump", "left")
-        state = stored(moved.select("cell", F.col("_j").alias("jump"), (F.col("cells") + F.coalesce("_g", F.lit(0))).alias("cells")), "flow")
-    raise RuntimeError("flow did not settle; the directions hold a cycle")
-
-
 def drainage_summary(flow: DataFrame, size: float, least_area: float = 750.0) -> DataFrame:
     area = F.col("cells") * (size * size)
     stream = F.count_if(area >= least_area)
