@@ -106,6 +106,8 @@ class PairIndex:
 class _TextTable(WordTable):
     """Keeps each word's ids and token names as text, ready to be joined."""
 
+    copies, overhead = 5, 250
+
     def __init__(self, index: PairIndex) -> None:
         self.index = index
         super().__init__(index.encode, 400_000)

@@ -116,16 +116,20 @@ def split_word_end(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
 class WordTable:
     """Token ids of distinct pre-tokens, encoded in batches when first seen.
 
-    ``encode`` maps a list of byte strings to lists of ids. At ``limit`` words the table starts anew, so a
-    worker's memory is bounded whatever the vocabulary of the corpus.
+    ``encode`` maps a list of byte strings to lists of ids. At ``limit`` words or ``most_bytes``, whichever comes first, the table starts anew, so a
+    worker's memory is bounded whatever the vocabulary of the corpus, and however long its words are.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 400_000) -> None:
-        self.encode, self.limit = encode, limit
+    #: How often a word's bytes are kept, its ids included, and what a word costs besides.
+    copies, overhead = 2, 150
+
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 400_000, most_bytes: int = 64 << 20) -> None:
+        self.encode, self.limit, self.most_bytes = encode, limit, most_bytes
         self.clear()
 
     def clear(self) -> None:
         self.rows: dict[bytes, int] = {}
+        self.held = 0
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.begin, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.on_clear()
@@ -152,7 +156,13 @@ class WordTable:
             self.clear()
         found = list(map(self.rows.get, keys))
         new = list(dict.fromkeys(k for k, x in zip(keys, found, strict=True) if x is None))
+        cost = self.copies * sum(map(len, new)) + self.overhead * len(new)
+        if new and self.rows and self.held + cost > self.most_bytes:
+            self.clear()
+            found, new = [None] * len(keys), list(dict.fromkeys(keys))
+            cost = self.copies * sum(map(len, new)) + self.overhead * len(new)
         if new:
+            self.held += cost
             ids = self.encode(new)
             self._append(ids)
             self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))

@@ -321,3 +321,17 @@ def test_same_spans(words):
         both = np.minimum(len(raw[i]), ends - starts)
         got = K.same_spans(data, np.full(len(raw), starts[i]), starts, both)
         assert got.tolist() == [raw[i][:n] == w[:n] for w, n in zip(raw, both.tolist(), strict=True)]
+
+
+def test_word_tables_are_bounded_by_bytes(byte_level):
+    from canopyq.llm.tokens import WordTable
+
+    seen = []
+    table = WordTable(lambda words: seen.append(len(words)) or [[len(w)] for w in words], most_bytes=10_000)
+    for k in range(40):
+        words = [f"{k}-{j}".encode() * 50 for j in range(8)] + [b"again"]
+        data, offsets = K.string_parts(pa.array([w.decode() for w in words]))
+        rows = table.look_up(data, offsets[:-1], offsets[1:])
+        assert table.flat[table.begin[rows]].tolist() == [len(w) for w in words]
+        assert table.held <= 10_000
+    assert sum(seen) > 40 * 8
