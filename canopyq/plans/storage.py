@@ -34,8 +34,11 @@ def discard(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing will read any more; tables that aren't stored stay as they are."""
     for table in tables:
         at = vars(table).get("_stored_at")
-        if at is None:
-            continue
-        context = table.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        if at is not None:
+            delete(table.sparkSession, at)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder wherever Spark can reach it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
