@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -74,13 +76,31 @@ class Pyramid:
         discard(self.nodes, self.rows)
 
 
-def _reach(cells: DataFrame, dims: int, k: int) -> DataFrame:
-    """Pairs (block, cell) to keep: cells no farther from the block's box than k rows reach for sure. ``cells`` has block and cell columns with boxes."""
+def _gaps(dims: int) -> tuple[Column, Column]:
+    """Squares of the least and the largest distance between a block's box and a cell's."""
     near, far = F.lit(0.0), F.lit(0.0)
     for d in range(dims):
         gap = F.greatest(F.col(f"lo{d}") - F.col(f"bhi{d}"), F.col(f"blo{d}") - F.col(f"hi{d}"), F.lit(0.0))
         wide = F.greatest(F.col(f"hi{d}") - F.col(f"blo{d}"), F.col(f"bhi{d}") - F.col(f"lo{d}"))
         near, far = near + gap * gap, far + wide * wide
+    return near, far
+
+
+def _pyramids(ours: DataFrame, theirs: DataFrame, dims: int, leaf_rows: int) -> tuple[Pyramid, Pyramid] | None:
+    """Pyramids of both sides over one box; None without rows."""
+    both = ours.select(*_axes(dims)).unionByName(theirs.select(*_axes(dims)))
+    ends = both.agg(F.count("*"), *(f(a) for a in _axes(dims) for f in (F.min, F.max))).first()
+    if not ends[0]:
+        return None
+    origin = [ends[1 + 2 * d] for d in range(dims)]
+    side = max(max(ends[2 + 2 * d] - ends[1 + 2 * d] for d in range(dims)) * (1 + 1e-9), 1e-9)
+    levels = min(48 // dims + 4, math.ceil(math.log2(max(2, ends[0] * 16 / leaf_rows)) / dims) + 8)
+    return Pyramid(ours, origin, side, levels, leaf_rows), Pyramid(theirs, origin, side, levels, leaf_rows)
+
+
+def _reach(cells: DataFrame, dims: int, k: int) -> DataFrame:
+    """Pairs (block, cell) to keep: cells no farther from the block's box than k rows reach for sure. ``cells`` has block and cell columns with boxes."""
+    near, far = _gaps(dims)
     pairs = cells.withColumns({"near": near * (1 - 1e-12), "far": far * (1 + 1e-12)})
     order = Window.partitionBy("block").orderBy("far").rowsBetween(Window.unboundedPreceding, 0)
     reached = pairs.withColumn("sofar", F.sum("n").over(order))
@@ -155,14 +175,10 @@ def each_nearest(left: DataFrame, right: DataFrame, k: int, finish: Finish, sche
     """Applies ``finish`` to each block of left rows and its answer; ``apart`` leaves out the right row with a row's own key."""
     dims = len(coordinates)
     ours, theirs = _prepared(left, coordinates, by, key, more), _prepared(right, coordinates, by, right_key, ())
-    both = ours.select(*_axes(dims)).unionByName(theirs.select(*_axes(dims)))
-    ends = both.agg(F.count("*"), *(f(a) for a in _axes(dims) for f in (F.min, F.max))).first()
-    if not ends[0]:
+    pyramids = _pyramids(ours, theirs, dims, leaf_rows)
+    if pyramids is None:
         return left.sparkSession.createDataFrame([], schema)
-    origin = [ends[1 + 2 * d] for d in range(dims)]
-    side = max(max(ends[2 + 2 * d] - ends[1 + 2 * d] for d in range(dims)) * (1 + 1e-9), 1e-9)
-    levels = min(48 // dims + 4, math.ceil(math.log2(max(2, ends[0] * 16 / leaf_rows)) / dims) + 8)
-    a, b = Pyramid(ours, origin, side, levels, leaf_rows), Pyramid(theirs, origin, side, levels, leaf_rows)
+    a, b = pyramids
     wanted, mine = _wanted(a, b, dims, k + apart)
     asked = b.rows.withColumnRenamed("leaf", "from").join(wanted.withColumnRenamed("leaf", "from"), "from").select("block", "key", *_axes(dims))
 
@@ -177,6 +193,59 @@ def each_nearest(left: DataFrame, right: DataFrame, k: int, finish: Finish, sche
     return mine.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(answered, schema)
 
 
+def count_within(left: DataFrame, right: DataFrame, radius: float, key: str = "point_id", coordinates: Sequence[str] = ("x", "y"), leaf_rows: int = 4 * LEAF_ROWS) -> DataFrame:
+    """Number of right rows at most ``radius`` from each left row: (key, n).
+
+    Blocks go down the right side's pyramid: a cell that lies within the radius of the whole block adds its count, one that is out of reach is dropped, and only leaves on
+    the rim of the circle are measured row by row, inside the block's task. Rows with a missing coordinate are left out on both sides.
+    """
+    dims, kind = len(coordinates), left.schema[key].dataType.simpleString()
+    ours, theirs = _prepared(left, coordinates, None, key, ()), _prepared(right, coordinates, None, right.columns[0], ())
+    pyramids = _pyramids(ours, theirs, dims, leaf_rows)
+    if pyramids is None:
+        return left.sparkSession.createDataFrame([], f"{key} {kind}, n long")
+    a, b = pyramids
+    sides = ["lo", "hi"]
+    boxes = [F.col(f"{e}{d}").alias(f"b{e}{d}") for e in sides for d in range(dims)]
+    cell = ["cell", "n", "leaf", *(f"{e}{d}" for e in sides for d in range(dims))]
+    blocks = a.nodes.where("leaf").select("g", F.col("cell").alias("block"), *boxes)
+    near, far = _gaps(dims)
+    limit = radius * radius
+    children, whole, rim = b.nodes.where("parent is not null").select("parent", *cell), [], []
+    pairs = blocks.join(b.nodes.where("level = 0").select("g", *cell), "g").drop("g")
+    for _ in range(b.levels + 1):
+        pairs = stored(pairs.withColumns({"near": near, "far": far}).where(F.col("near") * (1 - 1e-12) <= limit).withColumn("whole", F.col("far") * (1 + 1e-12) <= limit).drop("near", "far"), "pairs")
+        whole.append(pairs.where("whole").select("block", "n"))
+        rim.append(pairs.where("leaf and not whole").select("block", F.col("cell").alias("from")))
+        inner = pairs.where("not leaf and not whole")
+        if inner.isEmpty():
+            break
+        pairs = inner.withColumn("parent", F.col("cell")).drop("whole", *cell).join(children, "parent").drop("parent")
+    sure = reduce(DataFrame.unionByName, whole).groupBy("block").agg(F.sum("n").alias("sure"))
+    mine = a.rows.withColumnRenamed("leaf", "block")
+    known = sure.select("block", "sure", *(F.lit(None).cast("double").alias(c) for c in _axes(dims)))
+    asked = b.rows.withColumnRenamed("leaf", "from").join(reduce(DataFrame.unionByName, rim), "from").select("block", F.lit(None).cast("long").alias("sure"), *_axes(dims))
+    schema = f"{key} {kind}, n long"
+    empty = _arrow_schema(schema).empty_table()
+
+    def counted(mine: pa.Table, others: pa.Table) -> pa.Table:
+        if not len(mine):
+            return empty
+        base, others = sum(others["sure"].drop_null().to_pylist()), others.filter(pc.is_null(others["sure"]))
+        own, other = (np.stack([t[c].to_numpy() for c in _axes(dims)], 1) for t in (mine, others))
+        out = np.full(len(own), base, np.int64)
+        step = max(1, _DISTANCES // max(1, len(other)))
+        for at in range(0, len(own), step):
+            d = np.zeros((len(own[at : at + step]), len(other)))
+            for axis in range(dims):
+                gap = own[at : at + step, axis, None] - other[None, :, axis]
+                d += gap * gap
+            out[at : at + step] += (d <= limit).sum(1)
+        return pa.table({key: mine["key"], "n": out})
+
+    return mine.groupBy("block").cogroup(known.unionByName(asked).groupBy("block")).applyInArrow(counted, schema)
+
+
 def _arrow_schema(schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 

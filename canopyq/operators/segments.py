@@ -12,31 +12,60 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopyq.operators.spatial import within
+from canopyq.operators.neighbours import linearity  # noqa: F401
 from canopyq.plans.storage import discard, stored
 
 
-def suppressed(tops: DataFrame, distance: float, key: str = "tree_id", height: str = "height_m") -> DataFrame:
+def _settled(rank: list[int], x: list[float], y: list[float], state: list[int], own: list[bool], distance: float) -> list[int]:
+    """States of tops in order of ``rank`` as far as they follow: 1 kept, 0 dropped, -1 open. Given states stay, and those of tops that aren't the tile's own, since
+    better ones near these may not be at hand; a top whose fate hangs on an open one is open."""
+    out, cells = list(state), {}
+    for i in rank:
+        cx, cy = math.floor(x[i] / distance), math.floor(y[i] / distance)
+        if out[i] == -1 and own[i]:
+            fate = 1
+            for a in (-1, 0, 1):
+                for b in (-1, 0, 1):
+                    for j in cells.get((cx + a, cy + b), ()):
+                        if (x[i] - x[j]) ** 2 + (y[i] - y[j]) ** 2 < distance * distance:
+                            fate = 0 if out[j] == 1 or fate == 0 else -1
+            out[i] = fate
+        if out[i]:
+            cells.setdefault((cx, cy), []).append(i)
+    return out
+
+
+def suppressed(tops: DataFrame, distance: float, key: str = "tree_id", height: str = "height_m", tile: float | None = None) -> DataFrame:
     """Greedy non-maximum suppression: from the highest down, a top stays unless a kept one is nearer than ``distance``.
 
-    Equal heights go by key, so the order is total and rounds give the greedy answer: a top is dropped once a better neighbour is kept, and kept once all better
-    neighbours are dropped. Conflicts come from a cell join; each round is written to the shared folder. Rounds are at most the longest chain of tops that descends
-    in steps shorter than ``distance``.
+    Equal heights go by key, so the order is total. Tiles of side ``tile`` (64 distances if not given), with the tops within ``distance`` around them, settle all that follows from what
+    they hold, in one task each; tops whose fate hangs on an open one beyond the tile wait for the next round, in which only such tiles run. So rounds follow how many tiles a chain of
+    tops crosses, not its length; each is written to the shared folder. Tops without a place or height are left out.
     """
-    right = tops.select(F.col(key).alias("_w"), F.col(height).alias("_h"), F.col("x").alias("rx"), F.col("y").alias("ry"))
-    better = (F.col("_h") > F.col(height)) | ((F.col("_h") == F.col(height)) & (F.col("_w") < F.col(key)))
-    conflicts = stored(within(tops.select(key, height, "x", "y"), right, distance).where((F.col("dist2") < distance * distance) & better).select(key, "_w"), "conflicts")
-    state = stored(tops.select(key, F.lit(None).cast("boolean").alias("kept")), "state")
+    side = tile or 64 * distance
+    kind = tops.schema[key].dataType.simpleString()
+    placed = tops.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col(height).isNotNull())
+    rows = placed.select(F.col(key).alias("key"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col(height).cast("double").alias("h"), F.lit(-1).alias("state"))
+    state = stored(rows.withColumns({"own_i": F.floor(F.col("x") / side), "own_j": F.floor(F.col("y") / side)}), "tops")
+    spans = {c: F.explode(F.array_distinct(F.array(F.floor((F.col(v) - distance) / side), F.floor(F.col(v) / side), F.floor((F.col(v) + distance) / side)))) for c, v in (("ti", "x"), ("tj", "y"))}
+    schema = f"key {kind}, x double, y double, h double, state int, own_i long, own_j long"
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = (pdf["own_i"] == pdf["ti"]) & (pdf["own_j"] == pdf["tj"])
+        rank = pdf.assign(at=range(len(pdf))).sort_values(["h", "key"], ascending=[False, True])["at"].tolist()
+        found = _settled(rank, pdf["x"].tolist(), pdf["y"].tolist(), pdf["state"].tolist(), own.tolist(), distance)
+        return pdf.assign(state=found)[own][["key", "x", "y", "h", "state", "own_i", "own_j"]]
+
     while True:
-        of = state.select(F.col(key).alias("_w"), F.col("kept").alias("_k"))
-        seen = conflicts.join(of, "_w").groupBy(key).agg(F.coalesce(F.bool_or(F.coalesce("_k", F.lit(False))), F.lit(False)).alias("_any"), F.bool_or(F.col("_k").isNull()).alias("_open"))
-        j = state.join(seen, key, "left")
-        kept = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("_any"), False).when(F.coalesce("_open", F.lit(False)), F.lit(None).cast("boolean")).otherwise(True)
-        before, state = state, stored(j.select(key, kept.alias("kept")), "state")
+        waiting = state.where("state = -1").select(F.col("own_i").alias("ti"), F.col("own_j").alias("tj")).distinct()
+        if waiting.isEmpty():
+            kept = state.where("state = 1").select(F.col("key").alias(key))
+            return tops.join(kept, key, "left_semi")
+        dealt = state.withColumn("ti", spans["ti"]).withColumn("tj", spans["tj"]).join(waiting, ["ti", "tj"], "left_semi")
+        done = dealt.groupBy("ti", "tj").applyInPandas(settle, schema)
+        rest = state.join(waiting.select(F.col("ti").alias("own_i"), F.col("tj").alias("own_j")), ["own_i", "own_j"], "left_anti")
+        before, state = state, stored(rest.select(state.columns).unionByName(done), "tops")
         discard(before)
-        if state.where("kept is null").isEmpty():
-            discard(conflicts)
-            return tops.join(state.where("kept").select(key), key, "left_semi")
 
 
 def smoothed(grid: DataFrame, sigma: float = 1.0, truncate: float = 4.0) -> DataFrame:
@@ -166,35 +195,6 @@ def radial_filter(points: DataFrame, centres: DataFrame, key: str = "tree_id", r
     return out.select(*points.columns, "kept", F.when(F.col("_k") < least, 1.0).otherwise(F.col("_k") / F.col("_n")).alias("retention"))
 
 
-def linearity_kernel(xyz: np.ndarray, k: int, block: int = 512) -> np.ndarray:
-    """(l1 - l2) / l1 of the covariance of each point's k nearest others; 0.5 for sets of k points or fewer."""
-    n = len(xyz)
-    out = np.full(n, 0.5)
-    if n <= k:
-        return out
-    for begin in range(0, n, block):
-        part = xyz[begin : begin + block]
-        d = ((part[:, None, :] - xyz[None, :, :]) ** 2).sum(2)
-        d[np.arange(len(part)), np.arange(begin, begin + len(part))] = np.inf
-        near = np.argpartition(d, k - 1, axis=1)[:, :k]
-        group = xyz[near]
-        group = group - group.mean(1, keepdims=True)
-        values = np.linalg.eigvalsh(np.einsum("nki,nkj->nij", group, group) / k)
-        out[begin : begin + block] = np.where(values[:, 2] > 0, (values[:, 2] - values[:, 1]) / np.where(values[:, 2] > 0, values[:, 2], 1), 0.0)
-    return out
-
-
-def linearity(points: DataFrame, by: str, key: str = "point_id", k: int = 20) -> DataFrame:
-    """Local linearity of each point within its tree; one task a tree, neighbours in blocks. Points of no tree, with an id of 0 or less, score 0."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({by: pdf[by], key: pdf[key], "linearity": linearity_kernel(pdf[["x", "y", "z"]].to_numpy(float), k)})
-
-    kinds = {c: points.schema[c].dataType.simpleString() for c in (by, key)}
-    found = points.where(F.col(by) > 0).select(by, key, "x", "y", "z").groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {key} {kinds[key]}, linearity double")
-    return found.unionByName(points.where(F.col(by) <= 0).select(by, key, F.lit(0.0).alias("linearity")))
-
-
 def principal_axes(points: DataFrame, by: str) -> DataFrame:
     """Linearity and verticality of each segment from its covariance: sums are partial aggregates, the eigenvectors of one 3 x 3 matrix a row."""
     pairs = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]

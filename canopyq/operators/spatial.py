@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from canopyq.plans.storage import stored
+from canopyq.operators.neighbours import count_within, k_nearest
 
 
 def _cells(size: float, x: str, y: str) -> tuple[Column, Column]:
@@ -29,11 +30,10 @@ def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
 
 
 def radius_count(points: DataFrame, radius: float, key: str = "point_id") -> DataFrame:
-    """Number of other points within ``radius`` of each point."""
-    right = points.select(F.col(key).alias("_other"), F.col("x").alias("rx"), F.col("y").alias("ry"))
-    pairs = within(points.select(key, "x", "y"), right, radius)
-    counts = pairs.where(F.col(key) != F.col("_other")).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return points.join(counts, key, "left").select(*points.columns, F.coalesce("_n", F.lit(0)).cast("long").alias("n_near"))
+    """Number of other points within ``radius`` of each point; cells inside the circle add their counts, so dense places form no pairs."""
+    placed = points.select(key, "x", "y")
+    counts = count_within(placed, placed, radius, key).withColumnRenamed("n", "_n")
+    return points.join(counts, key, "left").select(*points.columns, F.coalesce(F.col("_n") - 1, F.lit(0)).cast("long").alias("n_near"))
 
 
 def radius_max(seeds: DataFrame, points: DataFrame, radius: float, key: str, fallback: str) -> DataFrame:
@@ -42,32 +42,20 @@ def radius_max(seeds: DataFrame, points: DataFrame, radius: float, key: str, fal
     return seeds.join(tops, key, "left").select(*seeds.columns, F.coalesce("_top", fallback).alias("top_z"))
 
 
-def nearest(left: DataFrame, right: DataFrame, radius: float, key: str = "point_id", right_key: str = "ground_id") -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, key: str = "point_id", right_key: str = "ground_id") -> DataFrame:
     """The nearest right row (``right_key``, x, y) of each left row, ties to the smaller key: (key, right_key, distance).
 
-    The search radius doubles for rows that found nothing, so each row is searched in cells about as wide as its own distance. Rounds are written to
-    the shared folder, and are at most the logarithm of the largest distance over ``radius``. An empty right side gives no row; rows without coordinates have none either.
+    An empty right side gives no row; rows without coordinates have none either.
     """
-    target = right.select(F.col(right_key), F.col("x").alias("rx"), F.col("y").alias("ry")).where("rx is not null and ry is not null and not isnan(rx) and not isnan(ry)")
-    if target.isEmpty():
-        return left.sparkSession.createDataFrame([], f"{key} long, {right_key} long, distance double")
-    open_rows, found = left.where("x is not null and y is not null and not isnan(x) and not isnan(y)").select(key, "x", "y"), None
-    while True:
-        best = within(open_rows, target, radius).groupBy(key).agg(F.min(F.struct("dist2", right_key)).alias("_b"))
-        part = stored(best.select(key, F.col(f"_b.{right_key}").alias(right_key), F.sqrt("_b.dist2").alias("distance")), "nearest")
-        found = part if found is None else found.unionByName(part)
-        open_rows = stored(open_rows.join(part, key, "left_anti"), "open")
-        if open_rows.isEmpty():
-            return found
-        radius *= 2
+    found = k_nearest(left, right, 1, ("x", "y"), None, key, right_key)
+    return found.where(F.size("keys") > 0).select(key, F.get("keys", F.lit(0)).alias(right_key), F.get("distances", F.lit(0)).alias("distance"))
 
 
 def nearest_in_group(df: DataFrame, group: list[str], key: str, coordinates: list[str], k: int) -> DataFrame:
-    """Distances to the ``k`` nearest other rows of a group of bounded size (points of one tree): (group, key, ranked array of distances)."""
-    other = df.select(*group, F.col(key).alias("_o"), *(F.col(c).alias(f"_{c}") for c in coordinates))
-    pairs = df.join(other, group).where(F.col(key) != F.col("_o"))
-    dist = F.sqrt(sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in coordinates[1:]), (F.col(coordinates[0]) - F.col(f"_{coordinates[0]}")) * (F.col(coordinates[0]) - F.col(f"_{coordinates[0]}"))))
-    return pairs.groupBy(*group, key).agg(F.slice(F.array_sort(F.collect_list(dist)), 1, k).alias("distances"))
+    """Distances to the ``k`` nearest other rows of a group: (group, key, ranked array of distances). Rows alone in their group have none and give no row."""
+    packed = df.withColumn("_g", F.to_json(F.struct(*group)))
+    found = k_nearest(packed, packed, k, coordinates, "_g", key, key, apart=True).where(F.size("keys") > 0)
+    return found.join(df.select(key, *group), key).select(*group, key, "distances")
 
 
 def ring_edges(polygons: DataFrame) -> DataFrame:
@@ -77,19 +65,60 @@ def ring_edges(polygons: DataFrame) -> DataFrame:
     return edge.select("poly_id", "ordinal", F.col("e.a")[0].alias("x1"), F.col("e.a")[1].alias("y1"), F.col("e.b")[0].alias("x2"), F.col("e.b")[1].alias("y2"))
 
 
-def inside(points: DataFrame, edges: DataFrame, strip: float, key: str = "point_id") -> DataFrame:
-    """Pairs of points and polygons that hold them, by parity of crossed edges: (key, poly_id, ordinal).
+#: Where in a cell its reference point stands, as shares of the side: off the round numbers that surveyed corners have.
+_REFERENCE = (0.6180339887498949, 0.4142135623730951)
 
-    Points and edges meet on horizontal strips of height ``strip``; an edge is sent to the strips it crosses, so the join is an equi join and
-    a polygon's far edges are never tested.
+
+def polygon_cover(edges: DataFrame, size: float) -> DataFrame:
+    """Cells of side ``size`` that polygons touch: (poly_id, ordinal, cx, cy, odd, edges). ``edges`` are those that pass through the cell, none in cells wholly inside.
+
+    ``odd`` tells whether the cell's reference point is inside, by the parity of edges to its right. Rows of cells are filled between the cells that edges pass.
     """
+    slack = size * 1e-9
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    placed = edges.where("y1 <> y2").withColumn("_s", F.explode(F.sequence(F.floor(low / strip), F.floor(high / strip))))
-    joined = points.select(key, "x", "y").withColumn("_s", F.floor(F.col("y") / strip)).join(placed, "_s")
-    spans = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
-    at = F.try_divide((F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")), F.col("y2") - F.col("y1")) + F.col("x1")
-    crossed = joined.where(spans & (F.col("x") < at)).groupBy(key, "poly_id", "ordinal").agg(F.count(F.lit(1)).alias("_n"))
-    return crossed.where(F.col("_n") % 2 == 1).select(key, "poly_id", "ordinal")
+    rows = edges.withColumn("cy", F.explode(F.sequence(F.floor((low - slack) / size), F.floor((high + slack) / size))))
+    at = lambda y: F.col("x1") + F.coalesce(F.try_divide((F.col("x2") - F.col("x1")) * (y - F.col("y1")), F.col("y2") - F.col("y1")), F.lit(0.0))
+    bottom, top = (F.greatest(low, F.least(high, (F.col("cy") + d) * size)) for d in (0, 1))
+    flat = F.col("y1") == F.col("y2")
+    ends = [F.when(flat, F.col("x1")).otherwise(at(bottom)), F.when(flat, F.col("x2")).otherwise(at(top))]
+    wide = F.abs(F.col("x2") - F.col("x1")) * 1e-9 + slack
+    passed = rows.withColumn("cx", F.explode(F.sequence(F.floor((F.least(*ends) - wide) / size), F.floor((F.greatest(*ends) + wide) / size))))
+    rim = passed.groupBy("poly_id", "ordinal", "cx", "cy").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+
+    in_row = Window.partitionBy("poly_id", "ordinal", "cy").orderBy("cx")
+    cells = rim.withColumn("next", F.lead("cx").over(in_row)).withColumn("to", F.coalesce(F.col("next") - 1, F.col("cx")))
+    parts = cells.select("poly_id", "ordinal", "cy", "cx", F.col("cx").alias("last"), "edges").unionByName(
+        cells.where(F.col("to") > F.col("cx")).select("poly_id", "ordinal", "cy", (F.col("cx") + 1).alias("cx"), F.col("to").alias("last"), F.lit(None).cast(rim.schema["edges"].dataType).alias("edges"))
+    )
+    middle = (F.col("cy") + _REFERENCE[1]) * size
+    crossing = rows.where((F.col("y1") > middle) != (F.col("y2") > middle)).select("poly_id", "ordinal", "cy", at(middle).alias("x"), F.lit(1).alias("turn"))
+    asked = parts.withColumns({"x": (F.col("cx") + _REFERENCE[0]) * size, "turn": F.lit(0)})
+    rightmost = Window.partitionBy("poly_id", "ordinal", "cy").orderBy(F.desc("x"), "turn").rowsBetween(Window.unboundedPreceding, 0)
+    told = asked.unionByName(crossing, allowMissingColumns=True).withColumn("odd", F.sum("turn").over(rightmost) % 2 == 1).where("turn = 0")
+    kept = told.where("odd or edges is not null").withColumn("cx", F.explode(F.sequence("cx", "last")))
+    return kept.select("poly_id", "ordinal", "cx", "cy", "odd", "edges")
+
+
+def inside(points: DataFrame, edges: DataFrame, size: float, key: str = "point_id") -> DataFrame:
+    """Pairs of points and polygons that hold them, by parity: (key, poly_id, ordinal).
+
+    Points meet polygons in cells of side ``size``. A cell wholly inside answers at once; in a cell that edges pass, the way from the point to the cell's reference point, along its row and
+    then up or down, crosses only edges of that cell, and each crossing changes sides. So a point tests no edge of another cell.
+    """
+    cover = polygon_cover(edges, size)
+    placed = points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(key, "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
+    met = placed.join(cover, ["cx", "cy"]).withColumns({"rx": (F.col("cx") + _REFERENCE[0]) * size, "ry": (F.col("cy") + _REFERENCE[1]) * size})
+
+    def along(e: Column) -> Column:
+        at = F.try_divide((e["x2"] - e["x1"]) * (F.col("y") - e["y1"]), e["y2"] - e["y1"]) + e["x1"]
+        return ((e["y1"] > F.col("y")) != (e["y2"] > F.col("y"))) & ((F.col("x") < at) != (F.col("rx") < at))
+
+    def across(e: Column) -> Column:
+        at = F.try_divide((e["y2"] - e["y1"]) * (F.col("rx") - e["x1"]), e["x2"] - e["x1"]) + e["y1"]
+        return ((e["x1"] > F.col("rx")) != (e["x2"] > F.col("rx"))) & ((F.col("y") < at) != (F.col("ry") < at))
+
+    turns = F.when(F.col("edges").isNull(), 0).otherwise(F.size(F.filter("edges", along)) + F.size(F.filter("edges", across)))
+    return met.where((turns + F.col("odd").cast("int")) % 2 == 1).select(key, "poly_id", "ordinal")
 
 
 def first_polygon(points: DataFrame, edges: DataFrame, strip: float, key: str = "point_id") -> DataFrame:

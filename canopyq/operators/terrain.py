@@ -29,9 +29,9 @@ def ground_points(points: DataFrame, size: float = 0.5, windows: tuple[int, ...]
     return j.withColumn("is_ground", F.col("ground") & (F.col("z") - F.col("_low") <= first)).drop("row", "col", "ground", "_low")
 
 
-def height_above(points: DataFrame, ground: DataFrame, radius: float = 1.0) -> DataFrame:
+def height_above(points: DataFrame, ground: DataFrame) -> DataFrame:
     """Points with z above the nearest ground node (ground_id, x, y, ground_z)."""
-    near = nearest(points, ground, radius)
+    near = nearest(points, ground)
     return points.join(near, "point_id").join(ground.select("ground_id", "ground_z"), "ground_id").withColumn("height", F.col("z") - F.col("ground_z")).select(*points.columns, "height", "distance")
 
 

@@ -169,7 +169,7 @@ def tiles_with_halo(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT point_id, ground_id, distance FROM (SELECT p.point_id, g.ground_id, sqrt((p.x - g.x) * (p.x - g.x) + (p.y - g.y) * (p.y - g.y)) AS distance,
 row_number() OVER (PARTITION BY p.point_id ORDER BY (p.x - g.x) * (p.x - g.x) + (p.y - g.y) * (p.y - g.y), g.ground_id) AS k FROM {spots} p CROSS JOIN {ground} g) WHERE k = 1""")
 def nearest_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.nearest(recipe(spark, sf_dir, "spots"), recipe(spark, sf_dir, "ground"), 40.0)
+    return spatial.nearest(recipe(spark, sf_dir, "spots"), recipe(spark, sf_dir, "ground"))
 
 
 @registered("""

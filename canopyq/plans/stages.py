@@ -28,7 +28,7 @@ class Stage:
 def _normalise(t: Tables, p: Mapping[str, Any]) -> Tables:
     marked = terrain.ground_points(t["points"], p["size"])
     ground = grid.ground_median(marked.where("is_ground"), p["size"]).withColumn("ground_id", F.xxhash64("row", "col"))
-    above = terrain.height_above(t["points"], ground, p["size"] * 2)
+    above = terrain.height_above(t["points"], ground)
     return {"heights": above.withColumn("z", F.col("height")).drop("height", "distance"), "ground": ground}
 
 

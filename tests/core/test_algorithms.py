@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from canopyq.operators import circles, feed, graph, grid, segments, spatial, stats, terrain
+from canopyq.operators import circles, feed, graph, grid, neighbours, segments, spatial, stats, terrain
 from canopyq.plans import stages
 from canopyq.sources import files as sources
 
@@ -43,7 +43,7 @@ def test_nearest_and_radius(spark, cloud):
     left = spark.createDataFrame(cloud)
     right = spark.createDataFrame(cloud[cloud.point_id % 40 == 0].rename(columns={"point_id": "ground_id"}))
     target = cloud[cloud.point_id % 40 == 0]
-    for r in spatial.nearest(left, right, 0.5).collect():
+    for r in spatial.nearest(left, right).collect():
         p = cloud.iloc[r.point_id]
         assert math.isclose(r.distance, float(np.hypot(target.x - p.x, target.y - p.y).min()), abs_tol=1e-9)
     counts = {r.point_id: r.n_near for r in spatial.radius_count(left, 2.0).collect()}
@@ -53,7 +53,7 @@ def test_nearest_and_radius(spark, cloud):
 
 def test_nearest_without_targets(spark, cloud):
     none = spark.createDataFrame([], "ground_id long, x double, y double")
-    assert spatial.nearest(spark.createDataFrame(cloud), none, 1.0).count() == 0
+    assert spatial.nearest(spark.createDataFrame(cloud), none).count() == 0
 
 
 def test_every_point_has_one_core_tile(spark, cloud):
@@ -138,8 +138,7 @@ def test_hull_of_hulls(points):
 
 def test_linearity_of_a_line():
     t = np.linspace(0, 1, 40)
-    assert segments.linearity_kernel(np.stack([t, t, t], 1), 20).min() > 0.999
-    assert (segments.linearity_kernel(np.zeros((5, 3)), 20) == 0.5).all()
+    assert neighbours.line_share(np.stack([t, t, t], 1)[None]).min() > 0.999
 
 
 def test_robust_mean_keeps_small_groups(spark):

@@ -143,11 +143,13 @@ def test_containment_is_the_same_for_any_number_of_sites(spark):
 def test_linearity_leaves_the_point_out(spark):
     rng = np.random.default_rng(12)
     xyz, k = rng.normal(0, 1, (60, 3)), 20
-    got = segments.linearity_kernel(xyz, k)
+    points = spark.createDataFrame([(1, i, *map(float, p)) for i, p in enumerate(xyz)] + [(2, 100 + i, float(i), 0.0, 0.0) for i in range(k)], "tree_id long, point_id long, x double, y double, z double")
+    got = {r.point_id: r.linearity for r in segments.linearity(points, "tree_id").collect()}
+    assert {got[100 + i] for i in range(k)} == {0.5}
     for i in range(60):
         others = xyz[np.argsort(((xyz - xyz[i]) ** 2).sum(1))[1 : k + 1]]
         values = np.linalg.eigvalsh(np.cov(others.T))
-        assert abs(got[i] - (values[2] - values[1]) / values[2]) < 1e-9
+        assert abs(got[i] - (values[2] - values[1]) / (values[2] + 1e-9)) < 1e-9
     none = spark.createDataFrame([(0, i, float(i), 0.0, 0.0) for i in range(30)], "tree_id long, point_id long, x double, y double, z double")
     assert {r.linearity for r in segments.linearity(none, "tree_id").collect()} == {0.0}
 
@@ -173,4 +175,4 @@ def test_suppression_of_a_long_chain(spark):
 def test_nearest_of_a_far_row(spark):
     left = spark.createDataFrame([(1, 0.0, 0.0), (2, 5e7, 0.0), (3, None, 1.0)], "point_id long, x double, y double")
     right = spark.createDataFrame([(7, 1.0, 0.0)], "ground_id long, x double, y double")
-    assert {(r.point_id, r.ground_id) for r in spatial.nearest(left, right, 0.5).collect()} == {(1, 7), (2, 7)}
+    assert {(r.point_id, r.ground_id) for r in spatial.nearest(left, right).collect()} == {(1, 7), (2, 7)}
