@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from canopyq.llm import kernels as K
+from canopyq.llm.rows import in_small_batches
 from canopyq.llm.tokens import WordTable, default_path, load_tokenizer, plain, split_word_end
 
 _SHIFT = 20
@@ -191,4 +192,4 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str | None = None, text: str
                 n, ids, names = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(ids), pa.array(names)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(docs["doc_id"].cast("long"), docs[text].cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_small_batches(docs.select(docs["doc_id"].cast("long"), docs[text].cast("string"))).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopyq.llm import kernels as K
+from canopyq.llm.rows import in_small_batches
 from canopyq.operators.graph import connected_components
 from canopyq.plans.salted import with_few, with_group_values
 from canopyq.plans.storage import discard, stored
@@ -164,7 +165,7 @@ def _signed(docs: DataFrame, rules: JoinRules) -> DataFrame:
                 low = signature.astype("<u2")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([s.tobytes() for s in low]), bands], ["node", "doc_id", "signature", "bands"])
 
-    return docs.select("node", "doc_id", "text").mapInArrow(run, "node binary, doc_id long, signature binary, bands array<long>")
+    return in_small_batches(docs.select("node", "doc_id", "text")).mapInArrow(run, "node binary, doc_id long, signature binary, bands array<long>")
 
 
 def _one_block(members: DataFrame, key: str, parts: Column) -> DataFrame:
@@ -356,7 +357,7 @@ def _gram_sets(docs: DataFrame, width: int) -> DataFrame:
                 sets = [np.unique(values[x:y]).tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["node", "grams"])
 
-    return docs.select("node", "text").mapInArrow(run, "node binary, grams binary")
+    return in_small_batches(docs.select("node", "text")).mapInArrow(run, "node binary, grams binary")
 
 
 def _hanging(rows: DataFrame, key: str) -> DataFrame:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from canopyq.llm import kernels as K
+from canopyq.llm.rows import in_small_batches
 
 # Public licence notices and the phrases and labels of the base rule, as text.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -259,7 +260,7 @@ def scan_licences(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None
                 columns = zip(*scanner.scan(part, at), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(list(c), t) for c, t in zip(columns, _TYPES, strict=True))], ["doc_id", *_NAMES])
 
-    return docs.select(docs["doc_id"].cast("long"), docs[text].cast("string")).mapInArrow(
+    return in_small_batches(docs.select(docs["doc_id"].cast("long"), docs[text].cast("string"))).mapInArrow(
         run,
         "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
         "spans array<struct<label: string, first_word: long, after_word: long, share: double>>",

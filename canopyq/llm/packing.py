@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from canopyq.llm import kernels as K
+from canopyq.llm.rows import in_small_batches
 from canopyq.llm.tokens import ByteLevelEncoder, default_path
 
 
@@ -105,4 +106,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity:
         if waiting:
             yield placed()
 
-    return docs.select(docs["doc_id"].cast("long"), docs[text].cast("string")).mapInArrow(run, SCHEMA)
+    return in_small_batches(docs.select(docs["doc_id"].cast("long"), docs[text].cast("string"))).mapInArrow(run, SCHEMA)

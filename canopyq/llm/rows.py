@@ -11,6 +11,22 @@ from pyspark.sql import functions as F
 
 from canopyq.llm import kernels as K
 
+#: Most bytes of a batch of texts on its way to Python.
+BATCH_BYTES = 4 << 20
+_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_small_batches(texts: DataFrame) -> DataFrame:
+    """The same rows, sent to Python in batches of at most ``BATCH_BYTES`` besides single longer ones: texts are long, and both sides hold a batch whole.
+
+    Sets the session's ``spark.sql.execution.arrow.maxBytesPerBatch``, unless it is smaller already.
+    """
+    conf = texts.sparkSession.conf
+    if int("".join(c for c in conf.get(_SETTING) if c.isdigit())) > BATCH_BYTES:
+        conf.set(_SETTING, str(BATCH_BYTES))
+    return texts
+
+
 #: Bytes and row offsets of a chunk's texts, and the other inputs' arrays for its rows -> one array for each result.
 Kernel = Callable[..., list[pa.Array]]
 
@@ -39,7 +55,7 @@ def annotated(docs: DataFrame, keep: tuple[str, ...], text: str, others: list[Co
     quoted = [docs[f"`{c}`"] for c in keep]
     sent = [docs[f"`{text}`"].cast("string").alias("t")] if kept is None else []
     inputs = [c.alias(f"k{i}") for i, c in enumerate(quoted)] + sent + [c.alias(f"o{i}") for i, c in enumerate(others)]
-    out = docs.select(*inputs).mapInArrow(run, schema)
+    out = in_small_batches(docs.select(*inputs)).mapInArrow(run, schema)
     named = [F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]
     return out.where(where).select(*named) if where else out.select(*named, *results)
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopyq.llm import kernels as K
+from canopyq.llm.rows import in_small_batches
 from canopyq.llm.tokens import ByteLevelEncoder, default_path, plain, split_byte_level
 
 #: Pre-tokens on either side of what an edit may change that are encoded again: no pre-token looks further ahead.
@@ -321,7 +322,7 @@ def edited_token_counts(
 
     columns = [docs["doc_id"].cast("long").alias("i"), docs[text].cast("string").alias("t")] + ([docs[edits].alias("e")] if by_column else [])
     columns += [docs[c].cast("array<int>").alias(k) for c, k in zip(state, "cl", strict=True)] if state else []
-    return docs.select(*columns).mapInArrow(run, schema)
+    return in_small_batches(docs.select(*columns)).mapInArrow(run, schema)
 
 
 def token_state(docs: DataFrame, tokenizer_path: str | None = None, text: str = "text") -> DataFrame:

@@ -123,7 +123,7 @@ class WordTable:
     #: How often a word's bytes are kept, its ids included, and what a word costs besides.
     copies, overhead = 2, 150
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 400_000, most_bytes: int = 64 << 20) -> None:
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 400_000, most_bytes: int = 40 << 20) -> None:
         self.encode, self.limit, self.most_bytes = encode, limit, most_bytes
         self.clear()
 
