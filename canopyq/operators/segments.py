@@ -68,27 +68,32 @@ def suppressed(tops: DataFrame, distance: float, key: str = "tree_id", height: s
         discard(before)
 
 
-def smoothed(grid: DataFrame, sigma: float = 1.0, truncate: float = 4.0) -> DataFrame:
-    """Separable Gaussian on a dense grid with reflected borders; absent cells count 0. Two joins on shifted indices, no dense array anywhere."""
+def smoothed(grid: DataFrame, sigma: float = 1.0, truncate: float = 4.0, everywhere: bool = False, single: bool = False) -> DataFrame:
+    """Separable Gaussian on a grid with borders reflected at its outermost cells; absent cells count 0.
+
+    Each cell sends its share to the cells it reaches along one axis, and sums go on along the other: two aggregations, no dense array anywhere. With ``everywhere`` absent cells that
+    some share reaches have a value too; with ``single`` each pass is rounded to a float.
+    """
     half = int(truncate * sigma + 0.5)
     raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-half, half + 1)]
     weights = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(w / sum(raw)).alias("w")) for k, w in zip(range(-half, half + 1), raw, strict=True)))
     ends = grid.agg(F.min("row").alias("_r0"), F.max("row").alias("_r1"), F.min("col").alias("_c0"), F.max("col").alias("_c1"))
 
     def one(values: DataFrame, axis: str, low: str, high: str) -> DataFrame:
-        n = F.col(high) - F.col(low) + 1
-        at = F.pmod(F.col(axis) + F.col("_t.k") - F.col(low), n * 2)
-        source = F.when(at < n, at).otherwise(n * 2 - 1 - at) + F.col(low)
-        other = "col" if axis == "row" else "row"
-        asked = values.crossJoin(F.broadcast(ends)).select("row", "col", F.explode(weights).alias("_t"), low, high)  # one row of ends
-        asked = asked.select("row", "col", source.cast("int").alias("_s"), F.col("_t.w").alias("_w"))
-        found = asked.join(values.select(F.col(axis).alias("_s"), other, F.col("value").alias("_v")), ["_s", other], "left")
-        return found.groupBy("row", "col").agg(F.sum(F.col("_w") * F.coalesce("_v", F.lit(0.0))).alias("value"))
+        other, n = "col" if axis == "row" else "row", F.col(high) - F.col(low) + 1
+        placed = values.crossJoin(F.broadcast(ends)).withColumn("_p", F.col(axis) - F.col(low)).withColumn("_n", n)  # one row of ends
+        turns = F.transform(F.sequence(F.floor(-half / (F.col("_n") * 2)) - 1, F.floor((F.col("_n") + half) / (F.col("_n") * 2)) + 1), lambda m: m * F.col("_n") * 2)
+        images = F.flatten(F.transform(turns, lambda t: F.array(F.col("_p") + t, -1 - F.col("_p") + t)))
+        near = F.filter(images, lambda v: (v >= -half) & (v < F.col("_n") + half))
+        sent = placed.withColumn("_v", F.explode(near)).withColumn("_t", F.explode(weights)).withColumn("_to", F.col("_v") + F.col("_t.k")).where((F.col("_to") >= 0) & (F.col("_to") < F.col("_n")))
+        total = F.sum(F.col("_t.w") * F.col("value"))
+        return sent.groupBy((F.col("_to") + F.col(low)).cast("int").alias(axis), other).agg((total.cast("float") if single else total).alias("value")).select("row", "col", "value")
 
-    return one(one(grid.select("row", "col", "value"), "row", "_r0", "_r1"), "col", "_c0", "_c1")
+    out = one(one(grid.select("row", "col", "value"), "row", "_r0", "_r1"), "col", "_c0", "_c1")
+    return out if everywhere else out.join(grid.select("row", "col"), ["row", "col"], "left_semi")
 
 
-def _flooded(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, seeds: dict[tuple[int, int], int], edge: np.ndarray) -> np.ndarray:
+def _flooded(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, seeds: dict[tuple[int, int], int], edge: np.ndarray, diagonals: bool = True) -> np.ndarray:
     """Place of the seed, in order of label, that floods each cell: -1 where none does, -2 where a flood from beyond a cell of ``edge`` may come first.
 
     Edge cells flood from the start and win ties, so no flood from beyond can be earlier; order depends on a cell's own value, steps and place, never on the
@@ -111,7 +116,7 @@ def _flooded(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, seeds: dict
         _, steps, r, c, i = heapq.heappop(heap)
         for a in (-1, 0, 1):
             for b in (-1, 0, 1):
-                j = place.get((r + a, c + b))
+                j = place.get((r + a, c + b)) if diagonals or not (a and b) else None
                 if j is not None and owner[j] == -1:
                     reach(j, owner[i], steps + 1)
     return owner
@@ -123,9 +128,11 @@ def watershed_kernel(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, see
     return names[_flooded(rows, cols, values, seeds, np.zeros(len(rows), bool))]
 
 
-def watershed(grid: DataFrame, seeds: DataFrame, tile: int = 400, halo: int = 40, least: float = 0.0) -> DataFrame:
+def watershed(grid: DataFrame, seeds: DataFrame, tile: int = 400, halo: int = 40, least: float = 0.0, diagonals: bool = True) -> DataFrame:
     """Seeded watershed of cells with value at least ``least``: (row, col, label), flooded per tile with a halo; any label counts, negative ones too.
 
+    Floods cross corners of cells too, unless ``diagonals`` is false.
+
     Each cell's label comes from the tile that owns it. A tile that a flood from beyond its halo may reach is done again with twice the halo, until
     all labels are those of the whole grid. A task holds one buffered tile; only a flood that crosses the whole raster widens it that far.
     """
@@ -152,7 +159,7 @@ def watershed(grid: DataFrame, seeds: DataFrame, tile: int = 400, halo: int = 40
                 begin, end = k * tile - halo, (k + 1) * tile - 1 + halo
                 edge |= ((at == begin) & (begin > low)) | ((at == end) & (end < high))
             given = {(r, c): n for r, c, n in zip(right["row"], right["col"], right["label"], strict=True)}
-            found = _flooded(rows, cols, left["value"].to_numpy(), given, edge)
+            found = _flooded(rows, cols, left["value"].to_numpy(), given, edge, diagonals)
             own = (rows // tile == key[0]) & (cols // tile == key[1])
             if (found[own] == -2).any():
                 return pd.DataFrame({"row": [None], "col": [None], "label": [None], "ti": [key[0]], "tj": [key[1]]})
@@ -196,7 +203,7 @@ def radial_filter(points: DataFrame, centres: DataFrame, key: str = "tree_id", r
 
 
 def principal_axes(points: DataFrame, by: str) -> DataFrame:
-    """Linearity and verticality of each segment from its covariance: sums are partial aggregates, the eigenvectors of one 3 x 3 matrix a row."""
+    """Linearity, (l1 - l2) / l1 of its variances, and verticality of each segment from its covariance: sums are partial aggregates, the eigenvectors of one 3 x 3 matrix a row."""
     pairs = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
     cov = points.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *(F.covar_samp(a, b).alias(f"c{a}{b}") for a, b in pairs))
 
@@ -204,8 +211,8 @@ def principal_axes(points: DataFrame, by: str) -> DataFrame:
     def axes(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
         m = np.nan_to_num(np.stack([np.stack([xx, xy, xz], 1), np.stack([xy, yy, yz], 1), np.stack([xz, yz, zz], 1)], 1).astype(float))
         values, vectors = np.linalg.eigh(m)
-        total = values.sum(1)
-        return pd.DataFrame({"linearity": np.where(total > 0, values[:, 2] / np.where(total > 0, total, 1), 0.0), "verticality": np.abs(vectors[:, 2, 2])})
+        share = values / np.maximum(values.sum(1, keepdims=True), np.finfo(float).tiny)
+        return pd.DataFrame({"linearity": (share[:, 2] - share[:, 1]) / (share[:, 2] + 1e-9), "verticality": np.abs(vectors[:, 2, 2])})
 
     return cov.select(by, "n", axes(*(F.col(f"c{a}{b}") for a, b in pairs)).alias("a")).select(by, "n", "a.*")
 
@@ -232,11 +239,12 @@ class ScoreRules:
     failures: int = 3
 
 
-def segment_scores(segments: DataFrame, rules: ScoreRules = ScoreRules()) -> DataFrame:
+def segment_scores(segments: DataFrame, rules: ScoreRules = ScoreRules(), reject_empty: bool = True) -> DataFrame:
     """Failures, reasons, status and tier of candidate segments.
 
     ``segments`` has n_points, linearity, verticality, n_slices, drift_mean and drift_max. Too few points or low linearity is a failure; verticality, slices and
-    drift only warn. A candidate is rejected at ``rules.failures`` failures, more than these two checks give by themselves: later steps drop it, not this one.
+    drift only warn. A candidate is rejected at ``rules.failures`` failures, more than these two checks give by themselves. A segment without points is
+    rejected, unless ``reject_empty`` is false: then it has too few points like others.
     """
     few = F.coalesce(F.col("n_points"), F.lit(0)) < rules.points
     bent = ~few & (F.col("linearity") < rules.linearity)
@@ -247,8 +255,10 @@ def segment_scores(segments: DataFrame, rules: ScoreRules = ScoreRules()) -> Dat
         F.when(few, "too_few_points"), F.when(bent, F.format_string("linearity=%.2f", "linearity")), F.when(leaning, F.format_string("verticality_warn=%.2f", "verticality")),
         F.when(short, "too_few_slices_warn"), F.when(drifting, F.format_string("drift_warn=%.2f", "drift_mean")),
     ]
+    empty = (F.coalesce(F.col("n_points"), F.lit(0)) == 0) & F.lit(reject_empty)
     failures = F.coalesce(few, F.lit(False)).cast("int") + F.coalesce(bent, F.lit(False)).cast("int")
-    out = segments.withColumn("fail_reasons", F.array_join(F.array(*marks), ";")).withColumn("failures", failures)
+    reasons = F.when(empty, "empty_after_density_filter").otherwise(F.array_join(F.array(*marks), ";"))
+    out = segments.withColumn("fail_reasons", reasons).withColumn("failures", F.when(empty, rules.failures).otherwise(failures))
     rejected, warned = F.col("failures") >= rules.failures, F.col("failures") == 1
     return out.withColumns({
         "segment_status": F.when(rejected, "rejected_after_scoring").when(warned, "accepted_with_warning").otherwise("good_candidate"),

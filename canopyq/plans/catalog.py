@@ -735,7 +735,7 @@ def segment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_slices"), F.round(F.max("cx") * 10, 2).alias("linearity"), F.round(F.max("cy") * 10, 2).alias("verticality"), (F.max("n_points") * 5).alias("n_points"),
         F.round(F.min("cx") * 6, 2).alias("drift_mean"), (F.max("cx") * 8).alias("drift_max"),
     )
-    return segments.segment_scores(each).select("tree_id", "failures", "fail_reasons", "segment_status", "segment_qc_tier")
+    return segments.segment_scores(each, reject_empty=False).select("tree_id", "failures", "fail_reasons", "segment_status", "segment_qc_tier")
 
 
 @registered("""

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopyq.operators import circles, grid, segments, stats, stems, tariff, terrain
+from canopyq.operators import grid, segmentation, segments, stats, stems, tariff, terrain
 from canopyq.plans.storage import stored
 
 Tables = dict[str, DataFrame]
@@ -50,21 +50,9 @@ def _segmentation(t: Tables, p: Mapping[str, Any]) -> Tables:
 
 
 def _segments(t: Tables, p: Mapping[str, Any]) -> Tables:
-    """Points by crown, sparse crowns cleared, scored; what is far from a good seed's axis goes. The summary has every crown's tree."""
-    key = "tree_id"
-    cells = t["crowns"].select("row", "col", F.col("label").alias(key))
-    points = grid.celled(t["heights"].select("x", "y", "z"), p["size"]).join(cells, ["row", "col"], "left").select("x", "y", "z", F.coalesce(key, F.lit(0)).alias(key))
-    dense = segments.dense_enough(points, key, p["least_points"]).where(F.col(key) > 0)
-    axes = segments.principal_axes(dense, key).withColumnRenamed("n", "n_points")
-    scores = segments.segment_scores(axes.join(stems.centroid_drift(dense, [key]), key, "left"))
-    seeds = circles.seeds(axes, circles.seed_fits(dense))
-    accepted = dense.join(scores.where("segment_status <> 'rejected_after_scoring'").select(key), key)
-    centres = seeds.where("seed_status = 'seed_ok'").select(key, F.col("seed_cx").alias("x"), F.col("seed_cy").alias("y"))
-    kept = segments.radial_filter(accepted, centres, key, p["radius"]).where("kept").drop("kept", "retention")
-    raw, final = points.groupBy(key).agg(F.count(F.lit(1)).alias("n_raw")), kept.groupBy(key).agg(F.count(F.lit(1)).alias("n_final"))
-    crowns = t["crown_summary"].withColumnRenamed("label", key)
-    summary = t["treetops"].join(crowns, key, "left").join(raw, key, "left").join(scores, key, "left").join(seeds, key, "left").join(final, key, "left")
-    return {"segment_points": kept, "segment_summary": summary.fillna(0, ["n_raw", "n_points", "n_final"])}
+    """The whole segmentation with its own canopy model and tops; the summary has a row for every top."""
+    made = segmentation.segment_trees(t["heights"], segmentation.SegmentRules(**p))
+    return {k: made[k] for k in ("segment_points", "segment_summary")}
 
 
 def _site_volumes(t: Tables, p: Mapping[str, Any]) -> Tables:
@@ -82,7 +70,7 @@ STAGES: dict[str, Stage] = {
         Stage("treetops", ("chm",), _treetops, {"size": 0.5, "half": 1, "least": 2.0, "apart": 1.0}),
         Stage("density", ("treetops",), lambda t, p: {"density": grid.hex_density(t["treetops"], p["area"])}, {"area": 25.0}),
         Stage("segmentation", ("chm", "treetops"), _segmentation, {"size": 0.5, "least": 2.0}),
-        Stage("segments", ("normalise", "treetops", "segmentation"), _segments, {"size": 0.5, "least_points": 20, "radius": 0.9}),
+        Stage("segments", ("normalise",), _segments, asdict(segmentation.SegmentRules())),
         Stage("stem_profile", (), lambda t, p: {"profile": stems.profile(t["models"], t["slices"], ["tree_id"])}, {}),
         Stage("dbh", (), lambda t, p: {"dbh": stems.breast_diameter(t["slices"], t["models"], ["tree_id"])}, {}),
         Stage("site_volumes", ("treetops",), _site_volumes, {"strip": 50.0}),

@@ -114,14 +114,12 @@ def test_segments_stage(spark):
     try:
         assert stages.overrides(spark, stages.STAGES["segments"]) == {"least_points": 25}
         tables = {"heights": heights}
-        for name in ("chm", "treetops", "segmentation", "segments"):
-            stage = stages.STAGES[name]
-            given = {**stage.parameters, **({"apart": 3.0} if name == "treetops" else {})}
-            tables |= {k: v.cache() for k, v in stage.make(tables, given).items()}
+        stage = stages.STAGES["segments"]
+        tables |= {k: v.cache() for k, v in stage.make(tables, {**stage.parameters, "apart": 3.0, "density_radius": 0.3}).items()}
         summary = tables["segment_summary"].orderBy("tree_id").collect()
     finally:
         spark.conf.unset("canopyq.segments.least_points")
     assert [r.tree_id for r in summary] == list(range(1, len(summary) + 1))
     tall = [r for r in summary if r.seed_status == "seed_ok"]
-    assert len(tall) == 2 and all(0 < r.n_final <= r.n_points <= r.n_raw for r in tall)
+    assert len(tall) == 2 and all(0 < r.n_points_final <= r.n_points_after_density <= r.n_points_raw for r in tall)
     assert all(min(abs(r.seed_cx - 5.0), abs(r.seed_cx - 15.0)) < 0.2 for r in tall)

@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from canopyq.plans import catalog
+from canopyq.plans import catalog, catalog_clouds  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
