@@ -4,13 +4,17 @@ Codes are cut into segments, and a table for each segment maps its value to the
 finds all codes within m * (r + 1) - 1 bits of the query, by the pigeonhole principle; with j further segments searched at radius r + 1 the bound grows by j.
 Radii grow one segment at a time until the k-th verified distance is within the bound, so the answer is proved exact.
 
-Equal codes are one entry of the index. Codes are dealt into shards, as many as keep the cores busy, and each query goes to every shard; a task builds a shard's tables,
-plain arrays sorted by segment value, and sends k + 1 ids a query at most. Only queries beyond a block's rows make a further copy of the index, so blocks are
-few at any size: rows shuffled are shards x queries + blocks x codes.
+A table's distinct values are taken radius by radius: by the patterns of that many bits while these are fewer than the values, else by the values' own distances to the query's. So
+no radius costs more than the values that there are, and no size of the index turns the search into a scan.
+
+Equal codes are one entry of the index. Codes are dealt into shards of 100,000 or more, and each query goes to every shard; a task builds a shard's tables,
+plain arrays sorted by segment value, and sends k + 1 ids a query at most. Few shards are copied to several blocks of queries, so that all cores have work; else only queries beyond a
+block's rows make a further copy: rows shuffled are shards x queries + blocks x codes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -26,13 +30,14 @@ from canopyq.plans.storage import stored
 
 @dataclass(frozen=True)
 class SearchRules:
-    """Neighbours wanted, bits of a segment (8 or 16), least and most codes of a shard, and queries of a block."""
+    """Neighbours wanted, bits of a segment (8 or 16), least and most codes of a shard, and most and least queries of a block."""
 
     k: int = 10
     segment_bits: int = 16
-    least_shard: int = 2_000
+    least_shard: int = 100_000
     most_shard: int = 1_000_000
     block_rows: int = 1_000_000
+    least_block: int = 64
 
 
 def sign_codes(vectors: DataFrame, vector: str, bits: int, key: str = "vec_id") -> DataFrame:
@@ -57,7 +62,9 @@ class SegmentTables:
         self.codes, self.bits = codes, segment_bits
         self.segments = codes.view("<u2" if segment_bits == 16 else "u1")
         self.order = [np.argsort(s, kind="stable") for s in self.segments.T]
-        self.values = [s[o] for s, o in zip(self.segments.T, self.order, strict=True)]
+        found = [np.unique(s[o], return_index=True) for s, o in zip(self.segments.T, self.order, strict=True)]
+        self.values, self.begin = [v for v, _ in found], [np.append(b, len(codes)) for _, b in found]
+        self.verified = 0
         self.masks: list[np.ndarray] = []
 
     def mask(self, radius: int) -> np.ndarray:
@@ -73,23 +80,28 @@ class SegmentTables:
         m, n = len(own), len(self.codes)
         seen = np.zeros(n, bool)
         places, distances = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        far: dict[int, np.ndarray] = {}
         for step in range(m * (self.bits + 1)):
             radius, segment = divmod(step, m)
-            probe = own[segment] ^ self.mask(radius)
-            if len(probe) > n:  # more patterns than codes: the rest at once
-                fresh = np.flatnonzero(~seen)
-            else:
-                lo, hi = np.searchsorted(self.values[segment], probe, "left"), np.searchsorted(self.values[segment], probe, "right")
-                hit = hi > lo
-                parts = [self.order[segment][a:b] for a, b in zip(lo[hit].tolist(), hi[hit].tolist(), strict=True)]
-                fresh = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-                fresh = fresh[~seen[fresh]]
+            values, begin = self.values[segment], self.begin[segment]
+            if math.comb(self.bits, radius) <= len(values):
+                probe = own[segment] ^ self.mask(radius)
+                at = np.minimum(np.searchsorted(values, probe), len(values) - 1)
+                at = at[values[at] == probe]
+            else:  # fewer values than patterns
+                if segment not in far:
+                    far[segment] = np.bitwise_count(values ^ own[segment])
+                at = np.flatnonzero(far[segment] == radius)
+            size = begin[at + 1] - begin[at]
+            fresh = self.order[segment][np.repeat(begin[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            fresh = fresh[~seen[fresh]]
             seen[fresh] = True
             places = np.append(places, fresh)
             distances = np.append(distances, np.bitwise_count(self.codes[fresh] ^ query).sum(1).astype(np.int64))
             bound = step  # segments 0..segment at this radius, the others at one less: m * radius + segment
             if len(places) == n or weight[places[distances <= bound]].sum() >= k:
                 break
+        self.verified += len(places)
         order = np.argsort(distances, kind="stable")
         enough = np.searchsorted(np.cumsum(weight[places[order]]), k)
         last = distances[order[min(enough, len(order) - 1)]] if len(order) else 0
@@ -126,7 +138,8 @@ def top_k(codes: DataFrame, queries: DataFrame, rules: SearchRules = SearchRules
     size = index.count()
     even = size // (2 * codes.sparkSession.sparkContext.defaultParallelism)
     shards = max(1, -(-size // min(max(even, rules.least_shard), rules.most_shard)))
-    blocks = max(1, -(-wanted.count() // rules.block_rows))
+    n_wanted, cores = wanted.count(), codes.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-n_wanted // rules.block_rows), min(-(-2 * cores // shards), n_wanted // rules.least_block))
     dealt_index = index.select(F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "code", "ids")
     dealt_query = wanted.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int").alias("block"), "code")
 

@@ -329,3 +329,19 @@ def test_shingles_of_short_texts():
     data, offsets = K.string_parts(pa.array(["a b", "A  B!", "", "b a", "a b c d e", "a b c d e f"]))
     values, cuts = J.shingles(data, offsets, 5)
     assert np.diff(cuts).tolist() == [1, 1, 0, 1, 1, 2] and values[0] == values[1] != values[2]
+
+
+def test_search_verifies_a_share_of_clustered_codes():
+    """Over 100,000 codes in clusters the bound stops the search early, and answers are those of brute force."""
+    rng = np.random.default_rng(17)
+    centres = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (4, 100_000), dtype=np.uint64), axis=0)
+    codes = np.unique(centres[rng.integers(0, 400, 100_000)] ^ flips).reshape(-1, 1)
+    tables, weight = H.SegmentTables(codes, 16), np.ones(len(codes), np.int64)
+    for q in codes[:: len(codes) // 40]:
+        places, distances = tables.search(q, 11, weight)
+        true = np.sort(np.bitwise_count(codes[:, 0] ^ q[0]))[:11]
+        assert np.sort(distances)[:11].tolist() == true.tolist()
+    share = tables.verified / len(codes) / 40
+    print(f"share of codes verified: {share:.3f}")
+    assert share < 0.2
