@@ -171,6 +171,21 @@ def test_secrets_are_redacted_whole(spark, forest):
     assert [got[i] for i in range(len(WHOLE))] == [t if want is None else want for t, want in WHOLE]
 
 
+@pytest.mark.parametrize("lines", [10, 1000, 5000])
+def test_long_key_blocks_go_whole(spark, forest, lines):
+    """With and without END, with header lines, and passwords behind long user names."""
+    body = "\n".join(hashlib.sha256(str(i).encode()).hexdigest()[:60] + "Ab+/" for i in range(lines))
+    begin, end, header = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C\n\n"
+    texts = [
+        (f"a\n{begin}\n{body}\n{end}\nb", "a\n<SECRET>\nb"), (f"a\n{begin}\n{body}\n\nThe end.", "a\n<SECRET>\n\nThe end."), (f"a\n{begin}\n{header}{body}\n{end}\nb", "a\n<SECRET>\nb"),
+        (f"a\n{begin}\n{header}{body}\n\nThe end.", "a\n<SECRET>\n\nThe end."), (f"{begin}\\n{body.replace(chr(10), chr(92) + 'n')}\\n{end} x", "<SECRET> x"), (f"a\n{begin}\n{body} -- {body}\n{end}", "a\n<SECRET>"),
+        (f"use postgres://{'u' * lines}:q7#Lm2!vX@db.host/x now", f"use postgres://{'u' * lines}:<SECRET>@db.host/x now"),
+    ]
+    docs = spark.createDataFrame([(i, t, "src1") for i, (t, _) in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in X.redacted(docs, forest).collect()}
+    assert [got[i] for i in range(len(texts))] == [want for _, want in texts]
+
+
 def test_forest_expression_equals_the_model(spark):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
