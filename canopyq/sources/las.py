@@ -255,7 +255,7 @@ class Written(WriterCommitMessage):
 
 
 class LasWriter(DataSourceArrowWriter):
-    """Files of at most ``most`` points under hidden names; commit gives them their own names, abort removes them."""
+    """Files of at most ``most`` points under hidden names; commit gives them their own names, abort removes those that are there: a task that still runs may leave a hidden one."""
 
     def __init__(self, path: str, names: list[str], most: int, scale: float, overwrite: bool) -> None:
         self.path, self.names, self.most, self.scale, self.overwrite, self.run = path.rstrip("/"), names, most, scale, overwrite, uuid.uuid4().hex
@@ -341,7 +341,7 @@ def las_headers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_las(points: DataFrame, path: str, mode: str = "append", file_points: int = 1_000_000, scale: float = 0.001) -> None:
-    """Points (x, y, z and, if there, classification) as LAS files of at most ``file_points``; a failed write leaves no file."""
+    """Points (x, y, z and, if there, classification) as LAS files of at most ``file_points``; a failed write leaves no file that readers see."""
     registered(points.sparkSession)
     columns = [c for c in ("x", "y", "z", "classification") if c in points.columns]
     points.select(columns).write.format("las").option("filePoints", file_points).option("scale", scale).mode(mode).save(path)
