@@ -1,8 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest, all in DataFrame expressions.
 
 A pattern finds candidates; their length, character transitions, dictionary coverage, path and neighbouring words are features; a forest trained from
-labelled findings decides. Transitions and dictionary are learned from a bounded sample of the corpus and from the labelled false alarms. The fitted trees become one column
-expression, so scoring and redaction are row by row inside the JVM: no shuffle, no Python on executors, and a text's candidates never leave its row.
+labelled findings decides. Transitions and dictionary are counted over the whole corpus, whose distinct texts are shuffled once for that, and over the labelled false alarms.
+The fitted trees become one column expression, so scoring and redaction are row by row inside the JVM: no shuffle, no Python on executors, and a text's candidates never leave its row.
 """
 
 from __future__ import annotations
@@ -43,8 +43,8 @@ _OTHER_IDS = "commit|sha1|sha256|revision|checksum|md5|hash|uuid|request|digest|
 FEATURES = ("length", "kinds", "coverage", "transitions", "digits", "capitals", "distinct", "hex", "prefix", "assigned", "against", "other_id", "path_against", "quoted", "dashes")
 
 
-#: Most texts and words of the sample that dictionary and transitions are learned from.
-LANGUAGE_TEXTS, LANGUAGE_WORDS = 2000, 2000
+#: Size of the dictionary: the most frequent words of all texts. Transitions are counted over all words, whatever its size.
+LANGUAGE_WORDS = 2000
 
 
 @dataclass(frozen=True)
@@ -80,30 +80,32 @@ def _transitions(pairs: dict[str, float]) -> tuple[float, ...]:
 PLAIN = Language(frozenset(_WORDS.split("|")), _transitions(dict.fromkeys(_PAIRS.split("|"), 100.0)))
 
 
-def learned_language(docs: DataFrame, findings: DataFrame | None = None, text: str = "text", texts: int = LANGUAGE_TEXTS, words: int = LANGUAGE_WORDS) -> Language:
-    """Dictionary and transitions of at most ``texts`` texts, chosen by a hash, and of the false alarms among labelled findings.
+def learned_language(docs: DataFrame, findings: DataFrame | None = None, text: str = "text", words: int = LANGUAGE_WORDS) -> Language:
+    """Dictionary and transitions of all texts, equal ones counted once, and of the false alarms among labelled findings.
 
     The dictionary has the ``words`` most frequent words of three letters or more that occur in at least three texts, beside the false alarms' words that occur in three of
-    them and the plain ones; transitions count each letter pair of each occurrence of a word of the sample. Null texts count as empty; no text at all leaves the plain language.
+    them and the plain ones; transitions count each letter pair of each occurrence of every word that occurs in three texts. Null texts count as empty; no such word leaves the plain transitions.
     """
-    content = F.coalesce(docs[text].cast("string"), F.lit(""))
-    hashed = docs.select(content.alias("content")).withColumn("hash", F.xxhash64("content"))
-    chosen = hashed.select("hash").distinct().orderBy("hash").limit(texts)  # hashes alone are sorted; equal texts count once
-    sample = hashed.join(F.broadcast(chosen), "hash", "left_semi").dropDuplicates(["hash"])
     split = lambda c: F.split(F.lower(F.regexp_replace(c, "([a-z])([A-Z])", "$1 $2")), "[^a-z]+")
-    each = sample.select(F.monotonically_increasing_id().alias("at"), F.explode(split(F.col("content"))).alias("word")).where("length(word) >= 3")
-    counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("at").alias("texts")).where("texts >= 3")
-    frequent = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(words).collect()]
-    pairs: dict[str, float] = dict.fromkeys(_PAIRS.split("|"), 1.0)
-    for word, n in frequent:
-        for a, b in zip(word, word[1:], strict=False):
-            pairs[a + b] = pairs.get(a + b, 0.0) + n
-    known = {w for w, _ in frequent} | PLAIN.words
+    each = docs.select(F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("content")).distinct().select(F.array_sort(split(F.col("content"))).alias("words"))
+    # A text's words in order: one that differs from the word before it is the text's first of its kind.
+    marked = F.zip_with("words", F.concat(F.array(F.lit("")), F.col("words")), lambda word, before: F.struct(word.alias("word"), (word != before).cast("long").alias("first")))
+    found = each.select(F.explode(marked).alias("w")).select("w.*").where("length(word) >= 3")
+    counts = found.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("texts")).where("texts >= 3").select("word", "n")
+    counts = counts.repartition(16).persist()  # each part sends the driver its own most frequent words
+    try:
+        frequent = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(words).collect()]
+        pairs = counts.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substr("word", i, F.lit(2)))).alias("pair"))
+        seen = {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()}  # 26 x 26 at most
+    finally:
+        counts.unpersist()
+    known = set(frequent) | PLAIN.words
     if findings is not None:
         wrong = findings.where("label = 0").select(F.explode(F.array_distinct(split(F.coalesce(F.col("candidate"), F.lit(""))))).alias("word")).where("length(word) >= 3")
         often = wrong.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
         known |= {r["word"] for r in often.orderBy(F.desc("n"), "word").limit(words).collect()}
-    return Language(frozenset(known), _transitions(pairs) if frequent else PLAIN.transitions)
+    plain = dict.fromkeys(_PAIRS.split("|"), 1.0)
+    return Language(frozenset(known), _transitions({p: plain.get(p, 0.0) + seen.get(p, 0) for p in plain.keys() | seen.keys()}) if seen else PLAIN.transitions)
 
 
 def features(candidate: Column, before: Column, after: Column, path: Column, language: Language = PLAIN) -> list[Column]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -223,6 +224,26 @@ def test_unseen_shapes(spark):
     assert recall >= 0.8 and precision >= 0.8
 
 
+def test_language_is_counted_over_every_text(spark):
+    """Dictionary and transitions against plain counts over more texts than any sample held; copies count once, nulls as empty."""
+    texts = [f"shared{chr(97 + i % 26) * 2} words camelCase{chr(97 + i // 26 % 26) * 3} no{i} Quetzal" + " again again" * (i % 3) for i in range(2600)]
+    texts += [f"vexillology {i}" for i in range(3)] + ["only copies hold zymurgy"] * 5 + ["twice zyzzyva", "twice zyzzyva too"]
+    rows = [(i, t) for i, t in enumerate([*texts, None, ""])]
+    language = X.learned_language(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), words=5000)
+    each = [[w for w in re.split("[^a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", t).lower()) if len(w) >= 3] for t in set(texts)]
+    n, held = Counter(w for ws in each for w in ws), Counter(w for ws in each for w in set(ws))
+    often = {w: n[w] for w in n if held[w] >= 3}
+    assert "vexillology" in often and "zymurgy" not in often and "zyzzyva" not in often
+    assert language.words == X.PLAIN.words | often.keys()
+    pairs = Counter(dict.fromkeys(X._PAIRS.split("|"), 1))
+    for w, count in often.items():
+        for a, b in zip(w, w[1:]):
+            pairs[a + b] += count
+    assert language.transitions == X._transitions(pairs)
+    least = X.learned_language(spark.createDataFrame(rows, "doc_id long, text string"), words=1)
+    assert least.words - X.PLAIN.words == {max(often, key=often.get)} and least.transitions == language.transitions
+
+
 def test_registered_secrets_are_where_they_say(spark):
     tables = "/root/testdata/sf0.01"
     held = {r.doc_id: r.text for r in spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text").collect()}
