@@ -19,20 +19,11 @@ from pyspark.sql import DataFrame
 
 from canopyq.llm import kernels as K
 from canopyq.llm.rows import in_small_batches
-from canopyq.llm.tokens import WordTable, default_path, load_tokenizer, plain, split_word_end
+from canopyq.llm.tokens import WordTable, byte_letters, default_path, load_tokenizer, plain, split_word_end
 
 _SHIFT = 20
 
 
-def byte_letters() -> list[str]:
-    """The printable character that byte-level vocabularies use for each byte: itself if visible in Latin-1, else the next from U+0100."""
-    visible = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
-    letters = {b: chr(b) for b in visible}
-    for b in range(256):
-        letters.setdefault(b, chr(0x100 + len(letters) - len(visible)))
-    return [letters[b] for b in range(256)]
-
-
 class PairIndex:
     """Merges of a vocabulary file, applied to many words at once."""
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -37,6 +38,15 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> list[str]:
+    """The printable character that byte-level vocabularies use for each byte: itself if visible in Latin-1, else the next from U+0100."""
+    visible = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
+    letters = {b: chr(b) for b in visible}
+    for b in range(256):
+        letters.setdefault(b, chr(0x100 + len(letters) - len(visible)))
+    return [letters[b] for b in range(256)]
+
+
 def load_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -177,7 +187,7 @@ class WordTable:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + len(ids) > len(self.begin):
             self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
-        self.flat[self.used : self.used + total] = np.fromiter((t for x in ids for t in x), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.length[n : n + len(ids)] = lens
         self.begin[n : n + len(ids)] = self.used + np.cumsum(lens) - lens
         self.used += total
@@ -193,10 +203,12 @@ class WordTable:
 
 
 def library_table(tokenizer) -> WordTable:
-    """A table whose words the tokenizer library encodes."""
+    """A table whose words the library's byte-level model encodes: single pre-tokens, so its splitter needn't see them again, or special tokens."""
+    letters, merged = dict(enumerate(byte_letters())), tokenizer.model.tokenize
+    special = {t.content.encode(): i for i, t in tokenizer.get_added_tokens_decoder().items()}
 
     def encode(words: list[bytes]) -> list[list[int]]:
-        return [x.ids for x in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        return [[special[w]] if w in special else [token.id for token in merged(w.decode("latin-1").translate(letters))] for w in words]
 
     return WordTable(encode)
 

@@ -323,6 +323,20 @@ def test_same_spans(words):
         assert got.tolist() == [raw[i][:n] == w[:n] for w, n in zip(raw, both.tolist(), strict=True)]
 
 
+def test_words_are_encoded_without_the_library_splitting_them_again(byte_level):
+    """Pre-tokens and special tokens by the model alone give the ids of the whole library, without a call to it for texts."""
+    from canopyq.llm.tokens import library_table
+
+    class ModelAlone:
+        model, get_added_tokens_decoder = byte_level.model, byte_level.get_added_tokens_decoder
+
+    words = [" the", "Ünïcode", " ", "\n\n", "'ll", "...", "1234567", "<|endoftext|>", "日本語", "\x00", " zyzzyva"]
+    data, offsets = K.string_parts(pa.array(words))
+    table = library_table(ModelAlone())
+    flat, at = table.ids(table.look_up(data, offsets[:-1], offsets[1:]))
+    assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [byte_level.encode(w, add_special_tokens=False).ids for w in words]
+
+
 def test_word_tables_are_bounded_by_bytes(byte_level):
     from canopyq.llm.tokens import WordTable
 
