@@ -1,7 +1,7 @@
 """Byte-pair encoding by a pair occurrence index, and decoding.
 
-The distinct new words of a chunk are laid out as one linked list of symbols. An index maps each mergeable pair to
-all its positions; a heap holds the ranks that occur. Ranks are applied in ascending order over all words at once, and each merge adds
+The distinct new words of a chunk are laid out, a group at a time, as one linked list of symbols. An index maps each mergeable pair to
+all its positions; a heap holds the ranks that occur. Ranks are applied in ascending order over all words of a group at once, and each merge adds
 the two pairs it makes to their lists. Entries that a merge has outdated are told by their symbols.
 """
 
@@ -23,6 +23,9 @@ from canopyq.llm.tokens import WordTable, byte_letters, default_path, load_token
 
 _SHIFT = 20
 
+#: Words that are merged together.
+GROUP_WORDS = 1000
+
 
 class PairIndex:
     """Merges of a vocabulary file, applied to many words at once."""
@@ -36,12 +39,29 @@ class PairIndex:
         self.inner = np.array([vocab[c] for c in letters], np.int64)
         self.final = np.array([vocab[c + suffix] for c in letters], np.int64)
         self.names = {i: t for t, i in vocab.items()}
+        self.id_bytes = {i: b"%d" % i for i in self.names}
+        self.name_bytes = {i: t.encode() for i, t in self.names.items()}
         self.rank: dict[int, int] = {}
         self.pair: list[tuple[int, int, int]] = []
         for merge in model["merges"]:
             left, right = merge if isinstance(merge, list) else merge.split(" ")
             self.rank[vocab[left] << _SHIFT | vocab[right]] = len(self.pair)
             self.pair.append((vocab[left], vocab[right], vocab[left + right]))
+        self.keys = np.array(sorted(self.rank), np.int64)
+        self.rank_of_key = np.array([self.rank[k] for k in self.keys.tolist()], np.int64)
+
+    def occurrences(self, symbols: np.ndarray) -> dict[int, list[int]]:
+        """The places of each rank among neighbouring symbols, in ascending order."""
+        left, right = symbols[:-1], symbols[1:]
+        places = np.flatnonzero((left >= 0) & (right >= 0))
+        keys = left[places] << _SHIFT | right[places]
+        row = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        known = self.keys[row] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        ranks, places = self.rank_of_key[row[known]], places[known]
+        order = np.argsort(ranks, kind="stable")
+        ranks, at = ranks[order], places[order].tolist()
+        heads = np.flatnonzero(np.diff(ranks, prepend=-1))
+        return {r: at[a:b] for r, a, b in zip(ranks[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(at)], strict=True)} if len(at) else {}
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word."""
@@ -57,12 +77,7 @@ class PairIndex:
         n = len(symbol)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         rank, pair = self.rank, self.pair
-        where: dict[int, list[int]] = {}
-        left, right = symbols[:-1], symbols[1:]
-        for i, key in zip(np.flatnonzero((left >= 0) & (right >= 0)).tolist(), (left << _SHIFT | right)[(left >= 0) & (right >= 0)].tolist(), strict=True):
-            r = rank.get(key)
-            if r is not None:
-                where.setdefault(r, []).append(i)
+        where = self.occurrences(symbols)
         active = list(where)
         heapq.heapify(active)
         while active:
@@ -71,22 +86,31 @@ class PairIndex:
             places = where.pop(r)
             places.sort()
             for i in places:
-                j = after[i]
-                if symbol[i] != a or symbol[j] != b:
+                if symbol[i] != a:
                     continue  # an earlier merge took one of the two
-                k = after[j]
+                j = after[i]
+                if symbol[j] != b:
+                    continue
+                h, k = before[i], after[j]
                 symbol[i], symbol[j] = c, -2
                 after[i], before[k] = k, i
-                h = before[i]
-                for at, x, y in ((h, symbol[h], c), (i, c, symbol[k])):
-                    if x >= 0 and y >= 0:
-                        s = rank.get(x << _SHIFT | y)
-                        if s is not None:
-                            if s in where:
-                                where[s].append(at)
-                            else:
-                                where[s] = [at]
-                                heapq.heappush(active, s)
+                x, y = symbol[h], symbol[k]
+                if x >= 0:
+                    s = rank.get(x << _SHIFT | c)
+                    if s is not None:
+                        if s in where:
+                            where[s].append(h)
+                        else:
+                            where[s] = [h]
+                            heapq.heappush(active, s)
+                if y >= 0:
+                    s = rank.get(c << _SHIFT | y)
+                    if s is not None:
+                        if s in where:
+                            where[s].append(i)
+                        else:
+                            where[s] = [i]
+                            heapq.heappush(active, s)
         done = np.array(symbol)
         bars = np.flatnonzero(done == -1)
         kept = done >= 0
@@ -102,16 +126,20 @@ class _TextTable(WordTable):
 
     def __init__(self, index: PairIndex) -> None:
         self.index = index
-        super().__init__(index.encode, 400_000)
+        super().__init__(self._by_groups, 400_000)
+
+    def _by_groups(self, words: list[bytes]) -> list[list[int]]:
+        """Groups of words whose linked lists stay in the processor's cache: places are visited by rank, all over the lists."""
+        return [ids for a in range(0, len(words), GROUP_WORDS) for ids in self.index.encode(words[a : a + GROUP_WORDS])]
 
     def on_clear(self) -> None:
         self.id_text: list[bytes] = []
         self.name_text: list[bytes] = []
 
     def on_new(self, ids: list[list[int]]) -> None:
-        names = self.index.names
-        self.id_text += [b" ".join(b"%d" % i for i in x) for x in ids]
-        self.name_text += [" ".join([names[i] for i in x]).encode() for x in ids]
+        number, name = self.index.id_bytes, self.index.name_bytes
+        self.id_text += [b" ".join([number[i] for i in x]) for x in ids]
+        self.name_text += [b" ".join([name[i] for i in x]) for x in ids]
 
 
 class WordEndCodec:

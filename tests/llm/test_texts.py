@@ -337,6 +337,22 @@ def test_words_are_encoded_without_the_library_splitting_them_again(byte_level):
     assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [byte_level.encode(w, add_special_tokens=False).ids for w in words]
 
 
+def test_neighbouring_pairs_are_indexed_at_once(word_end):
+    """The occurrence index against a plain loop over neighbours; merges of overlapping pairs against the library."""
+    from canopyq.llm.bpe import _SHIFT, PairIndex
+
+    index = PairIndex(default_path("word_bpe_49k.json"))
+    symbols = np.array([-1, *index.inner[np.frombuffer(b"aaaathetheaa", np.uint8)], -1, *index.inner[np.frombuffer(b"zq", np.uint8)], -1, -1])
+    want = {}
+    for i, (a, b) in enumerate(zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True)):
+        if a >= 0 and b >= 0 and (r := index.rank.get(a << _SHIFT | b)) is not None:
+            want.setdefault(r, []).append(i)
+    assert want and index.occurrences(symbols) == want
+    assert index.occurrences(np.full(4, -1)) == {}
+    words = [b"aaaaaaa", b"banana", b"mississippi", b"", b"x", b"ooooohhhh"]
+    assert index.encode(words) == [word_end.encode(w.decode(), add_special_tokens=False).ids for w in words]
+
+
 def test_word_tables_are_bounded_by_bytes(byte_level):
     from canopyq.llm.tokens import WordTable
 
