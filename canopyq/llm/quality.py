@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopyq.llm import kernels as K
-from canopyq.llm.labelled import SAMPLE_DOCUMENTS, held_out, labelled_sample
+from canopyq.llm.labelled import SAMPLE_DOCUMENTS, held_out, labelled_count, labelled_sample, labelled_texts, mean_of_blocks, opened
 from canopyq.llm.rows import annotated
 
 BITS = 16
+#: Texts that a word bucket with a weight is in at least.
+LEAST = 5
 FACTORS = 6
 
 _UPPER, _DIGIT = K.byte_class(range(65, 91)), K.byte_class(range(48, 58))
@@ -89,26 +91,41 @@ def features(data: np.ndarray, offsets: np.ndarray, recorded: np.ndarray) -> tup
     return at, bucket, value, stats
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], stats: np.ndarray, labels: np.ndarray, rounds: int = 80, rate: float = 0.05, l2: float = 1e-5, least: int = 5, seed: int = 7) -> FactorMachine:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], stats: np.ndarray, labels: np.ndarray, rounds: int = 80, rate: float = 0.05, l2: float = 1e-5, least: int = LEAST, seed: int = 7) -> FactorMachine:
     """Fits by Adam on the logistic loss. A row is its buckets and values; buckets in fewer than ``least`` rows stay 0."""
     words, k = 1 << BITS, len(STATISTICS)
     weights, factors = np.zeros(words + k, np.float32), np.zeros((words + k, FACTORS), np.float32)
     if not len(rows):
         return FactorMachine(0.0, weights, factors, np.zeros(k), np.ones(k))
     centre, scale = stats.mean(0), stats.std(0) + 1e-3
-    x = np.clip((stats - centre) / scale, -4, 4)
+    start = np.zeros((words + k, FACTORS + 1))
+    share = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
+    chosen, _, theta, bias = _descend(rows, np.clip((stats - centre) / scale, -4, 4), labels, start, float(np.log(share / (1 - share))), rounds, rate, l2, least, np.random.default_rng(seed))
+    c = len(chosen)
+    weights[chosen], weights[words:] = theta[:c, 0], theta[c:, 0]
+    factors[chosen], factors[words:] = theta[:c, 1:], theta[c:, 1:]
+    return FactorMachine(float(bias), weights, factors, centre, scale)
+
+
+def _descend(rows: list, x: np.ndarray, labels: np.ndarray, start: np.ndarray, bias: float, rounds: int, rate: float, l2: float, least: int, random: np.random.Generator | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """The buckets in ``least`` rows, how many have each, weights and factors of these and of the statistics, and the bias, after ``rounds`` rounds from ``start``.
+
+    Factors are drawn first if ``random`` is given. Other buckets are left out.
+    """
+    words, k = 1 << BITS, len(STATISTICS)
     lens = np.array([len(b) for b, _ in rows])
     row, bucket, value = np.repeat(np.arange(len(rows)), lens), np.concatenate([b for b, _ in rows]), np.concatenate([v for _, v in rows]).astype(np.float64)
-    chosen = np.flatnonzero(np.bincount(bucket, minlength=words) >= least)
+    spread = np.bincount(bucket, minlength=words)
+    chosen = np.flatnonzero(spread >= least)
     index = np.full(words, -1)
     index[chosen] = np.arange(len(chosen))
     kept = index[bucket] >= 0
     row, value, word = row[kept], value[kept], index[bucket[kept]]
     c, n = len(chosen), len(rows)
-    theta = np.zeros((c + k, FACTORS + 1))
-    theta[:, 1:] = np.random.default_rng(seed).normal(0, 0.05, (c + k, FACTORS))
-    share = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
-    bias, m, v = float(np.log(share / (1 - share))), np.zeros((c + k + 1, FACTORS + 1)), np.zeros((c + k + 1, FACTORS + 1))
+    theta = np.concatenate([start[chosen], start[words:]])
+    if random is not None:
+        theta[:, 1:] = random.normal(0, 0.05, (c + k, FACTORS))
+    m, v = np.zeros((c + k + 1, FACTORS + 1)), np.zeros((c + k + 1, FACTORS + 1))
     for step in range(1, rounds + 1):
         z = bias + np.bincount(row, theta[word, 0] * value, minlength=n) + x @ theta[c:, 0]
         totals = []
@@ -129,9 +146,21 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], stats: np.ndarray, labels: np
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
         theta -= move[:-1]
         bias -= move[-1, 0]
-    weights[chosen], weights[words:] = theta[:c, 0], theta[c:, 0]
-    factors[chosen], factors[words:] = theta[:c, 1:], theta[c:, 1:]
-    return FactorMachine(float(bias), weights, factors, centre, scale)
+    return chosen, spread[chosen], theta, bias
+
+
+def refit(rows: list[tuple[np.ndarray, np.ndarray]], stats: np.ndarray, labels: np.ndarray, model: FactorMachine, rounds: int = 20, rate: float = 0.02, l2: float = 1e-5, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One block's fit from ``model`` on: its buckets, then the statistics, then the bias; the number of texts behind each; weights and factors.
+
+    Buckets without factors begin with the same ones in every block, so that their means mean something.
+    """
+    words, n = 1 << BITS, len(rows)
+    start = np.concatenate([model.weights[:, None], model.factors], 1).astype(np.float64)
+    new = ~start[:, 1:].any(1)
+    start[new, 1:] = np.random.default_rng(seed).normal(0, 0.05, (len(start), FACTORS))[new]
+    chosen, spread, theta, bias = _descend(rows, np.clip((stats - model.centre) / model.scale, -4, 4), labels, start, model.bias, rounds, rate, l2, 1, None)
+    k = len(STATISTICS)
+    return np.concatenate([chosen, np.arange(words, words + k + 1)]), np.concatenate([spread, np.full(k + 1, n)]), np.concatenate([theta, np.append(bias, np.zeros(FACTORS))[None]])
 
 
 def _inputs(docs: DataFrame, text: str) -> list:
@@ -145,7 +174,11 @@ def _recorded(column: pa.Array) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", limit: int = SAMPLE_DOCUMENTS) -> FactorMachine:
-    """Fits on a bounded sample of labelled documents; equal texts count once."""
+    """Fits on all labelled documents outside the held-out fold; equal texts count once.
+
+    A first fit sees ``limit`` of them and sets the scale of the statistics. Where there are more, every block of as many goes on from there in its own task, and weights and
+    factors become their means over the blocks, weighted by the texts behind them; buckets in fewer than ``LEAST`` texts of all stay 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.lean(batches):
@@ -157,11 +190,29 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
                 pick = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)])  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([batch.column(2).slice(a, b - a), pick(bucket.astype(np.int32)), pick(value), pa.array([s.tobytes() for s in stats])], ["label", "words", "shares", "stats"])
 
-    sample = labelled_sample(docs.select("doc_id", *_inputs(docs, text)), labels, label, limit).select("text", "recorded", "label")
-    found = sorted({tuple(r) for r in sample.mapInArrow(run, "label int, words binary, shares binary, stats binary").collect()})
-    rows = [(np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.float32)) for r in found]
-    stats = np.stack([np.frombuffer(r[3], np.float64) for r in found]) if found else np.zeros((0, len(STATISTICS)))
-    return fit(rows, stats, np.array([r[0] for r in found], float))
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple[int, tuple]]:
+        for part in run(iter([opened(batch)])):
+            for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                yield len(row[1]) + len(row[2]), row
+
+    def seen(found: list[tuple]) -> tuple[list, np.ndarray, np.ndarray]:
+        entries = [(np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.float32)) for r in found]
+        stats = np.stack([np.frombuffer(r[3], np.float64) for r in found]) if found else np.zeros((0, len(STATISTICS)))
+        return entries, stats, np.array([r[0] for r in found], float)
+
+    texts = docs.select("doc_id", *_inputs(docs, text))
+    sample = labelled_sample(texts, labels, label, limit).select("text", "recorded", "label")
+    got = sample.mapInArrow(run, "label int, words binary, shares binary, stats binary").collect()
+    model = fit(*seen(sorted({tuple(r) for r in got})))
+    n = labelled_count(texts, labels, label)
+    if n <= len(got):
+        return model
+    whole = {"rounds": 80, "rate": 0.05} if len({r["label"] for r in got}) < 2 else {}  # a first fit of one label is little to go on from
+    every = labelled_texts(texts, labels, label).select("text", "recorded", "label").repartition(-(-n // limit))
+    place, values = mean_of_blocks(every, rows, lambda block: refit(*seen(block), model, **whole), (1 << BITS) + len(STATISTICS) + 1, FACTORS + 1, f"n >= {LEAST} or place >= {1 << BITS}", 2 * limit)
+    theta = np.concatenate([np.concatenate([model.weights[:, None], model.factors], 1), np.append(np.float32(model.bias), np.zeros(FACTORS, np.float32))[None]])
+    theta[place] = values
+    return FactorMachine(float(theta[-1, 0]), theta[:-1, 0].copy(), theta[:-1, 1:].copy(), model.centre, model.scale)
 
 
 def score(docs: DataFrame, model: FactorMachine, keep: tuple[str, ...] = ("doc_id",), text: str = "text", where: str | None = None) -> DataFrame:

@@ -39,6 +39,50 @@ def test_sample_is_bounded_and_of_found_texts(spark):
     assert {(r.text, r.label) for r in labelled_sample(docs, marks, "toxic").collect()} == everything
 
 
+def test_models_are_fitted_on_all_labelled_texts(spark):
+    """Words of labelled texts beyond the first fit's reach the models, wherever their texts lie; the first fit alone, and one of an equal label, miss them."""
+    from canopyq.llm.labelled import labelled_sample
+
+    rng = np.random.default_rng(2)
+    words, bad = [f"w{i}" for i in range(60)], ["vilest", "brutish", "grim", "gross"]
+    rows, marks = [], []
+    for i in range(1, 1601):
+        parts = [rng.choice(words, 6).astype("U9") for _ in range(3)]
+        if i % 4 == 0:
+            parts[i % 3][5] = bad[0 if i < 1400 else 1 + i // 4 % 3]
+        rows.append((i, text := ". ".join(map(" ".join, parts)) + ".", len(text)))
+        marks.append((i, int(i % 4 == 0), int(i % 4 == 0)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(5), spark.createDataFrame(marks, "doc_id long, toxic int, quality int")
+    seen = " ".join(r.text for r in labelled_sample(docs, labels, "toxic", limit=60).collect())
+    unseen = [w for w in bad if seen.count(w) < 4]
+    assert len(unseen) >= 2
+    asks = [(i, f"w11 w21 w13 w4 w17 w52. w24 w31 w5 w48 w2 {w}. w33 w42 w19 w6 w27 w1.") for i, w in [*enumerate(unseen), (100, "w40")]]
+    asked = spark.createDataFrame([(i, t, len(t)) for i, t in asks], "doc_id long, text string, n_chars long")
+    for module, label in ((T, "toxic"), (Q, "quality")):
+        scores = dict(module.score(asked, module.train(docs, labels, label, limit=60)).select("doc_id", "score").collect())
+        assert all(scores[i] > 2 * scores[100] for i in range(len(unseen))), (label, scores)
+    few = {r.doc_id: r.score for r in T.score(asked, T.train(docs, labels, limit=1)).collect()}  # the first fit has one label
+    assert all(few[i] >= 0.5 > few[100] for i in range(len(unseen)))
+
+
+def test_gradient_equals_differences():
+    rng = np.random.default_rng(4)
+    bags = [(rng.integers(0, 9, 6).astype(np.int32), np.array([2, 0, 4], np.int32)) for _ in range(5)]
+    labels, at = np.array([0, 1, 1, 0, 1]), rng.normal(0, 1, 9).astype(np.float32)
+
+    def loss(w):
+        out = 0.0
+        for (b, sizes), k in zip(bags, labels):
+            clear = -np.logaddexp(0, -1.0 + np.bincount(np.repeat(np.arange(3), sizes), w[b], minlength=3)).sum()
+            out -= np.log(-np.expm1(clear)) if k else clear
+        return out
+
+    bucket, n, mean = T.gradient(bags, labels, T.NoisyOrModel(np.arange(9), at, -1.0))
+    for b, total in zip(bucket, n * mean[:, 0]):
+        step = np.eye(9)[b] * 1e-5
+        assert abs((loss(at + step) - loss(at - step)) / 2e-5 - total) < 1e-4
+
+
 def test_column_order(spark, odd, labels):
     for made in (T.toxicity(odd, labels), Q.quality(odd, labels)):
         assert made.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
