@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from canopyq.operators import circles, feed, graph, grid, neighbours, segments, spatial, stats, terrain
 from canopyq.plans import stages
@@ -39,6 +40,34 @@ def test_components_ignore_order_and_loops(spark):
     assert {r.component for r in graph.connected_components(chain).collect()} == {0}
 
 
+def test_components_of_few_edges_take_one_round(spark, monkeypatch):
+    names, kept = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name: names.append(name) or kept(df, name))
+    chain = spark.createDataFrame([(i, i + 1) for i in range(64)], "src long, dst long")
+    assert {r.component for r in graph.connected_components(chain).collect()} == {0}
+    assert names == ["edges", "joins", "met", "components"]
+
+
+@pytest.mark.parametrize("kind", ["long", "int", "string", "binary", "struct"])
+def test_components_by_rounds_and_by_a_last_task_are_those_of_plain_search(spark, kind):
+    rng = np.random.default_rng(8)
+    pairs = rng.integers(0, 300, (200, 2)).tolist() + [[299, i] for i in range(40)] + [[400 - i, 401 - i] for i in range(50)]
+    group = {i: {i} for p in pairs for i in p}
+    for a, b in pairs:
+        group[a] |= group[b]
+        for i in group[a]:
+            group[i] = group[a]
+    as_kind = {"string": F.format_string("n%05d", "id"), "binary": F.unhex(F.format_string("%08x", "id")), "struct": F.struct(F.col("id").alias("i"))}
+    node = as_kind[kind] if kind in as_kind else F.col("id").cast(kind)
+    ids = spark.createDataFrame([(i,) for i in sorted(group)], "id long").select("id", node.alias("node"))
+    known = {r.id: r.node for r in ids.collect()}
+    kinds = ids.schema["node"].dataType.simpleString()
+    edges = spark.createDataFrame([(known[a], known[b]) for a, b in pairs], f"src {kinds}, dst {kinds}")
+    plain = {known[i]: known[min(g)] for i, g in group.items()}
+    for last_edges in (0, 60, graph.LAST_EDGES):  # rounds alone, rounds and then a last task, the task alone
+        assert {r.node: r.component for r in graph.connected_components(edges, last_edges=last_edges).collect()} == plain
+
+
 def test_nearest_and_radius(spark, cloud):
     left = spark.createDataFrame(cloud)
     right = spark.createDataFrame(cloud[cloud.point_id % 40 == 0].rename(columns={"point_id": "ground_id"}))
