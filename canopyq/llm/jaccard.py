@@ -165,7 +165,7 @@ def _signed(docs: DataFrame, rules: JoinRules) -> DataFrame:
                 low = signature.astype("<u2")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([s.tobytes() for s in low]), bands], ["node", "doc_id", "signature", "bands"])
 
-    return in_small_batches(docs.select("node", "doc_id", "text")).mapInArrow(run, "node binary, doc_id long, signature binary, bands array<long>")
+    return in_small_batches(docs.select("node", "doc_id", "text")).mapInArrow(K.given_back(run), "node binary, doc_id long, signature binary, bands array<long>")
 
 
 def _one_block(members: DataFrame, key: str, parts: Column) -> DataFrame:
@@ -284,7 +284,7 @@ def _candidates(members: DataFrame, rules: JoinRules) -> DataFrame:
             if edges:
                 yield _edges(sorted(edges))
 
-    return members.select("key", "i", "j", "part", "label", "signature").mapInArrow(run, "src binary, dst binary")
+    return members.select("key", "i", "j", "part", "label", "signature").mapInArrow(K.given_back(run), "src binary, dst binary")
 
 
 def _intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, limit: int = 4_000_000) -> np.ndarray:
@@ -343,7 +343,7 @@ def _verified(members: DataFrame, rules: JoinRules) -> DataFrame:
                     other = [None] * len(some) + [labels[k] for k in root]
                     yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array([*links[some].tolist(), *[None] * len(own)], pa.int64()), pa.array(other, pa.binary())], ["node", "links", "other"])
 
-    return members.select("component", "i", "j", "part", "node", "label", "signature", "grams").mapInArrow(run, "node binary, links long, other binary")
+    return members.select("component", "i", "j", "part", "node", "label", "signature", "grams").mapInArrow(K.given_back(run), "node binary, links long, other binary")
 
 
 def _gram_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -357,7 +357,7 @@ def _gram_sets(docs: DataFrame, width: int) -> DataFrame:
                 sets = [np.unique(values[x:y]).tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["node", "grams"])
 
-    return in_small_batches(docs.select("node", "text")).mapInArrow(run, "node binary, grams binary")
+    return in_small_batches(docs.select("node", "text")).mapInArrow(K.given_back(run), "node binary, grams binary")
 
 
 def _hanging(rows: DataFrame, key: str) -> DataFrame:

@@ -11,7 +11,7 @@ the chunk, never of the partition.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -186,8 +186,19 @@ def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
+def given_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator]) -> Callable[[Iterator[pa.RecordBatch]], Iterator]:
+    """``run``, with all that it held given back to the system once it has ended, its tables and last results too, which ``lean`` comes too early for."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def give_back() -> None:
-    """Returns freed memory to the system, where the C library can."""
+    """Returns freed memory to the system, Arrow's and, where the C library can, its own."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)

@@ -86,7 +86,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int =
 BlockFit = Callable[[list], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def mean_of_blocks(texts: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[tuple[int, tuple]]], fit: BlockFit, places: int, width: int, having: str, most: int = SAMPLE_DOCUMENTS, most_bytes: int = BLOCK_BYTES) -> tuple[np.ndarray, np.ndarray]:
+def mean_of_blocks(texts: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[tuple[int, tuple]]], fit: BlockFit, width: int, having: str, most: int = SAMPLE_DOCUMENTS, most_bytes: int = BLOCK_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """Fits every block of ``texts`` in its task and returns the places that any block fitted and their mean values ``v0``, ..., weighted by the texts behind them.
 
     ``having`` is a condition on these and on ``n``, the number of texts behind a place in all blocks.
@@ -96,12 +96,19 @@ def mean_of_blocks(texts: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[t
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, sums, block, held = np.zeros(places, np.int32), np.zeros((places, width)), [], 0
+        block, held = [], 0
+        used, weights, sums = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros((0, width))
 
         def close() -> None:
+            nonlocal used, weights, sums
             place, n, values = fit(block)
-            weights[place] += n
-            sums[place] += n[:, None] * values
+            both = np.union1d(used, place)
+            more, total = np.zeros(len(both), np.int32), np.zeros((len(both), width))
+            for at, count, value in ((used, weights, sums), (place, n, n[:, None] * values)):
+                at = np.searchsorted(both, at)
+                more[at] += count
+                total[at] += value
+            used, weights, sums = both, more, total
 
         for batch in K.lean(batches):
             for size, row in rows(batch):
@@ -112,13 +119,13 @@ def mean_of_blocks(texts: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[t
                     block, held = [], 0
         if block:
             close()
-        used = np.flatnonzero(weights)
+        block = []
         for begin in range(0, len(used), 1 << 16):
-            some = used[begin : begin + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(weights[some]), *(pa.array(sums[some, i].astype(np.float32)) for i in range(width))], names)
+            some = slice(begin, begin + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(used[some].astype(np.int32)), pa.array(weights[some]), *(pa.array(sums[some, i].astype(np.float32)) for i in range(width))], names)
 
     names = ["place", "n", *(f"v{i}" for i in range(width))]
-    sent = in_small_batches(texts).mapInArrow(run, ", ".join(["place int", "n int", *(f"v{i} float" for i in range(width))]))
+    sent = in_small_batches(texts).mapInArrow(K.given_back(run), ", ".join(["place int", "n int", *(f"v{i} float" for i in range(width))]))
     total = F.sum("n")
     found = sent.groupBy("place").agg(total.alias("n"), *((F.sum(f"v{i}") / total).alias(f"v{i}") for i in range(width))).where(having).toArrow().combine_chunks()
     return found.column("place").to_numpy(), np.stack([found.column(f"v{i}").to_numpy() for i in range(width)], 1)

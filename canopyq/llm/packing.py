@@ -106,4 +106,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity:
         if waiting:
             yield placed()
 
-    return in_small_batches(docs.select(docs["doc_id"].cast("long"), docs[text].cast("string"))).mapInArrow(run, SCHEMA)
+    return in_small_batches(docs.select(docs["doc_id"].cast("long"), docs[text].cast("string"))).mapInArrow(K.given_back(run), SCHEMA)

@@ -107,40 +107,50 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], stats: np.ndarray, labels: np
     return FactorMachine(float(bias), weights, factors, centre, scale)
 
 
-def _descend(rows: list, x: np.ndarray, labels: np.ndarray, start: np.ndarray, bias: float, rounds: int, rate: float, l2: float, least: int, random: np.random.Generator | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def _descend(rows: list, x: np.ndarray, labels: np.ndarray, start: np.ndarray, bias: float, rounds: int, rate: float, l2: float, least: int, random: np.random.Generator | None, part: int = 250) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """The buckets in ``least`` rows, how many have each, weights and factors of these and of the statistics, and the bias, after ``rounds`` rounds from ``start``.
 
-    Factors are drawn first if ``random`` is given. Other buckets are left out.
+    Factors are drawn first if ``random`` is given. Other buckets are left out. Gradients are summed over ``part`` rows at a time, so memory beyond the rows is a copy of their entries.
     """
     words, k = 1 << BITS, len(STATISTICS)
-    lens = np.array([len(b) for b, _ in rows])
-    row, bucket, value = np.repeat(np.arange(len(rows)), lens), np.concatenate([b for b, _ in rows]), np.concatenate([v for _, v in rows]).astype(np.float64)
-    spread = np.bincount(bucket, minlength=words)
+    spread = np.zeros(words, np.int64)
+    for b, _ in rows:
+        spread += np.bincount(b, minlength=words)
     chosen = np.flatnonzero(spread >= least)
-    index = np.full(words, -1)
-    index[chosen] = np.arange(len(chosen))
-    kept = index[bucket] >= 0
-    row, value, word = row[kept], value[kept], index[bucket[kept]]
-    c, n = len(chosen), len(rows)
+    index = np.full(words, -1, np.int32)
+    index[chosen] = np.arange(len(chosen), dtype=np.int32)
+    c, n, parts = len(chosen), len(rows), []
+    for begin in range(0, n, part):
+        some = rows[begin : begin + part]
+        word = index[np.concatenate([b for b, _ in some])]
+        kept, row = word >= 0, np.repeat(np.arange(len(some), dtype=np.int32), [len(b) for b, _ in some])
+        parts.append((slice(begin, begin + len(some)), row[kept], word[kept], np.concatenate([v for _, v in some])[kept]))
     theta = np.concatenate([start[chosen], start[words:]])
     if random is not None:
         theta[:, 1:] = random.normal(0, 0.05, (c + k, FACTORS))
     m, v = np.zeros((c + k + 1, FACTORS + 1)), np.zeros((c + k + 1, FACTORS + 1))
     for step in range(1, rounds + 1):
-        z = bias + np.bincount(row, theta[word, 0] * value, minlength=n) + x @ theta[c:, 0]
-        totals = []
-        for f in range(1, FACTORS + 1):
-            e, own = theta[word, f] * value, theta[c:, f] * x
-            totals.append(total := np.bincount(row, e, minlength=n) + own.sum(1))
-            z += 0.5 * (total**2 - np.bincount(row, e * e, minlength=n) - (own**2).sum(1))
-        g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) / n
-        grad = np.zeros_like(m)
-        each = g[row] * value
-        grad[:c, 0], grad[c:-1, 0], grad[-1, 0] = np.bincount(word, each, minlength=c), x.T @ g, g.sum()
-        squares, own_squares = np.bincount(word, each * value, minlength=c), (x * x).T @ g
-        for f, total in enumerate(totals, 1):
-            grad[:c, f] = np.bincount(word, each * total[row], minlength=c) - theta[:c, f] * squares
-            grad[c:-1, f] = x.T @ (g * total) - theta[c:, f] * own_squares
+        grad, squares = np.zeros_like(m), np.zeros(c + k)
+        for own_rows, row, word, value in parts:
+            stats = x[own_rows]
+            size = len(stats)
+            z = bias + np.bincount(row, theta[word, 0] * value, minlength=size) + stats @ theta[c:, 0]
+            totals = []
+            for f in range(1, FACTORS + 1):
+                e, own = theta[word, f] * value, theta[c:, f] * stats
+                totals.append(total := np.bincount(row, e, minlength=size) + own.sum(1))
+                z += 0.5 * (total**2 - np.bincount(row, e * e, minlength=size) - (own**2).sum(1))
+            g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[own_rows]) / n
+            each = g[row] * value
+            grad[:c, 0] += np.bincount(word, each, minlength=c)
+            grad[c:-1, 0] += stats.T @ g
+            grad[-1, 0] += g.sum()
+            squares[:c] += np.bincount(word, each * value, minlength=c)
+            squares[c:] += (stats * stats).T @ g
+            for f, total in enumerate(totals, 1):
+                grad[:c, f] += np.bincount(word, each * total[row], minlength=c)
+                grad[c:-1, f] += stats.T @ (g * total)
+        grad[:-1, 1:] -= theta[:, 1:] * squares[:, None]
         grad[:-1] += l2 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
@@ -209,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
         return model
     whole = {"rounds": 80, "rate": 0.05} if len({r["label"] for r in got}) < 2 else {}  # a first fit of one label is little to go on from
     every = labelled_texts(texts, labels, label).select("text", "recorded", "label").repartition(-(-n // limit))
-    place, values = mean_of_blocks(every, rows, lambda block: refit(*seen(block), model, **whole), (1 << BITS) + len(STATISTICS) + 1, FACTORS + 1, f"n >= {LEAST} or place >= {1 << BITS}", 2 * limit)
+    place, values = mean_of_blocks(every, rows, lambda block: refit(*seen(block), model, **whole), FACTORS + 1, f"n >= {LEAST} or place >= {1 << BITS}", 2 * limit)
     theta = np.concatenate([np.concatenate([model.weights[:, None], model.factors], 1), np.append(np.float32(model.bias), np.zeros(FACTORS, np.float32))[None]])
     theta[place] = values
     return FactorMachine(float(theta[-1, 0]), theta[:-1, 0].copy(), theta[:-1, 1:].copy(), model.centre, model.scale)

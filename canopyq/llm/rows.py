@@ -55,7 +55,7 @@ def annotated(docs: DataFrame, keep: tuple[str, ...], text: str, others: list[Co
     quoted = [docs[f"`{c}`"] for c in keep]
     sent = [docs[f"`{text}`"].cast("string").alias("t")] if kept is None else []
     inputs = [c.alias(f"k{i}") for i, c in enumerate(quoted)] + sent + [c.alias(f"o{i}") for i, c in enumerate(others)]
-    out = in_small_batches(docs.select(*inputs)).mapInArrow(run, schema)
+    out = in_small_batches(docs.select(*inputs)).mapInArrow(K.given_back(run), schema)
     named = [F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]
     return out.where(where).select(*named) if where else out.select(*named, *results)
 

@@ -119,15 +119,17 @@ def _descend(bags: list, labels: np.ndarray, chosen: np.ndarray, w: np.ndarray,
 
 def gradient(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, model: NoisyOrModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The buckets of a block, how many bags have each, and the gradient of its weight at ``model``, summed over the bags, for each of these."""
-    weights, spread, total = model.table(), _spread(bags), np.zeros(1 << BITS)
+    weights, spread = model.table(), _spread(bags)
+    found = np.flatnonzero(spread)
+    index, total = np.zeros(1 << BITS, np.int32), np.zeros(len(found))
+    index[found] = np.arange(len(found), dtype=np.int32)
     for (words, sizes), label in zip(bags, labels, strict=True):
         place = np.repeat(np.arange(len(sizes)), sizes)
         z = np.clip(model.bias + np.bincount(place, weights[words], minlength=len(sizes)), -30, 30)
         clear = np.exp(-np.logaddexp(0, z).sum())
         pull = (-clear / max(1 - clear, 1e-9) if label == 1 else 1.0) / (1 + np.exp(-z))
-        np.add.at(total, words, pull[place])
-    found = np.flatnonzero(spread)
-    return found, spread[found], (total[found] / spread[found])[:, None]
+        np.add.at(total, index[words], pull[place])
+    return found, spread[found], (total / spread[found])[:, None]
 
 
 def refit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, model: NoisyOrModel, chosen: np.ndarray, rounds: int = 250, rate: float = 0.15, drop: float = 0.5, last: int = 80) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     if len({r["label"] for r in got}) < 2:  # nothing to go on from
         model = NoisyOrModel(np.zeros(0, np.int64), np.zeros(0, np.float32), -4.0)
     every = labelled_texts(texts, labels, label).select("text", "label")
-    pulled, _ = mean_of_blocks(every, rows, lambda block: gradient(*bags(block), model), 1 << BITS, 1, f"n >= {LEAST} and abs(n * v0) > {L1 * n!r}", limit)
+    pulled, _ = mean_of_blocks(every, rows, lambda block: gradient(*bags(block), model), 1, f"n >= {LEAST} and abs(n * v0) > {L1 * n!r}", limit)
     chosen = np.union1d(pulled, model.buckets)
 
     def compact(content: pa.Array) -> pa.Array:
@@ -193,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
             yield len(sent), (mark, sent[cut:], sent[4:cut])
 
     blocks = labelled_texts(texts, labels, label, compact).select("text", "label").repartition(-(-n // BLOCK))
-    place, values = mean_of_blocks(blocks, as_sent, lambda block: refit(*bags(block), model, chosen), (1 << BITS) + 1, 1, "true", 2 * BLOCK)
+    place, values = mean_of_blocks(blocks, as_sent, lambda block: refit(*bags(block), model, chosen), 1, "true", 2 * BLOCK)
     weights = np.append(model.table().astype(np.float64), model.bias)
     weights[place] = values[:, 0]
     used = np.flatnonzero(weights[:-1])

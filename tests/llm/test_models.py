@@ -130,3 +130,57 @@ def test_odd_input(spark, odd, labels):
     assert T.toxicity(none, labels).count() == 0 and Q.quality(odd, labels.limit(0)).count() == odd.count()
     kept = T.score(odd, T.train(odd, labels), keep=tuple(odd.columns), where="score < 2")
     assert kept.columns == odd.columns and kept.count() == odd.count()
+
+
+def peak_bytes(run):
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_fit_of_a_block_copies_its_entries_once():
+    random = np.random.default_rng(1)
+    n, each = 2000, 1000
+    rows = [(np.sort(random.choice(1 << Q.BITS, each, replace=False)).astype(np.int32), np.full(each, each**-0.5, np.float32)) for _ in range(n)]
+    stats, labels = random.normal(size=(n, len(Q.STATISTICS))), random.integers(0, 2, n)
+    k = (1 << Q.BITS) + len(Q.STATISTICS)
+    model = Q.FactorMachine(0.0, np.zeros(k, np.float32), np.zeros((k, Q.FACTORS), np.float32), np.zeros(len(Q.STATISTICS)), np.ones(len(Q.STATISTICS)))
+    assert peak_bytes(lambda: Q.refit(rows, stats, labels, model, rounds=2)) < 40 * n * each + 40e6
+
+
+def test_mean_of_blocks_weighs_by_texts_and_needs_no_dense_table(spark):
+    from canopyq.llm.labelled import mean_of_blocks
+
+    def rows(batch):
+        for value in batch.column(0).to_pylist():
+            yield 8, (value,)
+
+    def fit(block):
+        place = np.array([1, 10**9])[: 1 + any(v >= 4 for v, in block)]
+        return place, np.full(len(place), len(block)), np.full((len(place), 2), float(sum(v for v, in block)) / len(block))
+
+    found, values = mean_of_blocks(spark.range(7).coalesce(1), rows, fit, 2, "true", most=3)
+    got = dict(zip(found.tolist(), values.tolist(), strict=True))
+    assert got[1] == [3.0, 3.0] and got[10**9] == [pytest.approx((3 * 4 + 6) / 4)] * 2
+
+
+def test_memory_goes_back_after_a_task_has_dropped_its_tables(monkeypatch):
+    import weakref
+
+    held, alive = [], []
+
+    class Table:
+        pass
+
+    def run(batches):
+        table = Table()
+        held.append(weakref.ref(table))
+        yield from batches
+
+    monkeypatch.setattr(K, "give_back", lambda: alive.append(held[0]() is not None))
+    assert list(K.given_back(run)(iter([1, 2]))) == [1, 2] and alive == [False]
