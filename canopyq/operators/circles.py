@@ -10,17 +10,18 @@ from pyspark.sql import functions as F
 LOW, HIGH = 0.035, 0.25
 
 
-def _refined(x: np.ndarray, y: np.ndarray, start: tuple[float, float, float], steps: int = 30, low: float = LOW, high: float = HIGH) -> tuple[float, float, float]:
-    """Least squares of distance minus radius by damped Gauss-Newton with the radius kept in bounds."""
+def _refined(x: np.ndarray, y: np.ndarray, start: tuple[float, float, float], steps: int = 30, low: float = LOW, high: float = HIGH, weight: np.ndarray | None = None) -> tuple[float, float, float]:
+    """Least squares of distance minus radius by damped Gauss-Newton with the radius kept in bounds; a point counts ``weight`` times."""
     p, damp = np.array(start, float), 1e-3
+    root = np.ones(len(x)) if weight is None else np.sqrt(weight)
 
     def residual(q: np.ndarray) -> np.ndarray:
-        return np.hypot(x - q[0], y - q[1]) - q[2]
+        return (np.hypot(x - q[0], y - q[1]) - q[2]) * root
 
     r = residual(p)
     for _ in range(steps):
         d = np.maximum(np.hypot(x - p[0], y - p[1]), 1e-9)
-        jacobian = np.stack([(p[0] - x) / d, (p[1] - y) / d, -np.ones_like(d)], 1)
+        jacobian = np.stack([(p[0] - x) / d, (p[1] - y) / d, -np.ones_like(d)], 1) * root[:, None]
         a, g = jacobian.T @ jacobian, jacobian.T @ r
         try:
             q = p - np.linalg.solve(a + damp * np.diag(np.diag(a) + 1e-12), g)
@@ -98,30 +99,41 @@ def slice_fits(points: DataFrame, by: list[str], shrink: float = 1.0) -> DataFra
 SEED_FROM, SEED_TO, SEED_STEP, SEED_POINTS, SEED_RADII, SEED_SLICES = 0.5, 5.0, 0.2, 10, (0.035, 0.4), 3
 
 
-def seed_circle(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, float] | None:
-    """Centre, radius and cost, half the squared residuals, of a plain least-squares circle; None if its radius is no stem's."""
-    start = float(x.mean()), float(y.mean())
-    start = *start, max(float(np.median(np.hypot(x - start[0], y - start[1]))), 0.05)
-    cx, cy, r = _refined(x, y, start, steps=100, low=-np.inf, high=np.inf)
+def _median(values: np.ndarray, weight: np.ndarray) -> float:
+    """Median of values that each stand ``weight`` times."""
+    order = np.argsort(values, kind="stable")
+    upto = np.cumsum(weight[order])
+    return float(values[order][np.searchsorted(upto, [(upto[-1] - 1) // 2, upto[-1] // 2], "right")].mean())
+
+
+def seed_circle(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float, float, float] | None:
+    """Centre, radius and cost, half the squared residuals, of a plain least-squares circle; None if its radius is no stem's. A point counts ``weight`` times, a whole number."""
+    weight = np.ones(len(x), np.int64) if weight is None else weight
+    start = float(np.average(x, weights=weight)), float(np.average(y, weights=weight))
+    start = *start, max(_median(np.hypot(x - start[0], y - start[1]), weight), 0.05)
+    cx, cy, r = _refined(x, y, start, steps=100, low=-np.inf, high=np.inf, weight=weight)
     if not SEED_RADII[0] < abs(r) < SEED_RADII[1]:
         return None
-    return cx, cy, abs(r), float(0.5 * ((np.hypot(x - cx, y - cy) - r) ** 2).sum())
+    return cx, cy, abs(r), float(0.5 * (weight * (np.hypot(x - cx, y - cy) - r) ** 2).sum())
 
 
-def seed_fits(points: DataFrame, by: str = "tree_id") -> DataFrame:
+def seed_fits(points: DataFrame, by: str = "tree_id", copies: str | None = None) -> DataFrame:
     """Circles of the slices of each tree's lower stem, as (tree, slice, cx, cy, r, cost); slices with few points or no stem's radius have none.
 
-    Points of no tree, with an id of 0 or less, are left out. One group is one slice of one tree.
+    Points of no tree, with an id of 0 or less, are left out. ``copies`` is how many points a row stands for. One group is one slice of one tree; fits cost far more than their rows weigh, so
+    they are dealt to all shuffle partitions.
     """
     kind = points.schema[by].dataType.simpleString()
     place = F.floor((F.col("z") - SEED_FROM) / SEED_STEP).cast("int")
-    slices = points.where(F.col(by) > 0).select(by, "x", "y", place.alias("slice")).where(F.col("slice").between(0, round((SEED_TO - SEED_FROM) / SEED_STEP + 0.5) - 1))
+    slices = points.where(F.col(by) > 0).select(by, "x", "y", (F.col(copies) if copies else F.lit(1)).cast("long").alias("_n"), place.alias("slice")).where(F.col("slice").between(0, round((SEED_TO - SEED_FROM) / SEED_STEP + 0.5) - 1))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = seed_circle(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)) if len(pdf) >= SEED_POINTS else None
+        number = pdf["_n"].to_numpy()
+        found = seed_circle(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), number) if number.sum() >= SEED_POINTS else None
         return pd.DataFrame([[*key, *found]] if found else [], columns=[by, "slice", "cx", "cy", "r", "cost"])
 
-    return slices.groupBy(by, "slice").applyInPandas(run, f"{by} {kind}, slice int, cx double, cy double, r double, cost double")
+    dealt = slices.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), by, "slice")
+    return dealt.groupBy(by, "slice").applyInPandas(run, f"{by} {kind}, slice int, cx double, cy double, r double, cost double")
 
 
 def seeds(trees: DataFrame, fits: DataFrame, by: str = "tree_id", least: int = SEED_SLICES) -> DataFrame:

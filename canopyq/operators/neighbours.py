@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from copy import copy
 from functools import reduce
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from canopyq.plans.storage import discard, stored
+from canopyq.plans.storage import again, discard, stored
 
 #: Rows of a leaf, and of a block.
 LEAF_ROWS = 512
@@ -36,13 +37,18 @@ def _axes(n: int) -> list[str]:
     return [f"c{i}" for i in range(n)]
 
 
+def placed_rows(df: DataFrame, coordinates: Sequence[str]) -> DataFrame:
+    """Rows whose coordinates are all there and finite."""
+    for c in coordinates:
+        df = df.where(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != math.inf))
+    return df
+
+
 def _prepared(df: DataFrame, coordinates: Sequence[str], by: str | None, key: str, more: Sequence[str]) -> DataFrame:
     """Group, key, coordinates c0, c1, ... as doubles; rows with a missing coordinate or group are left out."""
     axes = [F.col(c).cast("double").alias(a) for c, a in zip(coordinates, _axes(len(coordinates)), strict=True)]
     rows = df.select((F.col(by) if by else F.lit(0)).alias("g"), F.col(key).alias("key"), *axes, *more)
-    for c in _axes(len(coordinates)):
-        rows = rows.where(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != math.inf))
-    return rows.where("g is not null")
+    return placed_rows(rows, _axes(len(coordinates))).where("g is not null")
 
 
 class Pyramid:
@@ -72,6 +78,12 @@ class Pyramid:
         home = asked.join(leaves, ["cell", "level"]).select("g", *ids, F.col("cell").alias("leaf"))
         self.rows = stored(placed.join(home, ["g", *ids]).drop(*ids), "leaf-rows")
 
+    def again(self) -> Pyramid:
+        """The same pyramid as the other side of a join."""
+        other = copy(self)
+        other.nodes, other.rows = again(self.nodes), again(self.rows)
+        return other
+
     def discard(self) -> None:
         discard(self.nodes, self.rows)
 
@@ -87,15 +99,16 @@ def _gaps(dims: int) -> tuple[Column, Column]:
 
 
 def _pyramids(ours: DataFrame, theirs: DataFrame, dims: int, leaf_rows: int) -> tuple[Pyramid, Pyramid] | None:
-    """Pyramids of both sides over one box; None without rows."""
-    both = ours.select(*_axes(dims)).unionByName(theirs.select(*_axes(dims)))
+    """Pyramids of both sides over one box, one pyramid if they are the same rows; None without rows."""
+    both = ours.select(*_axes(dims)) if ours is theirs else ours.select(*_axes(dims)).unionByName(theirs.select(*_axes(dims)))
     ends = both.agg(F.count("*"), *(f(a) for a in _axes(dims) for f in (F.min, F.max))).first()
     if not ends[0]:
         return None
     origin = [ends[1 + 2 * d] for d in range(dims)]
     side = max(max(ends[2 + 2 * d] - ends[1 + 2 * d] for d in range(dims)) * (1 + 1e-9), 1e-9)
     levels = min(48 // dims + 4, math.ceil(math.log2(max(2, ends[0] * 16 / leaf_rows)) / dims) + 8)
-    return Pyramid(ours, origin, side, levels, leaf_rows), Pyramid(theirs, origin, side, levels, leaf_rows)
+    own = Pyramid(ours, origin, side, levels, leaf_rows)
+    return own, own.again() if ours is theirs else Pyramid(theirs, origin, side, levels, leaf_rows)
 
 
 def _reach(cells: DataFrame, dims: int, k: int) -> DataFrame:
@@ -172,15 +185,16 @@ def _measured(left: pa.Table, right: pa.Table, dims: int, k: int, apart: bool) -
 
 
 def each_nearest(left: DataFrame, right: DataFrame, k: int, finish: Finish, schema: str, coordinates: Sequence[str], by: str | None, key: str, right_key: str, apart: bool, more: Sequence[str] = (), leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """Applies ``finish`` to each block of left rows and its answer; ``apart`` leaves out the right row with a row's own key."""
+    """Applies ``finish`` to each block of left rows and its answer; ``apart`` leaves out the right row with a row's own key. Both sides keep the columns ``more``."""
     dims = len(coordinates)
-    ours, theirs = _prepared(left, coordinates, by, key, more), _prepared(right, coordinates, by, right_key, ())
+    ours = _prepared(left, coordinates, by, key, more)
+    theirs = ours if left is right and key == right_key else _prepared(right, coordinates, by, right_key, more)
     pyramids = _pyramids(ours, theirs, dims, leaf_rows)
     if pyramids is None:
         return left.sparkSession.createDataFrame([], schema)
     a, b = pyramids
     wanted, mine = _wanted(a, b, dims, k + apart)
-    asked = b.rows.withColumnRenamed("leaf", "from").join(wanted.withColumnRenamed("leaf", "from"), "from").select("block", "key", *_axes(dims))
+    asked = b.rows.withColumnRenamed("leaf", "from").join(wanted.withColumnRenamed("leaf", "from"), "from").select("block", "key", *_axes(dims), *more)
 
     empty = _arrow_schema(schema).empty_table()
 
@@ -270,23 +284,37 @@ def k_nearest(left: DataFrame, right: DataFrame, k: int, coordinates: Sequence[s
     return each_nearest(left, right, k, finish, schema, coordinates, by, key, right_key, apart, leaf_rows=leaf_rows)
 
 
-def linearity(points: DataFrame, by: str, key: str = "point_id", k: int = 20, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def linearity(points: DataFrame, by: str, key: str = "point_id", k: int = 20, leaf_rows: int = LEAF_ROWS, copies: str | None = None) -> DataFrame:
     """(l1 - l2) / l1 of the covariance of each point's ``k`` nearest others of its tree: (by, key, linearity).
 
-    Points of trees with ``k`` points or fewer score 0.5; points of no tree, with an id of 0 or less, score 0.
+    Points of trees with ``k`` points or fewer score 0.5; points of no tree, with an id of 0 or less, score 0. With ``copies`` a row stands for so many points of one place, of which all
+    have its score, and no two rows of a tree have one place: more than ``k`` copies are each other's nearest, a single place without any spread, and score 0 at once.
     """
     kinds = {c: points.schema[c].dataType.simpleString() for c in (by, key)}
+    number = lambda t: t[copies].to_numpy() if copies else np.ones(len(t), np.int64)
 
     def finish(mine: pa.Table, others: pa.Table, places: np.ndarray, found: np.ndarray) -> pa.Table:
         out = np.full(len(mine), 0.5)
-        full = places[:, -1] >= 0
+        own, other = (np.stack([t[a].to_numpy() for a in _axes(3)], 1) for t in (mine, others))
+        upto = np.cumsum(np.column_stack([number(mine) - 1, np.append(number(others), 0)[places]]), axis=1)  # its own copies, then those of the places by distance
+        full = upto[:, -1] >= k
         if full.any():
-            xyz = np.stack([others[a].to_numpy() for a in _axes(3)], 1)[places[full]]
-            out[full] = line_share(xyz)
+            at = np.column_stack([len(other) + np.arange(len(own)), places])[full]
+            slots = (upto[full][:, None, :] <= np.arange(k)[None, :, None]).sum(2)
+            out[full] = line_share(np.concatenate([other, own])[np.take_along_axis(at, slots, 1)])
         return pa.table({by: mine["g"], key: mine["key"], "linearity": out})
 
-    found = each_nearest(points.where(F.col(by) > 0), points.where(F.col(by) > 0), k, finish, f"{by} {kinds[by]}, {key} {kinds[key]}, linearity double", ("x", "y", "z"), by, key, key, True, leaf_rows=leaf_rows)
-    return found.unionByName(points.where(F.col(by) <= 0).select(by, key, F.lit(0.0).alias("linearity")))
+    trees, none = points.where(F.col(by) > 0), points.where(F.col(by) <= 0)
+    asking = trees
+    if copies:
+        few = F.col(copies) <= k
+        n, most = trees.agg(F.count_if(few), F.count("*")).first()
+        if n < most:
+            asking, none = trees.where(few), none.unionByName(placed_rows(trees.where(~few), ("x", "y", "z")))
+        if not n:
+            asking = trees = trees.limit(0)
+    found = each_nearest(asking, trees, k, finish, f"{by} {kinds[by]}, {key} {kinds[key]}, linearity double", ("x", "y", "z"), by, key, key, True, [copies] if copies else [], leaf_rows)
+    return found.unionByName(none.select(by, key, F.lit(0.0).alias("linearity")))
 
 
 def line_share(groups: np.ndarray) -> np.ndarray:

@@ -12,6 +12,8 @@ from canopyq.operators.neighbours import linearity
 from canopyq.plans.storage import stored
 
 KEY = "tree_id"
+#: Points that lie in one place, as a row of a stored cloud.
+COPIES = "copies"
 
 
 @dataclass(frozen=True)
@@ -49,9 +51,10 @@ def segment_trees(points: DataFrame, rules: SegmentRules = SegmentRules()) -> di
     canopy model with its origin at the lowest x and y, smoothed; tops; crowns by watershed over the four sides of cells; points of the stem band by crown, small trees cleared; points
     with few others around dropped, small trees cleared again; scores; points far from the tree's top, or its seed where the top has no place, dropped, unless too few would stay;
     points whose surroundings aren't line-like dropped. Trees without points after the density filter aren't scored. Points without coordinates are left out; without points all tables are empty.
+    Points of one place are one row with their number until the end, so a cloud of copies costs no more than its places.
     """
     named = points.where("x is not null and y is not null and z is not null").select(F.monotonically_increasing_id().alias("point_id"), *(F.col(c).cast("double").alias(c) for c in "xyz"))
-    cloud = stored(named, "cloud")
+    cloud = stored(named.groupBy("x", "y", "z").agg(F.min("point_id").alias("point_id"), F.count("*").alias(COPIES)), "cloud")
     ends = cloud.agg(F.min("x"), F.min("y")).first()
     x0, y0 = ends[0] or 0.0, ends[1] or 0.0
     cells = grid.celled(cloud, rules.size, x0, y0)
@@ -61,30 +64,36 @@ def segment_trees(points: DataFrame, rules: SegmentRules = SegmentRules()) -> di
     crowns = stored(segments.watershed(smooth, tops.select("row", "col", F.col(KEY).alias("label")), least=rules.least, diagonals=False), "crowns")
 
     band = cells.where(F.col("z").between(rules.low, rules.high)).join(crowns.withColumnRenamed("label", KEY), ["row", "col"], "left")
-    raw = segments.dense_enough(band.select("point_id", "x", "y", "z", F.coalesce(KEY, F.lit(0)).cast("long").alias(KEY)), KEY, rules.least_points)
+    raw = segments.dense_enough(band.select("point_id", "x", "y", "z", COPIES, F.coalesce(KEY, F.lit(0)).cast("long").alias(KEY)), KEY, rules.least_points, COPIES)
     raw = stored(raw, "band")
-    crowded = spatial.radius_count(raw, rules.density_radius).where(F.col("n_near") >= rules.density_least).drop("n_near")
-    dense = stored(segments.dense_enough(crowded, KEY, rules.least_points).where(F.col(KEY) > 0), "dense")
+    crowded = spatial.crowded(raw, rules.density_radius, rules.density_least, COPIES)
+    dense = stored(segments.dense_enough(crowded, KEY, rules.least_points, COPIES).where(F.col(KEY) > 0), "dense")
 
-    axes = stored(segments.principal_axes(dense, KEY).withColumnRenamed("n", "n_points"), "axes")
-    scores = segments.segment_scores(axes.join(stems.centroid_drift(dense, [KEY], from_lowest=True), KEY, "left"))
-    seeds = circles.seeds(axes, circles.seed_fits(dense)).drop("n_points")
+    axes = stored(segments.principal_axes(dense, KEY, COPIES).withColumnRenamed("n", "n_points"), "axes")
+    scores = segments.segment_scores(axes.join(stems.centroid_drift(dense, [KEY], from_lowest=True, copies=COPIES), KEY, "left"))
+    seeds = circles.seeds(axes, circles.seed_fits(dense, copies=COPIES)).drop("n_points")
     scored = stored(scores.join(seeds, KEY, "left"), "scores")
     accepted = dense.join(scored.where("segment_status <> 'rejected_after_scoring'").select(KEY, "seed_cx", "seed_cy"), KEY)
     centres = tops.select(KEY, "x", "y").join(scored.select(KEY, "seed_cx", "seed_cy"), KEY)
     centres = centres.select(KEY, F.coalesce("x", "seed_cx").alias("x"), F.coalesce("y", "seed_cy").alias("y"))
-    judged = stored(segments.radial_filter(accepted.drop("seed_cx", "seed_cy"), centres, KEY, rules.radius, rules.radius_least), "radial")
+    judged = stored(segments.radial_filter(accepted.drop("seed_cx", "seed_cy"), centres, KEY, rules.radius, rules.radius_least, COPIES), "radial")
     near = judged.where("kept").drop("kept", "retention")
-    line = linearity(near, KEY, "point_id", rules.neighbours)
+    line = linearity(near, KEY, "point_id", rules.neighbours, copies=COPIES)
     final = stored(near.join(line.select("point_id", F.col("linearity").alias("stem_score")), "point_id").where(F.col("stem_score") >= rules.linearity), "final")
 
-    count = lambda df, name: df.where(F.col(KEY) > 0).groupBy(KEY).agg(F.count("*").alias(name))
-    radial = judged.groupBy(KEY).agg(F.count("*").alias("radial_n_before"), F.count_if(~F.col("kept")).alias("radial_n_removed"), F.round(F.first("retention"), 4).alias("radial_retention_frac"))
+    count = lambda df, name: df.where(F.col(KEY) > 0).groupBy(KEY).agg(F.sum(COPIES).alias(name))
+    radial = judged.groupBy(KEY).agg(F.sum(COPIES).alias("radial_n_before"), F.sum(F.when(~F.col("kept"), F.col(COPIES)).otherwise(0)).alias("radial_n_removed"), F.round(F.first("retention"), 4).alias("radial_retention_frac"))
     crown = segments.crown_summary(crowns, rules.size).select(F.col("label").alias(KEY), F.col("area_m2").alias("crown_area_m2"), F.col("diameter_m").alias("crown_diam_m"), F.col("n_cells").alias("crown_n_pixels"))
     summary = tops.select(KEY, F.col("x").alias("tree_top_x"), F.col("y").alias("tree_top_y"), F.col("height_m").alias("canopy_height_m"))
     for table in (count(raw, "n_points_raw"), count(dense, "n_points_after_density"), count(final, "n_points_final"), radial, scored.drop("n_points"), crown):
         summary = summary.join(table, KEY, "left")
-    return {"treetops": tops, "crowns": crowns, "segment_points": final.select(KEY, "x", "y", "z", "stem_score"), "segment_summary": _filled(summary)}
+    return {"treetops": tops, "crowns": crowns, "segment_points": _each_copy(final).select(KEY, "x", "y", "z", "stem_score"), "segment_summary": _filled(summary)}
+
+
+def _each_copy(places: DataFrame, part: int = 4096) -> DataFrame:
+    """A row for each point of a place; parts of at most ``part`` points are told apart first, so no array is long."""
+    parts = places.withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor((F.col(COPIES) - 1) / part))))
+    return parts.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(part), F.col(COPIES) - F.col("_part") * part)))).drop("_part", "_copy")
 
 
 def _filled(summary: DataFrame) -> DataFrame:

@@ -186,26 +186,39 @@ def crown_summary(labels: DataFrame, size: float) -> DataFrame:
     return labels.groupBy("label").agg(F.count(F.lit(1)).alias("n_cells"), area.alias("area_m2"), (F.sqrt(area / math.pi) * 2.0).alias("diameter_m"))
 
 
-def dense_enough(points: DataFrame, group: str, least: int = 20) -> DataFrame:
-    """Points of groups below ``least`` lose their group (id 0) and stay."""
-    counts = points.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+def dense_enough(points: DataFrame, group: str, least: int = 20, copies: str | None = None) -> DataFrame:
+    """Points of groups below ``least`` lose their group (id 0) and stay; ``copies`` is how many points a row stands for."""
+    counts = points.groupBy(group).agg((F.sum(copies) if copies else F.count(F.lit(1))).alias("_n"))
     return points.join(counts, group, "left").withColumn(group, F.when(F.col("_n") < least, 0).otherwise(F.col(group))).select(*points.columns)
 
 
-def radial_filter(points: DataFrame, centres: DataFrame, key: str = "tree_id", radius: float = 0.9, least: int = 10) -> DataFrame:
-    """Points within ``radius`` of their tree's centre; trees of which fewer than ``least`` would remain keep all. ``kept`` and the tree's share are columns."""
+def radial_filter(points: DataFrame, centres: DataFrame, key: str = "tree_id", radius: float = 0.9, least: int = 10, copies: str | None = None) -> DataFrame:
+    """Points within ``radius`` of their tree's centre; trees of which fewer than ``least`` would remain keep all. ``kept`` and the tree's share are columns.
+
+    ``copies`` is how many points a row stands for.
+    """
+    number = F.col(copies) if copies else F.lit(1)
     j = points.join(centres.select(key, F.col("x").alias("_cx"), F.col("y").alias("_cy")), key, "left")
     dx, dy = F.col("x") - F.col("_cx"), F.col("y") - F.col("_cy")
     near = j.withColumn("_near", F.coalesce(dx * dx + dy * dy <= radius * radius, F.lit(True)))
-    counts = near.groupBy(key).agg(F.count_if("_near").alias("_k"), F.count(F.lit(1)).alias("_n"))
+    counts = near.groupBy(key).agg(F.sum(F.when(F.col("_near"), number).otherwise(0)).alias("_k"), F.sum(number).alias("_n"))
     out = near.join(counts, key).withColumn("kept", F.col("_near") | (F.col("_k") < least))
     return out.select(*points.columns, "kept", F.when(F.col("_k") < least, 1.0).otherwise(F.col("_k") / F.col("_n")).alias("retention"))
 
 
-def principal_axes(points: DataFrame, by: str) -> DataFrame:
-    """Linearity, (l1 - l2) / l1 of its variances, and verticality of each segment from its covariance: sums are partial aggregates, the eigenvectors of one 3 x 3 matrix a row."""
+def principal_axes(points: DataFrame, by: str, copies: str | None = None) -> DataFrame:
+    """Linearity, (l1 - l2) / l1 of its variances, and verticality of each segment from its covariance: sums are partial aggregates, the eigenvectors of one 3 x 3 matrix a row.
+
+    With ``copies``, how many points a row stands for, products are summed about the segment's mean.
+    """
     pairs = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
-    cov = points.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *(F.covar_samp(a, b).alias(f"c{a}{b}") for a, b in pairs))
+    if copies:
+        means = points.groupBy(by).agg(F.sum(copies).alias("_n"), *((F.sum(F.col(copies) * F.col(c)) / F.sum(copies)).alias(f"_{c}") for c in "xyz"))
+        off = points.join(means, by).select(by, "_n", F.col(copies).alias("_w"), *((F.col(c) - F.col(f"_{c}")).alias(c) for c in "xyz"))
+        products = (F.try_divide(F.sum(F.col("_w") * F.col(a) * F.col(b)), F.first("_n") - 1).alias(f"c{a}{b}") for a, b in pairs)
+        cov = off.groupBy(by).agg(F.first("_n").alias("n"), *products)
+    else:
+        cov = points.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *(F.covar_samp(a, b).alias(f"c{a}{b}") for a, b in pairs))
 
     @F.pandas_udf("struct<linearity: double, verticality: double>")
     def axes(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from canopyq.operators.neighbours import count_within, k_nearest
+from canopyq.operators.neighbours import count_within, k_nearest, placed_rows
+from canopyq.plans.storage import stored
 
 
 def _cells(size: float, x: str, y: str) -> tuple[Column, Column]:
@@ -36,6 +38,35 @@ def radius_count(points: DataFrame, radius: float, key: str = "point_id") -> Dat
     return points.join(counts, key, "left").select(*points.columns, F.coalesce(F.col("_n") - 1, F.lit(0)).cast("long").alias("n_near"))
 
 
+#: Side, in small cells, of the squares in which ``crowded`` looks for rows near sparse cells.
+_SQUARE = 16
+
+
+def crowded(points: DataFrame, radius: float, least: int, copies: str | None = None, key: str = "point_id") -> DataFrame:
+    """Points with at least ``least`` others within ``radius``; ``copies`` is how many points a row stands for. The answer is that of ``radius_count``, without the counts.
+
+    A small cell of more points whose box fits in the radius answers for all of them. Only rows of sparser cells are counted, against the rows of squares near them, where a row
+    stands for ``least`` + 1 points at most: more can't change the answer.
+    """
+    if least < 1:
+        return points
+    number, side, square = F.col(copies) if copies else F.lit(1), radius / math.sqrt(2), lambda c: F.floor(c / _SQUARE)
+    points = placed_rows(points, ("x", "y"))
+    placed = points.withColumns({"_i": F.floor(F.col("x") / side), "_j": F.floor(F.col("y") / side)})
+    cells = placed.groupBy("_i", "_j").agg(F.sum(number).alias("_n"), (F.max("x") - F.min("x")).alias("_w"), (F.max("y") - F.min("y")).alias("_h"))
+    fits = F.col("_w") * F.col("_w") + F.col("_h") * F.col("_h") <= radius * radius
+    sparse = stored(cells.where((F.col("_n") <= least) | ~fits).select("_i", "_j"), "sparse")
+    if sparse.isEmpty():
+        return points
+    spans = {f"_s{c}": F.explode(F.array_distinct(F.array(square(F.col(c) - 2), square(F.col(c) + 2)))) for c in ("_i", "_j")}
+    squares = sparse.withColumn("_s_i", spans["_s_i"]).withColumn("_s_j", spans["_s_j"]).select("_s_i", "_s_j").distinct()
+    near = placed.withColumns({"_s_i": square(F.col("_i")), "_s_j": square(F.col("_j"))}).join(squares, ["_s_i", "_s_j"], "left_semi")
+    others = near.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least(number, F.lit(least + 1)).cast("int")))).select(key, "x", "y")
+    asked = stored(placed.join(sparse, ["_i", "_j"], "left_semi"), "asked")
+    enough = count_within(asked.select(key, "x", "y"), others, radius, key).where(F.col("n") > least).select(key)
+    return placed.join(sparse, ["_i", "_j"], "left_anti").unionByName(asked.join(enough, key, "left_semi")).select(points.columns)
+
+
 def radius_max(seeds: DataFrame, points: DataFrame, radius: float, key: str, fallback: str) -> DataFrame:
     """Highest point within ``radius`` of each seed, else the seed's own ``fallback``."""
     tops = within(seeds, points.select(F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("_z")), radius).groupBy(key).agg(F.max("_z").alias("_top"))

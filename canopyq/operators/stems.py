@@ -159,17 +159,19 @@ def smalian(profiles: DataFrame, by: list[str], z: str = "z_m", radius: str = "r
     return walked.groupBy(*by).agg(F.sum(section).alias("volume_m3"), F.count(F.lit(1)).alias("n_sections"))
 
 
-def centroid_drift(points: DataFrame, by: list[str], step: float = 0.5, least: int = 5, from_lowest: bool = False) -> DataFrame:
+def centroid_drift(points: DataFrame, by: list[str], step: float = 0.5, least: int = 5, from_lowest: bool = False, copies: str | None = None) -> DataFrame:
     """Mean and largest move of the centroid between consecutive height slices with enough points.
 
-    Slices begin at multiples of ``step``, or with ``from_lowest`` at the group's lowest point and below its highest.
+    Slices begin at multiples of ``step``, or with ``from_lowest`` at the group's lowest point and below its highest. ``copies`` is how many points a row stands for.
     """
     place, rows = F.floor(F.col("z") / step), points
     if from_lowest:
         rows = points.join(points.groupBy(*by).agg(F.min("z").alias("_z0"), F.max("z").alias("_z1")), by)
         place = F.floor((F.col("z") - F.col("_z0")) / step)
         rows = rows.where(place * step + F.col("_z0") < F.col("_z1"))
-    slices = rows.groupBy(*by, place.alias("_s")).agg(F.count(F.lit(1)).alias("_n"), F.avg("x").alias("_x"), F.avg("y").alias("_y")).where(F.col("_n") >= least)
+    number = F.sum(copies) if copies else F.count(F.lit(1))
+    middle = {c: F.sum(F.col(copies) * F.col(c)) / number if copies else F.avg(c) for c in "xy"}
+    slices = rows.groupBy(*by, place.alias("_s")).agg(number.alias("_n"), *(m.alias(f"_{c}") for c, m in middle.items())).where(F.col("_n") >= least)
     order = Window.partitionBy(*by).orderBy("_s")
     dx, dy = F.col("_x") - F.lag("_x").over(order), F.col("_y") - F.lag("_y").over(order)
     moved = slices.withColumn("_d", F.sqrt(dx * dx + dy * dy))

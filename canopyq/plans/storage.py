@@ -30,6 +30,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def again(table: DataFrame) -> DataFrame:
+    """A stored table as a table of its own, with columns that a join can tell from the first's."""
+    out = table.sparkSession.read.schema(table.schema).parquet(table._stored_at)
+    out._stored_at = table._stored_at
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing will read any more; tables that aren't stored stay as they are."""
     for table in tables:

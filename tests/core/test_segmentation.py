@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from canopyq.operators import segmentation, segments, stems
+from canopyq.operators import circles, neighbours, segmentation, segments, spatial, stems
 
 RULES = segmentation.SegmentRules(size=0.5, apart=1.2, density_radius=0.25, radius=0.35, neighbours=8)
 
@@ -135,3 +135,71 @@ def test_drift_from_the_lowest_point(spark):
     rows = [(1, float(k // 8), 0.0, 0.3125 + 0.0625 * k) for k in range(32)] + [(1, 99.0 + k, 0.0, 2.3125) for k in range(6)]  # the highest begin no slice
     r = stems.centroid_drift(spark.createDataFrame(rows, "tree_id long, x double, y double, z double"), ["tree_id"], from_lowest=True).first()
     assert (r.n_slices, r.drift_mean) == (4, pytest.approx(1.0))
+
+
+def test_chain_of_copies_is_the_plain_one(spark, monkeypatch):
+    """Each place holds one to three points and every eleventh ten: more than a point has neighbours."""
+    cloud = forest()
+    copied = np.repeat(cloud, np.where(np.arange(len(cloud)) % 11 == 0, 10, np.arange(len(cloud)) % 3 + 1), axis=0)
+    monkeypatch.setitem(globals(), "forest", lambda: copied)
+    test_chain_is_the_plain_one(spark)
+
+
+def test_copies_cost_no_rows(spark, monkeypatch):
+    """Sixty points in each place are as many rows as one, in every table on the way, and come back as points at its end."""
+    rows, plain_stored = {}, segmentation.stored
+
+    def counted(df, name):
+        out = plain_stored(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(segmentation, "stored", counted)
+    rules = segmentation.SegmentRules(size=0.5, apart=1.2, density_radius=0.25, density_least=60, radius=0.35, neighbours=80, linearity=0.0)
+    cloud = forest()
+    one = spark.createDataFrame(pd.DataFrame(cloud, columns=["x", "y", "z"]))
+    made = segmentation.segment_trees(one.withColumn("copy", segmentation.F.explode(segmentation.F.sequence(segmentation.F.lit(1), segmentation.F.lit(60)))).drop("copy"), rules)
+    assert rows["cloud"] == len(cloud) and rows["band"] < len(cloud)
+    assert made["segment_points"].count() == sum(r.n_points_final for r in made["segment_summary"].collect()) > rows["final"]
+
+
+def test_only_sparse_cells_are_counted(spark, monkeypatch):
+    """A cloud that is dense everywhere is told by its cells: no row meets another."""
+    monkeypatch.setattr(spatial, "count_within", lambda *a, **k: pytest.fail("rows were counted"))
+    grid = spark.range(40_000).selectExpr("id AS point_id", "id % 200 * 0.01 AS x", "floor(id / 200) * 0.01 AS y")
+    assert spatial.crowded(grid.where("x < 1.4 and y < 1.4"), 0.2, 20).count() > 19_000
+
+
+@pytest.mark.parametrize("least", [1, 3, 9])
+@pytest.mark.parametrize("radius", [0.05, 0.4, 30.0])
+def test_crowded_is_the_count(spark, radius, least):
+    rng = np.random.default_rng(9)
+    xy = np.concatenate([rng.normal(0, 0.3, (400, 2)), rng.uniform(-40, 40, (200, 2)), np.arange(30)[:, None] * np.array([[0.05, 0.0]]), [[np.nan, 0.0], [np.inf, 0.0], [0.0, -np.inf]]])
+    number = np.where(np.arange(len(xy)) % 7 == 0, 5, 1)
+    points = spark.createDataFrame(pd.DataFrame({"point_id": range(len(xy)), "x": xy[:, 0], "y": xy[:, 1], "copies": number}))
+    with np.errstate(invalid="ignore"):
+        near = (((xy[:, None] - xy[None]) ** 2).sum(2) <= radius * radius) @ number - 1
+    got = spatial.crowded(points, radius, least, "copies")
+    assert got.columns == points.columns
+    assert sorted(r.point_id for r in got.collect()) == np.flatnonzero(near >= least).tolist()
+
+
+def test_linearity_of_copies(spark):
+    """Places with their numbers score as their points do, among them places of more points than are asked for."""
+    rng = np.random.default_rng(5)
+    places = pd.DataFrame(rng.normal(0, 1, (90, 3)), columns=["x", "y", "z"]).assign(tree_id=[1] * 60 + [2] * 29 + [3], point_id=range(90), copies=[1, 2, 3, 9, 4, 1] * 15)
+    each = places.loc[places.index.repeat(places["copies"])].assign(place=lambda d: d["point_id"], point_id=range(places["copies"].sum()))
+    want = {r.place: r.linearity for r in neighbours.linearity(spark.createDataFrame(each), "tree_id", k=8, leaf_rows=16).join(spark.createDataFrame(each[["point_id", "place"]]), "point_id").collect()}
+    for some in (places, places[places["copies"] <= 8], places[places["copies"] > 8]):
+        got = {r.point_id: r.linearity for r in neighbours.linearity(spark.createDataFrame(some), "tree_id", k=8, leaf_rows=16, copies="copies").collect()}
+        assert sorted(got) == sorted(some["point_id"])
+        if some is places:
+            assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_circles_of_copies(spark):
+    rng = np.random.default_rng(8)
+    angle = rng.uniform(0, 2 * np.pi, 40)
+    x, y, number = 5 + 0.2 * np.cos(angle) + rng.normal(0, 0.01, 40), 7 + 0.2 * np.sin(angle), rng.integers(1, 6, 40)
+    assert circles.seed_circle(x, y, number) == pytest.approx(circles.seed_circle(np.repeat(x, number), np.repeat(y, number)), abs=1e-9)
+    assert circles._median(x, number) == pytest.approx(float(np.median(np.repeat(x, number))), abs=1e-12)
