@@ -26,6 +26,8 @@ from canopyq.plans.storage import again, discard, stored
 
 #: Rows of a leaf, and of a block.
 LEAF_ROWS = 512
+#: Rows of a tree that one task takes as a whole, and rows of its parts.
+WHOLE_ROWS, _PART_ROWS = 1 << 18, 48
 #: Distances held at once.
 _DISTANCES = 1 << 22
 
@@ -173,17 +175,79 @@ def _measured(left: pa.Table, right: pa.Table, dims: int, k: int, apart: bool) -
             for i, key in enumerate(left["key"].slice(at, step).to_pylist()):
                 if key in same:
                     d[i, same[key]] = np.inf
-        take = min(k, m)
-        limit = np.partition(d, take - 1, axis=1)[:, take - 1]
-        row, col = np.nonzero(d <= limit[:, None])
-        order = np.lexsort((col, d[row, col], row))
-        row, col = row[order], col[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        keep = (rank < take) & (d[row, col] < np.inf)
-        places[at + row[keep], rank[keep]], found[at + row[keep], rank[keep]] = col[keep], d[row[keep], col[keep]]
+        places[at : at + step], found[at : at + step] = _smallest(d, k)
     return places, found
 
 
+def _smallest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and values of the ``k`` smallest values of each row, ties to the first column; -1 where there are fewer finite ones."""
+    places, found = np.full((len(d), k), -1, np.int64), np.full((len(d), k), np.inf)
+    take = min(k, d.shape[1])
+    limit = np.partition(d, take - 1, axis=1)[:, take - 1]
+    row, col = np.nonzero(d <= limit[:, None])
+    order = np.lexsort((col, d[row, col], row))
+    row, col = row[order], col[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = (rank < take) & (d[row, col] < np.inf)
+    places[row[keep], rank[keep]], found[row[keep], rank[keep]] = col[keep], d[row[keep], col[keep]]
+    return places, found
+
+
+def _halved(xyz: np.ndarray, most: int) -> list[np.ndarray]:
+    """Rows in parts of at most ``most``, halved in the middle of their widest axis."""
+    parts, left = [], [np.arange(len(xyz))]
+    while left:
+        rows = left.pop()
+        if len(rows) <= most:
+            parts.append(rows)
+            continue
+        own = xyz[rows]
+        order = np.argpartition(own[:, np.ptp(own, 0).argmax()], len(rows) // 2)
+        left += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
+    return parts
+
+
+def nearest_others(xyz: np.ndarray, asking: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` nearest other rows of each asking row, ties to the first row; -1 where there are fewer, and for rows that don't ask.
+
+    Parts of a few dozen rows look at the parts that begin no farther away than the k-th row of their own.
+    """
+    places = np.full((len(xyz), k), -1, np.int64)
+    parts = _halved(xyz, max(_PART_ROWS, 4 * k + 4))
+    axes, (low, high) = np.ascontiguousarray(xyz.T), (np.stack([end(xyz[p], 0) for p in parts], 1) for end in (np.min, np.max))
+
+    def away(low: np.ndarray, high: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Squares of the least distances between boxes, an array an axis, and one box, a little less to be safe."""
+        gaps = (np.maximum(np.maximum(a - d, c - b), 0) for a, b, c, d in zip(low, high, first, last, strict=True))
+        return sum(gap * gap for gap in gaps) * (1 - 1e-12)
+
+    def squares(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+        d = np.zeros((len(own), len(other)))
+        for axis in range(xyz.shape[1]):
+            gap = own[:, axis, None] - other[None, :, axis]
+            d += gap * gap
+        return d
+
+    for i, part in enumerate(parts):
+        mine = part[asking[part]]
+        if not len(mine):
+            continue
+        own = xyz[mine]
+        bound = np.partition(squares(own, xyz[part]), k, axis=1)[:, k] if len(part) > k else np.full(len(mine), np.inf)
+        reach, first, last = bound.max(), own.min(0), own.max(0)
+        near = np.concatenate([parts[j] for j in np.flatnonzero(away(low, high, first, last) <= reach)])
+        at = axes[:, near]
+        near = np.sort(near[away(at, at, first, last) <= reach])
+        step = max(1, _DISTANCES // len(near))
+        for at in range(0, len(mine), step):
+            some = mine[at : at + step]
+            d = squares(own[at : at + step], xyz[near])
+            d[np.arange(len(some)), np.searchsorted(near, some)] = np.inf
+            found, _ = _smallest(d, k)
+            places[some] = np.where(found >= 0, near[found], -1)
+    return places
+
+
 def each_nearest(left: DataFrame, right: DataFrame, k: int, finish: Finish, schema: str, coordinates: Sequence[str], by: str | None, key: str, right_key: str, apart: bool, more: Sequence[str] = (), leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Applies ``finish`` to each block of left rows and its answer; ``apart`` leaves out the right row with a row's own key. Both sides keep the columns ``more``."""
     dims = len(coordinates)
@@ -284,37 +348,66 @@ def k_nearest(left: DataFrame, right: DataFrame, k: int, coordinates: Sequence[s
     return each_nearest(left, right, k, finish, schema, coordinates, by, key, right_key, apart, leaf_rows=leaf_rows)
 
 
-def linearity(points: DataFrame, by: str, key: str = "point_id", k: int = 20, leaf_rows: int = LEAF_ROWS, copies: str | None = None) -> DataFrame:
+def linearity(points: DataFrame, by: str, key: str = "point_id", k: int = 20, leaf_rows: int = LEAF_ROWS, copies: str | None = None, whole_rows: int = WHOLE_ROWS) -> DataFrame:
     """(l1 - l2) / l1 of the covariance of each point's ``k`` nearest others of its tree: (by, key, linearity).
 
+    A tree of at most ``whole_rows`` rows is one task's arrays; larger ones go by pyramids of cells, block by block.
     Points of trees with ``k`` points or fewer score 0.5; points of no tree, with an id of 0 or less, score 0. With ``copies`` a row stands for so many points of one place, of which all
     have its score, and no two rows of a tree have one place: more than ``k`` copies are each other's nearest, a single place without any spread, and score 0 at once.
     """
     kinds = {c: points.schema[c].dataType.simpleString() for c in (by, key)}
+    schema = f"{by} {kinds[by]}, {key} {kinds[key]}, linearity double"
+    place = lambda t: np.stack([t[a].to_numpy() for a in _axes(3)], 1)
     number = lambda t: t[copies].to_numpy() if copies else np.ones(len(t), np.int64)
 
-    def finish(mine: pa.Table, others: pa.Table, places: np.ndarray, found: np.ndarray) -> pa.Table:
-        out = np.full(len(mine), 0.5)
-        own, other = (np.stack([t[a].to_numpy() for a in _axes(3)], 1) for t in (mine, others))
-        upto = np.cumsum(np.column_stack([number(mine) - 1, np.append(number(others), 0)[places]]), axis=1)  # its own copies, then those of the places by distance
+    def scores(own: np.ndarray, others: np.ndarray, number_own: np.ndarray, number_others: np.ndarray, places: np.ndarray) -> np.ndarray:
+        out = np.full(len(own), 0.5)
+        upto = np.cumsum(np.column_stack([number_own - 1, np.append(number_others, 0)[places]]), axis=1)  # its own copies, then those of the places by distance
         full = upto[:, -1] >= k
         if full.any():
-            at = np.column_stack([len(other) + np.arange(len(own)), places])[full]
-            slots = (upto[full][:, None, :] <= np.arange(k)[None, :, None]).sum(2)
-            out[full] = line_share(np.concatenate([other, own])[np.take_along_axis(at, slots, 1)])
-        return pa.table({by: mine["g"], key: mine["key"], "linearity": out})
-
-    trees, none = points.where(F.col(by) > 0), points.where(F.col(by) <= 0)
-    asking = trees
-    if copies:
-        few = F.col(copies) <= k
-        n, most = trees.agg(F.count_if(few), F.count("*")).first()
-        if n < most:
-            asking, none = trees.where(few), none.unionByName(placed_rows(trees.where(~few), ("x", "y", "z")))
-        if not n:
-            asking = trees = trees.limit(0)
-    found = each_nearest(asking, trees, k, finish, f"{by} {kinds[by]}, {key} {kinds[key]}, linearity double", ("x", "y", "z"), by, key, key, True, [copies] if copies else [], leaf_rows)
-    return found.unionByName(none.select(by, key, F.lit(0.0).alias("linearity")))
+            at = np.column_stack([len(others) + np.arange(len(own)), places])[full]
+            slots = (upto[full][:, None, :] <= np.arange(k)[None, :, None]).sum(2) if copies else np.arange(1, k + 1)[None]
+            out[full] = line_share(np.concatenate([others, own])[np.take_along_axis(at, slots, 1)])
+        return out
+
+    def finish(mine: pa.Table, others: pa.Table, places: np.ndarray, found: np.ndarray) -> pa.Table:
+        return pa.table({by: mine["g"], key: mine["key"], "linearity": scores(place(mine), place(others), number(mine), number(others), places)})
+
+    def whole(tree: pa.Table) -> pa.Table:
+        tree = tree.sort_by("key")
+        xyz, n = place(tree), number(tree)
+        asking = n <= k if copies else np.ones(len(n), bool)
+        out = np.zeros(len(n))
+        for at in range(0, len(n), 1 << 15) if asking.any() else ():
+            if not at:
+                places = nearest_others(xyz, asking, k)
+            some = np.flatnonzero(asking[at : at + (1 << 15)]) + at
+            out[some] = scores(xyz[some], xyz, n[some], n, places[some])
+        return pa.table({by: tree["g"], key: tree["key"], "linearity": out})
+
+    more, few, trees = [copies] if copies else [], F.col(copies) <= k if copies else F.lit(True), points.where(F.col(by) > 0)
+    zero = lambda rows: rows.select(by, key, F.lit(0.0).alias("linearity"))
+    asks, small = F.col("_few") > 0, F.col("_rows") <= whole_rows
+    sizes = stored(trees.groupBy(by).agg(F.count("*").alias("_rows"), F.count_if(few).alias("_few")), "sizes")
+    found = zero(points.where(F.col(by) <= 0))
+    ways = (~asks, asks & small, asks & ~small)
+    number_of = sizes.agg(*map(F.count_if, ways)).first()
+    for way, wanted in enumerate(ways):
+        if not number_of[way]:
+            continue
+        some = trees if number_of[way] == sum(number_of) else trees.join(sizes.where(wanted).select(by), by, "left_semi")
+        if way == 0:
+            done = zero(placed_rows(some, ("x", "y", "z")))
+        elif way == 1:  # fits cost far more than their rows weigh, so trees are dealt to all shuffle partitions
+            dealt = _prepared(some, ("x", "y", "z"), by, key, more).repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g")
+            done = dealt.groupBy("g").applyInArrow(whole, schema)
+        else:
+            lone = some.where(~few) if copies else None
+            apart = copies is not None and not lone.isEmpty()
+            done = each_nearest(some.where(few) if apart else some, some, k, finish, schema, ("x", "y", "z"), by, key, key, True, more, leaf_rows)
+            done = done.unionByName(zero(placed_rows(lone, ("x", "y", "z")))) if apart else done
+        found = found.unionByName(done)
+    return found
 
 
 def line_share(groups: np.ndarray) -> np.ndarray:

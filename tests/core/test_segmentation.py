@@ -184,14 +184,15 @@ def test_crowded_is_the_count(spark, radius, least):
     assert sorted(r.point_id for r in got.collect()) == np.flatnonzero(near >= least).tolist()
 
 
-def test_linearity_of_copies(spark):
+@pytest.mark.parametrize("whole_rows", [0, 40, 100])
+def test_linearity_of_copies(spark, whole_rows):
     """Places with their numbers score as their points do, among them places of more points than are asked for."""
     rng = np.random.default_rng(5)
     places = pd.DataFrame(rng.normal(0, 1, (90, 3)), columns=["x", "y", "z"]).assign(tree_id=[1] * 60 + [2] * 29 + [3], point_id=range(90), copies=[1, 2, 3, 9, 4, 1] * 15)
     each = places.loc[places.index.repeat(places["copies"])].assign(place=lambda d: d["point_id"], point_id=range(places["copies"].sum()))
-    want = {r.place: r.linearity for r in neighbours.linearity(spark.createDataFrame(each), "tree_id", k=8, leaf_rows=16).join(spark.createDataFrame(each[["point_id", "place"]]), "point_id").collect()}
+    want = {r.place: r.linearity for r in neighbours.linearity(spark.createDataFrame(each), "tree_id", k=8, leaf_rows=16, whole_rows=0).join(spark.createDataFrame(each[["point_id", "place"]]), "point_id").collect()}
     for some in (places, places[places["copies"] <= 8], places[places["copies"] > 8]):
-        got = {r.point_id: r.linearity for r in neighbours.linearity(spark.createDataFrame(some), "tree_id", k=8, leaf_rows=16, copies="copies").collect()}
+        got = {r.point_id: r.linearity for r in neighbours.linearity(spark.createDataFrame(some), "tree_id", k=8, leaf_rows=16, copies="copies", whole_rows=whole_rows).collect()}
         assert sorted(got) == sorted(some["point_id"])
         if some is places:
             assert got == pytest.approx(want, abs=1e-9)
@@ -203,3 +204,17 @@ def test_circles_of_copies(spark):
     x, y, number = 5 + 0.2 * np.cos(angle) + rng.normal(0, 0.01, 40), 7 + 0.2 * np.sin(angle), rng.integers(1, 6, 40)
     assert circles.seed_circle(x, y, number) == pytest.approx(circles.seed_circle(np.repeat(x, number), np.repeat(y, number)), abs=1e-9)
     assert circles._median(x, number) == pytest.approx(float(np.median(np.repeat(x, number))), abs=1e-12)
+
+
+@pytest.mark.parametrize("k", [1, 4, 20])
+def test_nearest_in_a_whole_tree(k):
+    """Parts of a tree find what all of it holds, ties and equal places too."""
+    rng = np.random.default_rng(k)
+    xyz = np.concatenate([rng.normal(0, 1, (700, 3)), np.round(rng.uniform(0, 3, (500, 3))), rng.normal(50, 0.01, (300, 3)), [[900.0, 0, 0]]])[rng.permutation(1501)]
+    d = ((xyz[:, None] - xyz[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    asking = rng.uniform(size=len(xyz)) < 0.7
+    want = np.where(asking[:, None], np.argsort(d, axis=1, kind="stable")[:, :k], -1)
+    assert (neighbours.nearest_others(xyz, asking, k) == want).all()
+    few = neighbours.nearest_others(xyz[:3], np.ones(3, bool), 4)
+    assert (np.sort(few, 1)[:, :2] == -1).all() and (few[:, :2] >= 0).all()
